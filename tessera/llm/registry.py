@@ -7,9 +7,11 @@ import importlib
 #: query -> module of this package; the function has the query's name.
 _MODULES = {
     "op1_packing": "packing",
+    "op2_warc": "warc",
     "op4_token_counts": "token_counts",
     "op5_language_id": "language_id",
     "op6_decontaminate": "decontaminate",
+    "op7_html_text": "html_text",
     "op8_minhash_near_dup": "near_dup",
     "op10_quality_rules": "quality",
 }

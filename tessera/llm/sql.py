@@ -60,7 +60,24 @@ SELECT doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(x) AS component_id
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
 
+#: Base 32 by fives of the hexadecimal digest: five digits are four characters.
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex FROM p),
+d AS (
+  SELECT *, array_to_string(list_transform(generate_series(0, 7), lambda i:
+    array_to_string(list_transform([15, 10, 5, 0], lambda s:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * i + 1)::INT, 5))::INT >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex) AS first
+  FROM h)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""
+
+
 ORACLES = {
+    "op2_warc": WARC,
     "op8_minhash_near_dup": NEAR_DUP,
     "op10_quality_rules": quality_sql(),
 }
