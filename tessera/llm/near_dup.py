@@ -4,7 +4,9 @@
    MinHash values, BANDS band keys of ROWS values each, and an odd sketch: the
    samples (place, value) folded by parity into SKETCH_BITS bits. For two sets
    of similarity J the XOR of the sketches has about
-   n/2 (1 - exp(-4 k (1 - J) / n)) ones (k samples, n bits).
+   n/2 (1 - exp(-4 k (1 - J) / n)) ones (k samples, n bits). A second bitmap of
+   PARITY_BITS folds the whole set: the ones of its XOR never exceed the number
+   of shingles in which two sets differ, so it refutes pairs without error.
 2. Texts with equal sets are one class, found by a 128-bit fingerprint with a
    partial aggregation: copies never meet in pairs.
 3. In each bucket of a band every class is paired with the smallest one only
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import mixed, slices, table, text_bytes, word_hashes, written
 from .graph import components
 
-BANDS, ROWS, SKETCH_BITS = 40, 5, 512
+BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 40, 5, 512, 1024
 SAMPLES = BANDS * ROWS
 MAX_ONES = 129
 #: The ids of texts to confirm are broadcast up to this number (8 bytes each).
@@ -49,7 +51,7 @@ _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _MUL2 = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 _FEATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
 )
 
 
@@ -98,6 +100,8 @@ def features_of(ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, width: int)
     f = np.zeros((2, n), np.uint64)
     sketch = np.zeros((n, SKETCH_BITS // 64), np.uint64)
     bands = np.zeros((n, BANDS), np.uint64)
+    places = np.repeat(np.arange(n), sizes) * PARITY_BITS + (mixed(sets ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    parity = np.packbits((np.bincount(places, minlength=n * PARITY_BITS) & 1).astype(np.uint8).reshape(n, PARITY_BITS), axis=1).view(np.uint64)
     if len(full):
         cut = np.append(ends[full], ends[-1])
         f[0, full] = np.add.reduceat(mixed(sets), cut[:-1])
@@ -115,7 +119,7 @@ def features_of(ids: np.ndarray, h: np.ndarray, bounds: np.ndarray, width: int)
             key = key * np.uint64(0xD6E8FEB86659FD93) + rows[:, r].astype(np.uint64) + np.uint64(1)
         bands[full] = mixed(key + (np.arange(BANDS, dtype=np.uint64)[:, None] << np.uint64(40))).T
     lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * a.shape[1], pa.int32()), pa.array(a.ravel().view(np.int64)))
-    return pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), lists(sketch), lists(bands)], schema=_FEATURES)
+    return pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), lists(sketch), lists(parity), lists(bands)], schema=_FEATURES)
 
 
 def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +129,7 @@ def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
                 yield features_of(b.column(0).slice(i, j - i), *word_hashes(data, offs), width)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, f0 long, f1 long, sketch array<long>, bands array<long>")
+    return picked.mapInArrow(run, "doc_id long, n_shingles long, f0 long, f1 long, sketch array<long>, parity array<long>, bands array<long>")
 
 
 def _shingles(text: bytes, width: int) -> set:
@@ -171,13 +175,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     keyed = reps.select("rid", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("hub")).where("c > 1")
     members = written(keyed.join(shared.select("key", "hub"), "key"), "dup-members")
-    marks = written(reps.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "n_shingles", "sketch"), "dup-marks")
+    marks = written(reps.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "n_shingles", "sketch", "parity"), "dup-marks")
 
-    def ones(p: str, q: str) -> str:
-        return " + ".join(f"bit_count({p}[{i}] ^ {q}[{i}])" for i in range(SKETCH_BITS // 64))
+    def ones(p: str, q: str, bits: int) -> str:
+        return "(" + " + ".join(f"bit_count({p}[{i}] ^ {q}[{i}])" for i in range(bits // 64)) + ")"
 
-    similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {ones('sa', 'sb')} <= {MAX_ONES}"
-    side = lambda x: marks.select(F.col("rid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    similar = (
+        f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {ones('sa', 'sb', SKETCH_BITS)} <= {MAX_ONES}"
+        f" AND {100 + percent} * {ones('pa', 'pb', PARITY_BITS)} <= {100 - percent} * (na + nb)"
+    )
+    side = lambda x: marks.select(F.col("rid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("parity").alias(f"p{x}"))
 
     first = members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     first = first.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b")
@@ -188,8 +195,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = written(placed, "dup-placed")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_ = placed.join(mixed_keys, "key", "left_semi").where("rid <> hub").join(marks, "rid")
-    left = open_.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    right = open_.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    left = open_.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
+    right = open_.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
     second = left.join(right, "key").where("a < b AND ca <> cb AND " + similar).select("a", "b").distinct()
     second = written(second, "dup-pairs")
     if second.isEmpty():
