@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op1_packing": "packing",
     "op2_warc": "warc",
+    "op3_kneser_ney": "kneser_ney",
     "op4_token_counts": "token_counts",
     "op5_language_id": "language_id",
     "op6_decontaminate": "decontaminate",
