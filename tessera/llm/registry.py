@@ -14,6 +14,7 @@ _MODULES = {
     "op6_decontaminate": "decontaminate",
     "op7_html_text": "html_text",
     "op8_minhash_near_dup": "near_dup",
+    "op9_token_files": "token_files",
     "op10_quality_rules": "quality",
 }
 
