@@ -1,0 +1 @@
+from . import cs, ts  # noqa: F401
