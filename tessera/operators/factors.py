@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cs, ts
 
@@ -37,7 +38,7 @@ class Lookbacks:
 def ewm(df: DataFrame, column: str, out: str, halflife: float | None = None, alpha: float | None = None, adjust: bool = True, min_periods: int = 0, key: str = "symbol") -> DataFrame:
     """Exponentially weighted mean per symbol; weights decay over NULL rows too.
     A recursion has no window form, so a symbol's series goes to one pandas call."""
-    schema = df.select("*", F.lit(0.0).alias(out)).schema
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], T.StructField(out, T.DoubleType())])
     how = {"halflife": halflife} if alpha is None else {"alpha": alpha}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
