@@ -141,7 +141,7 @@ def strategy_mix(returns: DataFrame, names: list[str], lookback: int = 60, risk:
             rows += [(at, n, float(v)) for n, v in zip(names, prev, strict=True)]
         return pd.DataFrame(rows, columns=["ts", "strategy", "share"])
 
-    return wide.groupBy(F.lit(1)).applyInPandas(run, "ts timestamp, strategy string, share double")
+    return wide.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, "ts timestamp, strategy string, share double")
 
 
 def equal_weight(weights: DataFrame, leverage: float = 1.0, cap: float = 0.1) -> DataFrame:
