@@ -15,169 +15,187 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK_IDS, LANES = 1024, 1024
-_TABLE = 4096
-_MASK = np.int64(0xFFFFFFFF)
-_TOP, _BOTTOM = np.int64(1 << 24), np.int64(1 << 16)
+BLOCK_IDS, LANES = 1024, 3072
+_TABLE = 2048
+#: low and span are kept in 48 bits and leave in words of 16; totals stay below
+#: 2^15, so one word a symbol is enough.
+_WIDE = np.int64((1 << 48) - 1)
+_NARROW = np.int64(1 << 32)
 _STEP, _LIMIT = 24, 1 << 14
 
 
 class _State:
     def __init__(self, lanes: int):
-        self.next1 = np.zeros((lanes, _TABLE), np.int32)
-        self.next2 = np.zeros((lanes, _TABLE), np.int32)
-        self.share = np.ones((lanes, 4, 3), np.int32)
-        self.nibble = [np.ones((lanes, k, 16), np.int32) for k in (1, 16, 256, 256)]
+        self.next1 = np.zeros(lanes * _TABLE, np.int32)
+        self.next2 = np.zeros(lanes * _TABLE, np.int32)
+        self.base = np.arange(lanes) * _TABLE
+        self.share = np.ones((lanes * 4, 3), np.int16)
+        self.share_total = np.full(lanes * 4, 3, np.int32)
+        self.nibble = [np.ones((lanes * k, 16), np.int16) for k in (1, 16, 256, 256)]
+        self.nibble_total = [np.full(lanes * k, 16, np.int32) for k in (1, 16, 256, 256)]
         self.a = np.zeros(lanes, np.int64)
         self.b = np.zeros(lanes, np.int64)
 
-    def predicted(self, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        h1 = (self.a[lane] * 40503 >> 4) & (_TABLE - 1)
-        h2 = (self.a[lane] * 40503 + self.b[lane] * 30011 >> 3) & (_TABLE - 1)
-        p1, p2 = self.next1[lane, h1].astype(np.int64), self.next2[lane, h2].astype(np.int64)
-        agree = np.where(p2 == 0, np.where(p1 == 0, 0, 1), np.where(p1 == p2, 2, 3))
-        return h1, h2, p1, p2, agree
-
-    def learn(self, lane: np.ndarray, h1: np.ndarray, h2: np.ndarray, x: np.ndarray) -> None:
-        self.next1[lane, h1] = x + 1
-        self.next2[lane, h2] = x + 1
-        self.b[lane] = self.a[lane]
-        self.a[lane] = x + 1
+    def predicted(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the first n lanes: places in both tables, predictions (id + 1, or
+        0 for none), and the row of shares for their agreement."""
+        a = self.a[:n] * 40503
+        h1 = ((a >> 4) & (_TABLE - 1)) + self.base[:n]
+        h2 = ((a + self.b[:n] * 30011 >> 3) & (_TABLE - 1)) + self.base[:n]
+        p1, p2 = self.next1[h1].astype(np.int64), self.next2[h2].astype(np.int64)
+        agree = np.where(p2 == 0, p1 != 0, 3 - (p1 == p2))
+        return h1, h2, p1, p2, np.arange(n) * 4 + agree
+
+    def learn(self, n: int, h1: np.ndarray, h2: np.ndarray, x: np.ndarray) -> None:
+        self.b[:n] = self.a[:n]
+        self.a[:n] = x + 1
+        self.next1[h1] = self.next2[h2] = self.a[:n]
+
+
+def _bump(table: np.ndarray, total: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> None:
+    """Count a symbol; halve a distribution whose total gets too large. Rows of
+    a call belong to different lanes, so none comes twice."""
+    table[row, symbol] += _STEP
+    total[row] += _STEP
+    full = row[total[row] > _LIMIT]
+    if len(full):
+        table[full] = (table[full] + 1) >> 1
+        total[full] = table[full].sum(axis=1)
 
 
-def _bump(table: np.ndarray, at: tuple, symbol: np.ndarray, freq: np.ndarray) -> None:
-    """Count a symbol; halve a distribution whose total gets too large."""
-    table[(*at, symbol)] += _STEP
-    full = np.flatnonzero(freq.sum(axis=1) > _LIMIT)
-    if len(full):
-        where = tuple(k[full] if isinstance(k, np.ndarray) else k for k in at)
-        table[where] = (table[where] + 1) >> 1
+def _context(x: np.ndarray, k: int) -> np.ndarray | int:
+    """The context of nibble k of ids: those above it, two at most."""
+    return (0, x >> 12, x >> 8, (x >> 4) & 0xFF)[k]
 
 
-def _contexts(x: np.ndarray, k: int) -> np.ndarray:
-    """The context of nibble k of ids whose nibbles above it are known."""
-    return (np.zeros_like(x), x >> 12, x >> 8, (x >> 4) & 0xFF)[k]
+_SIZES = (1, 16, 256, 256)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """One byte string for each block of ids below 2^16."""
     n = len(blocks)
-    size = np.array([len(b) for b in blocks], np.int64)
-    ids = np.zeros((n, int(size.max(initial=0))), np.int64)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
+    order = np.argsort([-len(b) for b in blocks], kind="stable")  # lanes that go on are always the first ones
+    size = np.array([len(blocks[i]) for i in order], np.int64)
+    steps = int(size.max(initial=0))
+    ids = np.zeros((steps, n), np.int64)
+    for lane, i in enumerate(order):
+        ids[: size[lane], lane] = blocks[i]
     state = _State(n)
-    low, span = np.zeros(n, np.int64), np.full(n, _MASK)
-    out, pos = np.zeros((n, ids.shape[1] * 5 + 16), np.uint8), np.zeros(n, np.int64)
-
-    def put(lane: np.ndarray, freq: np.ndarray, symbol: np.ndarray) -> None:
-        run = np.cumsum(freq, axis=1)
-        rows = np.arange(len(lane))
+    low, span = np.zeros(n, np.int64), np.full(n, _WIDE)
+    out, pos = np.zeros((n, steps * 5 + 8), np.int32), np.ones(n, np.int64)
+
+    def carry(lane: np.ndarray) -> None:
+        """Add one to the words already out."""
+        at = pos[lane] - 1
+        while len(lane):
+            out[lane, at] += 1
+            over = out[lane, at] > 0xFFFF
+            lane, at = lane[over], at[over]
+            out[lane, at] = 0
+            at = at - 1
+
+    def put(lane: np.ndarray | None, freq: np.ndarray, total: np.ndarray, symbol: np.ndarray) -> None:
+        rows = np.arange(len(symbol))
         f = freq[rows, symbol].astype(np.int64)
-        r = span[lane] // run[:, -1]
-        lo = low[lane] + (run[rows, symbol] - f) * r
+        start = np.cumsum(freq, axis=1, dtype=np.int32)[rows, symbol] - f
+        lo, sp = (low[: len(symbol)], span[: len(symbol)]) if lane is None else (low[lane], span[lane])
+        r = sp // total
+        lo = lo + start * r
         sp = r * f
-        live = rows
-        while True:
-            same = ((lo[live] ^ (lo[live] + sp[live])) & _MASK) < _TOP
-            same &= lo[live] + sp[live] <= _MASK
-            small = ~same & (sp[live] < _BOTTOM)
-            if small.any():
-                s = live[small]
-                sp[s] = -lo[s] & (_BOTTOM - 1)
-            live = live[same | small]
-            if not len(live):
-                break
-            at = lane[live]
-            out[at, pos[at]] = lo[live] >> 24
+        if (over := np.flatnonzero(lo > _WIDE)).size:
+            carry(over if lane is None else lane[over])
+            lo[over] &= _WIDE
+        if (w := np.flatnonzero(sp < _NARROW)).size:
+            at = w if lane is None else lane[w]
+            out[at, pos[at]] = lo[w] >> 32
             pos[at] += 1
-            lo[live] = (lo[live] << 8) & _MASK
-            sp[live] = (sp[live] << 8) & _MASK
-        low[lane], span[lane] = lo, sp
-
-    for t in range(ids.shape[1]):
-        lane = np.flatnonzero(size > t)
-        x = ids[lane, t]
-        h1, h2, p1, p2, agree = state.predicted(lane)
+            lo[w] = (lo[w] << 16) & _WIDE
+            sp[w] <<= 16
+        if lane is None:
+            low[: len(symbol)], span[: len(symbol)] = lo, sp
+        else:
+            low[lane], span[lane] = lo, sp
+
+    for t in range(steps):
+        k = int(np.searchsorted(-size, -t, side="left"))  # lanes with more than t ids
+        x = ids[t, :k]
+        h1, h2, p1, p2, row = state.predicted(k)
         kind = np.where(p2 == x + 1, 0, np.where(p1 == x + 1, 1, 2))
-        freq = state.share[lane, agree]
-        put(lane, freq, kind)
-        _bump(state.share, (lane, agree), kind, freq)
-        rare = np.flatnonzero(kind == 2)
-        if len(rare):
-            own, y = lane[rare], x[rare]
-            for k in range(4):
-                ctx, nib = _contexts(y, k), (y >> (12 - 4 * k)) & 15
-                freq = state.nibble[k][own, ctx]
-                put(own, freq, nib)
-                _bump(state.nibble[k], (own, ctx), nib, freq)
-        state.learn(lane, h1, h2, x)
-    for _ in range(4):
-        out[np.arange(n), pos] = low >> 24
+        put(None, state.share[row], state.share_total[row], kind)
+        _bump(state.share, state.share_total, row, kind)
+        own = np.flatnonzero(kind == 2)
+        if len(own):
+            y = x[own]
+            for j in range(4):
+                row, nib = own * _SIZES[j] + _context(y, j), (y >> (12 - 4 * j)) & 15
+                put(own, state.nibble[j][row], state.nibble_total[j][row], nib)
+                _bump(state.nibble[j], state.nibble_total[j], row, nib)
+        state.learn(k, h1, h2, x)
+    for _ in range(3):
+        out[np.arange(n), pos] = low >> 32
         pos += 1
-        low = (low << 8) & _MASK
-    return [out[i, : pos[i]].tobytes() for i in range(n)]
+        low = (low << 16) & _WIDE
+    coded = [b""] * n
+    for lane, i in enumerate(order):
+        coded[i] = out[lane, : pos[lane]].astype("<u2").tobytes()
+    return coded
 
 
 def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The blocks of ids that encode() was given."""
     n = len(coded)
-    size = np.array(sizes, np.int64)
-    raw = np.zeros((n, max(map(len, coded), default=0) + 8), np.uint8)
-    for i, b in enumerate(coded):
-        raw[i, : len(b)] = np.frombuffer(b, np.uint8)
-    ids = np.zeros((n, int(size.max(initial=0))), np.int64)
+    order = np.argsort([-s for s in sizes], kind="stable")
+    size = np.array([sizes[i] for i in order], np.int64)
+    raw = np.zeros((n, max((len(c) // 2 for c in coded), default=0) + 8), np.int64)
+    for lane, i in enumerate(order):
+        words = np.frombuffer(coded[i], "<u2")
+        raw[lane, : len(words)] = words
+    steps = int(size.max(initial=0))
+    ids = np.zeros((steps, n), np.int64)
     state = _State(n)
-    low, span = np.zeros(n, np.int64), np.full(n, _MASK)
-    code = (raw[:, :4].astype(np.int64) << np.array([24, 16, 8, 0])).sum(axis=1)
+    span = np.full(n, _WIDE)
+    code = raw[:, 1] << 32 | raw[:, 2] << 16 | raw[:, 3]  # less low; word 0 only takes a carry
+    code += raw[:, 0] << 48
     pos = np.full(n, 4, np.int64)
 
-    def take(lane: np.ndarray, freq: np.ndarray) -> np.ndarray:
-        run = np.cumsum(freq, axis=1)
-        rows = np.arange(len(lane))
-        r = span[lane] // run[:, -1]
-        lo, c = low[lane], code[lane]
-        v = np.minimum(((c - lo) & _MASK) // r, run[:, -1] - 1)
-        symbol = (run <= v[:, None]).sum(axis=1)
+    def take(lane: np.ndarray | None, freq: np.ndarray, total: np.ndarray) -> np.ndarray:
+        rows = np.arange(len(freq))
+        c, sp = (code[: len(freq)], span[: len(freq)]) if lane is None else (code[lane], span[lane])
+        r = sp // total
+        run = np.cumsum(freq, axis=1, dtype=np.int32)
+        symbol = (run <= np.minimum(c // r, total - 1)[:, None]).sum(axis=1)
         f = freq[rows, symbol].astype(np.int64)
-        lo = lo + (run[rows, symbol] - f) * r
+        c = c - (run[rows, symbol] - f) * r
         sp = r * f
-        live = rows
-        while True:
-            same = ((lo[live] ^ (lo[live] + sp[live])) & _MASK) < _TOP
-            same &= lo[live] + sp[live] <= _MASK
-            small = ~same & (sp[live] < _BOTTOM)
-            if small.any():
-                s = live[small]
-                sp[s] = -lo[s] & (_BOTTOM - 1)
-            live = live[same | small]
-            if not len(live):
-                break
-            at = lane[live]
-            c[live] = ((c[live] << 8) & _MASK) | raw[at, np.minimum(pos[at], raw.shape[1] - 1)]
+        if (w := np.flatnonzero(sp < _NARROW)).size:
+            at = w if lane is None else lane[w]
+            c[w] = c[w] << 16 | raw[at, pos[at]]
             pos[at] += 1
-            lo[live] = (lo[live] << 8) & _MASK
-            sp[live] = (sp[live] << 8) & _MASK
-        low[lane], span[lane], code[lane] = lo, sp, c
+            sp[w] <<= 16
+        if lane is None:
+            code[: len(freq)], span[: len(freq)] = c, sp
+        else:
+            code[lane], span[lane] = c, sp
         return symbol
 
-    for t in range(ids.shape[1]):
-        lane = np.flatnonzero(size > t)
-        h1, h2, p1, p2, agree = state.predicted(lane)
-        freq = state.share[lane, agree]
-        kind = take(lane, freq)
-        _bump(state.share, (lane, agree), kind, freq)
+    for t in range(steps):
+        k = int(np.searchsorted(-size, -t, side="left"))
+        h1, h2, p1, p2, row = state.predicted(k)
+        kind = take(None, state.share[row], state.share_total[row])
+        _bump(state.share, state.share_total, row, kind)
         x = np.where(kind == 0, p2, p1) - 1
-        rare = np.flatnonzero(kind == 2)
-        if len(rare):
-            own, y = lane[rare], np.zeros(len(rare), np.int64)
-            for k in range(4):
-                ctx = (np.zeros_like(y), y, y, y & 0xFF)[k]
-                freq = state.nibble[k][own, ctx]
-                nib = take(own, freq)
-                _bump(state.nibble[k], (own, ctx), nib, freq)
+        own = np.flatnonzero(kind == 2)
+        if len(own):
+            y = np.zeros(len(own), np.int64)
+            for j in range(4):
+                row = own * _SIZES[j] + (0, y, y, y & 0xFF)[j]
+                nib = take(own, state.nibble[j][row], state.nibble_total[j][row])
+                _bump(state.nibble[j], state.nibble_total[j], row, nib)
                 y = y << 4 | nib
-            x[rare] = y
-        ids[lane, t] = x
-        state.learn(lane, h1, h2, x)
-    return [ids[i, :s].astype(np.uint32) for i, s in enumerate(sizes)]
+            x[own] = y
+        ids[t, :k] = x
+        state.learn(k, h1, h2, x)
+    found: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
+    for lane, i in enumerate(order):
+        found[i] = ids[: size[lane], lane].astype(np.uint32)
+    return found

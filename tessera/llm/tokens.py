@@ -65,44 +65,55 @@ def encoder(path: str) -> Callable[[list[str]], list]:
     return rank_encoder(path) if path.endswith(".tiktoken") else hf_encoder(path)
 
 
-class Ids:
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
+class _Cached:
+    """Encodes texts by parts and remembers what the parts gave."""
+
+    #: Texts whose new parts are encoded in one call.
+    GROUP = 64
 
     def __init__(self, path: str):
         self.encode = encoder(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict = {}
+
+    def value(self, ids):
+        raise NotImplementedError
+
+    def total(self, values):
+        raise NotImplementedError
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            cut = parts(text)
-            missing = list(set(cut).difference(self.known))
+    def __call__(self, texts: list[str]) -> Iterator:
+        for i in range(0, len(texts), self.GROUP):
+            cuts = [parts(t) for t in texts[i : i + self.GROUP]]
+            need = set().union(*cuts)
+            missing = list(need.difference(self.known))
             if missing:
                 if len(self.known) + len(missing) > CACHE_PARTS:
                     self.known.clear()
-                    missing = list(set(cut))
+                    missing = list(need)
                 for part, ids in zip(missing, self.encode(missing), strict=True):
-                    self.known[part] = np.array(ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, cut))
+                    self.known[part] = self.value(ids)
+            for cut in cuts:
+                yield self.total(map(self.known.__getitem__, cut))
+
+
+class Ids(_Cached):
+    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
+
+    def value(self, ids) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
+    def total(self, values) -> bytes:
+        return b"".join(values)
 
-class Lengths:
+
+class Lengths(_Cached):
     """Numbers of ids of texts."""
 
-    def __init__(self, path: str):
-        self.encode = encoder(path)
-        self.known: dict[str, int] = {}
+    def value(self, ids) -> int:
+        return len(ids)
 
-    def __call__(self, texts: list[str]) -> Iterator[int]:
-        for text in texts:
-            cut = parts(text)
-            missing = list(set(cut).difference(self.known))
-            if missing:
-                if len(self.known) + len(missing) > CACHE_PARTS:
-                    self.known.clear()
-                    missing = list(set(cut))
-                for part, ids in zip(missing, self.encode(missing), strict=True):
-                    self.known[part] = len(ids)
-            yield sum(map(self.known.__getitem__, cut))
+    def total(self, values) -> int:
+        return sum(values)
 
 
 def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
