@@ -120,7 +120,9 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass, with the columns of documents.
 
-    The verdict is an expression over the row itself, so nothing is joined back."""
-    cols = docs.columns
-    keyed = docs.withColumn("doc_id", F.struct(*cols))
-    return quality(keyed).where("kept").select("doc_id.*")
+    The verdict is an expression over the row itself, so nothing is joined back.
+    A plain filter on it would be pushed below the projections and repeat their
+    expressions many times over; it stays above the outer explode."""
+    keyed = docs.withColumn("doc_id", F.struct(*docs.columns))
+    rows = quality(keyed).selectExpr("explode_outer(CASE WHEN kept THEN array(doc_id) END) AS row")
+    return rows.where("row IS NOT NULL").select("row.*")
