@@ -102,13 +102,17 @@ def passes(rule: Rule) -> str:
 
 
 def quality(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measures, base_failed, kept, and the names of the rules that failed."""
+    """The measures, base_failed, kept, and the names of the rules that failed.
+
+    A filter on the verdict that were pushed below the projections would repeat
+    their expressions many times over; the outer explode of one row stops it."""
     failed = "filter(array(" + ", ".join(f"CASE WHEN NOT {passes(r)} THEN '{r.name}' END" for r in rules) + "), x -> x IS NOT NULL) AS failed"
-    return (
+    judged = (
         measures(docs, id_col, text_col)
         .selectExpr("*", "n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed", failed)
         .selectExpr("*", "NOT base_failed AND size(failed) = 0 AS kept")
     )
+    return judged.selectExpr("explode_outer(array(struct(*))) AS r").select("r.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -120,9 +124,5 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass, with the columns of documents.
 
-    The verdict is an expression over the row itself, so nothing is joined back.
-    A plain filter on it would be pushed below the projections and repeat their
-    expressions many times over; it stays above the outer explode."""
-    keyed = docs.withColumn("doc_id", F.struct(*docs.columns))
-    rows = quality(keyed).selectExpr("explode_outer(CASE WHEN kept THEN array(doc_id) END) AS row")
-    return rows.where("row IS NOT NULL").select("row.*")
+    The verdict is an expression over the row itself, so nothing is joined back."""
+    return quality(docs.withColumn("doc_id", F.struct(*docs.columns))).where("kept").select("doc_id.*")
