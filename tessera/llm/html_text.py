@@ -74,7 +74,8 @@ class Dom:
         self.tag, self.parent, self.drop = ["#"], [0], [False]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at the edge of a block
         stack, pos = [0], 0
-        end_of_tags = max(page.rfind(">") + 1, page.rfind("<!") + 2)  # no search for the end of a tag that has none
+        last = page.rfind(">")  # no search for the end of a tag that has none; a comment may be open to the end
+        end_of_tags = len(page) if page.rfind("<!") > last else last + 1
         while m := _TAG.search(page, pos, end_of_tags):
             if m.start() > pos:
                 self.text(stack[-1], page[pos : m.start()])
