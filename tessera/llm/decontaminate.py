@@ -34,14 +34,16 @@ BROADCAST_WINDOWS = 2_000_000
 
 #: Units of measure that belong to the number before them.
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hr|hours|minutes|seconds|days|weeks|months|years|miles|feet|ft|inches|in|percent|%|dollars|euros|pounds|usd|eur|gbp|°c|°f|mph|kmh|kw|w|v|hz|mb|gb"
-_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-#: (pattern, placeholder, value kept in the placeholder): replaced in this order.
-TYPES = (
-    (rf"[$€£] ?({_NUMBER})", "q"),
-    (rf"\b({_NUMBER}) ?(?:(?i:{UNITS})\b|%)", "q"),
-    (rf"\b({_NUMBER})\b", "n"),
+_NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
+_CAPITAL = r"\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
+#: What a token can be, the first that fits; only a name begins with a space. Repeats are possessive: no backtracking, no recursion.
+KINDS = (
+    rf"\$ ?{_NUMBER}",
+    rf"\b{_NUMBER} ?(?:(?i:{UNITS})\b|%)",
+    rf"\b{_NUMBER}\b",
+    rf"(?<=[\p{{Ll}},;]) {_CAPITAL}(?: {_CAPITAL})*+",
+    r"[\p{L}\p{M}]++",
 )
-NAME = r"([\p{Ll},;]) ((?:\p{Lu}\p{Ll}+ )*\p{Lu}\p{Ll}+)"
 
 
 def _sql(s: str) -> str:
@@ -50,18 +52,19 @@ def _sql(s: str) -> str:
 
 def tokens(text: str, values: bool) -> str:
     """SQL for the array of template tokens of a text column; with values, a
-    placeholder carries what it stands for (numbers without units)."""
-    expr = f"coalesce({text}, '')"
-    # Values keep word characters only, so that both forms split at the same places.
-    expr = f"regexp_replace({expr}, {_sql(NAME)}, {_sql('$1 ⟨p' + ('·$2' if values else '') + '⟩')})"
-    for pattern, kind in TYPES:
-        expr = f"regexp_replace({expr}, {_sql(pattern)}, {_sql(' ⟨' + kind + ('·$1' if values else '') + '⟩ ')})"
+    placeholder carries what it stands for (numbers without units). Both arrays
+    come from the same pieces, so they have the same places."""
+    pieces = f"regexp_extract_all(translate(coalesce({text}, ''), '€£', '$$'), {_sql('|'.join(KINDS))}, 0)"
+    number = "CASE WHEN startswith(x, '$') OR NOT x rlike '[0-9]$' THEN '⟨q{0}⟩' ELSE '⟨n{0}⟩' END"
     if values:
-        return f"filter(regexp_extract_all(lower({expr}), {_sql('⟨[^⟩]*⟩|[^' + _KEPT + ']+|[' + _KEPT + ']+')}, 0), x -> x rlike {_sql('^[' + _KEPT + ']')})"
-    return f"filter(split(lower({expr}), {_sql('[^' + _KEPT + ']+')}), x -> x != '')"
+        name = "concat('⟨p·', lower(ltrim(x)), '⟩')"
+        number = f"replace({number.format('·')}, '·', concat('·', regexp_extract(x, {_sql(_NUMBER)}, 0)))"
+    else:
+        name, number = "'⟨p⟩'", number.format("")
+    # Letters come after ':' in byte order, digits, '$' and the space before it.
+    return f"transform({pieces}, x -> CASE WHEN x >= ':' THEN lower(x) WHEN startswith(x, ' ') THEN {name} ELSE {number} END)"
 
 
-_KEPT = r"\p{L}\p{M}⟨⟩"
 _WORDS = "size(filter(slice(tok, i + 1, {n}), x -> NOT startswith(x, '⟨')))"
 
 

@@ -147,6 +147,18 @@ def test_decontaminate_templates(spark):
     assert decontaminate.contaminated(docs_of(spark, []), items).count() == 0
 
 
+def test_decontaminate_values(spark):
+    """An exact copy is a hit whatever quantities and names stand before it."""
+    item = "a train leaves with 30 km per hour and after 30 minutes it meets another of 45 km"
+    before = ["the ticket costs $5 and then", "a film on YouTube says that", "it was €1,000,5 or 7 % or 3 kg of", "the state ⟨a b c⟩ and ⟨q·5⟩ then", "near McDonald in New YouTube"]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = docs_of(spark, [(i, f"{x} {item} away") for i, x in enumerate(before)])
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["exact"]) for r in got) == [(i, 1, True) for i in range(len(before))]
+    sizes = docs.selectExpr(f"size({decontaminate.tokens('text', False)}) AS a", f"size({decontaminate.tokens('text', True)}) AS b").collect()
+    assert all(r["a"] == r["b"] for r in sizes)
+
+
 def brute_padding(hist, k):
     import itertools
 
