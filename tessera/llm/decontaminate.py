@@ -7,7 +7,8 @@ windows of a benchmark item, on one diagonal (same distance between the two
 places), are hits: all windows of the item or at least MIN_WINDOWS. A question
 asked again with other numbers or names has the same template; its hit counts
 if the substitution is consistent: on the diagonal every value of the item
-always stands for one value of the document.
+always stands for one value of the document. An item is searched as it stands
+at the start of a sentence and inside one.
 
 Scale: the item windows are broadcast while there are at most BROADCAST_WINDOWS
 (24 bytes each) and shuffled otherwise; documents are read once, windows are
@@ -94,11 +95,14 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, exact) of each hit; exact: the
     document has the item's own values everywhere on the diagonal."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t"))
-    items = items.selectExpr("item_id", "t", f"{tokens('t', False)} AS tok").where(f"size(tok) >= {MIN_TOKENS}")
-    items = written(items.selectExpr("item_id", "t", "tok", "xxhash64(tok) AS tid"), "bench-items")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t"))
+    items = written(items, "bench-items")
+    # Inside a sentence the capitalised words an item begins with are a name: a second form.
+    forms = items.select("item", F.explode(F.array("t", F.expr("concat(', ', ltrim(t))"))).alias("t"))
+    forms = forms.selectExpr("item", f"{tokens('t', False)} AS tok", f"{tokens('t', True)} AS iv").where(f"size(tok) >= {MIN_TOKENS}")
+    forms = written(forms.selectExpr("item", "tok", "iv", "xxhash64(tok) AS tid").distinct(), "bench-forms")
     # Equal templates are probed once; xxhash64 is only their key, so they are grouped by the tokens too.
-    kinds = items.groupBy("tid", "tok").agg(F.min("t").alias("t")).selectExpr("tid AS id", "tok", "t")
+    kinds = forms.groupBy("tid", "tok").agg(F.min("iv").alias("iv")).selectExpr("tid AS id", "tok", "iv")
     short = [r[0] for r in kinds.select(F.least(F.size("tok"), F.lit(window))).distinct().collect()]  # at most `window` numbers
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).selectExpr("id", f"{tokens('t', False)} AS tok")
 
@@ -123,16 +127,19 @@ def contaminated(
     # Values of the placeholders, for hits that have any.
     asked = runs.where("size(slots) > 0").select("doc_id", "tid", "diagonal", "n", F.explode("slots").alias("ipos"))
     theirs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(asked.select("doc_id").distinct(), "doc_id", "left_semi").selectExpr("doc_id", f"{tokens('t', True)} AS dv")
-    ours = kinds.selectExpr("id AS tid", f"{tokens('t', True)} AS iv")
+    ours = kinds.selectExpr("id AS tid", "iv")
     cells = asked.selectExpr("doc_id", "tid", "diagonal", "explode(sequence(ipos, ipos + n - 1)) AS i").distinct()
     cells = cells.groupBy("doc_id", "tid", "diagonal").agg(F.collect_list("i").alias("at")).join(ours, "tid").join(theirs, "doc_id")
-    pairs = cells.selectExpr("doc_id", "tid", "diagonal", "explode_outer(filter(transform(at, i -> struct(iv[i] AS iv, get(dv, i + diagonal) AS dv)), p -> startswith(p.iv, '⟨'))) AS p").where("p IS NOT NULL")
+    pairs = cells.selectExpr("doc_id", "tid", "diagonal", "explode_outer(filter(transform(at, i -> struct(iv[i] AS iv, get(dv, i + diagonal) AS dv, i = 0 AS first, i = size(iv) - 1 AS last)), p -> startswith(p.iv, '⟨'))) AS p").where("p IS NOT NULL")
+    # A name at an edge of the item may have run into a name beside it.
+    pairs = pairs.withColumn("p", F.expr("struct(p.iv, IF(p.first AND endswith(p.dv, concat(' ', substr(p.iv, 4))) OR p.last AND startswith(p.dv, concat(rtrim('⟩', p.iv), ' ')), p.iv, p.dv) AS dv)"))
     slots = pairs.groupBy("doc_id", "tid", "diagonal", "p.iv").agg(F.count_distinct("p.dv").alias("c"), F.bool_and(F.expr("p.iv <=> p.dv")).alias("same"))
     slots = slots.groupBy("doc_id", "tid", "diagonal").agg(F.max("c").alias("c"), F.bool_and("same").alias("same"))
 
     good = runs.join(slots, ["doc_id", "tid", "diagonal"], "left").where("c IS NULL OR c = 1")
     best = good.groupBy("doc_id", "tid").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.bool_or(F.coalesce("same", F.lit(True))).alias("exact"))
-    return best.join(items.select("tid", "item_id"), "tid").select("doc_id", "item_id", "n_windows", "item_windows", "exact")
+    best = best.join(forms.select("tid", "item"), "tid").groupBy("doc_id", "item").agg(F.max(F.struct("n_windows", "item_windows")).alias("n"), F.bool_or("exact").alias("exact"))
+    return best.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "n.*", "exact")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

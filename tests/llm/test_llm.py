@@ -159,6 +159,16 @@ def test_decontaminate_values(spark):
     assert all(r["a"] == r["b"] for r in sizes)
 
 
+def test_decontaminate_short(spark):
+    """Short items are found inside a sentence, with other values too."""
+    ask = ["Explain why the {0} rises", "Find how many apples cost {0} at this shop", "New York sells the old bridge to {0} buyers and then buys it back"]
+    items = spark.createDataFrame([(i, a.format(30)) for i, a in enumerate(ask)], "item_id long, text string")
+    before = ["please ", "he said, ", "we asked Peter ", "", "All done. "]
+    docs = [(100 * n + 10 * k + i, f"{x}{a.format(n)} and so on") for n in (30, 41) for k, x in enumerate(before) for i, a in enumerate(ask)]
+    got = sorted((r["doc_id"], r["item_id"], r["exact"]) for r in decontaminate.contaminated(docs_of(spark, docs), items).collect())
+    assert got == sorted((d, d % 10, d < 4000) for d, _ in docs)
+
+
 def brute_padding(hist, k):
     import itertools
 
