@@ -13,14 +13,19 @@ at the start of a sentence and inside one.
 Scale: the item windows are broadcast while there are at most BROADCAST_WINDOWS
 (24 bytes each) and shuffled otherwise; documents are read once, windows are
 made and probed inside the scan's stage, and only hits are shuffled, after a
-partial aggregation. Items with equal templates are probed once. A document is
-read again only if a hit window has placeholders.
+partial aggregation. Items with equal templates and values are probed once. A
+document is read again only if a hit window has placeholders.
+
+Templates have at least MIN_TOKENS tokens and windows of MIN_WORDS words. Items
+of which they may miss an exact copy (short or mostly numeric ones, scripts
+without spaces) are also searched whole by their exact words, numbers and signs.
+That has no minimum: an item of one word is a hit wherever the word stands. If
+there are such items, the documents are read once more.
 
 Defined results: null and empty texts have no window and no hit. An item with
-fewer than MIN_TOKENS tokens, or without MIN_WORDS words in every window, is not
-searched; one with fewer than WINDOW tokens is searched as one window of its own
-length. Repeated rows of an item each get their hits; rows that repeat a doc_id
-are one document. Columns besides the named ones are not read.
+fewer than WINDOW tokens is searched as one window of its own length. Repeated
+rows of an item each get their hits; rows that repeat a doc_id are one document.
+Columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -69,18 +74,66 @@ def tokens(text: str, values: bool) -> str:
 _WORDS = "size(filter(slice(tok, i + 1, {n}), x -> NOT startswith(x, '⟨')))"
 
 
+#: Scripts without spaces between words: a token is one character.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+
+
+def exact_tokens(text: str) -> str:
+    """SQL for the array of lower-case words, numbers and single signs of a text
+    column: the same for a passage whatever stands around it."""
+    word = rf"[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]++|\p{{N}}++|[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}]"
+    return f"regexp_extract_all(lower(coalesce({text}, '')), {_sql(word)}, 0)"
+
+
 def _hashes(n: int) -> str:
     """SQL for the hashes of all windows of n tokens of tok."""
     parts = ", ".join(f"h[i + {k}]" for k in range(n))
     return f"CASE WHEN size(h) >= {n} THEN transform(sequence(0, size(h) - {n}), i -> xxhash64({parts})) ELSE array() END"
 
 
-def windows_of(texts: DataFrame, n: int) -> DataFrame:
-    """(id, at, w) of the windows of n tokens of texts(id, tok). The outer form
-    of explode keeps the planner from adding a filter that repeats the whole
-    expression of the array."""
-    hashed = texts.selectExpr("id", "transform(tok, x -> xxhash64(x)) AS h").selectExpr("id", f"{_hashes(n)} AS ws")
-    return hashed.selectExpr("id", "posexplode_outer(ws) AS (at, w)")
+def windows_of(texts: DataFrame, sizes: list) -> DataFrame:
+    """(id, n, at, w) of the windows of each size n of texts(id, tok), in one
+    pass. The outer form of explode keeps the planner from adding a filter that
+    repeats the whole expression of the array."""
+    hashed = texts.selectExpr("id", "transform(tok, x -> xxhash64(x)) AS h")
+    if len(sizes) == 1:
+        return hashed.selectExpr("id", f"posexplode_outer({_hashes(sizes[0])}) AS (at, w)").withColumn("n", F.lit(sizes[0]))
+    # Window hashes of all sizes one after another; the place in the row tells size and position.
+    rows = hashed.selectExpr("id", "size(h) AS len", f"posexplode_outer(concat({', '.join(_hashes(n) for n in sizes)})) AS (at, w)")
+    size, at, before = "CASE", "CASE", "0"
+    for n in sizes:
+        end = f"{before} + greatest(len - {n - 1}, 0)"
+        size, at, before = f"{size} WHEN at < {end} THEN {n}", f"{at} WHEN at < {end} THEN at - ({before})", end
+    return rows.selectExpr("id", f"{size} END AS n", f"{at} END AS at", "w")
+
+
+def _exact(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """(doc_id, item, n_windows, item_windows, exact) of the whole copies of items(item,
+    t) in docs(id, t), by all windows of their exact tokens; None without items."""
+    own = items.selectExpr("item", f"{exact_tokens('t')} AS tok").where("size(tok) > 0")
+    own = written(own.selectExpr("item", "tok", f"least(size(tok), {window}) AS n", "xxhash64(tok) AS tid"), "bench-exact")
+    sizes = sorted(r[0] for r in own.select("n").distinct().collect())  # at most `window` numbers
+    if not sizes:
+        return None
+    kinds = own.select("tid", "n", "tok").distinct()
+    keys = [windows_of(kinds.where(F.col("n") == n).selectExpr("tid AS id", "tok"), [n]) for n in sizes]
+    for k in keys[1:]:
+        keys[0] = keys[0].unionByName(k)
+    keys = written(keys[0].selectExpr("id AS tid", "n", "at AS ipos", "w"), "bench-exact-windows")
+    few = keys.count() <= BROADCAST_WINDOWS
+    total = keys.groupBy("tid").agg(F.count("*").alias("item_windows"))
+    keys = keys.join(total, "tid")
+    found = windows_of(docs.selectExpr("id", f"{exact_tokens('t')} AS tok"), sizes).join(F.broadcast(keys) if few else keys, ["n", "w"])
+    # All places of an item of one window are one hit.
+    found = found.selectExpr("id AS doc_id", "tid", "IF(item_windows = 1, 0, at - ipos) AS diagonal", "ipos", "item_windows")
+    runs = found.groupBy("doc_id", "tid", "diagonal", "item_windows").agg(F.count_distinct("ipos").alias("n_windows")).where("n_windows = item_windows")
+    return runs.select("doc_id", "tid", "n_windows", "item_windows").distinct().join(own.select("tid", "item"), "tid").drop("tid").withColumn("exact", F.lit(True))
+
+
+def _rows(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for each document and item of hits(doc_id, item, ...)."""
+    best = hits.groupBy("doc_id", "item").agg(F.max(F.struct("n_windows", "item_windows")).alias("n"), F.bool_or("exact").alias("exact"))
+    return best.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "n.*", "exact")
 
 
 def contaminated(
@@ -98,26 +151,39 @@ def contaminated(
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t"))
     items = written(items, "bench-items")
     # Inside a sentence the capitalised words an item begins with are a name: a second form.
-    forms = items.select("item", F.explode(F.array("t", F.expr("concat(', ', ltrim(t))"))).alias("t"))
-    forms = forms.selectExpr("item", f"{tokens('t', False)} AS tok", f"{tokens('t', True)} AS iv").where(f"size(tok) >= {MIN_TOKENS}")
-    forms = written(forms.selectExpr("item", "tok", "iv", "xxhash64(tok) AS tid").distinct(), "bench-forms")
-    # Equal templates are probed once; xxhash64 is only their key, so they are grouped by the tokens too.
-    kinds = forms.groupBy("tid", "tok").agg(F.min("iv").alias("iv")).selectExpr("tid AS id", "tok", "iv")
+    forms = items.select("item", F.posexplode(F.array("t", F.expr("concat(', ', ltrim(t))"))).alias("inside", "t"))
+    forms = forms.selectExpr("item", "inside", f"{tokens('t', False)} AS tok", f"{tokens('t', True)} AS iv").where(f"size(tok) >= {MIN_TOKENS}")
+    forms = forms.groupBy("item", "tok", "iv").agg(F.max("inside").alias("inside"))
+    forms = written(forms.selectExpr("item", "inside", "tok", "iv", "xxhash64(iv) AS tid"), "bench-forms")
+    # Templates with equal values are probed once: with other values, other substitutions are consistent.
+    kinds = forms.select("tid", "tok", "iv").distinct().selectExpr("tid AS id", "tok", "iv")
     short = [r[0] for r in kinds.select(F.least(F.size("tok"), F.lit(window))).distinct().collect()]  # at most `window` numbers
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).selectExpr("id", f"{tokens('t', False)} AS tok")
 
-    hits, probes = None, None
+    hits, probes, inner = None, None, None
     for n in sorted(short):
         own = kinds.where(F.least(F.size("tok"), F.lit(window)) == n)
         keys = own.selectExpr("id", "tok", "transform(tok, x -> xxhash64(x)) AS h").selectExpr("id", "tok", f"posexplode_outer({_hashes(n)}) AS (i, w)")
         keys = keys.selectExpr("id AS tid", "i AS ipos", "w", f"{_WORDS.format(n=n)} AS words", f"exists(slice(tok, i + 1, {n}), x -> startswith(x, '⟨')) AS slots")
         keys = written(keys.where(f"w IS NOT NULL AND words >= {min(n, MIN_WORDS)}").drop("words"), "bench-windows")
         few = keys.count() <= BROADCAST_WINDOWS
-        found = windows_of(texts, n).join(F.broadcast(keys) if few else keys, "w")
+        found = windows_of(texts, [n]).join(F.broadcast(keys) if few else keys, "w")
         found = found.selectExpr("id AS doc_id", "tid", "at - ipos AS diagonal", "ipos", "slots", f"{n} AS n")
         total = keys.groupBy("tid").agg(F.count("*").alias("item_windows"))
+        # Windows without the tokens that a neighbour of the item can change.
+        free = keys.join(own.selectExpr("id AS tid", "size(tok) AS len"), "tid").where(f"ipos > 0 AND ipos + {n} < len").groupBy("tid").agg(F.count("*").alias("free"))
         hits = found if hits is None else hits.unionByName(found)
         probes = total if probes is None else probes.unionByName(total)
+        inner = free if inner is None else inner.unionByName(free)
+
+    # Items of which the template may miss an exact copy are searched by their exact tokens too.
+    left = items.select("item", "t")
+    if hits is not None:
+        sure = forms.where("inside = 1").join(inner.where(f"free >= {min_windows}"), "tid")
+        left = left.join(sure, "item", "left_anti")
+    copies = _exact(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), left, window)
+    if hits is None and copies is not None:
+        return _rows(copies, items)
     if hits is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(benchmark.dtypes)[item_col]}, n_windows long, item_windows long, exact boolean")
 
@@ -138,8 +204,8 @@ def contaminated(
 
     good = runs.join(slots, ["doc_id", "tid", "diagonal"], "left").where("c IS NULL OR c = 1")
     best = good.groupBy("doc_id", "tid").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.bool_or(F.coalesce("same", F.lit(True))).alias("exact"))
-    best = best.join(forms.select("tid", "item"), "tid").groupBy("doc_id", "item").agg(F.max(F.struct("n_windows", "item_windows")).alias("n"), F.bool_or("exact").alias("exact"))
-    return best.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "n.*", "exact")
+    best = best.join(forms.select("tid", "item"), "tid").drop("tid")
+    return _rows(best if copies is None else best.unionByName(copies), items)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -169,6 +169,20 @@ def test_decontaminate_short(spark):
     assert got == sorted((d, d % 10, d < 4000) for d, _ in docs)
 
 
+def test_decontaminate_exact(spark):
+    """Exact copies of items that have no template, or one that a neighbour changes."""
+    ask = ["What is 12 * 7 + 5?", "你知道法国的首都是什么吗？", "Who won?", "12 + 30", "Add the apples to 5", "Is 3 more than 4 or is it 3", "Is 3 more than 4 or is it 9", "ประเทศไทย"]
+    items = spark.createDataFrame([*enumerate(ask), (98, " "), (99, None)], "item_id long, text string")
+    docs = [(10 * k + i, f"{x}{a}{y}") for k, (x, y) in enumerate([("", ""), ("please tell me ", " in the end"), ("Peter asked, ", "\n")]) for i, a in enumerate(ask)]
+    docs += [(1001, "What is 12 * 7 - 5?"), (1002, "112 + 30 and 12 + 301"), (1003, None), (1004, "who won the race?"), (1005, "法国的首都是什么")]
+    docs += [(1010, "今天你知道法国的首都是什么吗？我不知道")]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, docs), items).where("exact").collect())
+    assert got == sorted([(d, d % 10) for d, _ in docs if d < 100] + [(1010, 1)])
+    numbers = spark.createDataFrame([(7, "12 + 30")], "item_id long, text string")  # no templates at all
+    got = decontaminate.contaminated(docs_of(spark, docs), numbers).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["exact"]) for r in got) == [(k, 7, True) for k in (3, 13, 23)]
+
+
 def brute_padding(hist, k):
     import itertools
 
