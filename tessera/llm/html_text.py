@@ -9,7 +9,9 @@ its path to the body is the threshold: ancestors above it that are an article
 element, or nearly as dense as what they hold, belong to the article too; blocks
 inside that are mostly links do not. Elements that never hold article text
 (menus, page headers and footers, sidebars, forms, scripts, styles; blocks
-marked as adverts, notices or comments) take no part in the counts.
+marked as adverts, notices or comments) take no part in the counts. A mark that
+names what a page has or lacks, or a part of a block that holds the article, drops
+nothing.
 
 Defined results: a null or empty page, and one without text, gives an empty
 text. Unclosed and misnested tags are closed as their parents close; text
@@ -49,22 +51,56 @@ MARKS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead topbar toolbar share sharing social comment comments disqus respond reply replies related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget complementary contentinfo skip toc".split()
 )
 ARTICLE = frozenset(("article", "main"))
+#: Marks that are plain words too: they count only among marks and parts.
+WEAK = frozenset("side social search share related notice notices promotion subscription skip login signup consent".split())
+PARTS = frozenset("a bar block box button buttons content container follow form group icon icons inner item items left link links list main media page post posts primary right row section secondary stories top bottom title wrap wrapper area header results".split())
+#: A mark after one of these says what a page has or lacks.
+STATES = frozenset("no not non without has have with hide".split())
+#: With one of these a mark can name a part of what the block holds.
+WRAPS = frozenset("wrap wrapper layout content main page site container columns grid row".split())
+#: Blocks with these marks hold article elements of their own.
+THREADS = frozenset("comment comments disqus respond reply replies related recommended recommendations".split())
+#: Elements that are what a mark says.
+SAME = {"aside": frozenset(("sidebar", "side", "aside")), "nav": frozenset(("nav", "navbar", "navigation", "menu")), "footer": frozenset(("footer",))}
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*)>|[!?/][^>]*(?:>|\Z))", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'>/][^\s=>/]*+)\s*+(?:=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]++))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(tag: str, attrs: str) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return False
+def _marks(value: str) -> tuple[set, bool]:
+    """The marks among the names of a class or id, and if a name says that it
+    wraps content beside what is marked."""
+    found, wraps = set(), False
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        for k, w in enumerate(words):
+            if w not in MARKS or STATES.intersection(words[:k]):
+                continue
+            if w in WEAK and ("by" in words or not all(x in MARKS or x in PARTS for x in words)):
+                continue
+            found.add(w)
+            wraps = wraps or not WRAPS.isdisjoint(words)
+    return found, wraps
+
+
+def _attributes(attrs: str) -> dict:
+    """Names and values; of a repeated name the first counts."""
+    found: dict[str, str] = {}
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return name == "hidden" or tag not in ("p", "span")
-        if any(w.lower() in MARKS for w in _WORD.findall(value)):
-            return True
-    return False
+        found.setdefault(name.lower(), value.strip("\"'"))
+    return found
+
+
+def _marked(tag: str, attrs: str) -> tuple[bool, set, bool]:
+    """If an element is hidden; else its marks, and if it may be a wrapper."""
+    if tag in ("html", "body", "article", "main"):
+        return False, set(), False
+    named = _attributes(attrs)
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" and tag not in ("p", "span"):
+        return True, set(), False
+    marks, wraps = _marks(" ".join(named.get(k, "") for k in ("class", "id", "role")))
+    return False, marks, wraps
 
 
 class Dom:
@@ -72,6 +108,7 @@ class Dom:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.drop = ["#"], [0], [False]
+        self.marks: dict[int, tuple[set, bool]] = {}  # blocks that are dropped unless they hold the article
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at the edge of a block
         stack, pos = [0], 0
         last = page.rfind(">")  # no search for the end of a tag that has none; a comment may be open to the end
@@ -97,6 +134,38 @@ class Dom:
                 stack.pop()
         if pos < len(page):
             self.text(stack[-1], page[pos:])
+        if self.marks:
+            self.drop_marked()
+
+    def drop_marked(self) -> None:
+        """Drop the marked blocks that are no wrappers of the article."""
+        tag, parent, marks = self.tag, self.parent, self.marks
+        n = len(tag)
+        under = [False] * n  # in a marked block
+        for i in range(1, n):
+            under[i] = i in marks or under[parent[i]]
+        cores = [i for i in range(1, n) if tag[i] in ARTICLE and not self.drop[i]]
+        wrappers = set()
+        if cores and all(under[i] for i in cores):
+            for i in cores:
+                k = parent[i]
+                path = []
+                while k:
+                    if k in marks:
+                        path.append(k)
+                    k = parent[k]
+                if tag[i] == "main" or all(marks[k][0].isdisjoint(THREADS) for k in path):
+                    wrappers.update(path)
+        seen: list[set] = [set()] * n  # marks below
+        for i in range(n - 1, 0, -1):
+            own, wraps = marks.get(i, (set(), False))
+            if wraps and not own.isdisjoint(seen[i]):
+                wrappers.add(i)
+            below = seen[i] | own | SAME.get(tag[i], frozenset())
+            if below:
+                seen[parent[i]] = seen[parent[i]] | below
+        for i in range(1, n):
+            self.drop[i] = self.drop[i] or self.drop[parent[i]] or i in marks and i not in wrappers
 
     def text(self, node: int, raw: str) -> None:
         if not self.drop[node]:
@@ -113,11 +182,16 @@ class Dom:
         if name in CLOSED_BY:
             self.pop_to(stack, *CLOSED_BY[name])
         above = stack[-1]
-        dropped = self.drop[above] or name in DROPPED or (name == "header" and not any(tag[i] in ARTICLE for i in stack)) or bool(attrs) and _marked(name, attrs)
+        dropped = self.drop[above] or name in DROPPED or (name == "header" and not any(tag[i] in ARTICLE for i in stack))
+        marks, wraps = set(), False
+        if attrs and not dropped:
+            dropped, marks, wraps = _marked(name, attrs)
         tag.append(name)
         self.parent.append(above)
         self.drop.append(dropped)
         node = len(tag) - 1
+        if marks:
+            self.marks[node] = marks, wraps
         stack.append(node)
         self.edge(node)
         return node

@@ -279,6 +279,22 @@ def test_token_files(spark, sample):
         list(token_files.read_file(path + ".bad"))
 
 
+def test_html_marks():
+    """Attributes that only look like a mark, and wrappers of the article, drop nothing."""
+    body = "".join(f"<p>Sentence {i} of the article, which tells what happened then and there.</p>" for i in range(8))
+    want = " ".join(f"Sentence {i} of the article, which tells what happened then and there." for i in range(8))
+    side = "<ul><li><a href=x>More</a></li></ul>"
+    for attrs in ('style="overflow: hidden"', 'data-id="ad-12"', "class=has-sidebar", 'class="page no-sidebar"', 'class="side-by-side"', "class='social-science'", 'title="a hidden role=banner"', 'class="withSidebar"'):
+        assert html_text.extract(f"<body><div {attrs}>{body}</div></body>") == want, attrs
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f'<div class="content">{body}</div>'):
+        for aside in (f'<div class="sidebar">{side}</div>', f"<aside>{side}</aside>"):
+            assert html_text.extract(f'<body><div class="content-sidebar-wrap">{inner}{aside}</div></body>') == want
+    long = "<p>A remark of a reader that goes on for a while, and for longer than the article.</p>" * 12
+    for attrs in ("hidden", 'class="sidebar"', 'id="comments"', "aria-hidden=true", 'class="ad-wrapper"', "role=navigation", 'class="social-links"', 'class=x hidden=""'):
+        assert html_text.extract(f"<body><div>{body}</div><div {attrs}>{long}</div></body>") == want, attrs
+    assert html_text.extract(f'<body><div>{body}</div><div class="comments"><article>{long}</article></div></body>') == want
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "z" * 30_000, "é" * 9000, "<p>b</p>"]
     pages = spark.createDataFrame([(10 - i, f"http://x/{i}", h, 1) for i, h in enumerate(html)], "page_id long, url string, html string, sha int")
