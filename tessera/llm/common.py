@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share. Only where
+    both are one machine may it be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex[:12]}"
@@ -54,14 +58,22 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def local_path(uri: str) -> str:
-    """The path for open() of a shared path that every node mounts."""
+    """The path for memory-mapping of a shared path that every node mounts."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     if "://" in uri:
-        raise ValueError(f"spark.checkpoint.dir must be a mounted file: folder for memory-mapped or archive files, not {uri}")
+        raise ValueError(f"spark.checkpoint.dir must be a mounted file: folder for memory-mapped files, not {uri}")
     return uri
 
 
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a shared path, mounted or an object store, and
+    the path in it."""
+    if "://" in uri and not uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), local_path(uri)
+
+
 def text_bytes(column: str = "text"):
     """A text column as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -1,201 +1,257 @@
 """Adaptive range coder of token ids that mixes predictions of orders 0 to 2.
 
 A block of ids is coded on its own, from a fresh state, so any block can be read
-without others. For each id the order-2 and the order-1 context name the id that
-followed them last; an adaptive distribution, kept for each state of agreement
-of the two, gives the shares of "as order 2 says", "as order 1 says" and
-"another". Another id is coded by nibbles under adaptive order-0 distributions,
-each nibble in the context of those above it.
-
-Python is too slow for an id at a time, so the blocks of a group run in
-lockstep: each step codes one id of every block with array operations.
+without others. The ids of a block are dealt over lanes, runs of LANE_IDS ids
+that are coded in lockstep: step t codes the t-th id of every lane with array
+operations, and all lanes share one model that learns from every earlier step.
+
+The probability of an id x after the ids b, a is the mixture
+
+    P(x) = u2 [x = c2(b, a)] + u1 [x = c1(a)] + u0 f(x) / F
+
+f / F are the counts of the ids so far (order 0; one for each id of the block
+at the start). c1 and c2 are the ids that followed the order-1 and the order-2
+context most, kept with a confidence: it rises with each hit, and a miss halves
+it until another id takes the place. The weights u adapt: each id adds the share
+that each order had in its probability to the sums of its pair of confidences
+(the expectation step of a mixture), and u are the shares of these sums.
+
+The coder narrows its range to "c2", "c1" or "another" by their mixed
+probabilities, and in the last case by the order-0 counts. Only single
+additions, multiplications and divisions of floats take part, so every machine
+computes the same numbers.
+
+A coded block: ids, bytes of the alphabet (u32 each), the alphabet (zstandard
+over the differences of the sorted distinct ids), words of 16 bits of each lane
+(u16), and the lanes' words. Ids are any unsigned 32-bit numbers.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
+import zstandard as zstd
+
+#: Ids of a lane and of a block at most.
+LANE_IDS, BLOCK_IDS = 512, 1 << 21
+#: The range is kept in 62 bits and at least 46; words of 16 leave it.
+_TOP, _LEAST, _OUT = 62, 46, 46
+_MASK = np.int64((1 << _TOP) - 1)
+#: Totals of the first choice (as power of two) and, about, of order 0; weight of a new id.
+_KIND, _ORDER0, _STEP = 15, 1 << 18, 32
+_CONF = 15
+_CELLS = (_CONF + 1) ** 2
+_HEAD = struct.Struct("<II")
+#: The next confidence after a hit and after a miss; a miss at 1 or less changes the id.
+_UP = np.minimum(np.arange(_CONF + 1) + 1, _CONF).astype(np.int32)
+_DOWN = np.maximum(np.arange(_CONF + 1) >> 1, 1).astype(np.int32)
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """(lanes, steps); all lanes but the last ones have `steps` ids."""
+    lanes = max(1, -(-n // LANE_IDS))
+    return lanes, -(-n // lanes) if n else 0
+
 
-BLOCK_IDS, LANES = 1024, 3072
-_TABLE = 2048
-#: low and span are kept in 48 bits and leave in words of 16; totals stay below
-#: 2^15, so one word a symbol is enough.
-_WIDE = np.int64((1 << 48) - 1)
-_NARROW = np.int64(1 << 32)
-_STEP, _LIMIT = 24, 1 << 14
-
-
-class _State:
-    def __init__(self, lanes: int):
-        self.next1 = np.zeros(lanes * _TABLE, np.int32)
-        self.next2 = np.zeros(lanes * _TABLE, np.int32)
-        self.base = np.arange(lanes) * _TABLE
-        self.share = np.ones((lanes * 4, 3), np.int16)
-        self.share_total = np.full(lanes * 4, 3, np.int32)
-        self.nibble = [np.ones((lanes * k, 16), np.int16) for k in (1, 16, 256, 256)]
-        self.nibble_total = [np.full(lanes * k, 16, np.int32) for k in (1, 16, 256, 256)]
-        self.a = np.zeros(lanes, np.int64)
+class _Model:
+    """What both sides know before step t."""
+
+    def __init__(self, symbols: int, lanes: int, n: int, slots: bool):
+        self.v = symbols
+        self.count = np.zeros(symbols, np.int64)
+        self.bits = max(10, min(22, int(n).bit_length()))
+        self.t1 = np.zeros(symbols + 1, np.int32)
+        self.t2 = np.zeros(1 << self.bits, np.int32)
+        self.a = np.zeros(lanes, np.int64)  # symbol + 1, 0 at the start of a lane
         self.b = np.zeros(lanes, np.int64)
+        grade = np.arange(_CONF + 1) / (_CONF + 2)
+        two, one = np.repeat(grade, _CONF + 1), np.tile(grade, _CONF + 1)
+        # Sums of the shares of the orders 2, 1 and 0 by pair of confidences.
+        self.sums = np.stack([two * 0.8, (1 - two * 0.8) * one * 0.6, 1 - two * 0.8 - (1 - two * 0.8) * one * 0.6]) * 8
+        self.slots, self.seen, self.next = slots, 0, 0
+        self.steps: list[np.ndarray] = []
+
+    def order0(self, t: int) -> None:
+        """Take the ids of the steps since the last time into the counts."""
+        if t < self.next:
+            return
+        self.next = t + max(1, min(16, t // 4))
+        if self.steps:
+            new = np.concatenate(self.steps)
+            self.steps = []
+            self.count += np.bincount(new, minlength=self.v)
+            self.seen += len(new)
+        self.f = self.count * _ORDER0 // max(self.seen, _ORDER0 // _STEP) + 1
+        self.cum = np.zeros(self.v + 1, np.int64)
+        np.cumsum(self.f, out=self.cum[1:])
+        self.total = int(self.cum[-1])
+        self.p0 = self.f / self.total
+        if self.slots:
+            self.of = np.repeat(np.arange(self.v, dtype=np.int32), self.f)
+
+    def predict(self, k: int) -> None:
+        """Candidates and mixture of the first k lanes."""
+        a, b = self.a[:k], self.b[:k]
+        self.h2 = ((a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - self.bits)
+        self.e1, self.e2 = self.t1[a], self.t2[self.h2]
+        self.k1, self.k2 = self.e1 & _CONF, self.e2 & _CONF
+        self.c1, self.c2 = self.e1 >> 4, self.e2 >> 4
+        self.cell = (self.k2 << 4) | self.k1
+        u = self.sums / self.sums.sum(axis=0)
+        self.u2, self.u1, self.u0 = u[0][self.cell], u[1][self.cell], u[2][self.cell]
+        self.same = self.c1 == self.c2
+        pa = self.u2 + self.u0 * self.p0[self.c2] + self.u1 * self.same
+        pb = (self.u1 + self.u0 * self.p0[self.c1]) * ~self.same
+        top = float((1 << _KIND) - 64)
+        # Without a candidate (confidence 0) its part is empty.
+        self.fa = ((pa * top).astype(np.int64) + 1) * (self.k2 > 0)
+        self.fb = ((pb * top).astype(np.int64) + 1) * ((self.k1 > 0) & ~(self.same & (self.k2 > 0)))
+
+    def learn(self, k: int, s: np.ndarray) -> None:
+        m2, m1 = self.c2 == s, self.c1 == s
+        two, one, zero = self.u2 * m2, self.u1 * m1, self.u0 * self.p0[s]
+        p = two + one + zero
+        self.sums[0] += np.bincount(self.cell, two / p, _CELLS)
+        self.sums[1] += np.bincount(self.cell, one / p, _CELLS)
+        self.sums[2] += np.bincount(self.cell, zero / p, _CELLS)
+        t = s.astype(np.int32) << 4
+        self.t1[self.a[:k]] = np.where(m1, (self.e1 & ~_CONF) | _UP[self.k1], np.where(self.k1 > 1, (self.e1 & ~_CONF) | _DOWN[self.k1], t | 1))
+        self.t2[self.h2] = np.where(m2, (self.e2 & ~_CONF) | _UP[self.k2], np.where(self.k2 > 1, (self.e2 & ~_CONF) | _DOWN[self.k2], t | 1))
+        self.b[:k] = self.a[:k]
+        self.a[:k] = s + 1
+        self.steps.append(s)
+
 
-    def predicted(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes: places in both tables, predictions (id + 1, or
-        0 for none), and the row of shares for their agreement."""
-        a = self.a[:n] * 40503
-        h1 = ((a >> 4) & (_TABLE - 1)) + self.base[:n]
-        h2 = ((a + self.b[:n] * 30011 >> 3) & (_TABLE - 1)) + self.base[:n]
-        p1, p2 = self.next1[h1].astype(np.int64), self.next2[h2].astype(np.int64)
-        agree = np.where(p2 == 0, p1 != 0, 3 - (p1 == p2))
-        return h1, h2, p1, p2, np.arange(n) * 4 + agree
-
-    def learn(self, n: int, h1: np.ndarray, h2: np.ndarray, x: np.ndarray) -> None:
-        self.b[:n] = self.a[:n]
-        self.a[:n] = x + 1
-        self.next1[h1] = self.next2[h2] = self.a[:n]
-
-
-def _bump(table: np.ndarray, total: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> None:
-    """Count a symbol; halve a distribution whose total gets too large. Rows of
-    a call belong to different lanes, so none comes twice."""
-    table[row, symbol] += _STEP
-    total[row] += _STEP
-    full = row[total[row] > _LIMIT]
-    if len(full):
-        table[full] = (table[full] + 1) >> 1
-        total[full] = table[full].sum(axis=1)
-
-
-def _context(x: np.ndarray, k: int) -> np.ndarray | int:
-    """The context of nibble k of ids: those above it, two at most."""
-    return (0, x >> 12, x >> 8, (x >> 4) & 0xFF)[k]
-
-
-_SIZES = (1, 16, 256, 256)
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """One byte string for each block of ids below 2^16."""
-    n = len(blocks)
-    order = np.argsort([-len(b) for b in blocks], kind="stable")  # lanes that go on are always the first ones
-    size = np.array([len(blocks[i]) for i in order], np.int64)
-    steps = int(size.max(initial=0))
-    ids = np.zeros((steps, n), np.int64)
-    for lane, i in enumerate(order):
-        ids[: size[lane], lane] = blocks[i]
-    state = _State(n)
-    low, span = np.zeros(n, np.int64), np.full(n, _WIDE)
-    out, pos = np.zeros((n, steps * 5 + 8), np.int32), np.ones(n, np.int64)
-
-    def carry(lane: np.ndarray) -> None:
-        """Add one to the words already out."""
-        at = pos[lane] - 1
-        while len(lane):
-            out[lane, at] += 1
-            over = out[lane, at] > 0xFFFF
-            lane, at = lane[over], at[over]
-            out[lane, at] = 0
-            at = at - 1
-
-    def put(lane: np.ndarray | None, freq: np.ndarray, total: np.ndarray, symbol: np.ndarray) -> None:
-        rows = np.arange(len(symbol))
-        f = freq[rows, symbol].astype(np.int64)
-        start = np.cumsum(freq, axis=1, dtype=np.int32)[rows, symbol] - f
-        lo, sp = (low[: len(symbol)], span[: len(symbol)]) if lane is None else (low[lane], span[lane])
-        r = sp // total
-        lo = lo + start * r
-        sp = r * f
-        if (over := np.flatnonzero(lo > _WIDE)).size:
-            carry(over if lane is None else lane[over])
-            lo[over] &= _WIDE
-        if (w := np.flatnonzero(sp < _NARROW)).size:
-            at = w if lane is None else lane[w]
-            out[at, pos[at]] = lo[w] >> 32
-            pos[at] += 1
-            lo[w] = (lo[w] << 16) & _WIDE
-            sp[w] <<= 16
-        if lane is None:
-            low[: len(symbol)], span[: len(symbol)] = lo, sp
-        else:
-            low[lane], span[lane] = lo, sp
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(ids, return_inverse=True), without sorting for usual vocabularies."""
+    top = int(ids.max()) + 1
+    if top > max(1 << 18, len(ids)):
+        return np.unique(ids, return_inverse=True)
+    seen = np.bincount(ids, minlength=top) > 0
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
 
+
+def encode(ids: np.ndarray) -> bytes:
+    """One block of at most BLOCK_IDS ids."""
+    n = len(ids)
+    if not n:
+        return _HEAD.pack(0, 0)
+    alphabet, symbols = _distinct(ids)
+    names = zstd.compress(np.diff(alphabet.astype("<u4"), prepend=np.uint32(0)).astype("<u4").tobytes(), 3)
+    lanes, steps = _lanes(n)
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[:n] = symbols
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = _Model(len(alphabet), lanes, n, False)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, _MASK)
+    width = steps * 3 + 8
+    out, pos = np.zeros(lanes * width, np.int32), np.arange(lanes, dtype=np.int64) * width
+    first = pos.copy()
     for t in range(steps):
-        k = int(np.searchsorted(-size, -t, side="left"))  # lanes with more than t ids
-        x = ids[t, :k]
-        h1, h2, p1, p2, row = state.predicted(k)
-        kind = np.where(p2 == x + 1, 0, np.where(p1 == x + 1, 1, 2))
-        put(None, state.share[row], state.share_total[row], kind)
-        _bump(state.share, state.share_total, row, kind)
-        own = np.flatnonzero(kind == 2)
-        if len(own):
-            y = x[own]
-            for j in range(4):
-                row, nib = own * _SIZES[j] + _context(y, j), (y >> (12 - 4 * j)) & 15
-                put(own, state.nibble[j][row], state.nibble_total[j][row], nib)
-                _bump(state.nibble[j], state.nibble_total[j], row, nib)
-        state.learn(k, h1, h2, x)
-    for _ in range(3):
-        out[np.arange(n), pos] = low >> 32
-        pos += 1
-        low = (low << 16) & _WIDE
-    coded = [b""] * n
-    for lane, i in enumerate(order):
-        coded[i] = out[lane, : pos[lane]].astype("<u2").tobytes()
-    return coded
-
-
-def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The blocks of ids that encode() was given."""
-    n = len(coded)
-    order = np.argsort([-s for s in sizes], kind="stable")
-    size = np.array([sizes[i] for i in order], np.int64)
-    raw = np.zeros((n, max((len(c) // 2 for c in coded), default=0) + 8), np.int64)
-    for lane, i in enumerate(order):
-        words = np.frombuffer(coded[i], "<u2")
-        raw[lane, : len(words)] = words
-    steps = int(size.max(initial=0))
-    ids = np.zeros((steps, n), np.int64)
-    state = _State(n)
-    span = np.full(n, _WIDE)
-    code = raw[:, 1] << 32 | raw[:, 2] << 16 | raw[:, 3]  # less low; word 0 only takes a carry
-    code += raw[:, 0] << 48
-    pos = np.full(n, 4, np.int64)
-
-    def take(lane: np.ndarray | None, freq: np.ndarray, total: np.ndarray) -> np.ndarray:
-        rows = np.arange(len(freq))
-        c, sp = (code[: len(freq)], span[: len(freq)]) if lane is None else (code[lane], span[lane])
-        r = sp // total
-        run = np.cumsum(freq, axis=1, dtype=np.int32)
-        symbol = (run <= np.minimum(c // r, total - 1)[:, None]).sum(axis=1)
-        f = freq[rows, symbol].astype(np.int64)
-        c = c - (run[rows, symbol] - f) * r
-        sp = r * f
-        if (w := np.flatnonzero(sp < _NARROW)).size:
-            at = w if lane is None else lane[w]
-            c[w] = c[w] << 16 | raw[at, pos[at]]
-            pos[at] += 1
-            sp[w] <<= 16
-        if lane is None:
-            code[: len(freq)], span[: len(freq)] = c, sp
-        else:
-            code[lane], span[lane] = c, sp
-        return symbol
+        k = _going(n, lanes, steps, t)
+        s = grid[t, :k]
+        model.order0(t)
+        model.predict(k)
+        fa, fb = model.fa, model.fb
+        is_a = (model.c2 == s) & (fa > 0)
+        is_b = (model.c1 == s) & (fb > 0)
+        r = span[:k] >> _KIND
+        ab = fa + fb
+        rest = ((1 << _KIND) - ab) * r
+        q = rest // model.total
+        start = np.where(is_a, 0, np.where(is_b, fa * r, ab * r + model.cum[s] * q))
+        sp = np.where(is_a, fa * r, np.where(is_b, fb * r, model.f[s] * q))
+        lo = low[:k] + start
+        if (over := np.flatnonzero(lo > _MASK)).size:
+            at = pos[over] - 1
+            while at.size:
+                out[at] += 1
+                at = at[out[at] > 0xFFFF]
+                out[at] = 0
+                at -= 1
+            lo[over] &= _MASK
+        w = np.flatnonzero(sp < (1 << _LEAST))
+        while w.size:
+            lw, sw, pw = lo[w], sp[w], pos[w]
+            out[pw] = lw >> _OUT
+            pos[w] = pw + 1
+            lo[w] = (lw << 16) & _MASK
+            sw <<= 16
+            sp[w] = sw
+            w = w[sw < (1 << _LEAST)]
+        low[:k], span[:k] = lo, sp
+        model.learn(k, s)
+    # One more word names a number in the range; what follows it counts as zeros.
+    lo = low + ((1 << _OUT) - 1)
+    at = pos[lo > _MASK] - 1
+    while at.size:
+        out[at] += 1
+        at = at[out[at] > 0xFFFF]
+        out[at] = 0
+        at -= 1
+    out[pos] = (lo & _MASK) >> _OUT
+    sizes = pos + 1 - first
+    words = out.reshape(lanes, width)[np.arange(width) < sizes[:, None]]
+    return _HEAD.pack(n, len(names)) + names + sizes.astype("<u2").tobytes() + words.astype("<u2").tobytes()
+
+
+def _going(n: int, lanes: int, steps: int, t: int) -> int:
+    """Lanes that have more than t ids: all but some last ones."""
+    return min(lanes, (n - t + steps - 1) // steps)
+
 
+def decode(coded: bytes) -> np.ndarray:
+    """The ids that encode() was given."""
+    n, size = _HEAD.unpack_from(coded)
+    if not n:
+        return np.zeros(0, np.uint32)
+    names = np.frombuffer(zstd.decompress(coded[_HEAD.size : _HEAD.size + size]), "<u4")
+    alphabet = np.cumsum(names, dtype=np.uint32)
+    lanes, steps = _lanes(n)
+    sizes = np.frombuffer(coded, "<u2", lanes, _HEAD.size + size).astype(np.int64)
+    words = np.frombuffer(coded, "<u2", int(sizes.sum()), _HEAD.size + size + 2 * lanes)
+    # Each lane's words with zeros after them; cut two bits later, as the first 62 bits of four words start the code.
+    width = int(sizes.max()) + 6
+    raw = np.zeros((lanes, width), np.int32)
+    raw[np.arange(width) < sizes[:, None]] = words
+    code = raw[:, 0].astype(np.int64) << 46 | raw[:, 1].astype(np.int64) << 30 | raw[:, 2] << 14 | raw[:, 3] >> 2
+    raw[:, :-1] = (raw[:, :-1] & 3) << 14 | raw[:, 1:] >> 2
+    raw = raw.ravel()
+    pos = np.arange(lanes, dtype=np.int64) * width + 3
+    model = _Model(len(alphabet), lanes, n, True)
+    span = np.full(lanes, _MASK)
+    grid = np.zeros((lanes, steps), np.int32)
     for t in range(steps):
-        k = int(np.searchsorted(-size, -t, side="left"))
-        h1, h2, p1, p2, row = state.predicted(k)
-        kind = take(None, state.share[row], state.share_total[row])
-        _bump(state.share, state.share_total, row, kind)
-        x = np.where(kind == 0, p2, p1) - 1
-        own = np.flatnonzero(kind == 2)
-        if len(own):
-            y = np.zeros(len(own), np.int64)
-            for j in range(4):
-                row = own * _SIZES[j] + (0, y, y, y & 0xFF)[j]
-                nib = take(own, state.nibble[j][row], state.nibble_total[j][row])
-                _bump(state.nibble[j], state.nibble_total[j], row, nib)
-                y = y << 4 | nib
-            x[own] = y
-        ids[t, :k] = x
-        state.learn(k, h1, h2, x)
-    found: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
-    for lane, i in enumerate(order):
-        found[i] = ids[: size[lane], lane].astype(np.uint32)
-    return found
+        k = _going(n, lanes, steps, t)
+        model.order0(t)
+        model.predict(k)
+        fa, fb = model.fa, model.fb
+        r = span[:k] >> _KIND
+        c = code[:k]
+        ab = fa + fb
+        ra, rab = fa * r, ab * r
+        q = (((1 << _KIND) - ab) * r) // model.total
+        is_a = c < ra
+        is_o = c >= rab
+        own = np.flatnonzero(is_o)
+        s = np.where(is_a, model.c2, model.c1).astype(np.int64)
+        start = np.where(is_a, 0, ra)
+        sp = np.where(is_a, ra, rab - ra)
+        qo = q[own]
+        so = model.of[np.minimum((c[own] - rab[own]) // qo, model.total - 1)]
+        s[own] = so
+        start[own] = rab[own] + model.cum[so] * qo
+        sp[own] = model.f[so] * qo
+        c = c - start
+        w = np.flatnonzero(sp < (1 << _LEAST))
+        while w.size:
+            sw, pw = sp[w] << 16, pos[w]
+            c[w] = c[w] << 16 | raw[pw]
+            pos[w] = pw + 1
+            sp[w] = sw
+            w = w[sw < (1 << _LEAST)]
+        code[:k], span[:k] = c, sp
+        grid[:k, t] = s
+        model.learn(k, s)
+    return alphabet[grid.ravel()[:n]]

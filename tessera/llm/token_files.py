@@ -2,24 +2,25 @@
 
 Writing: documents are dealt by ranges of doc_id, so file after file holds them
 in ascending order; each task encodes its whole texts, appends END_ID to each,
-and writes groups of blocks as it goes. Every block is coded from a fresh state
-(id_coder) and carries the CRC-32 of its ids, so a damaged block is found and
-hurts no other. The file ends with a table of its documents and a trailer. A
-file is written under a name of its task attempt and renamed when it is whole.
+and writes blocks as it goes. Every block is coded from a fresh state (id_coder)
+and carries the CRC-32 of its ids, so a damaged block is found and hurts no
+other. The file ends with a table of its documents and a trailer. A file is
+written under a name of its task attempt and renamed when it is whole. The
+number of files grows with the bytes of the texts.
 
-Layout, little-endian: MAGIC; groups of (number of blocks u32, then for each
-block ids u32, bytes u32, crc32 u32, then the blocks' bytes); a group of 0
-blocks; the document table, zstandard over (doc_id i64 or MIN for null, ids u32);
-trailer (bytes of the table u32, documents u64, ids u64, MAGIC).
+Layout, little-endian: MAGIC; blocks (bytes u32, crc32 of the ids u32, the coded
+block); 0 u32; the document table, zstandard over (doc_id i64 or MIN for null,
+ids u64); trailer (bytes of the table u32, documents u64, ids u64, MAGIC).
 
 Defined results: a null or empty text is its end id alone. Rows that repeat an
-id follow each other, ordered by text. A null id comes first. An empty table has
-no files and no rows.
+id follow each other in the order of a hash of their texts, so that an id with
+very many rows is dealt over files too. A null id comes first. A very long text
+goes over as many blocks as it needs. An empty table has no files and no rows.
+Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,118 +34,129 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import id_coder
-from .common import local_path, shared_dir, table, written
-from .tokens import Ids, default_path
+from .common import shared_dir, store, table, text_bytes, written
+from .tokens import default_path, worker_encoder
 
 END_ID = 0
-MAGIC = b"TSRAIDS1"
+#: Bytes of texts of a file, about.
+FILE_BYTES = 256 << 20
+MAGIC = b"TSRAIDS2"
 _NULL_ID = -(1 << 63)
-_TRAILER = struct.Struct("<IQQ8s")
+_BLOCK, _TRAILER = struct.Struct("<II"), struct.Struct("<IQQ8s")
 
 
 class Writer:
+    """Writes documents to an open file, blocks as soon as they are full."""
+
     def __init__(self, f):
-        self.f, self.held, self.size, self.docs = f, [], 0, []
-        self.total = 0
+        self.f, self.held, self.size = f, [], 0
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_docs = self.total = 0
         f.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((_NULL_ID if doc_id is None else doc_id, len(ids) // 4))
+    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents' numbers, their numbers of ids, and all ids end to end."""
+        self.docs.append((doc_ids.astype("<i8"), sizes.astype("<u8")))
+        self.n_docs += len(doc_ids)
+        self.total += len(ids)
         self.held.append(ids)
-        self.size += len(ids) // 4
-        self.total += len(ids) // 4
-        if self.size >= id_coder.BLOCK_IDS * id_coder.LANES:
+        self.size += len(ids)
+        if self.size >= id_coder.BLOCK_IDS:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
-        whole = len(ids) if last else len(ids) - len(ids) % id_coder.BLOCK_IDS
-        for at in range(0, whole, id_coder.BLOCK_IDS * id_coder.LANES):
-            part = ids[at : min(whole, at + id_coder.BLOCK_IDS * id_coder.LANES)]
-            blocks = [part[i : i + id_coder.BLOCK_IDS] for i in range(0, len(part), id_coder.BLOCK_IDS)]
-            coded = id_coder.encode(blocks)
-            self.f.write(struct.pack("<I", len(blocks)))
-            for b, c in zip(blocks, coded, strict=True):
-                self.f.write(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())))
-            self.f.writelines(coded)
-        self.held, self.size = [ids[whole:].tobytes()], len(ids) - whole
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        end = len(ids) if last else len(ids) - len(ids) % id_coder.BLOCK_IDS
+        for at in range(0, end, id_coder.BLOCK_IDS):
+            part = ids[at : min(end, at + id_coder.BLOCK_IDS)]
+            coded = id_coder.encode(part)
+            self.f.write(_BLOCK.pack(len(coded), zlib.crc32(part.astype("<u4").tobytes())) + coded)
+        self.held, self.size = [ids[end:].copy()], len(ids) - end
 
     def close(self) -> None:
         self.flush(True)
         self.f.write(struct.pack("<I", 0))
-        ids, sizes = zip(*self.docs, strict=True) if self.docs else ((), ())
-        docs = zstd.compress(np.array(ids, "<i8").tobytes() + np.array(sizes, "<u4").tobytes(), 3)
+        columns = [np.concatenate(c).tobytes() for c in zip(*self.docs, strict=True)] if self.docs else []
+        docs = zstd.compress(b"".join(columns), 3)
         self.f.write(docs)
-        self.f.write(_TRAILER.pack(len(docs), len(self.docs), self.total, MAGIC))
+        self.f.write(_TRAILER.pack(len(docs), self.n_docs, self.total, MAGIC))
+
+
+def blocks(f, path: str) -> Iterator[np.ndarray]:
+    """The ids of each block of an open file, checked."""
+    f.seek(len(MAGIC))
+    while size := struct.unpack("<I", f.read(4))[0]:
+        (crc,) = struct.unpack("<I", f.read(4))
+        try:
+            ids = id_coder.decode(f.read(size))
+        except Exception as e:
+            raise ValueError(f"{path}: a block is damaged") from e
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+            raise ValueError(f"{path}: a block is damaged")
+        yield ids
 
 
 def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each document of a file, in order."""
-    with open(path, "rb") as f:
-        f.seek(-_TRAILER.size, os.SEEK_END)
-        end = f.tell()
+    files, at = store(path)
+    with files.open_input_file(at) as f:
+        end = f.size() - _TRAILER.size
+        f.seek(end)
         size, n, _, magic = _TRAILER.unpack(f.read())
         f.seek(0)
         if magic != MAGIC or f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{path} is no file of token ids")
         f.seek(end - size)
-        raw = zstd.decompress(f.read(size))
-        doc_ids, sizes = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n)
-        f.seek(len(MAGIC))
-        held = np.zeros(0, np.uint32)
+        raw = zstd.decompress(f.read(size)) if n else b""
+        doc_ids, sizes = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n, 8 * n)
+        more = blocks(f, path)
+        held, pos = np.zeros(0, np.uint32), 0
         for doc_id, k in zip(doc_ids.tolist(), sizes.tolist(), strict=True):
-            more = [held]
-            have = len(held)
-            while have < k:
-                got = _group(f, path)
-                more.append(got)
-                have += len(got)
-            held = np.concatenate(more) if len(more) > 1 else held
-            yield None if doc_id == _NULL_ID else doc_id, held[:k]
-            held = held[k:]
-
-
-def _group(f, path: str) -> np.ndarray:
-    (blocks,) = struct.unpack("<I", f.read(4))
-    if not blocks:
-        raise ValueError(f"{path} ends before its documents do")
-    heads = [struct.unpack("<III", f.read(12)) for _ in range(blocks)]
-    coded = [f.read(h[1]) for h in heads]
-    found = id_coder.decode(coded, [h[0] for h in heads])
-    for ids, h in zip(found, heads, strict=True):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != h[2]:
-            raise ValueError(f"{path}: a block is damaged")
-    return np.concatenate(found)
+            if len(held) - pos < k:
+                parts, have = [held[pos:]], len(held) - pos
+                while have < k:
+                    if (part := next(more, None)) is None:
+                        raise ValueError(f"{path} ends before its documents do")
+                    parts.append(part)
+                    have += len(part)
+                held, pos = np.concatenate(parts), 0
+            yield None if doc_id == _NULL_ID else doc_id, held[pos : pos + k]
+            pos += k
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write docs to folder; a table (file, path, n_docs, n_ids)."""
     vocabulary = vocabulary or default_path()
     spark = docs.sparkSession
-    to = local_path(folder)
-    os.makedirs(to, exist_ok=True)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "t")
-    tail = np.array([end_id], "<u4").tobytes()
+    files, to = store(folder)
+    files.create_dir(to, recursive=True)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), text_bytes(text_col).alias("t"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), "h"]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "t").select("doc_id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         k = task.partitionId()
-        name = f"{to}/ids-{k:06d}.bin"
-        tmp = f"{name}.{task.taskAttemptId()}.tmp"
-        encode = Ids(vocabulary)
-        with open(tmp, "wb") as f:
-            out = Writer(f)
-            for b in batches:
-                for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                    out.add(doc_id, ids + tail)
-            out.close()
-        if not out.docs:
-            os.remove(tmp)
+        files, to = store(folder)
+        name = f"ids-{k:06d}.bin"
+        tmp = f"{to}/{name}.{task.taskAttemptId()}.tmp"
+        encode = worker_encoder(vocabulary)
+        out = None
+        for b in batches:
+            if out is None and b.num_rows:
+                out = Writer(files.open_output_stream(tmp))
+            doc_ids = b.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+            for i, ids, ends in encode.texts(b.column(1)):
+                own = doc_ids[i : i + len(ends) - 1]
+                out.add(own, np.diff(ends) + 1, np.insert(ids, ends[1:], np.uint32(end_id)))
+        if out is None:
             return
-        os.replace(tmp, name)
-        yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int64()), "path": [name], "n_docs": pa.array([len(out.docs)], pa.int64()), "n_ids": pa.array([out.total], pa.int64())})
+        out.close()
+        out.f.close()
+        files.move(tmp, f"{to}/{name}")
+        yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int64()), "path": [f"{folder}/{name}"], "n_docs": pa.array([out.n_docs], pa.int64()), "n_ids": pa.array([out.total], pa.int64())})
 
     return written(rows.mapInArrow(run, "file long, path string, n_docs long, n_ids long"), "ids-manifest")
 
@@ -152,9 +164,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, id_col: s
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of the files.
     Files begin where those before them end: a sum over one row a file."""
-    spark = manifest.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, manifest.count())
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,11 +175,14 @@ def read(manifest: DataFrame) -> DataFrame:
                 for doc_id, ids in read_file(path):
                     rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
-                cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     placed = manifest.select("path", before.alias("start"))
-    return placed.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:

@@ -2,26 +2,40 @@
 
 A text is cut before each single space between two characters that are not
 white space. The tokenizers' own pattern always starts a piece there, so the
-parts encode on their own to the ids of the whole, and frequent parts are
-encoded once for each worker.
+parts encode on their own to the ids of the whole. A slice of texts is cut with
+array operations and its parts are made a dictionary by Arrow, so that each
+distinct part of a slice is looked up once, and encoded once for each worker
+while it is remembered.
+
+Defined results: a null or empty text has no ids. A text without a place to cut
+is one part, however long. Repeated rows get the same ids each. Only the named
+columns are read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts that a worker remembers; beyond that it starts anew.
-CACHE_PARTS = 300_000
-_GAPS = re.compile(r"\s\s|^\s|\s$")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+from .common import slices, text_bytes
+
+#: Parts that a worker remembers; beyond that it keeps those of the slice at hand.
+CACHE_PARTS = 600_000
+#: Bytes of texts that are cut at once, and parts that are encoded at once.
+CUT_BYTES, GROUP = 16 << 20, 200
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Bytes that white space can begin with.
+_MAYBE = _WHITE.copy()
+_MAYBE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,90 +44,141 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def parts(text: str) -> list[str]:
-    """Strings that join to text and encode on their own."""
-    if not text:
-        return []
-    if _GAPS.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+def part_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the parts of a slice of UTF-8 texts begin. Beside a character that
+    may be white space beyond ASCII nothing is cut."""
+    at = np.flatnonzero(data[1:-1] == 32) + 1
+    at = at[~(_MAYBE[data[at + 1]] | _WHITE[data[at - 1]] | (data[np.maximum(at - 2, 0)] == 0xC2))]
+    third = data[np.maximum(at - 3, 0)]
+    first = np.zeros(len(data), bool)
+    first[at[(third < 0xE1) | (third > 0xE3)]] = True
+    first[offs[:-1][offs[:-1] < len(data)]] = True
+    return np.flatnonzero(first)
 
 
-def hf_encoder(path: str) -> Callable[[list[str]], list]:
-    """Ids by the tokenizers library, special tokens' strings as ordinary text."""
+def hf_encoder(path: str) -> tuple[Callable[[list[str]], list], np.ndarray | None]:
+    """Ids by the tokenizers library, special tokens' strings as ordinary text;
+    and the bytes that each id stands for, if ids stand for bytes of the text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
-
-
-def rank_encoder(path: str) -> Callable[[list[str]], list]:
-    """Ids by tiktoken from a file of ranks."""
+    with open(path, encoding="utf-8") as f:
+        about = json.load(f)
+    sizes = None
+    if (about.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not about.get("normalizer"):
+        words = about["model"]["vocab"]  # one character of the vocabulary is one byte
+        sizes = np.zeros(max(words.values()) + 1, np.int64)
+        sizes[list(words.values())] = list(map(len, words))
+    return lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)], sizes
+
+
+def rank_encoder(path: str) -> tuple[Callable[[list[str]], list], np.ndarray]:
+    """Ids by tiktoken from a file of ranks, and the bytes that each stands for."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda texts: [one(t) for t in texts]
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    sizes[list(ranks.values())] = list(map(len, ranks))
+    return lambda texts: [one(t) for t in texts], sizes
 
 
-def encoder(path: str) -> Callable[[list[str]], list]:
+def encoder(path: str) -> tuple[Callable[[list[str]], list], np.ndarray | None]:
     return rank_encoder(path) if path.endswith(".tiktoken") else hf_encoder(path)
 
 
-class _Cached:
-    """Encodes texts by parts and remembers what the parts gave."""
-
-    #: Texts whose new parts are encoded in one call.
-    GROUP = 64
+class Encoder:
+    """Encodes slices of texts by parts and remembers what the parts gave."""
 
     def __init__(self, path: str):
-        self.encode = encoder(path)
-        self.known: dict = {}
-
-    def value(self, ids):
-        raise NotImplementedError
-
-    def total(self, values):
-        raise NotImplementedError
-
-    def __call__(self, texts: list[str]) -> Iterator:
-        for i in range(0, len(texts), self.GROUP):
-            cuts = [parts(t) for t in texts[i : i + self.GROUP]]
-            need = set().union(*cuts)
-            missing = list(need.difference(self.known))
-            if missing:
-                if len(self.known) + len(missing) > CACHE_PARTS:
-                    self.known.clear()
-                    missing = list(need)
-                for part, ids in zip(missing, self.encode(missing), strict=True):
-                    self.known[part] = self.value(ids)
-            for cut in cuts:
-                yield self.total(map(self.known.__getitem__, cut))
-
-
-class Ids(_Cached):
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
-
-    def value(self, ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def total(self, values) -> bytes:
-        return b"".join(values)
-
-
-class Lengths(_Cached):
-    """Numbers of ids of texts."""
-
-    def value(self, ids) -> int:
-        return len(ids)
-
-    def total(self, values) -> int:
-        return sum(values)
+        self.encode, self.sizes = encoder(path)
+        self.known: dict[bytes, int] = {}  # part -> its number
+        self.start = self.count = np.zeros(0, np.int64)  # of its ids
+        self.ids = np.zeros(0, np.uint32)
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Encode parts that are not known. Those that begin with a space are
+        encoded end to end, GROUP in one text, and told apart by their bytes.
+        Bytes that are no UTF-8 count as the replacement character."""
+        joined = [p for p in parts if p[:1] == b" "] if self.sizes is not None else []
+        try:
+            texts = [b"".join(joined[i : i + GROUP]).decode() for i in range(0, len(joined), GROUP)]
+        except UnicodeDecodeError:  # broken text: its replacement has other bytes
+            joined, texts = [], []
+        apart = [p for p in parts if p[:1] != b" "] if joined else parts
+        flat = np.fromiter(chain.from_iterable(self.encode(texts)), np.uint32)
+        ends = np.zeros(0, np.int64)
+        if joined:
+            ends = np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum(list(map(len, joined)))) + 1
+        found = self.encode([p.decode("utf-8", "replace") for p in apart])
+        counts = np.concatenate((np.diff(ends, prepend=0), np.fromiter(map(len, found), np.int64)))
+        n = len(self.known)
+        self.known.update(zip(joined + apart, range(n, n + len(counts)), strict=True))
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(counts) - counts))
+        self.count = np.concatenate((self.count, counts))
+        self.ids = np.concatenate((self.ids, flat, np.fromiter(chain.from_iterable(found), np.uint32)))
+
+    def forget(self, keep: list[bytes]) -> None:
+        """Remember only some known parts."""
+        at = np.array([self.known[k] for k in keep], np.int64)
+        start, counts = self.start[at], self.count[at]
+        ends = np.cumsum(counts)
+        take = np.repeat(start - ends + counts, counts) + np.arange(int(counts.sum()))
+        self.known = dict(zip(keep, range(len(keep)), strict=True))
+        self.start, self.count, self.ids = ends - counts, counts, self.ids[take]
+
+    def places(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each part of a slice, and where rows begin."""
+        first = part_starts(data, offs)
+        wide = len(data) >= 1 << 31
+        at = pa.py_buffer(np.append(first, len(data)).astype(np.int64 if wide else np.int32))
+        parts = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(first), [None, at, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        keys = parts.dictionary.to_pylist()
+        found = list(map(self.known.get, keys))
+        if None in found:
+            new = [k for k, v in zip(keys, found, strict=True) if v is None]
+            if len(self.known) + len(new) > CACHE_PARTS:
+                self.forget([k for k, v in zip(keys, found, strict=True) if v is not None])
+            self.learn(new)
+            found = list(map(self.known.__getitem__, keys))
+        return np.array(found, np.int64)[parts.indices.to_numpy()], np.searchsorted(first, offs)
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """Numbers of ids of a binary column of texts."""
+        out = np.zeros(len(column), np.int64)
+        for i, j, data, offs in slices(column, CUT_BYTES):
+            if not len(data):
+                continue
+            at, rows = self.places(data, offs)
+            out[i:j] = np.diff(np.append(0, np.cumsum(self.count[at]))[rows])
+        return out
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids end to end, where rows begin) of runs of rows."""
+        for i, j, data, offs in slices(column, CUT_BYTES):
+            if not len(data):
+                yield i, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
+                continue
+            at, rows = self.places(data, offs)
+            counts = self.count[at]
+            ends = np.append(0, np.cumsum(counts))
+            take = np.repeat(self.start[at] - ends[:-1], counts)
+            take += np.arange(len(take))
+            yield i, self.ids[take], ends[rows]
+
+
+_workers: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker; it outlives the task."""
+    if path not in _workers:
+        _workers[path] = Encoder(path)
+    return _workers[path]
 
 
 def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,9 +186,8 @@ def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Lengths(path)
+        encode = worker_encoder(path)
         for b in batches:
-            n = pa.array(count(b.column(1).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode.lengths(b.column(1)))], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long")

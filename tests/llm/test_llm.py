@@ -10,7 +10,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
+import zstandard as zstd
 from tessera.llm import decontaminate, html_text, id_coder, kneser_ney, language_id, near_dup, packing, quality, token_counts, token_files, tokens, warc
 from tessera.llm.common import shared_dir, word_hashes
 
@@ -227,12 +230,24 @@ def test_token_parts(sample):
     model = Tokenizer.from_file(tokens.default_path())
     model.encode_special_tokens = True
     hard = ["a  b   c", "x\n \n y", " lead", "trail ", "\t\ta <|endoftext|> b", "é  ü   z", "1\n\n2 3's don't", "", "a b   c"]
+    hard += ["a 　 b c", "日本 語 です   x", " ", "  ", "x \u0085 y", "a\u3000 b", "« a »", "\U0001f600 a \U0001f600", " tail\n", "word " * 50_000, "語" * 3000]
     texts = hard + [t or "" for _, t in sample[:60]]
-    own = tokens.Ids(tokens.default_path())
-    ranks = tokens.Lengths(tokens.default_path("byte_bpe_50k.tiktoken"))
-    for t, a, n in zip(texts, own(texts), ranks(texts), strict=True):
-        want = model.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(a, "<u4").tolist() == want and n == len(want)
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        own = tokens.Encoder(tokens.default_path(name))
+        for _ in range(2):
+            got = [ids[a:b].tolist() for _, ids, ends in own.texts(column) for a, b in zip(ends, ends[1:], strict=False)]
+            assert got == want and own.lengths(column).tolist() == [len(w) for w in want]
+        own.forget(list(own.known)[5:40])
+        assert own.lengths(column).tolist() == [len(w) for w in want]
+
+
+def test_token_lengths(spark):
+    """Null, empty, repeated rows, clashing columns, no rows."""
+    got = tokens.token_lengths(docs_of(spark, [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c")], True), tokens.default_path()).collect()
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got) == [(-1, 1), (1, 0), (2, 0), (3, 2), (3, 2)]
+    assert tokens.token_lengths(docs_of(spark, []), tokens.default_path()).count() == 0
 
 
 def test_token_counts(spark):
@@ -249,34 +264,65 @@ def test_token_counts(spark):
 
 def test_id_coder():
     rng = np.random.default_rng(5)
-    for _ in range(10):
-        blocks = [rng.integers(0, rng.integers(1, 65537), rng.integers(0, 300)).astype(np.uint32) for _ in range(30)]
-        back = id_coder.decode(id_coder.encode(blocks), [len(b) for b in blocks])
-        assert all(np.array_equal(a, b) for a, b in zip(back, blocks, strict=True))
-    same = np.tile(np.arange(50, dtype=np.uint32), 20)
-    assert len(id_coder.encode([same])[0]) < 500
-
-
-def test_token_files(spark, sample):
+    for k in range(30):
+        ids = rng.integers(0, rng.choice([1, 2, 300, 65_537, 1 << 32]), rng.choice([0, 1, 2, 511, 512, 513, 700, 3000])).astype(np.uint32)
+        assert np.array_equal(id_coder.decode(id_coder.encode(ids)), ids), k
+    skewed = np.minimum(rng.geometric(0.001, 50_000), 60_000).astype(np.uint32)
+    sure = np.where(rng.random(50_000) < 0.0005, 7, 3).astype(np.uint32)  # long runs of narrow ranges: carries
+    for ids in (skewed, sure, np.full(5000, (1 << 32) - 1, np.uint32)):
+        assert np.array_equal(id_coder.decode(id_coder.encode(ids)), ids)
+    same = np.tile(np.arange(50, dtype=np.uint32), 2000)
+    assert len(id_coder.encode(same)) * 8 < 0.5 * len(same)
+
+
+def test_id_coder_size(spark, sample):
+    """Fewer bits than the order-0 entropy of the ids and than zstandard on 16-bit ids."""
+    encode = tokens.Encoder(tokens.default_path())
+    ids = np.concatenate([x for _, x, _ in encode.texts(pa.array([(t or "").encode() for _, t in sample], pa.binary()))])
+    bits = 8 * len(id_coder.encode(ids)) / len(ids)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert bits < -(share * np.log2(share)).sum()
+    assert bits < 8 * len(zstd.compress(ids.astype("<u2").tobytes(), 3)) / len(ids)
+
+
+def test_token_files(spark, sample, monkeypatch):
     from tokenizers import Tokenizer
 
-    data = [*sample[:60], (900001, None), (900002, ""), (900003, "x  y"), (None, "null id"), (900002, "again")]
+    monkeypatch.setattr(id_coder, "BLOCK_IDS", 5000)  # in this process; a long text goes over blocks in any case
+    data = [*sample[:60], (900001, None), (900002, ""), (900003, "x  y"), (None, "null id"), (900002, "again"), (900004, "ab " * 1_000_000), (900005, "x"), (900005, "x")]
     model = Tokenizer.from_file(tokens.default_path())
     manifest = token_files.write(docs_of(spark, data, True), shared_dir(spark, "t"))
     got = token_files.read(manifest).collect()
+    hashed = lambda t: 42 if t is None else ((xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64) - 2**63
     want, at = [], 0
-    for i, t in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for i, t in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, hashed(x[1]))):
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert sorted(tuple(r) for r in got if r[0] is not None) == sorted(x for x in want if x[0] is not None)
-    assert [tuple(r) for r in got if r[0] is None] == [x for x in want if x[0] is None]
-    path = manifest.first()["path"]
-    raw = bytearray(open(path, "rb").read())
+    key = lambda x: (x[0] is not None, x)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+    path = max(manifest.collect(), key=lambda r: r["n_ids"])["path"]
+    raw = bytearray(open(path.removeprefix("file://"), "rb").read())
     raw[len(raw) // 2] ^= 255
-    open(path + ".bad", "wb").write(raw)
-    with pytest.raises(Exception):  # noqa: B017
-        list(token_files.read_file(path + ".bad"))
+    open("/tmp/tessera-damaged.bin", "wb").write(raw)
+    with pytest.raises(ValueError):
+        list(token_files.read_file("/tmp/tessera-damaged.bin"))
+    assert token_files.read(token_files.write(docs_of(spark, []), shared_dir(spark, "t"))).count() == 0
+
+
+def test_op9_query(spark, sf_dir):
+    """The registered query over the whole table."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokens.default_path())
+    model.encode_special_tokens = True
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    want, at = [], 0
+    for (i, _), e in zip(docs, model.encode_batch([t for _, t in docs], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in token_files.op9_token_files(spark, sf_dir).collect()) == want
 
 
 def test_html_marks():
