@@ -6,18 +6,22 @@ with equal payloads the one with the smallest id is the response, others are
 first segment and continuation records (WARC 1.1, record segmentation). Each
 task writes one archive of gzip members to the shared folder, under a name of
 its partition, first as a file of its own attempt; a task that runs again
-writes the same bytes, and the rename is atomic.
+replaces its archive whole. A record's identifier is made of the page id, the
+digest and the place of the row (archive and number), so no two are equal
+whatever ids the rows have.
 
-Reading: the files are dealt over tasks and parsed record by record. Records
-without segments are decoded where they are read. Segments are grouped by the
-identifier of their origin in Spark, ordered by segment number, checked for
-gaps and against the total length, joined, and decoded. Only segments and
-revisits move between tasks.
+Reading: the files are dealt over tasks and parsed once, record by record, into
+a table. Records without segments are decoded where they are read. Segments are
+grouped by the identifier of their origin in Spark, ordered by segment number,
+checked for gaps and against the total length, joined, and decoded. Only segments
+and revisits move between tasks; a revisit finds its payload by the digest.
 
 Defined results: a null payload is empty. Rows with the same id and payload, if
-that id is the smallest, are all responses; a null id counts as larger than all
-others. An empty table gives no archive and no record. Extra columns are not
-read.
+that id is the smallest, are all responses, else all revisits; a null id counts
+as larger than all others, and rows that have only null ids are all responses.
+Repeated ids with different payloads are different records. A very long payload
+is as many segments as it needs; the row is held whole by one task. An empty
+table gives no archive and no record. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, shared_dir, table, text_bytes, written
+from .common import shared_dir, store, table, text_bytes, written
 
 SEGMENT_BYTES = 8 * 1024
 CHUNK_BYTES = 4 * 1024
@@ -46,8 +49,8 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '/'.join(map(str, parts)))}>"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -80,14 +83,16 @@ def _clean(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def records(page_id, url: str | None, payload: bytes, first, segment_bytes: int, copy: int = 0) -> Iterator[bytes]:
-    """The records of one row; first: the id of the response it revisits."""
-    rid = record_id(page_id) if not copy else record_id(f"{page_id}/{copy}")
+def records(page_id, url: str | None, payload: bytes, first, first_url: str | None, segment_bytes: int, place: str) -> Iterator[bytes]:
+    """The records of one row; first: the page id of the response it revisits;
+    place: of the row among all rows."""
+    digest = digest_of(payload)
+    rid = record_id("page", page_id, digest, place)
     key = "" if page_id is None else str(page_id)
-    common = [("WARC-Record-ID", rid), ("WARC-Date", _DATE), ("WARC-Target-URI", _clean(url)), ("X-Page-ID", key), ("WARC-Payload-Digest", "sha1:" + digest_of(payload)), ("Content-Type", "application/http;msgtype=response")]
+    common = [("WARC-Record-ID", rid), ("WARC-Date", _DATE), ("WARC-Target-URI", _clean(url)), ("X-Page-ID", key), ("WARC-Payload-Digest", "sha1:" + digest), ("Content-Type", "application/http;msgtype=response")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if first is not None:
-        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(first)), ("X-Refers-To-Page-ID", str(first))], http)
+        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Profile", _PROFILE), ("WARC-Refers-To-Target-URI", _clean(first_url)), ("WARC-Refers-To-Date", _DATE), ("X-Refers-To-Page-ID", str(first))], http)
         return
     block = http + chunked(payload)
     if len(block) <= segment_bytes:
@@ -97,46 +102,50 @@ def records(page_id, url: str | None, payload: bytes, first, segment_bytes: int,
     yield _record([("WARC-Type", "response"), *common, ("WARC-Segment-Number", "1")], pieces[0])
     for k, piece in enumerate(pieces[1:], 2):
         more = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(pieces) else []
-        own = ("WARC-Record-ID", record_id(f"{rid}#{k}"))
+        own = ("WARC-Record-ID", record_id(rid, k))
         yield _record([("WARC-Type", "continuation"), own, ("WARC-Date", _DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", str(k)), *more], piece)
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write archives of pages to folder; a table (path, n_records, n_bytes)."""
-    to = local_path(folder)
-    os.makedirs(to, exist_ok=True)
+    files, to = store(folder)
+    files.create_dir(to, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_bytes(payload_col).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     # Which row is the response: a partial aggregation on digests, then a join whose other side has one row per digest.
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").select("sha", "first")
-    rows = rows.join(first, "sha", "left").select("page_id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first"))
+    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").drop("c")
+    revisit = ~F.col("first").eqNullSafe(F.col("page_id"))
+    rows = rows.join(first, "sha", "left").select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("first"), F.when(revisit, F.col("first_url")).alias("first_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name = f"{to}/part-{task.partitionId():06d}.warc.gz"
-        tmp = f"{name}.{task.taskAttemptId()}.tmp"
-        n, seen = 0, {}
-        with open(tmp, "wb") as f:
-            for b in batches:
-                for page_id, url, payload, first_id in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                    copy = seen.get(page_id, 0)
-                    seen[page_id] = copy + 1
-                    for rec in records(page_id, url, payload, first_id, segment_bytes, copy):
-                        f.write(gzip.compress(rec, 3, mtime=0))
-                        n += 1
-            size = f.tell()
-        if n:
-            os.replace(tmp, name)
-            yield pa.RecordBatch.from_pydict({"path": [name], "n_records": [n], "n_bytes": [size]})
-        else:
-            os.remove(tmp)
+        k = task.partitionId()
+        files, to = store(folder)
+        name = f"part-{k:06d}.warc.gz"
+        tmp = f"{to}/{name}.{task.taskAttemptId()}.tmp"
+        out, rows, n = None, 0, 0
+        for b in batches:
+            if out is None and b.num_rows:
+                out = files.open_output_stream(tmp, compression=None)
+            for row in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                rows += 1
+                for rec in records(*row, segment_bytes, f"{k}.{rows}"):
+                    out.write(gzip.compress(rec, 3, mtime=0))
+                    n += 1
+        if out is None:
+            return
+        size = out.tell()
+        out.close()
+        files.move(tmp, f"{to}/{name}")
+        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [n], "n_bytes": [size]})
 
     return written(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
 def parse(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record; field names in lower case."""
-    with gzip.open(path, "rb") as f:
+    files, at = store(path)
+    with files.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
         while True:
             line = f.readline()
             while line in (b"\r\n", b"\n"):
@@ -162,87 +171,86 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-_ROW = "page_id long, url string, rid string, record_type string, digest string, refers_page long, refers_rid string, seg int, total long, block binary"
+_ROW = "page_id long, url string, rid string, record_type string, digest string, refers_page long, seg int, total long, payload_bytes long, block binary"
+_FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("rid", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_page", pa.int64()), ("seg", pa.int32()), ("total", pa.int64()), ("payload_bytes", pa.int64()), ("block", pa.binary())]
+
+
+def checked(block: bytes, digest: str) -> bytes:
+    """The payload of a block, whose digest must be the one given."""
+    payload = payload_of(block)
+    if digest_of(payload) != digest:
+        raise ValueError("a payload differs from its digest")
+    return payload
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """One row per record; origin id in rid for continuations."""
-    spark = manifest.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """One row per record; origin id in rid for continuations. block: the
+    decoded payload of a whole response, the raw piece of a segmented one, null
+    for a revisit."""
+    schema = pa.schema(_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("rid", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_page", pa.int64()), ("refers_rid", pa.string()), ("seg", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
         whole = lambda x: int(x) if x else None
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, size = [], 0
                 for f, block in parse(path):
-                    kind = f["warc-type"]
+                    kind, seg = f["warc-type"], whole(f.get("warc-segment-number"))
                     rid = f["warc-segment-origin-id"] if kind == "continuation" else f["warc-record-id"]
-                    rows.append((whole(f.get("x-page-id")), f.get("warc-target-uri"), rid, kind, f.get("warc-payload-digest", "").removeprefix("sha1:"), whole(f.get("x-refers-to-page-id")), f.get("warc-refers-to"), whole(f.get("warc-segment-number")), whole(f.get("warc-segment-total-length")), block))
-                    size += len(block)
+                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    if kind == "revisit":
+                        block = None
+                    elif seg is None:
+                        block = checked(block, digest)
+                    length = len(block) if kind == "response" and seg is None else None
+                    rows.append((whole(f.get("x-page-id")), f.get("warc-target-uri"), rid, kind, digest, whole(f.get("x-refers-to-page-id")), seg, whole(f.get("warc-segment-total-length")), length, block))
+                    size += len(block or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.select("path").repartition(n).mapInArrow(run, _ROW)
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(run, _ROW)
+
+
+_WHOLE = "rid string, page_id long, url string, digest string, payload_bytes long, block binary"
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
-    """(rid, block) of segmented records, from rows of read_records with seg.
-    A group is one record, so it is as large as a record may be."""
+    """(rid, page_id, url, digest, payload_bytes, block) of segmented records,
+    from rows of read_records with seg; block is the decoded payload. A group is
+    one record, so it is as large as a record may be."""
     whole = segments.groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.struct("seg", "block"))).alias("s"),
-        F.max("total").alias("total"),
-        F.max("page_id").alias("page_id"),
-        F.max("url").alias("url"),
-        F.max("digest").alias("digest"),
-    )
-    joined = whole.select("rid", "page_id", "url", "digest", "s", "total")
+        F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("digest").alias("digest"), F.array_sort(F.collect_list(F.struct("seg", "block"))).alias("s"), F.max("total").alias("total")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blocks = []
-            for rid, s, total in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            payloads = []
+            for rid, digest, s, total in zip(*(b.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
                 if [x["seg"] for x in s] != list(range(1, len(s) + 1)):
                     raise ValueError(f"{rid}: segments are missing or doubled")
                 block = b"".join(x["block"] for x in s)
                 if len(block) != total:
                     raise ValueError(f"{rid}: {len(block)} bytes instead of {total}")
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(blocks, pa.binary())], names=["rid", "page_id", "url", "digest", "block"])
+                payloads.append(checked(block, digest))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(map(len, payloads), pa.int64()), pa.array(payloads, pa.binary())], names=["rid", "page_id", "url", "digest", "payload_bytes", "block"])
 
-    return joined.mapInArrow(run, "rid string, page_id long, url string, digest string, block binary")
+    return whole.mapInArrow(run, _WHOLE)
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """One row per page: page_id, url, payload (null for revisits, whose
     payload is that of refers_to), payload_bytes, payload_digest, record_type,
     refers_to. Digests are checked against the decoded payloads."""
-    recs = read_records(manifest)
-    single = recs.where("seg IS NULL AND record_type = 'response'").select("rid", "page_id", "url", "digest", "block")
-    parts = recs.where("seg IS NOT NULL").withColumn("digest", F.when(F.col("digest") != "", F.col("digest")))
-    blocks = single.unionByName(reassembled(parts))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            payloads = []
-            for digest, block in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                payload = payload_of(block)
-                if digest_of(payload) != digest:
-                    raise ValueError("a payload differs from its digest")
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(payloads, pa.binary()), pa.array(map(len, payloads), pa.int64())], names=["rid", "page_id", "url", "payload_digest", "payload", "payload_bytes"])
-
-    responses = blocks.mapInArrow(decode, "rid string, page_id long, url string, payload_digest string, payload binary, payload_bytes long")
-    out = responses.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    visits = recs.where("record_type = 'revisit'").select("page_id", "url", "refers_rid", "refers_page", "digest")
-    lengths = responses.select(F.col("rid").alias("refers_rid"), "payload_bytes").dropDuplicates(["refers_rid"])
-    again = visits.join(lengths, "refers_rid", "left").select(
-        "page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("refers_page").alias("refers_to")
-    )
+    recs = written(read_records(manifest), "warc-records")
+    whole = written(reassembled(recs.where("seg IS NOT NULL")), "warc-whole")
+    responses = recs.where("seg IS NULL AND record_type = 'response'").select(*whole.columns).unionByName(whole)
+    out = responses.select("page_id", "url", F.col("block").alias("payload"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    lengths = responses.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    visits = recs.where("record_type = 'revisit'").drop("payload_bytes").join(lengths, "digest", "left")
+    again = visits.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_page").alias("refers_to"))
     return out.unionByName(again)
 
 
