@@ -10,7 +10,9 @@ that a long text does not become its own dictionary.
 
 Defined results: a null text, and one without a letter, is `und` with score 0
 and rejected; so is every text if nothing is labelled. Equal sizes go to the
-language first in order. Repeated rows each get their row.
+language first in order. Repeated rows each get their row. Columns of docs that
+are called lang_pred, score or rejected give way to the results; the stage keeps
+them.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ from .common import crc32_mod, table
 SAMPLE_DOCS = 64
 DICT_BYTES = 112_000
 BLOCK_CHARS = 4_000
-LEVEL = 5
-#: Texts of up to this many letters are encoded with more effort.
-SHORT_CHARS, SHORT_LEVEL = 300, 12
+#: Effort of the compression, for texts of every length.
+LEVEL = 11
 #: Narrower margins between the best and the second language are rejected.
 MIN_MARGIN = 0.02
 #: More languages than this need a larger bound on what the driver sends out.
@@ -79,7 +80,7 @@ class Classifier:
     def __init__(self, dicts: dict[str, bytes]):
         self.langs = sorted(dicts)
         self.plain = zstd.ZstdCompressor(level=LEVEL)
-        self.coders = {level: [self.coder(dicts[k], level) for k in self.langs] for level in (LEVEL, SHORT_LEVEL)}
+        self.coders = [self.coder(dicts[k], LEVEL) for k in self.langs]
 
     @staticmethod
     def coder(raw: bytes, level: int) -> zstd.ZstdCompressor:
@@ -90,8 +91,7 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         blocks = [text[i : i + BLOCK_CHARS].encode() for i in range(0, len(text), BLOCK_CHARS)]
-        coders = self.coders[SHORT_LEVEL if len(text) <= SHORT_CHARS else LEVEL]
-        return [sum(len(c.compress(b)) for b in blocks) for c in coders]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         t = normalised(text or "")
@@ -106,6 +106,7 @@ class Classifier:
 def predict(docs: DataFrame, dicts: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs with lang_pred, score and rejected. The dictionaries are at most
     MAX_LANGS x DICT_BYTES and travel as one broadcast variable."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")])
     sent = docs.sparkSession.sparkContext.broadcast(dicts)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -129,5 +130,5 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose language is clear."""
-    cols = docs.columns
-    return predict(docs, fit(docs, crc32_mod("doc_id", 4) != 2)).where("NOT rejected").select(*cols)
+    dicts = fit(docs, crc32_mod("doc_id", 4) != 2)
+    return predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), dicts).where("NOT rejected").select("row.*")
