@@ -218,7 +218,16 @@ def op8_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates (five-word
-    shingles, similarity 0.8). Rows that repeat a kept doc_id are reduced to one."""
-    verdict = near_duplicates(docs, width=5).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    has_id = docs.where("doc_id IS NOT NULL").join(verdict, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return has_id.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    shingles, similarity 0.8), the one with the smallest doc_id; a null doc_id
+    comes after all others. Rows are told apart by numbers of their own, so
+    different texts under one doc_id both stay and copies without doc_id go."""
+    at = "_dedup_row"
+    while at in docs.columns:
+        at += "_"
+    rows = written(docs.withColumn(at, F.monotonically_increasing_id()), "dedup-rows")
+    groups = near_duplicates(rows, width=5, id_col=at).select(F.col("doc_id").alias("row"), "component_id")
+    many = groups.groupBy("component_id").agg(F.count("*").alias("c")).where("c > 1")
+    inside = groups.join(many, "component_id").join(rows.select(F.col(at).alias("row"), F.col("doc_id").alias("id")), "row")
+    best = inside.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("best"))
+    gone = inside.join(best, "component_id").where("row <> best.row").select(F.col("row").alias(at))
+    return rows.join(gone, at, "left_anti").select(*docs.columns)
