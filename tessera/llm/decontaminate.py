@@ -24,8 +24,10 @@ there are such items, the documents are read once more.
 
 Defined results: null and empty texts have no window and no hit. An item with
 fewer than WINDOW tokens is searched as one window of its own length. Repeated
-rows of an item each get their hits; rows that repeat a doc_id are one document.
-Columns besides the named ones are not read.
+rows of an item each get their hits; rows that repeat a doc_id and its text are
+one document, different texts under one doc_id are judged apart and a null doc_id
+is an id. Columns besides the named ones are not read. A very long text is one
+row of token arrays, some 30 bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -133,7 +135,7 @@ def _exact(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
 def _rows(hits: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item of hits(doc_id, item, ...)."""
     best = hits.groupBy("doc_id", "item").agg(F.max(F.struct("n_windows", "item_windows")).alias("n"), F.bool_or("exact").alias("exact"))
-    return best.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "n.*", "exact")
+    return best.join(items.select("item", "item_id"), "item").select(F.col("doc_id").alias("row"), "item_id", "n.*", "exact")
 
 
 def contaminated(
@@ -148,6 +150,20 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, exact) of each hit; exact: the
     document has the item's own values everywhere on the diagonal."""
+    found = contaminated_rows(docs, benchmark, id_col, text_col, item_col, item_text_col, window, min_windows)
+    best = found.groupBy("row.id", "item_id").agg(F.max(F.struct("n_windows", "item_windows")).alias("n"), F.bool_or("exact").alias("exact"))
+    return best.select(F.col("id").alias("doc_id"), "item_id", "n.*", "exact")
+
+
+def row_key(id_col: str, text_col: str):
+    """What tells documents apart: the id and a hash of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, min_windows: int) -> DataFrame:
+    """(row, item_id, n_windows, item_windows, exact), row: the row_key."""
+    docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("t"))
+    id_col, text_col = "row", "t"
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t"))
     items = written(items, "bench-items")
     # Inside a sentence the capitalised words an item begins with are a name: a second form.
@@ -185,7 +201,7 @@ def contaminated(
     if hits is None and copies is not None:
         return _rows(copies, items)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(benchmark.dtypes)[item_col]}, n_windows long, item_windows long, exact boolean")
+        return docs.sparkSession.createDataFrame([], f"row {dict(docs.dtypes)[id_col]}, item_id {dict(benchmark.dtypes)[item_col]}, n_windows long, item_windows long, exact boolean")
 
     runs = hits.groupBy("doc_id", "tid", "diagonal", "n").agg(F.count_distinct("ipos").alias("n_windows"), F.collect_set(F.when(F.col("slots"), F.col("ipos"))).alias("slots"))
     runs = written(runs.join(probes, "tid").where(f"n_windows >= least(item_windows, {min_windows})"), "bench-hits")
@@ -214,5 +230,8 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without a hit."""
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    found = contaminated_rows(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", WINDOW, MIN_WINDOWS)
+    at = "_hit_row"
+    while at in docs.columns:
+        at += "_"
+    return docs.withColumn(at, row_key("doc_id", "text")).join(found.select(F.col("row").alias(at)).distinct(), at, "left_anti").select(*docs.columns)
