@@ -272,7 +272,7 @@ def extract(page: str | None) -> str:
     keep = [False] * n
     keep[top] = True
     for i in range(top + 1, n):
-        keep[i] = keep[parent[i]] and not drop[i] and not (tag[i] in ("ul", "ol", "div", "section", "table", "p") and link_tags[i] > 1 and 2 * link_chars[i] > chars[i] and dens[i] < threshold)
+        keep[i] = keep[parent[i]] and not drop[i] and not (tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] > 1 and 2 * link_chars[i] > chars[i] and dens[i] < threshold)
     out = []
     for node, text in dom.events:
         if keep[node]:

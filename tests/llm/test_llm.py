@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 import zstandard as zstd
+from pyspark.sql import functions as F
 from tessera.llm import decontaminate, html_text, id_coder, kneser_ney, language_id, near_dup, packing, quality, token_counts, token_files, tokens, warc
 from tessera.llm.common import shared_dir, word_hashes
 
@@ -128,6 +129,65 @@ def test_near_duplicates_edges(spark):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_stage(spark):
+    """Distinct texts under one id stay, copies without an id go, extra columns stay."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text), (3, "another text of some other words"), (None, text), (None, text + " more"), (None, "alone"), (9, text), (2, text + " x"), (5, None), (6, ""), (6, "")]
+    docs = docs_of(spark, rows, True).withColumn("_dedup_row", F.lit(1)).withColumn("component_id", F.lit("c"))
+    kept = near_dup.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, rows[1][1]), (None, "alone"), (2, rows[6][1]), (5, None), (6, ""), (6, "")])
+    assert near_dup.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_stage(spark, sf_dir):
+    """Columns with the names of results, repeated rows, long text, no rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    own = docs.withColumns({"rejected": F.lit("r"), "score": F.lit(1), "lang_pred": F.lit("p"), "row": F.lit(2)})
+    kept = language_id.stage(spark, own.unionByName(own), "")
+    assert kept.columns == own.columns and set(kept.select("rejected", "score", "lang_pred", "row").distinct().collect()) == {("r", 1, "p", 2)}
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert len(ids) > 100 and set(ids.values()) == {2}
+    assert language_id.stage(spark, own.limit(0), "").count() == 0
+    dicts = language_id.fit(docs, docs["doc_id"] >= 0)
+    long = docs.orderBy(F.length("text").desc()).first()
+    twice = language_id.predict(docs_of(spark, [(1, long["text"] * (1 + 1_000_000 // len(long["text"]))), (2, long["text"])], True), dicts).collect()
+    assert {r["lang_pred"] for r in twice} == {long["lang"]}
+
+
+def test_language_brute(spark, sf_dir):
+    """The whole query against the compression of each text on its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = language_id.op5_language_id(spark, sf_dir).collect()
+    dicts = language_id.fit(docs, ~F.col("doc_id").isin([r["doc_id"] for r in rows if r["held_out"]]))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        t = " ".join(re.sub(r"[\W\d_]+", " ", (texts[r["doc_id"]] or "").lower()).split())
+        if not re.search(r"[^\W\d_]", t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        size = {}
+        for lang, raw in dicts.items():
+            how = zstd.ZstdCompressionParameters.from_level(language_id.LEVEL, source_size=language_id.BLOCK_CHARS, dict_size=len(raw), write_content_size=0, write_checksum=0, write_dict_id=0)
+            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            size[lang] = sum(len(zstd.ZstdCompressor(compression_params=how, dict_data=d).compress(t[i : i + language_id.BLOCK_CHARS].encode())) for i in range(0, len(t), language_id.BLOCK_CHARS))
+        best, second = sorted(size.values())[:2]
+        assert size[r["lang_pred"]] == best and r["score"] == pytest.approx(1 - best / second)
+
+
+def test_decontaminate_rows(spark):
+    """Hits by row: a null id, and different texts under one id."""
+    item = "a train leaves with 30 km per hour and after 30 minutes it meets another of 45 km"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = docs_of(spark, [(None, f"so {item} on"), (None, "quiet"), (4, f"and {item}"), (4, "clean text"), (4, item.replace("30 km", "70 km")), (5, None), (6, "long words " * 100_000 + item)], True)
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r["doc_id"] or -1, r["exact"]) for r in got) == [(-1, True), (4, True), (6, True)]
+    hits = decontaminate.contaminated_rows(docs, items, "doc_id", "text", "item_id", "text", 8, 5).select("row.id").collect()
+    assert sorted(r[0] or -1 for r in hits) == [-1, 4, 6]
+
+
 def test_decontaminate(spark, sf_dir, sample):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, sample), bench).collect()}
@@ -358,8 +418,18 @@ def test_warc(spark):
         warc.dechunked(b"4\r\nabcdXX0\r\n\r\n")
 
 
+def test_warc_repeated_ids(spark):
+    """Rows that share an id or have none, in different tasks, and a payload of 2 MB."""
+    texts = [c * 30_000 for c in "abcdabcd"] + [c * 30_000 for c in "efgefg"] + ["x", "x", "long " * 400_000]
+    rows = [(7 if i < 8 else None if i < 14 else i, "u", t) for i, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = warc.read(warc.write(pages, shared_dir(spark, "w"))).collect()
+    want = Counter((i, len(t), "revisit" if i == 15 else "response", 14 if i == 15 else None) for i, _, t in rows)
+    assert Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == want
+
+
 def test_warc_missing_segment(spark):
-    rows = [(1, "u", "r", "response", "D", None, None, 1, None, b"ab"), (None, "u", "r", "continuation", None, None, None, 3, 6, b"ef")]
+    rows = [(1, "u", "r", "response", "D", None, 1, None, None, b"ab"), (None, "u", "r", "continuation", None, None, 3, 6, None, b"ef")]
     segs = spark.createDataFrame(rows, warc._ROW)
     with pytest.raises(Exception, match="missing"):
         warc.reassembled(segs).collect()
@@ -376,6 +446,11 @@ def test_html():
     assert html_text.extract("plain &lt;t&gt;  only") == "plain <t> only"
     assert html_text.extract("<p>a<p>b") == "a b"
     assert html_text.extract("<div " * 3000) is not None
+    links = "<p><a href=a>One source</a>, <a href=b>another source</a> and <a href=c>a third one</a>.</p>"
+    assert html_text.extract(f"<article><p>{'A sentence of the article. ' * 9}</p>{links}<p>Its end.</p></article>").endswith("One source, another source and a third one. Its end.")
+    body = "A sentence that the article has. " * 8
+    for attrs in ('style="overflow:hidden"', 'class="layout with-sidebar"', 'class="post no-comments"', 'data-id="ad-7"', 'title="class=menu"'):
+        assert html_text.extract(f"<html><body><div {attrs}><p>{body}</p></div></body></html>") == body.strip()
 
 
 def test_html_table(spark, sf_dir):
