@@ -53,6 +53,13 @@ def rank_first(x, *by: str, tie: str = "symbol", descending=False) -> Column:
     return F.when(c.isNotNull(), F.row_number().over(W.partitionBy(*by).orderBy(order, tie)))
 
 
+def correlation(a, b) -> Column:
+    """Aggregate: Pearson correlation over rows with both; NULL if a side has no spread."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def residual(y, x, *by: str, active="nonzero", min_points=2, fill_zero=True) -> Column:
     """y less its OLS fit on x over the active rows of the date: both there, and
     y not 0 unless active is "all". Rows that take no part, and dates of fewer

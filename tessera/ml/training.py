@@ -69,9 +69,9 @@ class Booster:
     def codes(self, x: np.ndarray) -> list[np.ndarray]:
         return [np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Booster:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, edges: list[np.ndarray] | None = None) -> Booster:
         w = np.ones(len(y)) if weight is None else weight.astype(float)
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        self.edges = edges or [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         self.scores = [np.zeros(len(e) + 1) for e in self.edges]
         self.base = float(np.average(y, weights=w)) if w.sum() else 0.0
         codes, res = self.codes(x), y - self.base
@@ -89,49 +89,156 @@ class Booster:
         return np.array([np.abs(s[c]).mean() for s, c in zip(self.scores, self.codes(x), strict=True)])
 
 
+    def shapes(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per feature: bin centers, scores, and the density of x (mass per unit)."""
+        out = []
+        for j, (edges, scores) in enumerate(zip(self.edges, self.scores, strict=True)):
+            bounds = np.concatenate(([x[:, j].min()], edges, [x[:, j].max()]))
+            mass = np.bincount(np.searchsorted(edges, x[:, j], side="right"), minlength=len(scores)) / len(x)
+            width = np.diff(bounds)
+            pdf = np.divide(mass, width, out=np.full(len(mass), np.nan), where=width > 0)
+            pdf = np.where(np.isnan(pdf), np.nanmedian(pdf) if (~np.isnan(pdf)).any() else 1.0, pdf)
+            out.append((0.5 * (bounds[:-1] + bounds[1:]), scores, pdf))
+        return out
+
+
+class Ensemble:
+    """Boosters on bags of dates (counts of a block bootstrap) on common bins, and
+    tables of the pairs of features that explain most of what is left."""
+
+    def __init__(self, bags: int = 4, pairs: int = 2, block: int = 20, cells: int = 6, **how):
+        self.n_bags, self.n_pairs, self.block, self.cells, self.how = bags, pairs, block, cells, how
+        self.bags: list[Booster] = []
+        self.pairs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def counts(self, dates: np.ndarray, bag: int) -> np.ndarray:
+        """How often overlapping blocks of dates cover each row's date."""
+        days, at = np.unique(dates, return_inverse=True)
+        rng, n = np.random.default_rng([11, bag]), len(days)
+        starts = rng.integers(0, max(1, n - self.block + 1), -(-n // self.block))
+        hit = (starts[:, None] + np.arange(self.block)).ravel()
+        return np.bincount(hit[hit < n], minlength=n)[at]
+
+    def fit(self, x: np.ndarray, y: np.ndarray, dates: np.ndarray) -> Ensemble:
+        weights = [np.ones(len(y))] if self.n_bags < 2 else [self.counts(dates, b) for b in range(self.n_bags)]
+        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])) for j in range(x.shape[1])]
+        self.bags = [Booster(**self.how).fit(x, y, w, edges) for w in weights]
+        res, found = y - self.predict(x), []
+        for a in range(x.shape[1]):
+            for b in range(a + 1, x.shape[1]):
+                ea, eb = (np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.cells + 1)[1:-1])) for j in (a, b))
+                cell = np.searchsorted(ea, x[:, a], side="right") * (len(eb) + 1) + np.searchsorted(eb, x[:, b], side="right")
+                n = np.bincount(cell, minlength=(len(ea) + 1) * (len(eb) + 1))
+                s = np.bincount(cell, res, len(n)) / (n + 10.0)
+                found.append((-float((n * s * s).sum()), a, b, ea, eb, s))
+        self.pairs = [f[1:] for f in sorted(found, key=lambda f: f[:3])[: self.n_pairs]]
+        return self
+
+    def _cells(self, x: np.ndarray, a: int, b: int, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
+        return np.searchsorted(ea, x[:, a], side="right") * (len(eb) + 1) + np.searchsorted(eb, x[:, b], side="right")
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out = np.mean([m.predict(x) for m in self.bags], axis=0)
+        for a, b, ea, eb, s in self.pairs:
+            out = out + s[self._cells(x, a, b, ea, eb)]
+        return out
+
+    def importance(self, x: np.ndarray, names: list[str]) -> list[tuple[str, float]]:
+        """Terms with the mean of |score|; a pair is called `a & b`."""
+        main = np.mean([m.importance(x) for m in self.bags], axis=0)
+        return list(zip(names, main.tolist(), strict=True)) + [(f"{names[a]} & {names[b]}", float(np.abs(s[self._cells(x, a, b, ea, eb)]).mean())) for a, b, ea, eb, s in self.pairs]
+
+
 def fold_rows(panel: DataFrame, calendar: list[dict]) -> DataFrame:
     """panel rows of each fold with a role, train or predict. The calendar is a
-    row per fold, joined by range."""
+    row per fold, joined by range; a panel with epoch_no (see per_epoch) meets the
+    folds of its epoch only, those from epoch_no x 10,000 on."""
     c = F.broadcast(panel.sparkSession.createDataFrame(calendar))
     inside = F.col("ts").between(F.col("train_start"), F.col("train_end"))
     ahead = F.col("ts").between(F.col("predict_start"), F.col("predict_end"))
-    x = panel.join(c, inside | ahead).withColumn("role", F.when(inside, "train").otherwise("predict"))
+    own = F.floor(F.col("fold") / 10_000) == F.col("epoch_no") if "epoch_no" in panel.columns else F.lit(True)
+    x = panel.join(c, (inside | ahead) & own).withColumn("role", F.when(inside, "train").otherwise("predict"))
     return x.drop("train_start", "train_end", "predict_start", "predict_end")
 
 
-def walk_forward(panel: DataFrame, features: list[str], calendar: list[dict], expert: str | None = None, share: float = 0.5, least: int = 50, least_expert: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(predictions(fold, ts, symbol, score), importance(fold, term, importance)):
-    a global booster, and with `expert` one on its residuals for each regime; a
-    regime without an expert adds 0. Features that are NULL count as 0."""
-    rows = fold_rows(panel.select("ts", "symbol", "y", *features, *([expert] if expert else [])), calendar)
+def walk_forward(panel: DataFrame, features: list[str], calendar: list[dict], expert: str | None = None, share: float = 0.5, least: int = 50, least_expert: int = 30, state: str | None = None, raw: list[str] | None = None, bags: int = 1, pairs: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(predictions(fold, ts, symbol, score), importance(fold, term, importance)) of
+    trained(): see there."""
+    found = trained(panel, features, calendar, expert, share, least, least_expert, state, raw, bags, pairs)
+    scores = found.where("kind = 'score'").select("fold", "ts", "symbol", F.col("value").alias("score"))
+    return scores, found.where("kind = 'importance'").select("fold", "term", F.col("value").alias("importance"))
+
+
+def trained(panel: DataFrame, features: list[str], calendar: list[dict], expert: str | None = None, share: float = 0.5, least: int = 50, least_expert: int = 30, state: str | None = None, raw: list[str] | None = None, bags: int = 1, pairs: int = 0) -> DataFrame:
+    """(fold, kind, ts, symbol, term, bag, bin, x, density, value): kind score (out
+    of sample), fitted (in sample), importance, or shape (a bin of a main effect).
+
+    A global ensemble, and with `expert` one on its residuals for each label; the
+    label of the row counts in sample, `state` (that known before, see hysteresis)
+    out of sample. A label without an expert adds 0. The experts use the columns
+    `raw` in place of the features, if given. Features that are NULL count as 0. A
+    fold of fewer than `least` rows gives nothing."""
+    raw, state = raw or features, state or expert
+    extra = sorted({*features, *raw, *([expert, state] if expert else [])})
+    rows = fold_rows(panel.select("ts", "symbol", "y", *extra, *[c for c in panel.columns if c == "epoch_no"]), calendar)
+    columns = ["fold", "kind", "ts", "symbol", "term", "bag", "bin", "x", "density", "value"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         train = pdf[(pdf["role"] == "train") & pdf["y"].notna()].sort_values(["ts", "symbol"])
-        ahead = pdf[pdf["role"] == "predict"]
-        out = pd.DataFrame(columns=["fold", "kind", "ts", "symbol", "term", "value"])
+        ahead = pdf[pdf["role"] == "predict"].sort_values(["ts", "symbol"])
         if len(train) < least:
-            return out
+            return pd.DataFrame(columns=columns)
         x, y = train[features].fillna(0.0).to_numpy(float), train["y"].to_numpy(float)
-        model = Booster().fit(x, y)
+        model = Ensemble(bags, pairs).fit(x, y, train["ts"].to_numpy())
         fold = int(pdf["fold"].iloc[0])
-        imp = pd.DataFrame({"fold": fold, "kind": "importance", "ts": pd.NaT, "symbol": None, "term": features, "value": model.importance(x)})
-        if ahead.empty:
-            return imp
-        xa = ahead[features].fillna(0.0).to_numpy(float)
-        score = model.predict(xa)
+        fitted, score = model.predict(x), model.predict(ahead[features].fillna(0.0).to_numpy(float)) if len(ahead) else np.zeros(0)
         if expert:
-            res = y - model.predict(x)
-            for regime in sorted(train[expert].dropna().unique()):
-                own = (train[expert] == regime).to_numpy()
-                to = (ahead[expert] == regime).to_numpy()
-                if own.sum() >= least_expert and to.any():
-                    score[to] += share * Booster(rounds=30).fit(x[own], res[own]).predict(xa[to])
-        pred = pd.DataFrame({"fold": fold, "kind": "score", "ts": ahead["ts"].to_numpy(), "symbol": ahead["symbol"].to_numpy(), "term": None, "value": score})
-        return pd.concat([pred, imp])
-
-    found = rows.groupBy("fold").applyInPandas(run, "fold long, kind string, ts timestamp, symbol string, term string, value double")
-    scores = found.where("kind = 'score'").select("fold", "ts", "symbol", F.col("value").alias("score"))
-    return scores, found.where("kind = 'importance'").select("fold", "term", F.col("value").alias("importance"))
+            res = y - fitted
+            xr, xa = train[raw].fillna(0.0).to_numpy(float), ahead[raw].fillna(0.0).to_numpy(float)
+            for label in sorted(train[expert].dropna().unique()):
+                own, to = (train[expert] == label).to_numpy(), (ahead[state] == label).to_numpy()
+                if own.sum() >= least_expert:
+                    special = Booster(rounds=30).fit(xr[own], res[own])
+                    fitted[own] += share * special.predict(xr[own])
+                    if to.any():
+                        score[to] += share * special.predict(xa[to])
+        parts = [
+            pd.DataFrame({"kind": "score", "ts": ahead["ts"], "symbol": ahead["symbol"], "value": score}),
+            pd.DataFrame({"kind": "fitted", "ts": train["ts"], "symbol": train["symbol"], "value": fitted}),
+            pd.DataFrame(model.importance(x, features), columns=["term", "value"]).assign(kind="importance"),
+        ]
+        for bag, m in enumerate(model.bags):
+            for name, (centers, scores, density) in zip(features, m.shapes(x), strict=True):
+                parts.append(pd.DataFrame({"kind": "shape", "term": name, "bag": bag, "bin": range(len(scores)), "x": centers, "density": density, "value": scores}))
+        out = pd.concat([p.reindex(columns=columns) for p in parts if len(p)]).assign(fold=fold)
+        return out.astype({"bag": "Int64", "bin": "Int64", "x": float, "density": float, "value": float})
+
+    return rows.groupBy("fold").applyInPandas(run, "fold long, kind string, ts timestamp, symbol string, term string, bag long, bin long, x double, density double, value double")
+
+
+def shape_table(found: DataFrame) -> DataFrame:
+    """The shapes of trained(), as shape_health() takes them."""
+    return found.where("kind = 'shape'").select("fold", F.col("term").alias("feature"), "bag", "bin", "x", F.col("value").alias("score"), "density")
+
+
+def per_epoch(panel: DataFrame, epochs: DataFrame, features: list[str], calendar: list[dict], **how) -> DataFrame:
+    """(epoch, fold, ts, symbol, score): each epoch is trained on its own symbols
+    over all dates, its predictions cut to its dates, and all are put together. An
+    epoch's fold is a group of its own."""
+    spans = [(str(r["snapshot_date"]), r["epoch_start"], r["epoch_end"]) for r in epochs.select("snapshot_date", "epoch_start", "epoch_end").distinct().orderBy("snapshot_date").collect()]  # a row an epoch
+    day = lambda t: t.date() if hasattr(t, "date") else t
+    rows = []
+    for e, (_, start, end) in enumerate(spans):
+        rows += [{**c, "fold": e * 10_000 + c["fold"]} for c in calendar if day(c["predict_end"]) >= start and day(c["predict_start"]) <= end]
+    members = epochs.select("symbol", F.col("snapshot_date").cast("string").alias("epoch")).distinct()
+    names = panel.sparkSession.createDataFrame([(e, s, a, b) for e, (s, a, b) in enumerate(spans)], "epoch_no long, epoch string, epoch_start date, epoch_end date")
+    if not rows:
+        return panel.select(F.lit("").alias("epoch"), F.lit(0).cast("long").alias("fold"), "ts", "symbol", F.lit(0.0).alias("score")).limit(0)
+    own = panel.join(F.broadcast(members.join(names, "epoch").select("symbol", "epoch_no")), "symbol")
+    scores = walk_forward(own, features, rows, **how)[0]
+    scores = scores.withColumn("epoch_no", F.floor(F.col("fold") / 10_000)).join(F.broadcast(names), "epoch_no")
+    cut = scores.where(F.col("ts").cast("date").between(F.col("epoch_start"), F.col("epoch_end")))
+    return cut.select("epoch", (F.col("fold") % 10_000).alias("fold"), "ts", "symbol", "score")
 
 
 def mixture(global_score: DataFrame, expert_score: DataFrame, share: float = 0.5) -> DataFrame:
@@ -154,50 +261,136 @@ def tournament(raw: Iterable[tuple[int, dict[str, float]]], span: int = 5) -> li
 
 def hysteresis(labels: DataFrame, column: str, k: int = 3) -> DataFrame:
     """(ts, state): the label of the row before, switched only after k rows in a
-    row ask for the same other one. A fold over the market's one row per date."""
-    seq = labels.groupBy(F.lit(1).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("ts", F.col(column).alias("l")))).alias("s"))
-    s = seq.select(
-        F.explode(
-            F.expr(
-                f"""aggregate(s, named_struct('cur', CAST(NULL AS STRING), 'want', CAST(NULL AS STRING), 'n', 0, 'prev', CAST(NULL AS STRING), 'out', CAST(array() AS ARRAY<STRUCT<ts: TIMESTAMP, state: STRING>>)),
-            (a, x) -> CASE
-              WHEN a.prev IS NULL THEN named_struct('cur', a.cur, 'want', a.want, 'n', a.n, 'prev', x.l, 'out', concat(a.out, array(named_struct('ts', x.ts, 'state', a.cur))))
-              WHEN a.cur IS NULL THEN named_struct('cur', a.prev, 'want', CAST(NULL AS STRING), 'n', 0, 'prev', x.l, 'out', concat(a.out, array(named_struct('ts', x.ts, 'state', a.prev))))
-              WHEN a.prev = a.cur THEN named_struct('cur', a.cur, 'want', CAST(NULL AS STRING), 'n', 0, 'prev', x.l, 'out', concat(a.out, array(named_struct('ts', x.ts, 'state', a.cur))))
-              WHEN a.want = a.prev AND a.n + 1 >= {k} OR {k} <= 1 THEN named_struct('cur', a.prev, 'want', CAST(NULL AS STRING), 'n', 0, 'prev', x.l, 'out', concat(a.out, array(named_struct('ts', x.ts, 'state', a.prev))))
-              ELSE named_struct('cur', a.cur, 'want', a.prev, 'n', IF(a.want = a.prev, a.n + 1, 1), 'prev', x.l, 'out', concat(a.out, array(named_struct('ts', x.ts, 'state', a.cur)))) END,
-            a -> a.out)"""
-            )
-        ).alias("r")
-    )
-    return s.select("r.ts", "r.state")
+    row ask for the same other one; a missing label changes nothing. A recursion
+    over the market's one row per date, in one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        out, now, want, n = [], None, None, 0
+        for label in [None, *pdf["l"].tolist()[:-1]]:
+            if label is not None and label == label:
+                if now is None or label == now:
+                    now, want, n = label, None, 0
+                else:
+                    want, n = label, n + 1 if label == want else 1
+                    if n >= k:
+                        now, want, n = label, None, 0
+            out.append(now)
+        return pd.DataFrame({"ts": pdf["ts"], "state": out})
+
+    one = labels.select("ts", F.col(column).cast("string").alias("l"), F.lit(1).alias("_g"))
+    return one.groupBy("_g").applyInPandas(run, "ts timestamp, state string")
 
 
 def scalar_ema(values: DataFrame, span: int = 5) -> DataFrame:
-    """(fold, name, ema) per candidate over folds 0..n; absent folds decay."""
+    """(fold, name, ema) per candidate over all folds from its first value, which
+    seeds it; absent folds decay. A fold over the array of values so far."""
     a = 2 / (span + 1)
     grid = values.select("fold").distinct().crossJoin(values.select("name").distinct()).join(values, ["fold", "name"], "left")
-    w = W.partitionBy("name").orderBy("fold")
-    x = grid.withColumns({"_i": F.row_number().over(w), "_first": F.min(F.when(F.col("value").isNotNull(), F.col("fold"))).over(W.partitionBy("name"))}).where(F.col("fold") >= F.col("_first"))
-    # The recursion in closed form: the seed has weight (1-a)^t, later values a (1-a)^(t-i).
-    wt = F.when(F.col("fold") == F.col("_first"), 1.0).otherwise(a) * F.coalesce("value", F.lit(0.0)) * F.pow(F.lit(1 - a), -F.col("_i"))
-    return x.withColumn("_s", wt).select("fold", "name", (F.sum("_s").over(w) * F.pow(F.lit(1 - a), F.col("_i"))).alias("ema"))
-
-
-def shape_health(shapes: DataFrame) -> DataFrame:
-    """shapes(fold, feature, bag, bin, x, score, density): per (fold, feature)
-    importance, tail/core ratio, mean |second difference|, variance over bags."""
-    w = W.partitionBy("fold", "feature", "bag").orderBy("bin")
-    edge = (F.col("bin") <= 1) | (F.col("bin") >= F.max("bin").over(W.partitionBy("fold", "feature")) - 1)
-    x = shapes.withColumns({"_d2": F.col("score") - 2 * F.lag("score").over(w) + F.lag("score", 2).over(w), "_edge": edge})
-    x = x.withColumn("_v", F.var_pop("score").over(W.partitionBy("fold", "feature", "bin")))
-    wm = lambda v, c: F.try_divide(F.sum(F.when(c, F.col("density") * F.abs(v))), F.nullif(F.sum(F.when(c, F.col("density"))), F.lit(0.0)))
-    return x.groupBy("fold", "feature").agg(
-        wm(F.col("score"), F.lit(True)).alias("importance"),
-        F.try_divide(wm(F.col("score"), F.col("_edge")), F.nullif(wm(F.col("score"), ~F.col("_edge")), F.lit(0.0))).alias("tail_ratio"),
-        F.avg(F.abs("_d2")).alias("curvature"),
-        F.avg("_v").alias("variance"),
-        F.count_distinct(F.when(F.col("score") != 0, F.col("bin"))).alias("nonzero"),
+    first = F.min(F.when(F.col("value").isNotNull(), F.col("fold"))).over(W.partitionBy("name"))
+    x = grid.withColumn("_first", first).where(F.col("fold") >= F.col("_first"))
+    so_far = F.collect_list(F.coalesce("value", F.lit(0.0))).over(W.partitionBy("name").orderBy("fold"))
+    return x.withColumn("_l", so_far).select("fold", "name", F.expr(f"aggregate(slice(_l, 2, greatest(size(_l) - 1, 0)), _l[0], (s, v) -> (1 - {a!r}D) * s + {a!r}D * v)").alias("ema"))
+
+
+def conditional_mi(panel: DataFrame, calendar: list[dict], features: list[str], candidates: list[str], target: str = "y_raw", bins: tuple[int, int, int] = (3, 5, 3), least: int = 4) -> DataFrame:
+    """(fold, candidate, cmi): the mean over features of the conditional mutual
+    information with the target given the candidate, all in quantile bins of the
+    fold's training rows. Edges are one row a fold, counts a partial aggregation."""
+    rows = fold_rows(panel.where(F.col(target).isNotNull()).select("ts", "symbol", F.col(target).alias("_y"), *features, *candidates), calendar).where("role = 'train'")
+    parts = {"_y": bins[0], **{c: bins[1] for c in features}, **{c: bins[2] for c in candidates}}
+    edges = rows.groupBy("fold").agg(*[cs.edges(c, q).alias(f"_e{i}") for i, (c, q) in enumerate(parts.items())])
+    x = rows.join(F.broadcast(edges), "fold")
+    code = {c: F.when(F.size(f"_e{i}") >= 3, cs.cut(c, f"_e{i}")).otherwise(-1) for i, c in enumerate(parts)}
+    x = x.select("fold", code["_y"].alias("y"), F.array(*[F.struct(F.lit(c).alias("feature"), code[c].alias("x")) for c in features]).alias("f"), F.array(*[F.struct(F.lit(c).alias("candidate"), code[c].alias("g")) for c in candidates]).alias("c"))
+    x = x.select("fold", "y", F.explode("f").alias("f"), "c").select("fold", "y", "f.*", F.explode("c").alias("c")).select("fold", "y", "feature", "x", "c.*")
+    k = x.where("y >= 0 AND x >= 0 AND g >= 0").groupBy("fold", "candidate", "feature", "g", "x", "y").agg(F.count("*").cast("double").alias("n"))
+    by = ("fold", "candidate", "feature", "g")
+    tot = lambda *c: F.sum("n").over(W.partitionBy(*by, *c))
+    k = k.withColumns({"_t": tot(), "_x": tot("x"), "_y": tot("y")})
+    mi = k.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("_t") * F.ln(F.col("n") * F.col("_t") / (F.col("_x") * F.col("_y")))).alias("mi"))
+    per = mi.groupBy("fold", "candidate", "feature").agg((F.sum(F.when(F.col("n") >= least, F.col("n") * F.col("mi")).otherwise(0.0)) / F.sum("n")).alias("cmi"))
+    return per.groupBy("fold", "candidate").agg(F.avg("cmi").alias("cmi"))
+
+
+def tournament_walk_forward(panel: DataFrame, features: list[str], candidates: list[str], calendar: list[dict], regimes: int = 3, window: int = 60, hold: int = 3, span: int = 3, **how) -> tuple[DataFrame, list[dict]]:
+    """(predictions(fold, ts, symbol, score), log): for each fold the market series
+    with the highest smoothed conditional information wins. The features are made
+    neutral on it over time, its quantiles on the training dates label the dates,
+    and experts per label are trained on the residuals of the global model; out of
+    sample the label is that of the date before, with hysteresis. The edges are
+    kept while the winner stays. The log has a row a fold."""
+    raw: dict[int, dict[str, float]] = {}
+    for r in conditional_mi(panel, calendar, features, candidates).collect():  # folds x candidates numbers
+        raw.setdefault(r["fold"], {})[r["candidate"]] = r["cmi"]
+    log, last, edges = [], None, None
+    out = None
+    market = panel.groupBy("ts").agg(*[F.first(c, True).alias(c) for c in candidates])
+    by_fold = {c["fold"]: c for c in calendar}
+    for fold, winner, smooth in tournament(raw.items(), span):
+        if winner != last:
+            c = by_fold[fold]
+            inside = market.where(F.col("ts").between(F.lit(c["train_start"]), F.lit(c["train_end"])))
+            cuts = inside.agg(F.percentile(winner, F.lit([i / regimes for i in range(1, regimes)])).alias("e")).first()["e"]
+            edges = cuts if cuts and all(b > a for a, b in zip(cuts, cuts[1:], strict=False)) else None
+            last = winner
+        log.append({"fold": fold, "winner": winner, "edges": edges, **{f"ema_cmi_{k}": v for k, v in smooth.items()}})
+    for winner, edges in {(r["winner"], tuple(r["edges"] or ())) for r in log}:
+        own = [by_fold[r["fold"]] for r in log if (r["winner"], tuple(r["edges"] or ())) == (winner, edges)]
+        label = F.lit(regimes // 2) if not edges else sum((F.when(F.col(winner) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+        lab = market.select("ts", F.when(F.col(winner).isNotNull(), label).cast("string").alias("_label"))
+        lab = lab.join(hysteresis(lab, "_label", hold).withColumnRenamed("state", "_state"), "ts")
+        flat = {f"_n_{f}": ts.residual_on_market(f, winner, window, window // 4) for f in features}
+        x = panel.join(F.broadcast(lab), "ts").withColumns(flat)
+        got = walk_forward(x, list(flat), own, expert="_label", state="_state", raw=features, **how)[0]
+        out = got if out is None else out.unionByName(got)
+    return out, log
+
+
+def shape_health(shapes: DataFrame, core: float = 0.05) -> DataFrame:
+    """shapes(fold, feature, bag, bin, x, score, density) -> per (fold, feature):
+    monotonicity (rank correlation of bin center and mean score, weighted by
+    density), tail_core_ratio (largest |score| of bins below the core density over
+    that of the others, 0 without one of them), curvature (sum of |second
+    differences|), cross_bag_variance (variance between bags, summed by density),
+    n_bins. Fewer than 3 bins have no monotonicity and no curvature."""
+    by = ("fold", "feature")
+    b = shapes.groupBy(*by, "bin").agg(F.avg("score").alias("s"), F.var_pop("score").alias("v"), F.min_by("x", "bag").alias("x"), F.min_by("density", "bag").alias("d"))
+    w, every = W.partitionBy(*by).orderBy("bin"), W.partitionBy(*by)
+    b = b.withColumns({"_rx": cs.rank_average("x", *by), "_rs": cs.rank_average("s", *by), "_d2": F.col("s") - 2 * F.lag("s").over(w) + F.lag("s", 2).over(w), "_sum": F.sum("d").over(every), "_n": F.count("*").over(every)})
+    b = b.withColumn("_w", F.when(F.col("_sum") > 0, F.col("d") / F.col("_sum")).otherwise(1 / F.col("_n")))
+    b = b.withColumns({"_mx": F.sum(F.col("_w") * F.col("_rx")).over(every), "_ms": F.sum(F.col("_w") * F.col("_rs")).over(every)})
+    dx, ds = F.col("_rx") - F.col("_mx"), F.col("_rs") - F.col("_ms")
+    spread = F.sqrt(F.sum(F.col("_w") * dx * dx) * F.sum(F.col("_w") * ds * ds))
+    tail, inner = F.max(F.when(F.col("d") < core, F.abs("s"))), F.max(F.when(F.col("d") >= core, F.abs("s")))
+    enough = F.count("*") >= 3
+    return b.groupBy(*by).agg(
+        F.when(enough, F.try_divide(F.sum(F.col("_w") * dx * ds), F.nullif(spread, F.lit(0.0)))).alias("monotonicity"),
+        F.when((inner > 0) & tail.isNotNull(), tail / (inner + 1e-6)).otherwise(0.0).alias("tail_core_ratio"),
+        F.when(enough, F.sum(F.abs("_d2"))).alias("curvature"),
+        F.sum(F.col("d") * F.col("v")).alias("cross_bag_variance"),
+        F.count("*").alias("n_bins"),
+    )
+
+
+def fold_performance(fitted: DataFrame, quantile: float = 0.2, beta: str | None = None, periods: int = 252) -> DataFrame:
+    """fitted(fold, ts, symbol, score, y_raw) -> per fold the in-sample Sharpe ratio,
+    total return and number of days of rank weights on both tails; with beta, the
+    scores are first made neutral on it per date. Dates of fewer than 4 names, or
+    without one of the sides, are left out; folds of fewer than 5 days are NULL."""
+    by = ("fold", "ts")
+    x = fitted.where("y_raw IS NOT NULL")
+    x = x.withColumn("_p", cs.residual("score", beta, *by, active="all", min_points=3, fill_zero=False) if beta else F.col("score"))
+    x = x.withColumns({"_n": F.count("*").over(W.partitionBy(*by)), "_r": cs.rank_first("_p", *by)})
+    x = x.where("_n >= 4").withColumn("_side", F.when(F.col("_r") > F.col("_n") * (1 - quantile), 1).when(F.col("_r") <= F.col("_n") * quantile, -1))
+    x = x.where("_side IS NOT NULL").withColumn("_s", F.when(F.col("_side") == 1, F.col("_r")).otherwise(F.col("_n") + 1 - F.col("_r")).cast("double"))
+    x = x.withColumn("_w", F.col("_s") / F.sum("_s").over(W.partitionBy(*by, "_side")) * 0.5 * F.col("_side"))
+    day = x.groupBy(*by).agg(F.sum(F.col("_w") * F.col("y_raw")).alias("r"), F.count_distinct("_side").alias("_k")).where("_k = 2")
+    ok = F.count("*") >= 5
+    return day.groupBy("fold").agg(
+        F.when(ok, F.avg("r") / (F.stddev_samp("r") + 1e-12) * F.sqrt(F.lit(float(periods)))).alias("sharpe"),
+        F.when(ok, F.product(1 + F.col("r")) - 1).alias("total_return"),
+        F.count("*").alias("n_days"),
     )
 
 
@@ -206,7 +399,7 @@ def in_sample(pred: DataFrame, score: str = "score", target: str = "y") -> DataF
     x = pred.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     x = x.withColumns({"_a": cs.rank_average(score, "fold"), "_b": cs.rank_average(target, "fold"), "_m": F.avg(target).over(W.partitionBy("fold"))})
     err = F.sum(F.pow(F.col(target) - F.col(score), 2))
-    return x.groupBy("fold").agg(F.corr("_a", "_b").alias("ic"), (1 - F.try_divide(err, F.nullif(F.sum(F.pow(F.col(target) - F.col("_m"), 2)), F.lit(0.0)))).alias("r2"))
+    return x.groupBy("fold").agg(cs.correlation("_a", "_b").alias("ic"), (1 - F.try_divide(err, F.nullif(F.sum(F.pow(F.col(target) - F.col("_m"), 2)), F.lit(0.0)))).alias("r2"))
 
 
 def forward_performance(weights: DataFrame, targets: DataFrame, periods: int = 252) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,12 +95,20 @@ def quantile_forward(panel: DataFrame, factor: str, q: int = 5, signed: bool = T
     return day.withColumn("cumulative", F.sum("ret").over(W.partitionBy("bucket").orderBy("ts")))
 
 
-def traded_contribution(panel: DataFrame, factor: str, q: int = 3, qty: str = "position_qty") -> DataFrame:
+def long_short_spread(buckets: DataFrame, q: int = 5) -> DataFrame:
+    """quantile_forward's table -> (ts, spread, cumulative): top less bottom bucket."""
+    day = buckets.groupBy("ts").agg(F.sum(F.when(F.col("bucket") == q, F.col("ret"))).alias("_t"), F.sum(F.when(F.col("bucket") == 1, F.col("ret"))).alias("_b"))
+    day = day.select("ts", (F.coalesce("_t", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))).alias("spread"))
+    return day.withColumn("cumulative", F.sum("spread").over(W.partitionBy(F.lit(1)).orderBy("ts")))
+
+
+def traded_contribution(panel: DataFrame, factor: str, q: int = 3, qty: str = "position_qty", as_weights: bool | None = None) -> DataFrame:
     """(ts, bucket, pnl): summed contribution of names held, by rank of |factor|.
-    Quantities below 5 are weights (times return), others holdings (times price
-    change); one aggregate decides."""
-    largest = panel.agg(F.max(F.abs(qty))).first()[0] or 0.0
-    gain = ts.lead("ret") if largest < 5 else ts.lead("close") - F.col("close")
+    Weights count times return, holdings times price change; if not told, all
+    quantities below 5 are weights, which one aggregate decides."""
+    if as_weights is None:
+        as_weights = (panel.agg(F.max(F.abs(qty))).first()[0] or 0.0) < 5
+    gain = ts.lead("ret") if as_weights else ts.lead("close") - F.col("close")
     x = panel.withColumn("_g", gain).withColumn("_x", F.when(F.col(qty) != 0, F.abs(factor))).where("_x IS NOT NULL")
     return x.withColumn("bucket", cs.bucket("_x", q)).groupBy("ts", "bucket").agg(F.coalesce(F.sum(F.col(qty) * F.col("_g")), F.lit(0.0)).alias("pnl"))
 
@@ -155,11 +165,15 @@ def event_driven(weights: DataFrame, prices: DataFrame, cash: float = 10_000.0,
 
 
 def grid_search(panel: DataFrame, strategy, parameters: list[dict], run) -> list[tuple[dict, dict]]:
-    """run(strategy(panel, **p)) for each parameter set; sets that fail are left out."""
-    out = []
-    for p in parameters:
+    """(parameters, summary) of run(strategy(panel, **p)) for each set; one that
+    fails has {"error": why} in place of its summary. The sets are Spark jobs of
+    their own, a few at a time from driver threads, so they share the cluster."""
+
+    def one(p: dict) -> tuple[dict, dict]:
         try:
-            out.append((p, run(strategy(panel, **p)).first().asDict()))
-        except (ValueError, ArithmeticError):
-            continue
-    return out
+            return p, run(strategy(panel, **p)).first().asDict()
+        except (ValueError, ArithmeticError, PySparkException) as e:
+            return p, {"error": str(e)[:200]}
+
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(one, parameters))

@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import cs, ts
 
@@ -35,21 +34,28 @@ class Lookbacks:
     liquidity: int = 30
 
 
-def ewm(df: DataFrame, column: str, out: str, halflife: float | None = None, alpha: float | None = None, adjust: bool = True, min_periods: int = 0, key: str = "symbol") -> DataFrame:
-    """Exponentially weighted mean per symbol; weights decay over NULL rows too.
-    A recursion has no window form, so a symbol's series goes to one pandas call."""
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], T.StructField(out, T.DoubleType())])
+def ewms(df: DataFrame, columns: dict[str, str], halflife: float | None = None, alpha: float | None = None, adjust: bool = True, min_periods: int = 0, key: str = "symbol") -> DataFrame:
+    """df with exponentially weighted means (column -> name of its mean) per
+    symbol; weights decay over NULL rows too. A recursion has no window form, so
+    each symbol's series, and only they, go to one pandas call; (key, ts) is
+    unique."""
     how = {"halflife": halflife} if alpha is None else {"alpha": alpha}
+    pairs = {f"_x{i}": f"_e{i}" for i in range(len(columns))}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        pdf[out] = pdf[column].astype(float).ewm(**how, adjust=adjust, min_periods=min_periods).mean()
-        return pdf
+        return pdf[[key, "ts"]].assign(**{e: pdf[x].astype(float).ewm(**how, adjust=adjust, min_periods=min_periods).mean() for x, e in pairs.items()})
 
+    kinds = dict(df.dtypes)
+    narrow = df.select(key, "ts", *[F.col(c).cast("double").alias(x) for c, x in zip(columns, pairs, strict=True)])
+    found = narrow.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, ts {kinds['ts']}, " + ", ".join(f"{e} double" for e in pairs.values()))
     # Arrow brings NaN for a missing value; NULL is the only one here.
-    return df.groupBy(key).applyInPandas(run, schema).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    found = found.select(key, "ts", *[F.when(~F.isnan(e), F.col(e)).alias(out) for e, out in zip(pairs.values(), columns.values(), strict=True)])
+    return df.join(found, [key, "ts"], "left")
 
 
+def ewm(df: DataFrame, column: str, out: str, halflife: float | None = None, alpha: float | None = None, adjust: bool = True, min_periods: int = 0, key: str = "symbol") -> DataFrame:
+    return ewms(df, {column: out}, halflife, alpha, adjust, min_periods, key)
 
 
 def beta(df: DataFrame, n: int = 60, out: str = "beta_60", ret: str = "ret", market: str = "mkt", limit: float = 3.0) -> DataFrame:
@@ -84,8 +90,7 @@ def adx(bars: DataFrame, n: int = 14, key: str = "symbol") -> DataFrame:
             "_m": F.when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).otherwise(0.0),
         }
     )
-    for c in ("_tr", "_p", "_m"):
-        x = ewm(x, c, c + "e", alpha=1 / n, adjust=False, key=key)
+    x = ewms(x, {c: c + "e" for c in ("_tr", "_p", "_m")}, alpha=1 / n, adjust=False, key=key)
     di = lambda c: 100 * F.try_divide(F.col(c), F.nullif(F.col("_tre"), F.lit(0.0)))
     x = x.withColumns({"plus_di": di("_pe"), "minus_di": di("_me")})
     total = F.nullif(F.col("plus_di") + F.col("minus_di"), F.lit(0.0))
@@ -94,23 +99,31 @@ def adx(bars: DataFrame, n: int = 14, key: str = "symbol") -> DataFrame:
     return x.drop("_tr", "_up", "_dn", "_p", "_m", "_tre", "_pe", "_me", "_dx")
 
 
-def market_regimes(market: DataFrame, window: int | None = None) -> DataFrame:
-    """Volatility, trend and skew labels per date, by thresholds known before it."""
+#: Regime labels and their codes.
+VOLATILITY_CODES = {"Low Volatility": 0, "Medium Volatility": 1, "High Volatility": 2}
+TREND_CODES = {"Ranging": 0, "Weak Trend": 1, "Strong Trend": 2}
+SKEW_CODES = {"Negative Skew": -1, "Neutral Skew": 0, "Positive Skew": 1}
+
+
+def market_regimes(market: DataFrame, window: int | None = None, warmup: int = 120) -> DataFrame:
+    """Volatility, trend and skew labels per date. The volatility is held against
+    quartiles of the dates before (all, or `window`), from `warmup` values on; a
+    date without a measure or threshold has the middle label."""
     m = market.withColumns({"volatility": ts.std("mkt_ret", 30, None, None), "skewness": ts.skew("mkt_ret", 90, None, None)})
-    m = m.withColumns({"_lo": ts.quantile_before("volatility", 0.25, window, 1, None), "_hi": ts.quantile_before("volatility", 0.75, window, 1, None)})
+    m = m.withColumns({"_lo": ts.quantile_before("volatility", 0.25, window, warmup, None), "_hi": ts.quantile_before("volatility", 0.75, window, warmup, None)})
     m = adx(m.withColumn("_k", F.lit("market")), key="_k").drop("_k")
     return m.withColumns(
         {
-            "volatility_regime": F.when(F.col("volatility").isNull() | F.col("_lo").isNull(), None).when(F.col("volatility") <= F.col("_lo"), "Low").when(F.col("volatility") >= F.col("_hi"), "High").otherwise("Med"),
-            "trend_regime": F.when(F.col("adx").isNull(), None).when(F.col("adx") < 20, "Ranging").when(F.col("adx") < 25, "Weak").otherwise("Strong"),
-            "skew_regime": F.when(F.col("skewness").isNull(), None).when(F.col("skewness") < -0.5, "Neg").when(F.col("skewness") > 0.5, "Pos").otherwise("Neu"),
+            "volatility_regime": F.when(F.col("volatility") < F.col("_lo"), "Low Volatility").when(F.col("volatility") > F.col("_hi"), "High Volatility").otherwise("Medium Volatility"),
+            "trend_regime": F.when(F.col("adx") > 25, "Strong Trend").when(F.col("adx") < 20, "Ranging").otherwise("Weak Trend"),
+            "skew_regime": F.when(F.col("skewness") < -0.5, "Negative Skew").when(F.col("skewness") > 0.5, "Positive Skew").otherwise("Neutral Skew"),
         }
     ).drop("_lo", "_hi")
 
 
 def encoded(df: DataFrame) -> DataFrame:
     """Ordinal codes of the regime labels, as FLOAT."""
-    codes = {"volatility_regime": {"Low": 0, "Med": 1, "High": 2}, "trend_regime": {"Ranging": 0, "Weak": 1, "Strong": 2}, "skew_regime": {"Neg": -1, "Neu": 0, "Pos": 1}}
+    codes = {"volatility_regime": VOLATILITY_CODES, "trend_regime": TREND_CODES, "skew_regime": SKEW_CODES}
 
     def code(c: str) -> Column:
         out = F.lit(None).cast("float")
@@ -192,13 +205,23 @@ def factor_panel(df: DataFrame, p: Lookbacks = Lookbacks()) -> DataFrame:
     # 3. per symbol, on the results of 2
     x = x.withColumn("ts_z_oi_chg", ts.zscore("cs_z_oi_chg", p.rev_ts))
     shock = F.when(F.col("ts_z_oi_chg").isNotNull(), F.greatest(F.lit(0.0), -F.col("ts_z_oi_chg") - 0.5))
-    x = x.withColumn("liquidity_shock", shock).withColumn("interaction_alpha", F.col("liquidity_shock") * F.col("regime_score"))
+    x = x.withColumn("liquidation_shock", shock).withColumn("interaction_alpha", F.col("liquidation_shock") * F.col("regime_score"))
     x = ewm(x.drop(*[c for c in x.columns if c.startswith("_")]), "interaction_alpha", "reversal_hawkes", halflife=p.halflife)
     # 4. per date, then the deltas of all per symbol
     x = x.withColumn("rev_final_score", cs.residual("reversal_hawkes", "beta_60"))
     return x.withColumns({f"{c}_delta": ts.delta(c) for c in DELTAS})
 
 
+def with_regimes(panel: DataFrame, market: DataFrame) -> DataFrame:
+    """The whole panel: factors with the regime labels of their date, market_adx,
+    market_volatility and the codes. The market is one row per date, which a date
+    without one takes from the last before it."""
+    names = ["volatility_regime", "trend_regime", "skew_regime", "market_adx", "market_volatility"]
+    m = market.select("ts", "volatility_regime", "trend_regime", "skew_regime", F.col("adx").alias("market_adx"), F.col("volatility").alias("market_volatility"))
+    m = panel.select("ts").distinct().join(m, "ts", "left").withColumns({c: F.last(c, True).over(W.partitionBy(F.lit(1)).orderBy("ts")) for c in names})
+    return encoded(panel.join(m, "ts"))
+
+
 def live_scores(panel: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Last row of each symbol: score x volatility adjustment x penalties; near-zero
     funding also stops a symbol here."""

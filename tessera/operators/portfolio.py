@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import cs, ts
+
 
 def shrunk(sample: np.ndarray, how: str = "diagonal", alpha: float = 0.5, returns: np.ndarray | None = None) -> np.ndarray:
     """Sample covariance shrunk to its diagonal, or to the mean variance with the
@@ -146,13 +148,40 @@ def strategy_mix(returns: DataFrame, names: list[str], lookback: int = 60, risk:
 
 def equal_weight(weights: DataFrame, leverage: float = 1.0, cap: float = 0.1) -> DataFrame:
     """Mean over strategies, clipped, scaled down where gross exceeds leverage."""
-    from ..functions import cs, ts
-
     x = weights.groupBy("ts", "symbol").agg(F.avg("weight").alias("_w")).withColumn("_w", ts.clip("_w", -cap, cap))
     gross = F.sum(F.abs("_w")).over(cs.section())
     return x.select("ts", "symbol", (F.col("_w") * F.when(gross > leverage, leverage / gross).otherwise(1.0)).alias("weight"))
 
 
+def combine(weights: DataFrame, panel: DataFrame, method: str = "linear", leverage: float = 1.0, cap: float = 0.1, risk: float = 1.0, lookback: int = 60, share_ema: float = 1.0, weight_ema: float = 1.0) -> DataFrame:
+    """(ts, symbol, weight) from the weights(strategy, ts, symbol, weight) of several
+    strategies, on the panel's grid. linear and mean_variance allocate the composite
+    alpha, equal_weight scales it, cross_signal_mv first blends the strategies'
+    z-scores by simplex mean-variance of their past returns; weight_ema smooths
+    the outcome."""
+    from . import backtest
+    from . import weights as wt
+
+    alpha = wt.composite_alpha(weights)
+    if method == "equal_weight":
+        out = equal_weight(alpha.withColumnRenamed("score", "weight"), leverage, cap)
+    elif method == "mean_variance":
+        out = allocate(panel.select("ts", "symbol", "ret").join(alpha, ["ts", "symbol"], "left"), "score", lookback, risk, leverage, cap)
+    elif method in ("linear", "cross_signal_mv"):
+        if method == "cross_signal_mv":
+            names = [r[0] for r in weights.select("strategy").distinct().orderBy("strategy").collect()]  # a few strategies
+            mix = strategy_mix(backtest.strategy_returns(weights, panel), names, lookback, risk, share_ema)
+            z = cs.zscore(F.nullif(F.col("weight"), F.lit(0.0)), "strategy", "ts")
+            alpha = weights.withColumn("_z", z).join(F.broadcast(mix), ["strategy", "ts"]).groupBy("ts", "symbol").agg(F.sum(F.col("_z") * F.col("share")).alias("score"))
+        out = wt.linear(alpha.where("score IS NOT NULL"), leverage, cap)
+    else:
+        raise ValueError(f"unknown method {method}")
+    grid = panel.select("ts", "symbol").join(out, ["ts", "symbol"], "left").select("ts", "symbol", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    if weight_ema >= 1.0:
+        return grid
+    return wt.smoothed(grid.withColumn("strategy", F.lit(method)), weight_ema, leverage).select("ts", "symbol", "weight")
+
+
 def floor_to_step(qty, step: float):
     """Lots rounded towards zero to a step."""
     return F.signum(qty) * F.floor(F.abs(qty) / step + 1e-9) * step

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cs, ts
 
 #: Label orders of the reports.
-SKEW_LABELS = ("Neg", "Neu", "Pos")
+SKEW_LABELS = ("Positive Skew", "Neutral Skew", "Negative Skew", "Unknown")
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
@@ -143,12 +143,12 @@ def information_coefficient(df: DataFrame, score: str, target: str, least: int =
     """(ts, ic): Spearman correlation per date over rows that have both."""
     x = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     x = x.withColumns({"_a": cs.rank_average(score), "_b": cs.rank_average(target)})
-    return x.groupBy("ts").agg(F.count("*").alias("_n"), F.corr("_a", "_b").alias("ic")).where(F.col("_n") >= least).select("ts", "ic")
+    return x.groupBy("ts").agg(F.count("*").alias("_n"), cs.correlation("_a", "_b").alias("ic")).where(F.col("_n") >= least).select("ts", "ic")
 
 
 def ic_summary(ic: DataFrame, *by: str) -> DataFrame:
     s = F.stddev_samp("ic")
-    return ic.groupBy(*by).agg(F.avg("ic").alias("mean"), s.alias("std"), F.try_divide(F.avg("ic"), F.nullif(s, F.lit(0.0))).alias("ir"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.count("*").alias("days"))
+    return ic.groupBy(*by).agg(F.avg("ic").alias("mean"), s.alias("std"), F.try_divide(F.avg("ic"), F.nullif(s, F.lit(0.0))).alias("ir"), F.avg(F.coalesce(F.col("ic") > 0, F.lit(False)).cast("double")).alias("positive"), F.count("*").alias("days"))
 
 
 def expanding_ir(ic: DataFrame) -> DataFrame:
@@ -218,16 +218,31 @@ def compare_models(imp: DataFrame) -> DataFrame:
     return x.groupBy("term").agg(F.max_by("model", F.struct("v", "model")).alias("dominant"), F.stddev_samp("v").alias("dispersion"), (F.max("r") - F.min("r")).alias("rank_shift"))
 
 
-def stability(imp: DataFrame, top: int = 10) -> DataFrame:
-    """Per term over folds: mean share, cv, rank mean and deviation, share of
-    folds in the top, trend slope, lag-1 rank correlation."""
-    x = imp.withColumn("share", F.try_divide(F.col("importance"), F.sum("importance").over(W.partitionBy("fold"))))
-    x = x.withColumns({"rank": F.rank().over(W.partitionBy("fold").orderBy(F.desc("share"))), "i": F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy("fold"))})
-    x = x.withColumn("before", F.lag("rank").over(W.partitionBy("term").orderBy("fold")))
+def main_effect_shares(imp: DataFrame, skip: int = 0) -> DataFrame:
+    """(fold, i, term, share) of the main effects on the full grid of folds and
+    terms: absent ones are 0, and a fold without importance has shares of 0. The
+    first `skip` folds are left out; i counts the others from 0."""
+    main = imp.where(~F.contains("term", F.lit(" & ")))
+    fold = main.select("fold").distinct().withColumn("i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("fold")) - 1 - skip).where("i >= 0")
+    x = fold.crossJoin(main.select("term").distinct()).join(main.select("fold", "term", "importance"), ["fold", "term"], "left").fillna(0.0, ["importance"])
+    share = F.try_divide(F.col("importance"), F.nullif(F.sum("importance").over(W.partitionBy("fold")), F.lit(0.0)))
+    return x.select("fold", "i", "term", F.coalesce(share, F.lit(0.0)).alias("share"))
+
+
+def stability(imp: DataFrame, top: int = 10, skip: int = 0) -> DataFrame:
+    """Per main effect over folds: mean and deviation of its share, cv, mean and
+    deviation of its rank (ties take the smaller), share of folds in the top, OLS
+    slope over the folds, correlation of its rank with that of the fold before
+    (from three folds on)."""
+    x = main_effect_shares(imp, skip)
+    x = x.withColumn("rank", F.rank().over(W.partitionBy("fold").orderBy(F.desc("share"))))
+    x = x.withColumn("before", F.lag("rank").over(W.partitionBy("term").orderBy("i")))
     m, s = F.avg("share"), F.stddev_samp("share")
+    slope = F.try_divide(F.covar_pop("share", "i"), F.nullif(F.var_pop("i"), F.lit(0.0)))
     return x.groupBy("term").agg(
-        m.alias("mean"), F.try_divide(s, F.nullif(m, F.lit(0.0))).alias("cv"), F.avg("rank").alias("rank_mean"), F.stddev_samp("rank").alias("rank_std"),
-        F.avg((F.col("rank") <= top).cast("double")).alias("in_top"), F.regr_slope("share", "i").alias("slope"), F.corr("rank", "before").alias("rank_corr"),
+        m.alias("mean"), s.alias("std"), F.try_divide(s, F.nullif(m, F.lit(0.0))).alias("cv"), F.avg("rank").alias("rank_mean"), F.stddev_samp("rank").alias("rank_std"),
+        F.avg((F.col("rank") <= top).cast("double")).alias("in_top"), F.when(F.stddev_pop("share") == 0, 0.0).otherwise(slope).alias("slope"),
+        F.when(F.count("*") >= 3, cs.correlation("rank", "before")).alias("rank_corr"),
     )
 
 
@@ -238,21 +253,99 @@ def fold_spearman(imp: DataFrame, min_share: float = 0.0) -> DataFrame:
     x = x.join(F.broadcast(order), "fold")
     pairs = x.select("fold", "i", "term", "share").join(x.select((F.col("i") + 1).alias("i"), "term", F.col("share").alias("before")), ["i", "term"])
     pairs = pairs.withColumns({"a": cs.rank_average("share", "fold"), "b": cs.rank_average("before", "fold")})
-    return pairs.groupBy("fold").agg(F.corr("a", "b").alias("corr"))
+    return pairs.groupBy("fold").agg(cs.correlation("a", "b").alias("corr"))
 
 
-def health_routing(health: DataFrame) -> DataFrame:
-    """health(feature, importance, tail_ratio, curvature, variance, nonzero) with
-    a route, the first that holds: DROP, EXPERT, GLOBAL."""
-    cut = health.agg(F.greatest(F.percentile("variance", F.lit(0.8)), F.lit(1e-4)).alias("_cut"))
-    route = F.when(F.col("nonzero") < 2, "DROP").when(F.col("importance") <= 0, "DROP").when((F.col("tail_ratio") > 2) | (F.col("variance") > F.col("_cut")), "EXPERT").otherwise("GLOBAL")
-    return health.join(F.broadcast(cut)).withColumn("route", route).drop("_cut")
+def health_over_folds(health: DataFrame, importance: DataFrame | None = None) -> DataFrame:
+    """Per feature over folds of shape_health: means, deviations and maxima, the
+    number of folds, and with importance(fold, term, importance) its mean over
+    the folds and its rank (1 is the largest, ties take the smaller)."""
+    x = health.groupBy("feature").agg(
+        F.avg("monotonicity").alias("monotonicity_mean"), F.stddev_samp("monotonicity").alias("monotonicity_std"), F.avg("tail_core_ratio").alias("tail_core_ratio_mean"), F.max("tail_core_ratio").alias("tail_core_ratio_max"),
+        F.avg("curvature").alias("curvature_mean"), F.avg("cross_bag_variance").alias("cross_bag_variance_mean"), F.percentile("n_bins", F.lit(0.5)).alias("n_bins_median"), F.count_distinct("fold").alias("n_folds"),
+    )
+    if importance is None:
+        return x
+    x = x.join(importance.groupBy(F.col("term").alias("feature")).agg(F.avg("importance").alias("importance_mean")), "feature", "left")
+    rank = F.rank().over(W.partitionBy(F.lit(1)).orderBy(F.col("importance_mean").desc_nulls_last()))
+    return x.withColumn("importance_rank", F.when(F.col("importance_mean").isNotNull(), rank))
+
+
+def health_routing(health: DataFrame, top: int = 20, max_ratio: float = 3.0, share: float = 0.8, min_variance: float = 1e-4, monotonic: float = 0.30) -> DataFrame:
+    """health_over_folds with cross_bag_var_thresh and a route, the first that
+    holds: DROP_tail_and_unstable, DROP_tail or DROP_unstable for a large effect in
+    sparse bins or a variance between bags above the threshold; EXPERT for one of
+    the `top` by importance that is not monotonic; else GLOBAL."""
+    cut = health.agg(F.greatest(F.percentile("cross_bag_variance_mean", F.lit(share)), F.lit(min_variance)).alias("cross_bag_var_thresh"))
+    tail = F.coalesce(F.col("tail_core_ratio_max") > max_ratio, F.lit(False))
+    loose = F.coalesce(F.col("cross_bag_variance_mean") > F.col("cross_bag_var_thresh"), F.lit(False))
+    route = F.when(tail & loose, "DROP_tail_and_unstable").when(tail, "DROP_tail").when(loose, "DROP_unstable")
+    if "importance_rank" in health.columns:
+        route = route.when((F.col("importance_rank") <= top) & (F.abs("monotonicity_mean") < monotonic), "EXPERT")
+    return health.join(F.broadcast(cut)).withColumn("route", route.otherwise("GLOBAL"))
 
 
 def consensus(routes: DataFrame) -> DataFrame:
     """Per feature over models: dropped by all, by any, number of experts."""
-    r = F.col("route")
-    return routes.groupBy("feature").agg(F.bool_and(r == "DROP").alias("strict_drop"), F.bool_or(r == "DROP").alias("soft_drop"), F.count_if(r == "EXPERT").alias("experts"))
+    drop = F.startswith("route", F.lit("DROP"))
+    return routes.groupBy("feature").agg(F.bool_and(drop).alias("strict_drop"), F.bool_or(drop).alias("soft_drop"), F.count_if(F.col("route") == "EXPERT").alias("experts"))
+
+
+def drop_lists(routes: DataFrame) -> DataFrame:
+    """consensus of routes(model, feature, route, importance_rank) with the mean
+    rank: features dropped by any model, in the order of that rank."""
+    rank = routes.groupBy("feature").agg(F.avg("importance_rank").alias("mean_rank"))
+    return consensus(routes).join(rank, "feature").where("soft_drop").orderBy(F.col("mean_rank").asc_nulls_last(), "feature")
+
+
+def partner_models(imp: DataFrame, feature: str, models: list[str], top: int = 10) -> DataFrame:
+    """Interaction partners of a feature with a column of mean importance for
+    each model (0 if absent), ordered by the largest, then the mean."""
+    p = F.split("term", " & ")
+    x = imp.where(F.size(p) == 2).where(F.array_contains(p, feature)).select(F.element_at(F.array_remove(p, feature), 1).alias("partner"), "model", "importance")
+    x = x.groupBy("partner").pivot("model", models).agg(F.avg("importance")).fillna(0.0)
+    cols = [F.col(f"`{m}`") for m in models]
+    x = x.withColumns({"max": F.greatest(*cols) if len(cols) > 1 else cols[0], "mean": sum(cols, F.lit(0.0)) / len(cols)})
+    return x.orderBy(F.desc("max"), F.desc("mean"), "partner").limit(top)
+
+
+def rank_shifts(imp: DataFrame, n: int = 10) -> DataFrame:
+    """compare_models with lists: the n largest and smallest shifts of rank and
+    the n largest dispersions."""
+    x = compare_models(imp)
+    pick = lambda name, *order: x.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order, "term"))).where(F.col("place") <= n).withColumn("list", F.lit(name))
+    return pick("largest_shift", F.desc("rank_shift")).unionByName(pick("smallest_shift", F.asc("rank_shift"))).unionByName(pick("dispersion", F.desc_nulls_last("dispersion")))
+
+
+def pooled_moments(scores: DataFrame, column: str = "score") -> DataFrame:
+    """One row: n, mean, std, and the population skewness and excess kurtosis."""
+    return scores.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.skewness(column).alias("skew"), F.kurtosis(column).alias("kurtosis"))
+
+
+def covariance(returns: DataFrame, column: str = "ret", shrink: float = 0.0) -> DataFrame:
+    """(a, b, cov) of all symbols over the dates that both have; shrink blends the
+    diagonal with the mean variance. The matrix is the result, so symbols meet in
+    pairs; the dates are aggregated."""
+    x = returns.where(F.col(column).isNotNull()).select("ts", "symbol", F.col(column).alias("r"))
+    pairs = x.select("ts", F.col("symbol").alias("a"), F.col("r").alias("ra")).join(x.select("ts", F.col("symbol").alias("b"), F.col("r").alias("rb")), "ts")
+    out = pairs.groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
+    if not shrink:
+        return out
+    mean = out.where("a = b").agg(F.avg("cov").alias("_m"))
+    return out.join(F.broadcast(mean)).select("a", "b", ((1 - shrink) * F.col("cov") + shrink * F.when(F.col("a") == F.col("b"), F.col("_m")).otherwise(0.0)).alias("cov"))
+
+
+def expert_availability(log: DataFrame, separators: list[str]) -> DataFrame:
+    """log(fold, winner, regime) -> (winner, regime, folds, of_folds, share): in how
+    many of a winner's folds a regime had an expert."""
+    folds = log.where(F.col("winner").isin(separators)).groupBy("winner").agg(F.count_distinct("fold").alias("of_folds"))
+    own = log.groupBy("winner", "regime").agg(F.count_distinct("fold").alias("folds"))
+    return own.join(folds, "winner").withColumn("share", F.col("folds") / F.col("of_folds"))
+
+
+def group_means(results: DataFrame, parameters: list[str], metrics: list[str]) -> DataFrame:
+    """Mean metrics by one or two parameters."""
+    return results.groupBy(*parameters).agg(*[F.avg(m).alias(m) for m in metrics])
 
 
 def partners(imp: DataFrame, feature: str, top: int = 10) -> DataFrame:
@@ -281,7 +374,7 @@ def grid_results(results: DataFrame, a: str, b: str, values: list, metric: str =
 
 
 def parameter_correlation(results: DataFrame, parameters: list[str], metrics: list[str]) -> DataFrame:
-    row = results.agg(*[F.corr(p, m).alias(f"{p}|{m}") for p in parameters for m in metrics])
+    row = results.agg(*[cs.correlation(p, m).alias(f"{p}|{m}") for p in parameters for m in metrics])
     stack = ", ".join(f"'{p}', '{m}', `{p}|{m}`" for p in parameters for m in metrics)
     return row.selectExpr(f"stack({len(parameters) * len(metrics)}, {stack}) AS (parameter, metric, corr)")
 

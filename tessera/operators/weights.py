@@ -125,12 +125,14 @@ def distributed(scores: DataFrame, share: float = 0.4, cap: float = 0.1, score:
 
 def per_epoch(panel: DataFrame, epochs: DataFrame, strategy, columns: list[str]) -> DataFrame:
     """strategy over each epoch's own symbols on all dates (windows over time see
-    full history), then cut to the epoch's dates; outside every epoch 0."""
+    full history), then cut to the epoch's dates; outside every epoch 0. The
+    strategy is given the keys of its cross sections, (epoch_id, ts), and keeps
+    them; its windows over time run within (epoch_id, symbol)."""
     members = epochs.select(F.col("snapshot_date").alias("epoch_id"), "epoch_start", "epoch_end", "symbol").distinct()
     spread = panel.join(members, "symbol")
-    day = F.col("ts").cast("date")
-    cut = spread.where(day.between(F.col("epoch_start"), F.col("epoch_end")))  # per-date weights need no other dates
-    found = strategy(cut, ("epoch_id", "ts")).select("ts", "symbol", *columns)
+    days = members.select("epoch_id", "epoch_start", "epoch_end").distinct()
+    found = strategy(spread.drop("epoch_start", "epoch_end"), ("epoch_id", "ts")).join(F.broadcast(days), "epoch_id")
+    found = found.where(F.col("ts").cast("date").between(F.col("epoch_start"), F.col("epoch_end"))).select("ts", "symbol", *columns)
     out = panel.select("ts", "symbol").join(found, ["ts", "symbol"], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns})
 
@@ -142,8 +144,8 @@ def composite_alpha(weights: DataFrame) -> DataFrame:
 
 
 def smoothed(weights: DataFrame, alpha: float, leverage: float) -> DataFrame:
-    """Weight EMA that rescales only while gross exceeds the leverage. The step is
-    not linear and couples all symbols of a date, so dates go in order through
+    """Weight EMA that, from the second date on, scales a gross below the leverage
+    up to it. The step is not linear and couples all symbols of a date, so dates go in order through
     one function; the group is one strategy's weights."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +154,7 @@ def smoothed(weights: DataFrame, alpha: float, leverage: float) -> DataFrame:
         for _, row in wide.iterrows():
             cur = row if prev is None else alpha * row + (1 - alpha) * prev
             gross = cur.abs().sum()
-            if gross > leverage:
+            if prev is not None and 1e-8 < gross < leverage:
                 cur = cur * (leverage / gross)
             rows.append(cur)
             prev = cur

@@ -34,12 +34,14 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"basis": F.col("close") - F.col("close_spot"), "volume_ratio": F.col("volume") / F.when(F.col("volume_spot") == 0, 1e-12).otherwise(F.col("volume_spot"))})
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense weekly panel: prices filled over at most 5 rows, and returns."""
+def panel(spark: SparkSession, sf_dir: str, proxy: tuple[str, ...] = ()) -> DataFrame:
+    """The dense weekly panel: prices filled over at most 5 rows, returns, and the
+    market's return: the mean over the proxy symbols, or all if none is given."""
     dense = densify(weekly_bars(spark, sf_dir))
     filled = dense.withColumn("close", ts.ffill("close", 5))
     with_ret = filled.withColumn("ret", ts.pct_change("close"))
-    return with_ret.withColumn("mkt", F.avg("ret").over(W.partitionBy("ts")))
+    own = F.when(F.col("symbol").isin(*proxy), F.col("ret")) if proxy else F.col("ret")
+    return with_ret.withColumn("mkt", F.avg(own).over(W.partitionBy("ts")))
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

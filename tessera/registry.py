@@ -74,15 +74,15 @@ def _out(df: DataFrame, keys: list[str], nums: list[str]) -> DataFrame:
     return df.select(*cols, *[(F.round(F.col(n).cast("double"), 6) + 0.0).alias(n) for n in nums])
 
 
-def query(name: str, keys: str, nums: str, sql: str | None = None, times: str = "ts", base: str = PANEL):
+def query(name: str, keys: str, nums: str, sql: str | None = None, times: str = "ts", base: str = PANEL, recursive: bool = False):
     """Register fn(spark, sf_dir); sql: CTEs that end in one called `final`."""
     ks, ns = keys.split(), nums.split()
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         oracle = None
         if sql is not None:
-            sel = ", ".join([f"strftime({k}, '%Y-%m-%d %H:%M:%S') AS {k}" if k in times.split() else k for k in ks] + [f"round(CAST({n} AS DOUBLE), 6) + 0.0 AS {n}" for n in ns])
-            oracle = f"WITH {base}, {sql} SELECT {sel} FROM final"
+            sel = ", ".join([f"strftime({k}, '%Y-%m-%d %H:%M:%S') AS {k}" if k in times.split() else k for k in ks] + [f"round(CAST(\"{n}\" AS DOUBLE), 6) + 0.0 AS \"{n}\"" for n in ns])
+            oracle = f"WITH {'RECURSIVE ' if recursive else ''}{base}, {sql} SELECT {sel} FROM final"
         _Q[name] = (lambda spark, sf_dir: _out(fn(spark, sf_dir), ks, ns), oracle)
         return fn
 
@@ -221,10 +221,12 @@ def _(spark, d):
 
 _BEFORE = "OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 REGIMES = f"""{_ADX}, v AS (SELECT *, {g('stddev_samp', 'mkt_ret', 30, None, '')} AS volatility, {g('skewness', 'mkt_ret', 90, None, '')} AS skewness FROM adx),
-  qv AS (SELECT *, quantile_cont(volatility, 0.25) {_BEFORE} AS lo, quantile_cont(volatility, 0.75) {_BEFORE} AS hi FROM v),
-  reg AS (SELECT *, CASE WHEN volatility IS NULL OR lo IS NULL THEN NULL WHEN volatility <= lo THEN 'Low' WHEN volatility >= hi THEN 'High' ELSE 'Med' END AS volatility_regime,
-    CASE WHEN adx IS NULL THEN NULL WHEN adx < 20 THEN 'Ranging' WHEN adx < 25 THEN 'Weak' ELSE 'Strong' END AS trend_regime,
-    CASE WHEN skewness IS NULL THEN NULL WHEN skewness < -0.5 THEN 'Neg' WHEN skewness > 0.5 THEN 'Pos' ELSE 'Neu' END AS skew_regime FROM qv)"""
+  qv AS (SELECT *, CASE WHEN count(volatility) {_BEFORE} >= 120 THEN quantile_cont(volatility, 0.25) {_BEFORE} END AS lo, CASE WHEN count(volatility) {_BEFORE} >= 120 THEN quantile_cont(volatility, 0.75) {_BEFORE} END AS hi FROM v),
+  reg AS (SELECT *, CASE WHEN volatility < lo THEN 'Low Volatility' WHEN volatility > hi THEN 'High Volatility' ELSE 'Medium Volatility' END AS volatility_regime,
+    CASE WHEN adx > 25 THEN 'Strong Trend' WHEN adx < 20 THEN 'Ranging' ELSE 'Weak Trend' END AS trend_regime,
+    CASE WHEN skewness < -0.5 THEN 'Negative Skew' WHEN skewness > 0.5 THEN 'Positive Skew' ELSE 'Neutral Skew' END AS skew_regime FROM qv)"""
+_CODES = """CASE volatility_regime WHEN 'Low Volatility' THEN 0 WHEN 'Medium Volatility' THEN 1 WHEN 'High Volatility' THEN 2 END AS volatility_regime_enc,
+  CASE trend_regime WHEN 'Ranging' THEN 0 WHEN 'Weak Trend' THEN 1 WHEN 'Strong Trend' THEN 2 END AS trend_regime_enc, CASE skew_regime WHEN 'Negative Skew' THEN -1 WHEN 'Neutral Skew' THEN 0 WHEN 'Positive Skew' THEN 1 END AS skew_regime_enc"""
 
 
 def _regimes(spark, d) -> DataFrame:
@@ -236,8 +238,7 @@ def _(spark, d):
     return _regimes(spark, d)
 
 
-@query("regime_encoding", "ts", "volatility_regime_enc trend_regime_enc skew_regime_enc", f"""{REGIMES}, final AS (SELECT ts, CASE volatility_regime WHEN 'Low' THEN 0 WHEN 'Med' THEN 1 WHEN 'High' THEN 2 END AS volatility_regime_enc,
-  CASE trend_regime WHEN 'Ranging' THEN 0 WHEN 'Weak' THEN 1 WHEN 'Strong' THEN 2 END AS trend_regime_enc, CASE skew_regime WHEN 'Neg' THEN -1 WHEN 'Neu' THEN 0 WHEN 'Pos' THEN 1 END AS skew_regime_enc FROM reg)""")
+@query("regime_encoding", "ts", "volatility_regime_enc trend_regime_enc skew_regime_enc", f"{REGIMES}, final AS (SELECT ts, {_CODES} FROM reg)")
 def _(spark, d):
     return fac.encoded(_regimes(spark, d))
 
@@ -248,7 +249,15 @@ def _(spark, d):
     return reports.streaks(_regimes(spark, d), "trend_regime")
 
 
-@query("hysteresis", "ts state", "")
+HOLD = """hl AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, lag(trend_regime) OVER (ORDER BY ts) AS l FROM reg),
+  hs(i, ts, now, want, n) AS (SELECT i, ts, l, CAST(NULL AS VARCHAR), 0 FROM hl WHERE i = 1 UNION ALL
+    SELECT b.i, b.ts, CASE WHEN b.l IS NULL THEN a.now WHEN a.now IS NULL OR b.l = a.now THEN b.l WHEN (CASE WHEN b.l IS NOT DISTINCT FROM a.want THEN a.n + 1 ELSE 1 END) >= 3 THEN b.l ELSE a.now END,
+      CASE WHEN b.l IS NULL THEN a.want WHEN a.now IS NULL OR b.l = a.now OR (CASE WHEN b.l IS NOT DISTINCT FROM a.want THEN a.n + 1 ELSE 1 END) >= 3 THEN NULL ELSE b.l END,
+      CASE WHEN b.l IS NULL THEN a.n WHEN a.now IS NULL OR b.l = a.now OR (CASE WHEN b.l IS NOT DISTINCT FROM a.want THEN a.n + 1 ELSE 1 END) >= 3 THEN 0 WHEN b.l IS NOT DISTINCT FROM a.want THEN a.n + 1 ELSE 1 END
+    FROM hs a JOIN hl b ON b.i = a.i + 1)"""
+
+
+@query("hysteresis", "ts state", "", f"{REGIMES}, {HOLD}, final AS (SELECT ts, now AS state FROM hs)", recursive=True)
 def _(spark, d):
     return ml.hysteresis(_regimes(spark, d), "trend_regime")
 
@@ -376,8 +385,8 @@ FACTORS = f"""x1 AS (SELECT *, {_ret(5)} AS ret_5d, {_ret(20)} AS ret_20d, {g('s
     (oi_pct_chg_1d - avg(oi_pct_chg_1d) OVER (PARTITION BY ts)) / nullif(stddev_samp(oi_pct_chg_1d) OVER (PARTITION BY ts), 0) AS cs_z_oi_chg,
     (reg - avg(reg) OVER (PARTITION BY ts)) / nullif(stddev_samp(reg) OVER (PARTITION BY ts), 0) AS regz FROM x3),
   x5 AS (SELECT *, {resid_sql('sent', 'trend_score')} AS sentiment_score, reg * tanh(regz / 0.6) AS regime_score, {zs('cs_z_oi_chg', 80, 40)} AS ts_z_oi_chg FROM x4),
-  x6 AS (SELECT *, trend_score + sentiment_score AS combined_score, CASE WHEN ts_z_oi_chg IS NOT NULL THEN greatest(0, -ts_z_oi_chg - 0.5) END AS liquidity_shock FROM x5),
-  x7 AS (SELECT *, {_RES_MOM} AS mom_final_score, liquidity_shock * regime_score AS interaction_alpha,
+  x6 AS (SELECT *, trend_score + sentiment_score AS combined_score, CASE WHEN ts_z_oi_chg IS NOT NULL THEN greatest(0, -ts_z_oi_chg - 0.5) END AS liquidation_shock FROM x5),
+  x7 AS (SELECT *, {_RES_MOM} AS mom_final_score, liquidation_shock * regime_score AS interaction_alpha,
     CASE WHEN sign(combined_score) * funding_z < -3 THEN 0.5 WHEN sign(combined_score) * funding_z > 1.5 THEN 1.5 ELSE 1 END AS funding_penalty FROM x6),
   w7 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM x7),
   h7 AS (SELECT a.ts, a.symbol, sum(CASE WHEN b.interaction_alpha IS NOT NULL THEN power(0.5, (a.i - b.i) / 12.0) * b.interaction_alpha END) / nullif(sum(CASE WHEN b.interaction_alpha IS NOT NULL THEN power(0.5, (a.i - b.i) / 12.0) END), 0) AS reversal_hawkes
@@ -389,7 +398,7 @@ def _factors(spark, d) -> DataFrame:
     return fac.factor_panel(B.panel(spark, d))
 
 
-@query("factor_panel", "ts symbol", "ret_5d ret_20d volatility_30 skewness_45 beta_60 liquidity_log vol_rank_cs liquidity_rank_cs price_roc oi_roc basis_norm_smooth3 basis_mom vol_ratio_sig funding_z trend_score sentiment_score combined_score funding_penalty mom_final_score cs_z_oi_chg ts_z_oi_chg liquidity_shock regime_score interaction_alpha reversal_hawkes rev_final_score", f"{FACTORS}, final AS (SELECT * FROM x9)")
+@query("factor_panel", "ts symbol", "ret_5d ret_20d volatility_30 skewness_45 beta_60 liquidity_log vol_rank_cs liquidity_rank_cs price_roc oi_roc basis_norm basis_norm_smooth3 oi_pct_chg_1d oi_pct_chg_smooth3 basis_mom vol_ratio_sig funding_z trend_score sentiment_score combined_score funding_penalty mom_final_score cs_z_oi_chg ts_z_oi_chg liquidation_shock regime_score interaction_alpha reversal_hawkes rev_final_score", f"{FACTORS}, final AS (SELECT * FROM x9)")
 def _(spark, d):
     return _factors(spark, d)
 
@@ -480,12 +489,20 @@ def _(spark, d):
     return wt.momentum(_factors(spark, d))
 
 
-@query("weights_momentum_last", "ts symbol", "weight")
+@query("weights_momentum_last", "ts symbol", "weight", f"""{FACTORS}, l1 AS (SELECT ts, symbol, mom_final_score AS f, count(mom_final_score) OVER () AS n, row_number() OVER (ORDER BY mom_final_score NULLS LAST, symbol) AS r FROM x9 WHERE ts = (SELECT max(ts) FROM x9)),
+  l2 AS (SELECT *, floor(n * 0.3) AS k FROM l1), l3 AS (SELECT *, CASE WHEN f IS NULL THEN 0 WHEN r > n - k THEN 1 WHEN r <= k THEN -1 ELSE 0 END AS side FROM l2), l4 AS (SELECT *, CAST(CASE side WHEN 1 THEN r - (n - k) WHEN -1 THEN k + 1 - r ELSE 0 END AS DOUBLE) AS s FROM l3),
+  final AS (SELECT ts, symbol, greatest(-0.1, least(0.1, coalesce(s / nullif(sum(s) OVER (PARTITION BY side), 0), 0) * 0.5 * side)) AS weight FROM l4)""")
 def _(spark, d):
     return wt.momentum_last(_factors(spark, d))
 
 
-@query("reversal_signal", "ts symbol", "signal")
+def _zcap(x: str, n: int) -> str:
+    return f"({x} - {g('avg', x, n, n // 2)}) / nullif(greatest(-2, least(2, {g('stddev_samp', x, n, n // 2)})), 0)"
+
+
+@query("reversal_signal", "ts symbol", "signal", f"""{FACTORS}, v1 AS (SELECT *, coalesce(ls_ratio, 1) - lag(coalesce(ls_ratio, 1)) OVER (PARTITION BY symbol ORDER BY ts) AS lc FROM x9), v2 AS (SELECT *, coalesce({g('avg', 'lc', 3, 2)}, 0) AS ls3 FROM v1),
+  v3 AS (SELECT *, {_zcap('oi_pct_chg_smooth3', 80)} AS za, {_zcap('ls3', 80)} AS zb FROM v2), v4 AS (SELECT *, {_zcap('za', 80)} AS zaa FROM v3), v5 AS (SELECT *, -zaa * zb AS q FROM v4), v6 AS (SELECT *, {resid_sql('q', 'beta_60')} AS pp, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM v5),
+  final AS (SELECT a.ts, a.symbol, CASE WHEN count(b.pp) >= 12 THEN sum(power(0.5, (a.k - b.k) / 12.0) * b.pp) / sum(power(0.5, (a.k - b.k) / 12.0)) END AS signal FROM v6 a JOIN v6 b ON a.symbol = b.symbol AND b.k <= a.k GROUP BY ALL)""")
 def _(spark, d):
     x = _factors(spark, d).withColumn("ls_chg_smooth3", F.coalesce("ls_chg_smooth3", F.lit(0.0)))
     return wt.reversal_signal(x)
@@ -497,10 +514,22 @@ def _(spark, d):
     return wt.distributed(_scores(spark, d))
 
 
-@query("weights_per_epoch", "ts symbol", "weight")
+_LAGGED = f"""wl AS (SELECT *, lag(ret, 4) OVER (PARTITION BY symbol ORDER BY ts) AS s4 FROM p), w0 AS (SELECT snapshot_date AS e, epoch_start, epoch_end, ts, symbol, s4 FROM wl JOIN ep USING (symbol) WHERE s4 IS NOT NULL),
+  w1 AS (SELECT *, count(*) OVER (PARTITION BY e, ts) AS n, row_number() OVER (PARTITION BY e, ts ORDER BY s4, symbol) AS r FROM w0), w2 AS (SELECT *, CASE WHEN r > n * (1 - 0.2::DOUBLE) THEN 1 WHEN r <= n * 0.2::DOUBLE THEN -1 END AS side FROM w1),
+  w3 AS (SELECT *, count(*) FILTER (WHERE side = 1) OVER (PARTITION BY e, ts) AS nl, count(*) FILTER (WHERE side = -1) OVER (PARTITION BY e, ts) AS ns FROM w2),
+  w4 AS (SELECT *, CAST(CASE WHEN side = 1 THEN r - (n - nl) ELSE ns + 1 - r END AS DOUBLE) AS s FROM w3 WHERE side IS NOT NULL AND nl > 0 AND ns > 0),
+  w5 AS (SELECT ts, symbol, least(coalesce(s / nullif(sum(s) OVER (PARTITION BY e, ts, side), 0) * 0.5, 0), 0.1) * side AS weight, CAST(ts AS DATE) BETWEEN epoch_start AND epoch_end AS own FROM w4)"""
+
+
+@query("weights_per_epoch", "ts symbol", "weight", f"{EPOCHS}, {_LAGGED}, final AS (SELECT p.ts, p.symbol, coalesce(w.weight, 0) AS weight FROM p LEFT JOIN (SELECT * FROM w5 WHERE own) w ON p.ts = w.ts AND p.symbol = w.symbol)")
 def _(spark, d):
-    x = _scores(spark, d)
-    return wt.per_epoch(x, _epochs(spark, d), lambda df, by: wt.predictions_to_weights(df, by=by), ["weight"])
+    """A strategy with a window over time: the return four rows before."""
+
+    def lagged(df, by):
+        w = W.partitionBy("epoch_id", "symbol").orderBy("ts")
+        return wt.predictions_to_weights(df.withColumn("score", F.lag("ret", 4).over(w)), by=by)
+
+    return wt.per_epoch(B.panel(spark, d), _epochs(spark, d), lagged, ["weight"])
 
 
 # ---- backtests ------------------------------------------------------------------------
@@ -530,7 +559,12 @@ def _(spark, d):
     return bt.summary(bt.vectorised(_w(spark, d), B.panel(spark, d)))
 
 
-@query("lag_decay", "lag", "total mean std")
+_LAGS = ", ".join(f"coalesce(lag(weight, {k}) {_LW}, 0) AS v{k}, coalesce(lag(tt, {k}) {_LW}, 0) AS c{k}" for k in range(4))
+
+
+@query("lag_decay", "lag", "total mean std", f"""{WDENSE}, l1 AS (SELECT p.ts, p.symbol, weight, last_value(close IGNORE NULLS) {_ALL} AS c FROM p JOIN wd USING (ts, symbol)),
+  l2 AS (SELECT *, coalesce(c / nullif(lag(c) {_LW}, 0) - 1, 0) AS rr, coalesce(abs(weight - lag(weight) {_LW}), 0) AS tt FROM l1), l3 AS (SELECT *, {_LAGS} FROM l2),
+  l4 AS (SELECT k.lag, ts, sum([v0, v1, v2, v3][k.lag + 1] * rr) - 0.0007 * sum([c0, c1, c2, c3][k.lag + 1]) AS net FROM l3, (SELECT unnest([0, 1, 2, 3]) AS lag) k GROUP BY ALL), final AS (SELECT lag, sum(net) AS total, avg(net) AS mean, stddev_samp(net) AS std FROM l4 GROUP BY lag)""")
 def _(spark, d):
     return bt.lag_decay(_w(spark, d), B.panel(spark, d))
 
@@ -557,7 +591,13 @@ def _(spark, d):
     return reports.gross_ratio(_w(spark, d))
 
 
-@query("strategy_overlap", "symbol", "both only_a only_b same_sign opposite_sign")
+_TWO = f"{_weights_sql('rank')}, " + _weights_sql("rank").replace("ret", "basis").replace("w1 ", "b1 ").replace("FROM w1", "FROM b1").replace("w2 ", "b2 ").replace("FROM w2", "FROM b2").replace("w3 ", "b3 ").replace("FROM w3", "FROM b3").replace("w4 ", "b4 ").replace("FROM w4", "FROM b4").replace("wf ", "bf ")
+_TWO += """, tn AS (SELECT unnest(['ret', 'basis']) AS strategy), tk AS (SELECT DISTINCT ts, symbol FROM (SELECT ts, symbol FROM wf UNION ALL SELECT ts, symbol FROM bf)),
+  tw AS (SELECT strategy, k.ts, k.symbol, coalesce(w.weight, 0) AS weight FROM (SELECT strategy, ts, symbol FROM tn, (SELECT DISTINCT ts FROM tk), (SELECT DISTINCT symbol FROM tk)) k LEFT JOIN (SELECT 'ret' AS strategy, * FROM wf UNION ALL SELECT 'basis', * FROM bf) w USING (strategy, ts, symbol))"""
+
+
+@query("strategy_overlap", "symbol", "both only_a only_b same_sign opposite_sign", f"""{_TWO}, o AS (SELECT symbol, coalesce(a.weight, 0) AS a, coalesce(b.weight, 0) AS b FROM (SELECT p.ts, p.symbol, coalesce(weight, 0) AS weight FROM p LEFT JOIN wf USING (ts, symbol)) a FULL JOIN bf b USING (ts, symbol)),
+  final AS (SELECT symbol, count(*) FILTER (WHERE a <> 0 AND b <> 0) AS "both", count(*) FILTER (WHERE a <> 0 AND b = 0) AS only_a, count(*) FILTER (WHERE a = 0 AND b <> 0) AS only_b, count(*) FILTER (WHERE a * b > 0) AS same_sign, count(*) FILTER (WHERE a * b < 0) AS opposite_sign FROM o GROUP BY symbol)""")
 def _(spark, d):
     other = B.panel(spark, d).withColumn("score", F.col("basis"))
     return reports.overlap(_w(spark, d), wt.predictions_to_weights(other))
@@ -568,17 +608,23 @@ def _two(spark, d) -> DataFrame:
     return joins.aligned({"ret": wt.predictions_to_weights(x.withColumn("score", F.col("ret"))), "basis": wt.predictions_to_weights(x.withColumn("score", F.col("basis")))})
 
 
-@query("composite_alpha", "ts symbol", "score")
+_ALPHA = "ta AS (SELECT *, nullif(weight, 0) AS x FROM tw), tz AS (SELECT *, (x - avg(x) OVER (PARTITION BY strategy, ts)) / nullif(stddev_samp(x) OVER (PARTITION BY strategy, ts), 0) AS z FROM ta), al AS (SELECT ts, symbol, avg(z) AS score FROM tz GROUP BY ALL)"
+
+
+@query("composite_alpha", "ts symbol", "score", f"{_TWO}, {_ALPHA}, final AS (SELECT * FROM al)")
 def _(spark, d):
     return wt.composite_alpha(_two(spark, d))
 
 
-@query("strategy_returns", "strategy ts", "ret")
+_SRET = "sr AS (SELECT strategy, ts, coalesce(sum(pw * coalesce(ret, 0)), 0) AS ret FROM (SELECT *, lag(weight) OVER (PARTITION BY strategy, symbol ORDER BY ts) AS pw FROM tw) JOIN (SELECT ts, symbol, ret FROM p) USING (ts, symbol) GROUP BY ALL)"
+
+
+@query("strategy_returns", "strategy ts", "ret", f"{_TWO}, {_SRET}, final AS (SELECT * FROM sr)")
 def _(spark, d):
     return bt.strategy_returns(_two(spark, d), B.panel(spark, d))
 
 
-@query("equal_weight_mix", "ts symbol", "weight")
+@query("equal_weight_mix", "ts symbol", "weight", f"{_TWO}, e1 AS (SELECT ts, symbol, greatest(-0.1, least(0.1, avg(weight))) AS w FROM tw GROUP BY ALL), final AS (SELECT ts, symbol, w * CASE WHEN sum(abs(w)) OVER (PARTITION BY ts) > 1 THEN 1 / sum(abs(w)) OVER (PARTITION BY ts) ELSE 1 END AS weight FROM e1)")
 def _(spark, d):
     return portfolio.equal_weight(_two(spark, d))
 
@@ -618,7 +664,8 @@ def _(spark, d):
     return bt.quantile_forward(B.panel(spark, d), "basis", 3, demean=True)
 
 
-@query("traded_contribution", "ts bucket", "pnl")
+@query("traded_contribution", "ts bucket", "pnl", f"""{WDENSE}, t1 AS (SELECT *, lead(ret) {_LW} AS gain, CASE WHEN weight <> 0 THEN abs(basis) END AS x FROM p JOIN wd USING (ts, symbol)), t2 AS (SELECT * FROM t1 WHERE x IS NOT NULL),
+  t3 AS (SELECT ts, CAST(greatest(ceil({pct_sql('x')} * 3), 1) AS INTEGER) AS bucket, weight * gain AS v FROM t2), final AS (SELECT ts, bucket, coalesce(sum(v), 0) AS pnl FROM t3 GROUP BY ALL)""")
 def _(spark, d):
     x = B.panel(spark, d).join(_w(spark, d).withColumnRenamed("weight", "position_qty"), ["ts", "symbol"])
     return bt.traded_contribution(x, "basis")
@@ -648,7 +695,7 @@ def _(spark, d):
     return reports.regime_attribution(_daily(spark, d), "regime", 1)
 
 
-_IC = f"a AS (SELECT *, lead(ret) {_LW} AS fw FROM p), b AS (SELECT * FROM a WHERE basis IS NOT NULL AND fw IS NOT NULL), c AS (SELECT ts, {rank_sql('basis')} AS ra, {rank_sql('fw')} AS rb FROM b), ic AS (SELECT ts, corr(ra, rb) AS ic FROM c GROUP BY ts HAVING count(*) >= 5)"
+_IC = f"a AS (SELECT *, lead(ret) {_LW} AS fw FROM p), b AS (SELECT * FROM a WHERE basis IS NOT NULL AND fw IS NOT NULL), c AS (SELECT ts, {rank_sql('basis')} AS ra, {rank_sql('fw')} AS rb FROM b), ic AS (SELECT ts, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS ic FROM c GROUP BY ts HAVING count(*) >= 5)"
 
 
 def _ic(spark, d) -> DataFrame:
@@ -716,14 +763,19 @@ def _one_model(spark, d) -> DataFrame:
     return _importance(spark, d).groupBy("fold", "term").agg(F.avg("importance").alias("importance"))
 
 
-@query("importance_stability", "term", "mean cv rank_mean rank_std in_top slope", """a AS (SELECT fold, term, avg(importance) AS v FROM imp GROUP BY ALL), b AS (SELECT *, v / sum(v) OVER (PARTITION BY fold) AS share FROM a), c AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY share DESC) AS rk, dense_rank() OVER (ORDER BY fold) AS i FROM b),
-  final AS (SELECT term, avg(share) AS mean, stddev_samp(share) / nullif(avg(share), 0) AS cv, avg(rk) AS rank_mean, stddev_samp(rk) AS rank_std, avg(CASE WHEN rk <= 10 THEN 1.0 ELSE 0 END) AS in_top, regr_slope(share, i) AS slope FROM c GROUP BY term)""", base=IMP)
+# The shares of the main effects on the full grid of folds, absent ones 0.
+SHARES = """m1 AS (SELECT fold, term, avg(importance) AS v FROM imp WHERE NOT contains(term, ' & ') GROUP BY ALL), m2 AS (SELECT fold, term, coalesce(v, 0) AS v FROM (SELECT DISTINCT fold FROM m1) CROSS JOIN (SELECT DISTINCT term FROM m1) LEFT JOIN m1 USING (fold, term)),
+  m3 AS (SELECT fold, term, coalesce(v / nullif(sum(v) OVER (PARTITION BY fold), 0), 0) AS share, dense_rank() OVER (ORDER BY fold) - 1 AS i FROM m2), m4 AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY share DESC) AS rk FROM m3), m5 AS (SELECT *, lag(rk) OVER (PARTITION BY term ORDER BY i) AS bef FROM m4)"""
+
+
+@query("importance_stability", "term", "mean std cv rank_mean rank_std in_top slope rank_corr", f"""{SHARES}, final AS (SELECT term, avg(share) AS mean, stddev_samp(share) AS std, stddev_samp(share) / nullif(avg(share), 0) AS cv, avg(rk) AS rank_mean, stddev_samp(rk) AS rank_std, avg(CASE WHEN rk <= 3 THEN 1.0 ELSE 0 END) AS in_top,
+  covar_pop(share, i) / nullif(var_pop(i), 0) AS slope, CASE WHEN count(*) >= 3 THEN covar_pop(CASE WHEN bef IS NOT NULL THEN rk END, bef) / nullif(stddev_pop(CASE WHEN bef IS NOT NULL THEN rk END) * stddev_pop(bef), 0) END AS rank_corr FROM m5 GROUP BY term)""", base=IMP)
 def _(spark, d):
-    return reports.stability(_one_model(spark, d))
+    return reports.stability(_one_model(spark, d), 3)
 
 
 @query("fold_spearman", "fold", "corr", f"""a AS (SELECT fold, term, avg(importance) AS v FROM imp GROUP BY ALL), b AS (SELECT *, v / sum(v) OVER (PARTITION BY fold) AS share, dense_rank() OVER (ORDER BY fold) AS i FROM a),
-  c AS (SELECT x.fold, x.share, y.share AS bef FROM b x JOIN b y ON x.term = y.term AND x.i = y.i + 1), e AS (SELECT fold, {rank_sql('share', 'fold')} AS ra, {rank_sql('bef', 'fold')} AS rb FROM c), final AS (SELECT fold, corr(ra, rb) AS corr FROM e GROUP BY fold)""", base=IMP)
+  c AS (SELECT x.fold, x.share, y.share AS bef FROM b x JOIN b y ON x.term = y.term AND x.i = y.i + 1), e AS (SELECT fold, {rank_sql('share', 'fold')} AS ra, {rank_sql('bef', 'fold')} AS rb FROM c), final AS (SELECT fold, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS corr FROM e GROUP BY fold)""", base=IMP)
 def _(spark, d):
     return reports.fold_spearman(_one_model(spark, d))
 
@@ -738,7 +790,8 @@ def _(spark, d):
     return reports.top_per_model(_importance(spark, d), 5)
 
 
-@query("scalar_ema", "fold name", "ema")
+@query("scalar_ema", "fold name", "ema", """a AS (SELECT fold, term AS name, avg(importance) AS v FROM imp GROUP BY ALL), b AS (SELECT f.fold, n.name, v, dense_rank() OVER (ORDER BY f.fold) AS i FROM (SELECT DISTINCT fold FROM a) f CROSS JOIN (SELECT DISTINCT name FROM a) n LEFT JOIN a ON a.fold = f.fold AND a.name = n.name),
+  c AS (SELECT *, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY name) AS i0 FROM b), final AS (SELECT x.fold, x.name, sum(coalesce(y.v, 0) * CASE WHEN y.i = x.i0 THEN power(2 / 3.0, x.i - y.i) ELSE power(2 / 3.0, x.i - y.i) / 3.0 END) AS ema FROM c x JOIN c y ON x.name = y.name AND y.i BETWEEN x.i0 AND x.i GROUP BY x.fold, x.name)""", base=IMP)
 def _(spark, d):
     x = _importance(spark, d).groupBy("fold", F.col("term").alias("name")).agg(F.avg("importance").alias("value"))
     return ml.scalar_ema(x)
@@ -791,7 +844,8 @@ def _(spark, d):
     return market.ohlcv(ev)
 
 
-@query("user_sessions", "user_id start", "n")
+@query("user_sessions", "user_id start", "n", """s1 AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+  s2 AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s1), final AS (SELECT user_id, min(ts) AS start, count(*) AS n FROM s2 GROUP BY user_id, k)""", times="start", base="one AS (SELECT 1)")
 def _(spark, d):
     from .streaming import market
 
@@ -802,11 +856,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Q["factor_panel"][0](spark, sf_dir)
 
 
+def _more() -> None:
+    """Register the queries of registry_more, which builds on this module."""
+    from . import registry_more  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return {k: v[0] for k, v in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return {k: v[1] for k, v in _Q.items() if v[1] is not None}
 
 

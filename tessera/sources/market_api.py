@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 #: Interval names in milliseconds.
 INTERVAL_MS = {"5m": 300_000, "15m": 900_000, "30m": 1_800_000, "1h": 3_600_000, "4h": 14_400_000, "12h": 43_200_000, "1d": 86_400_000}
@@ -38,23 +38,27 @@ class BadRange(Exception):
 
 
 def with_retry(call, tries: int = 3, wait: float = 60.0, sleep=time.sleep):
-    """call(), again after a wait while it is rate limited; None when exhausted."""
-    for _ in range(tries):
+    """call(), again after a wait while it is rate limited; the last refusal is
+    raised, so that no page is lost silently."""
+    for k in range(tries):
         try:
             return call()
         except RateLimited:
+            if k == tries - 1:
+                raise
             sleep(wait)
-    return None
 
 
 def pages(fetch, symbol: str, start: int, end: int, limit: int, step: int, wait: float = 60.0) -> Iterator[tuple]:
-    """Rows (ts, ...) from start to end: pages until one is short."""
+    """Rows (ts, ...) from start to end: pages until one is short. A range that the
+    service does not have is left out, and the next one asked for."""
     at = start
     while at <= end:
         try:
             rows = with_retry(lambda a=at: fetch(symbol, a, end, limit), wait=wait)
         except BadRange:
-            return
+            at += step * limit
+            continue
         if not rows:
             return
         yield from rows
@@ -98,6 +102,59 @@ class MarketHistory(DataSource):
     def reader(self, schema) -> MarketReader:
         return MarketReader(dict(self.options))
 
+    def simpleStreamReader(self, schema) -> MarketStream:
+        return MarketStream(dict(self.options))
+
+
+class MarketStream(SimpleDataSourceStreamReader):
+    """The same history as a stream of closed bars: each poll asks for one page of
+    each symbol after the last bar it gave. The offsets are the next times by
+    symbol, so a restart goes on where the checkpoint says."""
+
+    def __init__(self, options: dict):
+        self.o = options
+
+    def initialOffset(self) -> dict:
+        return {s: int(self.o["start"]) for s in self.o["symbols"].split(",")}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now = int(self.o.get("end", time.time() * 1000))
+        rows, after = [], dict(start)
+        for symbol, at in start.items():
+            for row in self._page(symbol, at, now):
+                rows.append(row)
+                after[symbol] = row[1] + INTERVAL_MS[self.o.get("interval", "1d")]
+        return iter(rows), after
+
+    def _page(self, symbol: str, at: int, now: int) -> list[tuple]:
+        module, _, name = self.o["fetch"].partition(":")
+        fetch = getattr(importlib.import_module(module), name)
+        last = now - INTERVAL_MS[self.o.get("interval", "1d")]  # later bars are still open
+        if at > last:
+            return []
+        try:
+            found = with_retry(lambda: fetch(symbol, at, last, int(self.o.get("limit", 500))), wait=float(self.o.get("wait", 60)))
+        except BadRange:
+            return []
+        width = len(KINDS[self.o.get("kind", "futures")])
+        return [(symbol, int(r[0]), *[None if x is None else str(x) for x in r[1 : 1 + width]]) for r in found]
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        for symbol, at in start.items():
+            while at < end[symbol]:
+                page = self._page(symbol, at, end[symbol] + INTERVAL_MS[self.o.get("interval", "1d")] - 1)
+                if not page:
+                    break
+                yield from (r for r in page if r[1] < end[symbol])
+                at = page[-1][1] + INTERVAL_MS[self.o.get("interval", "1d")]
+
+
+def bar_stream(spark, kind: str = "futures", **options: str) -> DataFrame:
+    """Closed bars as a stream, typed as history() does."""
+    spark.dataSource.register(MarketHistory)
+    df = spark.readStream.format("market_history").options(kind=kind, **options).load()
+    return df.select("symbol", F.timestamp_millis("ts").alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in KINDS[kind]])
+
 
 def history(spark, kind: str, **options: str) -> DataFrame:
     """Typed history: values that are no numbers become NULL, doubled rows go."""

@@ -115,6 +115,39 @@ def load_weights(spark: SparkSession, path: str, variant: str = "traded", withou
     return df.where(~F.col("strategy").isin(*without)) if without else df
 
 
+def discover_weights(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """Files NAME.parquet of wide weights (ts and a column a symbol) as (strategy,
+    ts, symbol, weight) on the union of their dates and symbols, 0 where one has
+    none. Optimised portfolios and raw predictions are no strategies."""
+    from ..operators.calendar import to_long
+    from ..operators.joins import aligned
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path")  # names only
+    files = {r["path"].rsplit("/", 1)[1].removesuffix(".parquet"): r["path"] for r in found.collect()}
+    own = {n: p for n, p in sorted(files.items()) if not n.startswith("optimized_weights_") and n != "ebm_predictions" and (names is None or n in names)}
+    if not own:
+        raise ValueError(f"no strategies in {folder}")
+    return aligned({n: to_long(spark.read.parquet(p), "weight") for n, p in own.items()})
+
+
+def save_models(found: DataFrame, path: str) -> None:
+    """The tables of ml.training.trained (shapes, importance), a partition a fold."""
+    found.where("kind IN ('shape', 'importance')").write.partitionBy("fold").mode("overwrite").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Saved models, at most `most` folds spread over all; partitions pruned."""
+    df = spark.read.parquet(path)
+    return df if most is None else thinned_folds(df, most)
+
+
+def load_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table of save_table; CSV files need their schema."""
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def save_table(df: DataFrame, path: str, as_csv: bool = False) -> None:
     w = df.write.mode("overwrite")
     w.option("header", True).csv(path) if as_csv else w.parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Fixed value: the fields of a kline message.
 MESSAGE = "s string, k struct<t: bigint, o: string, h: string, l: string, c: string, v: string, x: boolean>"
 
 
@@ -47,28 +48,32 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", lateness: str = "2 hours
 
 
 _ORDERS = "symbol string, ts timestamp, qty double, price double, position double"
-_STATE = "position double, closes array<double>"
+_STATE = "position double, cash double, closes array<double>"
 
 
 def orders(bars: DataFrame, target, history: int = 30, equity: float = 10_000.0, cap: float = 0.25, band: float = 1e-9) -> DataFrame:
-    """Orders from a per-bar strategy: target(closes) is a weight, clamped to
-    [0, 1]; the order is the difference to the position held, unless it lies in
-    the dead band or the new position would exceed cap of equity (risk gate)."""
+    """Orders from a per-bar strategy: target(closes) is a weight of the symbol's
+    account (cash and position at the bar's close), clamped to [0, 1]; the order is
+    the difference to the position held, unless it lies in the dead band or the new
+    position would exceed cap of the account (risk gate). Each symbol's account
+    starts with `equity`; fills are at the close."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        position, closes = state.get if state.exists else (0.0, [])
+        position, cash, closes = state.get if state.exists else (0.0, equity, [])
         closes, rows = list(closes), []
         for bar in pd.concat(list(batches)).sort_values("ts").itertuples():
             closes = [*closes, bar.close][-history:]
             weight = min(1.0, max(0.0, float(target(closes))))
-            notional = weight * equity
-            if notional > cap * equity:
+            worth = cash + position * bar.close
+            notional = weight * worth
+            if notional > cap * worth:
                 continue
             qty = notional / bar.close - position
             if abs(qty) > band:
                 position += qty
+                cash -= qty * bar.close
                 rows.append((key[0], bar.ts, qty, bar.close, position))
-        state.update((position, closes))
+        state.update((position, cash, closes))
         yield pd.DataFrame(rows, columns=["symbol", "ts", "qty", "price", "position"])
 
     return bars.groupBy("symbol").applyInPandasWithState(step, _ORDERS, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -148,6 +148,69 @@ def fetch(symbol, start, end, limit):
     return [(t, 1.0, 2.0, 0.5, "bad" if t == 0 else 1.5, 10.0) for t in range(first, end + 1, day)][:limit]
 
 
+def fetch_with_gap(symbol, start, end, limit):
+    if start == 4 * market_api.INTERVAL_MS["1d"]:
+        raise market_api.BadRange
+    return fetch(symbol, start, end, limit)
+
+
+def test_market_kinds(spark):
+    """Spot, open interest, funding and ratios come with their own columns."""
+    day = market_api.INTERVAL_MS["1d"]
+    for kind, columns in market_api.KINDS.items():
+        df = market_api.history(spark, kind, fetch="tests.test_panel:fetch", symbols="A", start=str(day), end=str(3 * day), limit="2", pages="1")
+        rows = df.orderBy("ts").collect()
+        assert df.columns == ["symbol", "ts", *columns] and len(rows) == 3
+        assert [rows[0][c] for c in columns] == [1.0, 2.0, 0.5, 1.5, 10.0][: len(columns)]
+
+
+def test_bar_stream(spark, tmp_path):
+    day = market_api.INTERVAL_MS["1d"]
+    bars = market_api.bar_stream(spark, fetch="tests.test_panel:fetch", symbols="A,B", start="0", end=str(5 * day), limit="2")
+    q = bars.writeStream.format("memory").queryName("bar_stream").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="0 seconds").start()
+    import time
+
+    for _ in range(60):
+        if spark.table("bar_stream").count() >= 10:
+            break
+        time.sleep(1)
+    q.stop()
+    rows = spark.table("bar_stream").collect()
+    assert len(rows) == len(set((r["symbol"], r["ts"]) for r in rows)) == 10 and {r["close"] for r in rows} == {None, 1.5}
+
+
+def fetch_with_gap(symbol, start, end, limit):
+    if start == 4 * market_api.INTERVAL_MS["1d"]:
+        raise market_api.BadRange
+    return fetch(symbol, start, end, limit)
+
+
+def test_market_kinds(spark):
+    """Spot, open interest, funding and ratios come with their own columns."""
+    day = market_api.INTERVAL_MS["1d"]
+    for kind, columns in market_api.KINDS.items():
+        df = market_api.history(spark, kind, fetch="tests.test_panel:fetch", symbols="A", start=str(day), end=str(3 * day), limit="2", pages="1")
+        rows = df.orderBy("ts").collect()
+        assert df.columns == ["symbol", "ts", *columns] and len(rows) == 3
+        assert [rows[0][c] for c in columns] == [1.0, 2.0, 0.5, 1.5, 10.0][: len(columns)]
+
+
+def test_bar_stream(spark, tmp_path):
+    """Polls go on after the last bar of each symbol; none comes twice."""
+    import time
+
+    day = market_api.INTERVAL_MS["1d"]
+    bars = market_api.bar_stream(spark, fetch="tests.test_panel:fetch", symbols="A,B", start="0", end=str(5 * day), limit="2")
+    q = bars.writeStream.format("memory").queryName("bar_stream").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="0 seconds").start()
+    for _ in range(60):
+        if spark.table("bar_stream").count() >= 10:
+            break
+        time.sleep(1)
+    q.stop()
+    rows = spark.table("bar_stream").collect()
+    assert len(rows) == len({(r["symbol"], r["ts"]) for r in rows}) == 10 and {r["close"] for r in rows} == {None, 1.5}
+
+
 def test_market_history(spark):
     day = market_api.INTERVAL_MS["1d"]
     rows = list(market_api.pages(fetch, "A", 0, 9 * day, 4, day))
@@ -158,7 +221,11 @@ def test_market_history(spark):
         calls.append(1)
         raise market_api.RateLimited
 
-    assert market_api.with_retry(limited, sleep=lambda _: None) is None and len(calls) == 3
+    with pytest.raises(market_api.RateLimited):
+        market_api.with_retry(limited, sleep=lambda _: None)
+    assert len(calls) == 3
+    gaps = list(market_api.pages(lambda s, a, e, n: fetch_with_gap(s, a, e, n), "A", 0, 11 * day, 4, day))
+    assert [r[0] // day for r in gaps] == [0, 1, 2, 3, 8, 9, 10, 11]  # one bad range loses only itself
     df = market_api.history(spark, "futures", fetch="tests.test_panel:fetch", symbols="A,B", start="0", end=str(9 * day), limit="4", pages="1")
     assert df.count() == 20 and df.where("close IS NULL").count() == 2
 
@@ -208,3 +275,190 @@ def test_entry_without_training_data_operators():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and "factor_panel" in names
+
+
+def test_stores(spark, tmp_path):
+    """Names, open-interest files, merged stores, weights and tables."""
+    assert storage.bar_name("A", "1d") == "A_1d.parquet"
+    (tmp_path / "oi").mkdir()
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        (tmp_path / "oi" / f"A-metrics-{day}.csv").write_text(f"create_time,sum_open_interest\n{day} 00:00:00,5\n{day} 00:00:00,7\n{day} 01:00:00,x\n")
+    oi = storage.load_open_interest(spark, f"{tmp_path}/oi", "2024-01-02", "2024-01-02").orderBy("ts").collect()
+    assert [r["open_interest"] for r in oi] == [5.0, None]
+    assert [r["symbol"] for r in storage.discover_symbols(spark, f"{tmp_path}/oi").collect()] == ["A"]
+    old, new = frame(spark, {"A": [1.0, 2.0, None]}, "v"), frame(spark, {"A": [None, 5.0]}, "v")
+    got = storage.merge_metrics(old, new.where("v IS NOT NULL"), "2024-01-01", "2024-01-02", "v")
+    assert column(got, "v") == [1.0, 5.0]
+    w = frame(spark, {"A": [0.1, 0.2], "B": [0.3, None]}, "weight")
+    storage.save_weights(w, w.where("symbol = 'A'"), f"{tmp_path}/w", "one")
+    storage.save_weights(w, w, f"{tmp_path}/w", "two")
+    assert storage.load_weights(spark, f"{tmp_path}/w", without=("two",)).count() == 2
+    assert storage.load_weights(spark, f"{tmp_path}/w", "unmasked").count() == 8
+    (tmp_path / "s").mkdir()
+    for name, df in {"mom": w, "rev": w.where("symbol = 'B'"), "optimized_weights_x": w, "ebm_predictions": w}.items():
+        calendar.to_wide(df, "weight", ["A", "B"]).toPandas().to_parquet(f"{tmp_path}/s/{name}.parquet", coerce_timestamps="us", index=False)
+    found = storage.discover_weights(spark, f"{tmp_path}/s")
+    assert {r["strategy"] for r in found.collect()} == {"mom", "rev"} and found.count() == 8 and found.where("weight = 0").count() == 4
+    with pytest.raises(ValueError):
+        storage.discover_weights(spark, f"{tmp_path}/s", ["none"])
+    storage.save_table(w, f"{tmp_path}/t")
+    storage.save_table(w, f"{tmp_path}/c", as_csv=True)
+    assert sorted(storage.load_table(spark, f"{tmp_path}/t").collect(), key=str) == sorted(storage.load_table(spark, f"{tmp_path}/c", "ts timestamp, symbol string, weight double").collect(), key=str)
+
+
+def panel_of(spark, seed=5, days=160, symbols="ABCDEFGH"):
+    rng = np.random.default_rng(seed)
+    rows = [(DAY + dt.timedelta(days=i), s, *map(float, rng.normal(size=2)), float(i % 7)) for i in range(days) for s in symbols]
+    df = spark.createDataFrame(rows, "ts timestamp, symbol string, a double, b double, m double")
+    return df.withColumns({"y_raw": F.col("a") * F.when(F.col("m") > 3, 1.0).otherwise(-1.0) * 0.01}).withColumn("y", F.col("y_raw"))
+
+
+DATES = [DAY + dt.timedelta(days=i) for i in range(160)]
+
+
+def test_training_models(spark, tmp_path):
+    """Shapes, bags, pairs and experts; saved models; an epoch's own symbols."""
+    x = panel_of(spark)
+    c = ml.folds(DATES, DATES[100], every=30)
+    found = ml.trained(x, ["a", "b"], c, bags=3, pairs=1).cache()
+    assert {r["bag"] for r in ml.shape_table(found).select("bag").distinct().collect()} == {0, 1, 2}
+    assert {r["term"] for r in found.where("kind = 'importance'").collect()} == {"a", "b", "a & b"}
+    storage.save_models(found, f"{tmp_path}/m")
+    assert {r["fold"] for r in storage.load_models(spark, f"{tmp_path}/m", 1).select("fold").distinct().collect()} == {0}
+    by = x.withColumn("r", F.when(F.col("m") > 3, "up").otherwise("down"))
+    corr = lambda df: df.join(x, ["ts", "symbol"]).agg(F.corr("score", "y")).first()[0]
+    assert corr(ml.walk_forward(by, ["a", "b"], c, expert="r", share=1.0)[0]) > 0.8 > abs(corr(ml.walk_forward(by, ["a", "b"], c)[0])) + 0.4
+    one = [(dt.date(2024, 1, 1), dt.date(2024, 4, 1), dt.date(2024, 5, 5), s) for s in "AB"]
+    epochs = spark.createDataFrame(one + [(dt.date(2024, 4, 1), dt.date(2024, 5, 6), dt.date(2024, 6, 30), s) for s in "BCD"], "snapshot_date date, epoch_start date, epoch_end date, symbol string")
+    got = ml.per_epoch(x, epochs, ["a", "b"], c, least=10).collect()
+    assert {(r["epoch"], r["symbol"]) for r in got} == {("2024-01-01", "A"), ("2024-01-01", "B"), *(("2024-04-01", s) for s in "BCD")}
+    assert all((r["ts"].date() <= dt.date(2024, 5, 5)) == (r["epoch"] == "2024-01-01") for r in got) and len(got) == len({(r["ts"], r["symbol"]) for r in got})
+
+
+def test_tournament_training(spark):
+    """The information per fold against brute force; the separator that matters wins."""
+    x = panel_of(spark).withColumn("z", F.pmod(F.hash("ts"), F.lit(5)) + 0.0)
+    c = ml.folds(DATES, DATES[100], every=30)
+    got = {(r["fold"], r["candidate"]): r["cmi"] for r in ml.conditional_mi(x, c, ["a", "b"], ["m", "z"]).collect()}
+    pdf = x.toPandas()
+
+    def code(v, q):
+        return pd.cut(v, np.unique(np.quantile(v, np.linspace(0, 1, q + 1))), labels=False, include_lowest=True).to_numpy()
+
+    for f in c:
+        t = pdf[(pdf["ts"] >= f["train_start"]) & (pdf["ts"] <= f["train_end"])]
+        y = code(t["y_raw"], 3)
+        for cand in ("m", "z"):
+            r, per = code(t[cand], 3), []
+            for name in ("a", "b"):
+                k, total = code(t[name], 5), 0.0
+                for label in np.unique(r):
+                    joint = pd.crosstab(k[r == label], y[r == label]).to_numpy() / (r == label).sum()
+                    outer = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
+                    total += (r == label).mean() * (joint[joint > 0] * np.log(joint[joint > 0] / outer[joint > 0])).sum()
+                per.append(total)
+            assert got[f["fold"], cand] == pytest.approx(np.mean(per))
+    scores, log = ml.tournament_walk_forward(x, ["a", "b"], ["m", "z"], c, regimes=2, hold=1, window=20)
+    assert {r["winner"] for r in log} == {"m"} and len(log) == len(c)
+    assert scores.count() == scores.select("ts", "symbol").distinct().count() == 60 * 8
+
+
+def test_constant_dates(spark):
+    """Correlations of a side without spread are NULL, and one name has no date."""
+    df = frame(spark, {s: [1.0, v] for s, v in zip("ABCDE", (1.0, 2.0, 3.0, 4.0, 5.0), strict=True)}).withColumn("y", F.ascii("symbol").cast("double"))
+    got = {r["ts"]: r["ic"] for r in reports.information_coefficient(df, "x", "y").collect()}
+    assert got == {DAY: None, DAY + dt.timedelta(days=1): pytest.approx(1)}
+    assert reports.information_coefficient(df.where("symbol = 'A'"), "x", "y").count() == 0
+    imp = spark.createDataFrame([(f, t, 1.0) for f in range(4) for t in "ab"], "fold long, term string, importance double")
+    assert {r["rank_corr"] for r in reports.stability(imp).collect()} == {None} and {r["corr"] for r in reports.fold_spearman(imp).collect()} == {None}
+
+
+def test_scalar_ema(spark):
+    """No overflow over thousands of folds; absent folds decay."""
+    df = spark.createDataFrame([(i, "a", 1.0) for i in range(2000)] + [(3, "b", 2.0)], "fold long, name string, value double")
+    got = {(r["fold"], r["name"]): r["ema"] for r in ml.scalar_ema(df).collect()}
+    assert got[1999, "a"] == pytest.approx(1) and got[3, "b"] == 2.0 and got[4, "b"] == pytest.approx(2 * (1 - 1 / 3)) and (2, "b") not in got
+
+
+def test_smoothing(spark):
+    """From the second date on, a gross below the leverage is scaled up to it."""
+    w = spark.createDataFrame([("s", DAY + dt.timedelta(days=i), k, v) for i, row in enumerate([(0.2, -0.2), (-0.2, 0.6)]) for k, v in zip("AB", row, strict=True)], "strategy string, ts timestamp, symbol string, weight double")
+    got = weights.smoothed(w, 0.5, 1.0)
+    assert column(got, "weight", "A") == pytest.approx([0.2, 0.0]) and column(got, "weight", "B") == pytest.approx([-0.2, 1.0])
+
+
+def test_combinations(spark):
+    """Every method keeps the caps and the grid."""
+    rng = np.random.default_rng(8)
+    x = frame(spark, {f"S{i}": list(rng.normal(size=50) * 0.02) for i in range(8)}, "ret")
+    two = joins.aligned({n: weights.predictions_to_weights(x.withColumn("score", F.lit(k) * F.col("ret")), 0.3) for n, k in (("up", 1.0), ("down", -1.0))})
+    for method in ("linear", "equal_weight", "mean_variance", "cross_signal_mv"):
+        got = portfolio.combine(two.where("strategy = 'up'") if method == "linear" else two, x, method, cap=0.2, lookback=20)
+        rows = got.collect()
+        assert len(rows) == 400 and max(abs(r["weight"]) for r in rows) <= 0.2 + 1e-6, method
+    with pytest.raises(ValueError):
+        portfolio.combine(two, x, "none")
+
+
+def test_broker_and_features(spark):
+    """Lots, precision, equity, feature choice and a grid whose failures say why."""
+    row = spark.range(1).select(portfolio.floor_to_step(F.lit(-1.27), 0.1).alias("a"), portfolio.round_to_precision(F.lit(1.256), 2).alias("b")).first()
+    assert row["a"] == pytest.approx(-1.2) and row["b"] == pytest.approx(1.26)
+    prices = frame(spark, {"A": [1.0, 3.0], "B": [2.0, 2.0]}, "close")
+    held = spark.createDataFrame([("A", 2.0), ("B", -1.0), ("C", 9.0)], "symbol string, qty double")
+    assert portfolio.account_equity(held, prices, 10.0).first()["equity"] == pytest.approx(14)
+    df = spark.createDataFrame([(DAY, "A", 1.0, 2, "x", 0.5)], "ts timestamp, symbol string, f1 double, f2 int, label string, signal_a double")
+    assert calendar.numeric_features(df) == ["f1", "f2"] and calendar.numeric_features(df, ("f1",)) == ["f2"] and calendar.numeric_features(df, (), ("f1",)) == ["f1"]
+
+    def strategy(panel, k):
+        if k == 2:
+            raise ValueError("no such k")
+        return panel.withColumn("close", F.col("close") * k)
+
+    found = backtest.grid_search(prices, strategy, [{"k": 1}, {"k": 2}, {"k": 3}], lambda x: x.agg(F.sum("close").alias("total")))
+    assert found == [({"k": 1}, {"total": 8.0}), ({"k": 2}, {"error": "no such k"}), ({"k": 3}, {"total": 24.0})]
+
+
+def test_streaming_state(spark, tmp_path):
+    """Doubled bars go, accounts are marked to market, sessions close."""
+    rows = [(DAY, "A", 10.0), (DAY, "A", 10.0), (DAY + dt.timedelta(days=1), "A", 20.0), (DAY + dt.timedelta(days=2), "A", 20.0)]
+    bars = spark.createDataFrame(rows, "ts timestamp, symbol string, close double")
+    bars.coalesce(1).write.parquet(f"{tmp_path}/b")
+    got = []
+    stream = market.deduplicated(market.replay(spark, f"{tmp_path}/b", bars.schema))
+    q = market.rebalance(stream, lambda df, i: got.extend(df.collect()), "0 seconds", f"{tmp_path}/c")
+    q.processAllAvailable()
+    q.stop()
+    assert len(got) == 3
+    out = market.orders(market.replay(spark, f"{tmp_path}/b", bars.schema), lambda c: 0.2, equity=1000.0)
+    q = out.writeStream.outputMode("append").format("memory").queryName("marked").start()
+    q.processAllAvailable()
+    q.stop()
+    qty = [r["qty"] for r in spark.table("marked").orderBy("ts").collect()]
+    assert qty == pytest.approx([20.0, 0.2 * 1200 / 20 - 20])  # the gain of 200 counts
+    ticks = spark.createDataFrame([(1, DAY), (1, DAY + dt.timedelta(minutes=29)), (1, DAY + dt.timedelta(minutes=60))], "user_id long, ts timestamp")
+    assert sorted(r["n"] for r in market.sessions(ticks).collect()) == [1, 2]
+
+
+# The reference inputs of the alpha pipeline and of the optimiser.
+
+
+def test_alpha_pipeline(spark):
+    """Three symbols of 100 days of random walks give a score each."""
+    rng = np.random.default_rng(9)
+    rows = [
+        (DAY + dt.timedelta(days=i), s, float(p), float(p) * 1.01, float(p) * 0.99, 10.0 + i % 5, float(o), float(p) * 0.001, 1.0 + 0.1 * (i % 3), 0.0001 * (i % 4 - 1), 1.0)
+        for s in "ABC"
+        for i, (p, o) in enumerate(zip(100 + rng.normal(size=100).cumsum(), 1000 + rng.normal(size=100).cumsum(), strict=True))
+    ]
+    df = spark.createDataFrame(rows, "ts timestamp, symbol string, close double, high double, low double, volume double, open_interest double, basis double, volume_ratio double, funding_rate double, ls_ratio double")
+    df = df.withColumn("ret", ts.pct_change("close"))
+    df = df.withColumn("mkt", F.avg("ret").over(cs.section()))
+    got = factors.live_scores(factors.factor_panel(df)).collect()
+    assert {r["symbol"] for r in got} == set("ABC") and all(r["score"] is not None for r in got)
+
+
+def test_optimizer_contract():
+    scores = np.array([2.5, 0.5, -3.0])
+    w = portfolio._linear(scores, 1.0, 0.4)
+    assert abs(w.sum()) < 0.25 and np.abs(w).sum() <= 1 + 1e-9 and np.abs(w).max() <= 0.4 and w[0] > 0 > w[2]
