@@ -461,38 +461,72 @@ def test_html_table(spark, sf_dir):
         assert "track(" not in r["text"] and "&amp;" not in r["text"]
 
 
-def test_kneser_ney(spark, sample):
-    data = [*sample[:80], (70001, None), (70002, ""), (70003, "The the THE")]
-    df = docs_of(spark, data).selectExpr("doc_id", "doc_id % 5 = 1 AS held_out", "cast(coalesce(text, '') AS binary) AS t")
-    rows = {r["doc_id"]: r for r in kneser_ney.score(df, kneser_ney.train(df.where("NOT held_out").select("t"))).collect()}
-    toks = {i: [*(t or "").encode().lower().split(), b"</s>"] for i, t in data}
-    pairs, uni = Counter(), Counter()
-    for i, w in toks.items():
-        if i % 5 != 1:
-            uni.update(w)
-            pairs.update(zip([b"<s>", *w], w, strict=False))
-    n, v = sum(uni.values()), len(uni)
+def brute_kneser_ney(toks, order):
+    """P(word, history) by plain counting over the training texts, and the counts."""
+    grams, uni = Counter(), Counter()
+    for w in toks:
+        uni.update(w)
+        x = ["<s>", "<s>", *w]
+        grams.update((x[i] if order == 3 else "", x[i + 1], x[i + 2]) for i in range(len(w)))
     count = lambda c: [sum(x == k for x in c) for k in (1, 2, 3, 4)]
+    pairs = Counter()
+    for (_, v, w), c in grams.items():
+        pairs[v, w] += 1 if order == 3 else c
     cont = Counter(w for _, w in pairs)
-    d, dw = kneser_ney.discounts(count(pairs.values())), kneser_ney.discounts(count(cont.values()))
-    total, weight = Counter(), Counter()
-    for (u, _), c in pairs.items():
-        total[u] += c
-        weight[u] += d[min(c, 3)]
-    rest = sum(dw[min(c, 3)] for c in cont.values()) / len(pairs) / (v + 1)
-    low = lambda w: max(cont[w] - dw[min(cont[w], 3)], 0) / len(pairs) + rest
-
-    def prob(u, w):
-        if not total[u]:
-            return low(w)
-        return max(pairs[u, w] - d[min(pairs[u, w], 3)], 0) / total[u] + weight[u] / total[u] * low(w)
-
-    for i, w in toks.items():
-        r = rows[i]
-        assert r["n_tokens"] == len(w) and r["train_tokens"] == n and r["n_known"] == sum(uni[x] > 0 for x in w)
-        assert r["score"] == pytest.approx(sum(math.log10(prob(u, x)) for u, x in zip([b"<s>", *w], w, strict=False)))
-        assert r["base_score"] == pytest.approx(sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-    assert sum(prob(b"the", w) for w in [*uni, b"?"]) == pytest.approx(1)
+    d3, d2, d1 = (kneser_ney.discounts(count(c.values())) for c in (grams, pairs, cont))
+    t3, g3, t2, g2 = Counter(), Counter(), Counter(), Counter()
+    for (u, v, _), c in grams.items():
+        t3[u, v] += c
+        g3[u, v] += d3[min(c, 3)]
+    for (v, _), c in pairs.items():
+        t2[v] += c
+        g2[v] += d2[min(c, 3)]
+    rest = sum(d1[min(c, 3)] for c in cont.values()) / len(pairs) / (len(uni) + 1)
+
+    def prob(u, v, w):
+        p = max(cont[w] - d1[min(cont[w], 3)], 0) / len(pairs) + rest
+        if t2[v]:
+            p = max(pairs[v, w] - d2[min(pairs[v, w], 3)], 0) / t2[v] + g2[v] / t2[v] * p
+        if order == 3 and t3[u, v]:
+            p = max(grams[u, v, w] - d3[min(grams[u, v, w], 3)], 0) / t3[u, v] + g3[u, v] / t3[u, v] * p
+        return p
+
+    return prob, uni
+
+
+@pytest.mark.parametrize(("order", "dealt"), [(2, False), (3, False), (3, True)])
+def test_kneser_ney(spark, sample, order, dealt):
+    """Against brute force; also with frequent words dealt over the shards."""
+    data = [*sample[:80], (70001, None), (70002, ""), (70003, "The the THE"), (70003, "The the THE"), (None, "a b"), (70009, "na " * 3000)]
+    df = docs_of(spark, data, True).selectExpr("doc_id", "coalesce(doc_id % 5 = 1, false) AS held_out", "cast(coalesce(text, '') AS binary) AS t")
+    toks = [(i, [*(t or "").encode().lower().split(), b"</s>"]) for i, t in data]
+    train = [w for i, w in toks if i is None or i % 5 != 1]
+    hot = None
+    if dealt:
+        often = [w for w, _ in Counter(x for w in train for x in w).most_common(40)]
+        raw = np.frombuffer(b" ".join(w for w in often if w != b"</s>"), np.uint8)
+        hot = [1, *{int(x) for x in kneser_ney.tokens(raw, np.array([0, len(raw)]))[0]} - {2}]
+    rows = kneser_ney.score(df, kneser_ney.train(df.where("NOT held_out").select("t"), order, hot)).collect()
+    prob, uni = brute_kneser_ney(train, order)
+    n, v = sum(uni.values()), len(uni)
+    want = []
+    for i, w in toks:
+        x = ["<s>", "<s>", *w]
+        score = sum(math.log10(prob(x[k] if order == 3 else "", x[k + 1], x[k + 2])) for k in range(len(w)))
+        want.append((i or -1, len(w), sum(uni[x] > 0 for x in w), score, sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)))
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["score"], r["base_score"]) for r in rows)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+    assert {r["train_tokens"] for r in rows} == {n}
+    for history in ((b"the", b"the"), ("<s>", b"a"), (b"?", b"?")):
+        assert sum(prob(*history, w) for w in [*uni, b"?"]) == pytest.approx(1)
+
+
+def test_kneser_ney_frequent(spark):
+    """The sample names a word that fills the texts."""
+    texts = docs_of(spark, [(i, "same " * 40 + f"w{i}") for i in range(2000)]).selectExpr("cast(text AS binary) AS t")
+    raw = np.frombuffer(b"same", np.uint8)
+    assert int(kneser_ney.tokens(raw, np.array([0, 4]))[0][0]) in kneser_ney.frequent_words(texts, 4)
 
 
 def test_kneser_ney_untrained(spark):
