@@ -41,12 +41,12 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost
     executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

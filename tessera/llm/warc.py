@@ -244,8 +244,8 @@ def read(manifest: DataFrame) -> DataFrame:
     """One row per page: page_id, url, payload (null for revisits, whose
     payload is that of refers_to), payload_bytes, payload_digest, record_type,
     refers_to. Digests are checked against the decoded payloads."""
-    recs = written(read_records(manifest), "warc-records")
-    whole = written(reassembled(recs.where("seg IS NOT NULL")), "warc-whole")
+    recs = written(read_records(manifest), "warc-records", "zstd")
+    whole = written(reassembled(recs.where("seg IS NOT NULL")), "warc-whole", "zstd")
     responses = recs.where("seg IS NULL AND record_type = 'response'").select(*whole.columns).unionByName(whole)
     out = responses.select("page_id", "url", F.col("block").alias("payload"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     lengths = responses.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"))
