@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_bytes
 
-#: Parts that a worker remembers; beyond that it keeps those of the slice at hand.
-CACHE_PARTS = 600_000
-#: Bytes of texts that are cut at once, and parts that are encoded at once.
-CUT_BYTES, GROUP = 16 << 20, 200
+#: Parts that a worker remembers (beyond that it keeps those of the slice at hand),
+#: and bytes of texts that it cuts at once: for ids, and for lengths alone.
+CACHE_PARTS, CUT_BYTES = 600_000, 16 << 20
+LENGTH_PARTS, LENGTH_BYTES = 200_000, 4 << 20
+#: Parts that are encoded as one text.
+GROUP = 200
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: Bytes that white space can begin with.
@@ -94,8 +96,9 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list], np.ndarray | None]:
 class Encoder:
     """Encodes slices of texts by parts and remembers what the parts gave."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_parts: int = CACHE_PARTS, cut_bytes: int = CUT_BYTES):
         self.encode, self.sizes = encoder(path)
+        self.cache_parts, self.cut_bytes = cache_parts, cut_bytes
         self.known: dict[bytes, int] = {}  # part -> its number
         self.start = self.count = np.zeros(0, np.int64)  # of its ids
         self.ids = np.zeros(0, np.uint32)
@@ -141,7 +144,7 @@ class Encoder:
         found = list(map(self.known.get, keys))
         if None in found:
             new = [k for k, v in zip(keys, found, strict=True) if v is None]
-            if len(self.known) + len(new) > CACHE_PARTS:
+            if len(self.known) + len(new) > self.cache_parts:
                 self.forget([k for k, v in zip(keys, found, strict=True) if v is not None])
             self.learn(new)
             found = list(map(self.known.__getitem__, keys))
@@ -150,7 +153,7 @@ class Encoder:
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Numbers of ids of a binary column of texts."""
         out = np.zeros(len(column), np.int64)
-        for i, j, data, offs in slices(column, CUT_BYTES):
+        for i, j, data, offs in slices(column, self.cut_bytes):
             if not len(data):
                 continue
             at, rows = self.places(data, offs)
@@ -159,7 +162,7 @@ class Encoder:
 
     def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids end to end, where rows begin) of runs of rows."""
-        for i, j, data, offs in slices(column, CUT_BYTES):
+        for i, j, data, offs in slices(column, self.cut_bytes):
             if not len(data):
                 yield i, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
                 continue
@@ -171,14 +174,14 @@ class Encoder:
             yield i, self.ids[take], ends[rows]
 
 
-_workers: dict[str, Encoder] = {}
+_workers: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, *how: int) -> Encoder:
     """The encoder of this worker; it outlives the task."""
-    if path not in _workers:
-        _workers[path] = Encoder(path)
-    return _workers[path]
+    if (path, how) not in _workers:
+        _workers[path, how] = Encoder(path, *how)
+    return _workers[path, how]
 
 
 def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +189,7 @@ def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_encoder(path)
+        encode = worker_encoder(path, LENGTH_PARTS, LENGTH_BYTES)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode.lengths(b.column(1)))], names=["doc_id", "n_tokens"])
 

@@ -545,6 +545,22 @@ def test_word_hashes():
     assert len(set(h.tolist())) == len(set(words))
 
 
+@pytest.mark.parametrize("name", ["op2_warc", "op8_minhash_near_dup", "op10_quality_rules"])
+def test_sql(spark, sf_dir, name):
+    """The registered queries against their SQL."""
+    import duckdb
+    from tessera.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = registry.queries()[name](spark, sf_dir)
+    rel = con.sql(registry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    order = [rel.columns.index(c) for c in df.columns]
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in order) for r in rel.fetchall()), key=repr)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
