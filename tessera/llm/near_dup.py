@@ -14,7 +14,11 @@
 4. Only in buckets whose classes do not fall into one component yet are the
    classes of different components paired, size and sketch tests first; so no
    link between components is lost, and a large group of near copies costs
-   links to its hub instead of all its pairs.
+   links to its hub instead of all its pairs. In buckets of more than
+   PAIR_BUCKET classes (texts alike in parts, not as wholes) that would be
+   quadratic: their classes meet on shared rare shingles instead. Two sets of
+   similarity 0.8 share one among the floor(0.2 n) + 1 rarest of each, so this
+   finds every link too.
 5. Components by large-star / small-star.
 
 With 40 bands of 5 rows, a pair at similarity 0.8 shares no bucket with
@@ -29,11 +33,12 @@ than id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, slices, table, text_bytes, word_hashes, written
@@ -44,6 +49,10 @@ SAMPLES = BANDS * ROWS
 MAX_ONES = 129
 #: The ids of texts to confirm are broadcast up to this number (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Open buckets of more classes than this are searched by rare shingles.
+PAIR_BUCKET = 64
+#: Shingles leave a worker in batches of this number of rows.
+SHINGLE_ROWS = 1 << 18
 
 _rng = np.random.default_rng(20240817)
 _MUL = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -162,9 +171,41 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rare_shingle_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Distinct (a, b) of texts (id, t) that share one of their rarest shingles:
+    all pairs of at least `percent` similarity are among them. Shingles of one
+    text alone are counted but not shuffled on, so what is ranked is what texts
+    share; sizes are part of the join key, since similar sets have similar ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, data, offs in slices(batch.column(1), 1 << 20):
+                sets, ends = shingle_sets(*word_hashes(data, offs), width)
+                sizes = np.diff(ends)
+                sums = np.array([sets[ends[k] : ends[k + 1]].sum() for k in range(j - i)], np.uint64)
+                columns = [np.repeat(ids[i:j], sizes), np.repeat(sums.view(np.int64), sizes), np.repeat(sizes.astype(np.int64), sizes), sets.view(np.int64)]
+                for at in range(0, len(sets), SHINGLE_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + SHINGLE_ROWS]) for c in columns], ["id", "sum", "n", "s"])
+
+    found = written(texts.mapInArrow(run, "id long, sum long, n long, s long"), "dup-shingles")
+    shared = found.join(found.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1"), "s")
+    # An id may stand for several texts; id and sum name one.
+    one = Window.partitionBy("id", "sum")
+    ranked = shared.withColumns({"place": F.row_number().over(one.orderBy("texts", "s")), "k": F.count("*").over(one)})
+    base = 100 / percent + 0.01
+    first = ranked.where(f"place <= n * {100 - percent} DIV 100 + 1 - (n - k)").select("id", "n", "s", F.floor(F.log("n") / math.log(base)).alias("bin"))
+    first = written(first, "dup-prefixes")
+    left = first.select("s", "bin", F.col("id").alias("a"), F.col("n").alias("na"))
+    right = first.select("s", F.explode(F.array("bin", F.col("bin") - 1)).alias("bin"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, ["s", "bin"]).where(f"(na < nb OR (na = nb AND a < b)) AND 100 * na >= {percent} * nb")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. `percent`
-    is a similarity of at least 80; the bands are made for that."""
+    is a similarity of at least 80; the bands are made for that. `pair_bucket`
+    chooses between two exact ways and changes no result."""
     if percent < 80:
         raise ValueError("bands and sketch test are made for similarities of 80 % and more")
     feats = written(features(docs, width, id_col, text_col), "dup-features")
@@ -193,11 +234,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     placed = members.join(comps.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     placed = written(placed, "dup-placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed_keys, "key", "left_semi").where("rid <> hub").join(marks, "rid")
-    left = open_.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
-    right = open_.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
+    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    open_ = written(placed.join(mixed_keys.select("key", F.expr(f"c > {pair_bucket}").alias("wide")), "key").where("rid <> hub"), "dup-open")
+    few = open_.where("NOT wide").join(marks, "rid")
+    left = few.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
+    right = few.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
     second = left.join(right, "key").where("a < b AND ca <> cb AND " + similar).select("a", "b").distinct()
+    wide = written(open_.where("wide").select("rid", "component").distinct(), "dup-wide")
+    if not wide.isEmpty():
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).join(wide.select(F.col("rid").alias("id")), "id", "left_semi")
+        of = lambda x: wide.select(F.col("rid").alias(x), F.col("component").alias(f"c{x}"))
+        met = rare_shingle_pairs(texts, width, percent).join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b")
+        second = second.unionByName(met.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b")).distinct()
     second = written(second, "dup-pairs")
     if second.isEmpty():
         final = comps
