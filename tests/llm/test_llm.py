@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -124,42 +123,6 @@ def test_near_duplicates(spark, sample, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_duplicates_rare(spark, sample):
-    """Buckets searched by rare shingles find the same links as all pairs do:
-    texts that share half of their words, some of them with near copies."""
-    common = [f"c{i}" for i in range(60)]
-    data = [*sample[:60], *near_copies()]
-    for k in range(40):
-        own = [f"k{k}x{i}" for i in range(20 + k % 5)]
-        data.append((7000 + 2 * k, " ".join(common + own)))
-        if k % 3 == 0:
-            data.append((7001 + 2 * k, " ".join(common[1:] + own + [f"end{k}"])))
-    data += [(7000, " ".join(f"other{i}" for i in range(50))), (7500, "")]
-    for width in (2, 5):
-        ways = [near_dup.near_duplicates(docs_of(spark, data, True), width, pair_bucket=n).collect() for n in (0, 1 << 40)]
-        assert sorted(map(tuple, ways[0])) == sorted(map(tuple, ways[1]))
-        want = brute_components(data[:-2], width)
-        got = {(r["doc_id"]): (r["n_shingles"], r["component_id"]) for r in ways[0] if r["doc_id"] not in (7000, 7500)}
-        assert got == {i: w for i, w in want.items() if i not in (7000, 7500)}
-
-
-def test_rare_shingle_pairs(spark):
-    """All pairs of at least 80 % are met, against brute force."""
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(60)]
-    data = []
-    for i in range(60):
-        base = [rng.choice(words) for _ in range(rng.randint(1, 50))] if i % 3 == 0 else list(base)
-        for _ in range(i % 3):
-            base[rng.randrange(len(base))] = rng.choice(words)
-        data.append((i, " ".join(base)))
-    texts = docs_of(spark, data, True).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("t"))
-    met = {tuple(r) for r in near_dup.rare_shingle_pairs(texts, 2, 80).collect()}
-    sets = {i: near_dup._shingles(t.encode(), 2) for i, t in data}
-    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert links and links <= met and len(met) < 60 * 59 // 2
-
-
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(docs_of(spark, [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (9, "a b c d")]), 2).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in got) == [(-1, None, True), (3, 3, True), (3, 3, True), (9, 3, False)]
