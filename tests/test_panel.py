@@ -164,37 +164,6 @@ def test_market_kinds(spark):
         assert [rows[0][c] for c in columns] == [1.0, 2.0, 0.5, 1.5, 10.0][: len(columns)]
 
 
-def test_bar_stream(spark, tmp_path):
-    day = market_api.INTERVAL_MS["1d"]
-    bars = market_api.bar_stream(spark, fetch="tests.test_panel:fetch", symbols="A,B", start="0", end=str(5 * day), limit="2")
-    q = bars.writeStream.format("memory").queryName("bar_stream").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="0 seconds").start()
-    import time
-
-    for _ in range(60):
-        if spark.table("bar_stream").count() >= 10:
-            break
-        time.sleep(1)
-    q.stop()
-    rows = spark.table("bar_stream").collect()
-    assert len(rows) == len(set((r["symbol"], r["ts"]) for r in rows)) == 10 and {r["close"] for r in rows} == {None, 1.5}
-
-
-def fetch_with_gap(symbol, start, end, limit):
-    if start == 4 * market_api.INTERVAL_MS["1d"]:
-        raise market_api.BadRange
-    return fetch(symbol, start, end, limit)
-
-
-def test_market_kinds(spark):
-    """Spot, open interest, funding and ratios come with their own columns."""
-    day = market_api.INTERVAL_MS["1d"]
-    for kind, columns in market_api.KINDS.items():
-        df = market_api.history(spark, kind, fetch="tests.test_panel:fetch", symbols="A", start=str(day), end=str(3 * day), limit="2", pages="1")
-        rows = df.orderBy("ts").collect()
-        assert df.columns == ["symbol", "ts", *columns] and len(rows) == 3
-        assert [rows[0][c] for c in columns] == [1.0, 2.0, 0.5, 1.5, 10.0][: len(columns)]
-
-
 def test_bar_stream(spark, tmp_path):
     """Polls go on after the last bar of each symbol; none comes twice."""
     import time
