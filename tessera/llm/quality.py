@@ -15,12 +15,20 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent function words of English, French, German and Spanish.
+#: Frequent function words of English, French, German, Spanish,
+#: Italian, Portuguese, Dutch, Swedish, Polish and Russian. Long texts in a
+#: language that shares none of them fail `stop_words`: pass a list of your own.
 STOP_WORDS = (
     "the and of to in is that for with was it this are from "
     "le la les des et que qui dans pour sur une du "
     "der die das und ist von mit nicht den ein eine zu "
-    "el los las de y en un por con para del se"
+    "el los las de y en un por con para del se "
+    "il di che non per una sono della nel gli "
+    "os não uma com mais dos como foi ao "
+    "het een van niet dat op te zijn voor met "
+    "och att det som på är av för inte "
+    "nie się na jest że to do jak "
+    "не на что как это по но из он"
 ).split()
 
 
