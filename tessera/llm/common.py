@@ -32,12 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that driver and executors share. Only where
     both are one machine may it be unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))  # the setting itself can't change in a running session
+        base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex[:12]}"
 
 
@@ -115,16 +116,12 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, of a
-    slice, and where each row's words begin (with the end). Memory: some 40
-    bytes for each byte of the slice."""
+def _piece_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a piece and where its words start; no word crosses a cut."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     word = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
-    cut[offs] = True
+    cut[cuts] = True
     first = word.copy()
     first[1:] &= ~word[:-1] | cut[1:n]
     last = word.copy()
@@ -134,7 +131,31 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     run = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=run[1:])
     h = (run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    return mixed(h), np.searchsorted(starts, offs)
+    return mixed(h), starts
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, piece: int = 2 * SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, of a
+    slice, and where each row's words begin (with the end). Long texts are read
+    in pieces that end at white space. Memory: 16 bytes a word, and some 40 for
+    each byte of a piece."""
+    n = len(data)
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < n:
+        end = min(at + piece, n)
+        while end < n:
+            space = np.flatnonzero(_SPACE[data[end : end + 4096]])
+            if len(space):
+                end += int(space[0])
+                break
+            end = min(end + 4096, n)
+        inside = offs[np.searchsorted(offs, at) : np.searchsorted(offs, end, side="right")] - at
+        h, s = _piece_hashes(data[at:end], inside)
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offs)
 
 
 def crc32_mod(column: str, k: int):
