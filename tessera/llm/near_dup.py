@@ -11,10 +11,13 @@
    partial aggregation: copies never meet in pairs.
 3. In each bucket of a band every class is paired with the smallest one only
    (the hub). Pairs that pass the sketch test are confirmed on their full sets.
-4. Only in buckets whose classes do not fall into one component yet are the
-   classes of different components paired, size and sketch tests first; so no
-   link between components is lost, and a large group of near copies costs
-   links to its hub instead of all its pairs.
+4. Only in buckets whose classes do not fall into one component yet are
+   classes of different components paired: those outside the bucket's largest
+   component with all others of about their size (a geometric step of 101 /
+   percent on either side holds every size that the similarity allows), the
+   sketch tests first. So no link between components is lost, and a large group
+   of near copies costs links to its hub and pairs with strangers, never its own
+   pairs.
 5. Components by large-star / small-star.
 
 With 40 bands of 5 rows, a pair at similarity 0.8 shares no bucket with
@@ -29,6 +32,7 @@ than id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,11 +197,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     placed = members.join(comps.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     placed = written(placed, "dup-placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed_keys, "key", "left_semi").where("rid <> hub").join(marks, "rid")
-    left = open_.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
-    right = open_.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
-    second = left.join(right, "key").where("a < b AND ca <> cb AND " + similar).select("a", "b").distinct()
+    held = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    open_keys = held.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    # Classes of one component need no more links: of the largest one in a bucket, only pairs with the others are looked at.
+    open_ = placed.join(open_keys.select("key", F.col("most.component").alias("main")), "key").where("rid <> hub").join(marks, "rid")
+    sized = open_.withColumn("step", F.floor(F.log("n_shingles") / F.lit(math.log(101 / percent))))
+    others = sized.where("component <> main").withColumn("near", F.explode(F.expr("array(step - 1, step, step + 1)")))
+    left = others.select("key", "near", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
+    right = sized.select("key", F.col("step").alias("near"), F.col("rid").alias("b"), F.col("component").alias("cb"), "main", F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
+    second = left.join(right, ["key", "near"]).where("ca <> cb AND (cb = main OR a < b) AND " + similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = written(second, "dup-pairs")
     if second.isEmpty():
         final = comps

@@ -123,6 +123,31 @@ def test_near_duplicates(spark, sample, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def families():
+    """Texts of several lengths that share a passage: buckets with a large
+    component and strangers, links across components, sizes at the limit."""
+    rng = np.random.default_rng(11)
+    shared = [f"s{i}" for i in range(70)]
+    out = []
+    for f in range(6):
+        own = [f"f{f}x{i}" for i in range(12 + 2 * f)]
+        for i in range(24 if f == 0 else 5):
+            w = shared + own
+            for j in rng.choice(len(w), int(rng.integers(0, 6)), replace=False):
+                w[j] = f"y{rng.integers(0, 10**6)}"
+            out.append((2000 + 7 * len(out) % 331, " ".join(w)))
+    return [*out, *((3000 + n, " ".join(shared[:n])) for n in range(40, 71, 3))]
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_open_buckets(spark, width):
+    data = families()
+    want = brute_components(data, width)
+    assert 5 < len({c for _, c in want.values()}) < len(want)
+    got = near_dup.near_duplicates(docs_of(spark, data, True), width).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(docs_of(spark, [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (9, "a b c d")]), 2).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in got) == [(-1, None, True), (3, 3, True), (3, 3, True), (9, 3, False)]
@@ -543,6 +568,12 @@ def test_word_hashes():
     words = [w for t in texts for w in t.lower().split()]
     assert len(h) == len(words) and np.diff(bounds).tolist() == [len(t.split()) for t in texts]
     assert len(set(h.tolist())) == len(set(words))
+    for piece in (1, 3, 4):  # long texts are read in pieces
+        again, cuts = word_hashes(data, offs, piece)
+        assert again.tolist() == h.tolist() and cuts.tolist() == bounds.tolist()
+    long = np.frombuffer(b"ab cde " * 1_000_000 + b"x" * 5_000_000, np.uint8)
+    h, bounds = word_hashes(long, np.array([0, len(long)]))
+    assert bounds.tolist() == [0, 2_000_001] and len(set(h.tolist())) == 3
 
 
 @pytest.mark.parametrize("name", ["op2_warc", "op8_minhash_near_dup", "op10_quality_rules"])
