@@ -16,6 +16,7 @@ _MODULES = {
     "op8_minhash_near_dup": "near_dup",
     "op9_token_files": "token_files",
     "op10_quality_rules": "quality",
+    "op11_importance_resampling": "resampling",
 }
 
 

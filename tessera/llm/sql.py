@@ -76,7 +76,41 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d"""
 
 
+#: crc32 of UTF-8 bytes from its table of remainders; `t` is the table's list.
+_CRC_TABLE = """
+bits(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc32(x: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda o: ('0x' || o)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+RESAMPLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+w AS (SELECT 'd' AS side, doc_id AS r, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+      FROM documents UNION ALL
+      SELECT 'b', NULL, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+b AS (SELECT w, {_crc32("w")} % 10000 AS k FROM (SELECT DISTINCT w FROM w), crc),
+f AS (SELECT side, r, k, count(*) AS c FROM w JOIN b USING (w) GROUP BY ALL),
+n AS (SELECT k, sum(c) FILTER (side = 'd') AS s, sum(c) FILTER (side = 'b') AS t FROM f GROUP BY k),
+u AS (SELECT coalesce(sum(s), 0)::DOUBLE + 10000 AS s, coalesce(sum(t), 0)::DOUBLE + 10000 AS t FROM n),
+g AS (SELECT k, floor(1000 * ln((coalesce(n.t, 0)::DOUBLE + 1) * u.s / ((coalesce(n.s, 0)::DOUBLE + 1) * u.t)))::BIGINT AS g FROM n, u),
+v AS (SELECT r, sum(c)::BIGINT AS n, floor(sum(c * g)::DOUBLE / sum(c))::BIGINT AS weight FROM f JOIN g USING (k) WHERE side = 'd' GROUP BY r),
+d AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM documents LEFT JOIN v ON r = doc_id),
+e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS p, count(*) FILTER (n_features >= 20) OVER () AS m FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * m // 100 THEN p END AS rank FROM o"""
+
+
 ORACLES = {
+    "op11_importance_resampling": RESAMPLING,
     "op2_warc": WARC,
     "op8_minhash_near_dup": NEAR_DUP,
     "op10_quality_rules": quality_sql(),
