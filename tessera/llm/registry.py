@@ -17,6 +17,7 @@ _MODULES = {
     "op9_token_files": "token_files",
     "op10_quality_rules": "quality",
     "op11_importance_resampling": "resampling",
+    "op12_prefix_trie": "prefix_trie",
 }
 
 

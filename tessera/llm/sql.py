@@ -109,7 +109,37 @@ o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * m // 100 THEN p END AS rank FROM o"""
 
 
+TRIE = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (
+  SELECT conv_id, d, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS i
+  FROM (SELECT conv_id, turn, strlen(coalesce(text, '')) AS n,
+               md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (
+  SELECT c.conv_id, d, n, 0 AS own, i FROM c JOIN t ON t.conv_id = base AND i <= h
+  UNION ALL SELECT c.conv_id, d, n, 1, i FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+q AS (SELECT conv_id, d, n, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth FROM r),
+p AS (
+  SELECT conv_id, depth, n, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM q
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+n AS (
+  SELECT path, p.depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n_bytes,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+  FROM p JOIN e USING (conv_id) GROUP BY path, p.depth),
+k AS (SELECT left(path, 32 * (depth - 1)::INT) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (
+  SELECT left(path, 32 * a) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n_bytes)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(generate_series(0, depth::INT)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN n u ON m.depth > 0 AND u.path = left(m.path, 32 * (m.depth - 1)::INT)"""
+
+
 ORACLES = {
+    "op12_prefix_trie": TRIE,
     "op11_importance_resampling": RESAMPLING,
     "op2_warc": WARC,
     "op8_minhash_near_dup": NEAR_DUP,
