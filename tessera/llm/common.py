@@ -129,6 +129,12 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, piece: int = 2 * SLICE_BYTES
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offs)
 
 
+def tree_sum(vectors: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors of int64, one a row as bytes, merged in a tree."""
+    rows = vectors.rdd.map(lambda r: np.frombuffer(r[0], np.int64))
+    return rows.treeReduce(lambda a, b: a + b) if rows.getNumPartitions() else np.zeros(size, np.int64)
+
+
 def crc32_mod(column: str, k: int):
     """crc32 of the id as text, mod k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % k

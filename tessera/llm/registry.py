@@ -18,6 +18,7 @@ _MODULES = {
     "op10_quality_rules": "quality",
     "op11_importance_resampling": "resampling",
     "op12_prefix_trie": "prefix_trie",
+    "op13_ngram_jaccard_join": "set_join",
 }
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered
-from .common import SLICE_BYTES, slices, table, text_bytes
+from .common import SLICE_BYTES, slices, table, text_bytes, tree_sum
 
 BUCKETS, MIN_WORDS, SHARE, SEED = 10_000, 20, 10, 2024
 
@@ -76,10 +76,7 @@ def bucket_counts(docs: DataFrame, n: int = 1, text_col: str = "text") -> np.nda
                     total += np.bincount(at, minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    vectors = docs.select(text_bytes(text_col).alias("t")).mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
-    if not vectors.getNumPartitions():
-        return np.zeros(BUCKETS, np.int64)
-    return vectors.treeReduce(lambda a, b: a + b)
+    return tree_sum(docs.select(text_bytes(text_col).alias("t")).mapInArrow(run, "counts binary"), BUCKETS)
 
 
 def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:

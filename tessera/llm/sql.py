@@ -42,11 +42,13 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 {final}"""
 
 
-NEAR_DUP = rf"""
+def _similar_sets(width: int, columns: str) -> str:
+    """Links by prefix filter, components by reachability."""
+    return rf"""
 WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WS}+') AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w ELSE w[i : i + 1] END AS g
-  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, least(len(w), 1)))) AS i FROM a)),
+  SELECT DISTINCT doc_id, w[i : i + {width - 1}] AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {width - 1}, least(len(w), 1)))) AS i FROM a)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 df AS (SELECT g, row_number() OVER (ORDER BY count(*), g) AS r FROM s GROUP BY g),
 o AS (SELECT doc_id, r, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS p FROM s JOIN df USING (g)),
@@ -56,7 +58,7 @@ inter AS (SELECT a, b, count(*) AS c FROM cand JOIN o x ON x.doc_id = a JOIN o y
 links AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(doc_id, x) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.x)
-SELECT doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(x) AS component_id, doc_id = min(x) AS kept
+SELECT doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(x) AS component_id{columns}
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
 
@@ -139,9 +141,10 @@ FROM m JOIN s USING (path) LEFT JOIN n u ON m.depth > 0 AND u.path = left(m.path
 
 
 ORACLES = {
+    "op13_ngram_jaccard_join": _similar_sets(5, ""),
     "op12_prefix_trie": TRIE,
     "op11_importance_resampling": RESAMPLING,
     "op2_warc": WARC,
-    "op8_minhash_near_dup": NEAR_DUP,
+    "op8_minhash_near_dup": _similar_sets(2, ", doc_id = min(x) AS kept"),
     "op10_quality_rules": quality_sql(),
 }
