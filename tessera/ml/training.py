@@ -1,20 +1,24 @@
 """Targets, folds, bootstraps and walk-forward training.
 
-Folds are independent, so a fold is one group of a grouped map; only the fold
-calendar and the regime tournament, both of a row per fold, run on the driver.
+Models are fitted to histograms that Spark adds up (see histograms); the fold
+calendar, the models and the regime tournament, all of the size of the folds, are
+held on the driver and broadcast for scoring.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cs, ts
+from ..tables import written
+from . import histograms as H
 
 
 def build_target(panel: DataFrame, horizon: int = 1, neutral: bool = False, mode: str = "rank") -> DataFrame:
@@ -57,119 +61,135 @@ def validation_tail(dates: DataFrame, share: float = 0.1) -> DataFrame:
     return dates.select("ts").distinct().select("ts", F.when(i > n - F.floor(n * share), -1).otherwise(1).cast("tinyint").alias("mask"))
 
 
-class Booster:
-    """Additive model of histogram steps, one feature at a time in turn."""
-
-    def __init__(self, bins: int = 16, rounds: int = 60, rate: float = 0.1):
-        self.bins, self.rounds, self.rate = bins, rounds, rate
-        self.edges: list[np.ndarray] = []
-        self.scores: list[np.ndarray] = []
-        self.base = 0.0
-
-    def codes(self, x: np.ndarray) -> list[np.ndarray]:
-        return [np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)]
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, edges: list[np.ndarray] | None = None) -> Booster:
-        w = np.ones(len(y)) if weight is None else weight.astype(float)
-        self.edges = edges or [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        self.scores = [np.zeros(len(e) + 1) for e in self.edges]
-        self.base = float(np.average(y, weights=w)) if w.sum() else 0.0
-        codes, res = self.codes(x), y - self.base
-        for _ in range(self.rounds):
-            for j, c in enumerate(codes):
-                s = np.bincount(c, w * res, len(self.scores[j])) / (np.bincount(c, w, len(self.scores[j])) + 1.0)
-                self.scores[j] += self.rate * s
-                res = res - self.rate * s[c]
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.base + sum(s[c] for s, c in zip(self.scores, self.codes(x), strict=True))
-
-    def importance(self, x: np.ndarray) -> np.ndarray:
-        return np.array([np.abs(s[c]).mean() for s, c in zip(self.scores, self.codes(x), strict=True)])
-
-
-    def shapes(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per feature: bin centers, scores, and the density of x (mass per unit)."""
-        out = []
-        for j, (edges, scores) in enumerate(zip(self.edges, self.scores, strict=True)):
-            bounds = np.concatenate(([x[:, j].min()], edges, [x[:, j].max()]))
-            mass = np.bincount(np.searchsorted(edges, x[:, j], side="right"), minlength=len(scores)) / len(x)
-            width = np.diff(bounds)
-            pdf = np.divide(mass, width, out=np.full(len(mass), np.nan), where=width > 0)
-            pdf = np.where(np.isnan(pdf), np.nanmedian(pdf) if (~np.isnan(pdf)).any() else 1.0, pdf)
-            out.append((0.5 * (bounds[:-1] + bounds[1:]), scores, pdf))
-        return out
-
-
-class Ensemble:
-    """Boosters on bags of dates (counts of a block bootstrap) on common bins, and
-    tables of the pairs of features that explain most of what is left."""
-
-    def __init__(self, bags: int = 4, pairs: int = 2, block: int = 20, cells: int = 6, **how):
-        self.n_bags, self.n_pairs, self.block, self.cells, self.how = bags, pairs, block, cells, how
-        self.bags: list[Booster] = []
-        self.pairs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def counts(self, dates: np.ndarray, bag: int) -> np.ndarray:
-        """How often overlapping blocks of dates cover each row's date."""
-        days, at = np.unique(dates, return_inverse=True)
-        rng, n = np.random.default_rng([11, bag]), len(days)
-        starts = rng.integers(0, max(1, n - self.block + 1), -(-n // self.block))
-        hit = (starts[:, None] + np.arange(self.block)).ravel()
-        return np.bincount(hit[hit < n], minlength=n)[at]
-
-    def fit(self, x: np.ndarray, y: np.ndarray, dates: np.ndarray) -> Ensemble:
-        weights = [np.ones(len(y))] if self.n_bags < 2 else [self.counts(dates, b) for b in range(self.n_bags)]
-        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])) for j in range(x.shape[1])]
-        self.bags = [Booster(**self.how).fit(x, y, w, edges) for w in weights]
-        res, found = y - self.predict(x), []
-        for a in range(x.shape[1]):
-            for b in range(a + 1, x.shape[1]):
-                ea, eb = (np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.cells + 1)[1:-1])) for j in (a, b))
-                cell = np.searchsorted(ea, x[:, a], side="right") * (len(eb) + 1) + np.searchsorted(eb, x[:, b], side="right")
-                n = np.bincount(cell, minlength=(len(ea) + 1) * (len(eb) + 1))
-                s = np.bincount(cell, res, len(n)) / (n + 10.0)
-                found.append((-float((n * s * s).sum()), a, b, ea, eb, s))
-        self.pairs = [f[1:] for f in sorted(found, key=lambda f: f[:3])[: self.n_pairs]]
-        return self
-
-    def _cells(self, x: np.ndarray, a: int, b: int, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
-        return np.searchsorted(ea, x[:, a], side="right") * (len(eb) + 1) + np.searchsorted(eb, x[:, b], side="right")
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.mean([m.predict(x) for m in self.bags], axis=0)
-        for a, b, ea, eb, s in self.pairs:
-            out = out + s[self._cells(x, a, b, ea, eb)]
-        return out
-
-    def importance(self, x: np.ndarray, names: list[str]) -> list[tuple[str, float]]:
-        """Terms with the mean of |score|; a pair is called `a & b`."""
-        main = np.mean([m.importance(x) for m in self.bags], axis=0)
-        return list(zip(names, main.tolist(), strict=True)) + [(f"{names[a]} & {names[b]}", float(np.abs(s[self._cells(x, a, b, ea, eb)]).mean())) for a, b, ea, eb, s in self.pairs]
-
-
 def fold_rows(panel: DataFrame, calendar: list[dict]) -> DataFrame:
-    """panel rows of each fold with a role, train or predict. The calendar is a
-    row per fold, joined by range; a panel with epoch_no (see per_epoch) meets the
-    folds of its epoch only, those from epoch_no x 10,000 on."""
+    """panel rows of each fold with a role, train or predict. The calendar meets
+    the dates by range, a row per date and fold, and these meet the rows by equality."""
     c = F.broadcast(panel.sparkSession.createDataFrame(calendar))
     inside = F.col("ts").between(F.col("train_start"), F.col("train_end"))
     ahead = F.col("ts").between(F.col("predict_start"), F.col("predict_end"))
-    own = F.floor(F.col("fold") / 10_000) == F.col("epoch_no") if "epoch_no" in panel.columns else F.lit(True)
-    x = panel.join(c, (inside | ahead) & own).withColumn("role", F.when(inside, "train").otherwise("predict"))
-    return x.drop("train_start", "train_end", "predict_start", "predict_end")
+    dates = panel.select("ts").distinct().join(c, inside | ahead).select("ts", "fold", F.when(inside, "train").otherwise("predict").alias("role"))
+    return panel.join(F.broadcast(dates), "ts")
 
 
-def walk_forward(panel: DataFrame, features: list[str], calendar: list[dict], expert: str | None = None, share: float = 0.5, least: int = 50, least_expert: int = 30, state: str | None = None, raw: list[str] | None = None, bags: int = 1, pairs: int = 0) -> tuple[DataFrame, DataFrame]:
+def walk_forward(panel: DataFrame, features: list[str], calendar: list[dict], expert: str | None = None, share: float = 0.5, least: int = 50, least_expert: int = 30, state: str | None = None, raw: list[str] | None = None, bags: int = 1, pairs: int = 0, rebin: int = 1) -> tuple[DataFrame, DataFrame]:
     """(predictions(fold, ts, symbol, score), importance(fold, term, importance)) of
     trained(): see there."""
-    found = trained(panel, features, calendar, expert, share, least, least_expert, state, raw, bags, pairs)
+    found = trained(panel, features, calendar, expert, share, least, least_expert, state, raw, bags, pairs, rebin)
     scores = found.where("kind = 'score'").select("fold", "ts", "symbol", F.col("value").alias("score"))
     return scores, found.where("kind = 'importance'").select("fold", "term", F.col("value").alias("importance"))
 
 
-def trained(panel: DataFrame, features: list[str], calendar: list[dict], expert: str | None = None, share: float = 0.5, least: int = 50, least_expert: int = 30, state: str | None = None, raw: list[str] | None = None, bags: int = 1, pairs: int = 0) -> DataFrame:
+class FoldModel:
+    """What a fold has learned: scores of bins for each bag, tables of pairs, and
+    boosters for labels, on the residuals."""
+
+    def __init__(self, features: list[str], edges: list[np.ndarray], found: dict):
+        self.features, self.edges, self.found = features, edges, found
+        self.pairs: list[tuple] = []
+        self.raw: list[str] = []
+        self.experts: dict[int, tuple[list[np.ndarray], dict]] = {}
+        self.share = 0.0
+
+    def _sum(self, rows: H.Rows, m: np.ndarray, features: list[str], edges: list[np.ndarray], found: dict) -> np.ndarray:
+        at, codes = 0, []
+        for f, e in zip(features, edges, strict=True):
+            codes.append(np.searchsorted(e, rows.x[f][m], side="right") + at)
+            at += len(e) + 1
+        return np.mean([base + sum(scores[c] for c in codes) for base, scores in zip(found["bases"], found["scores"], strict=True)], axis=0)
+
+    def predict(self, rows: H.Rows, m: np.ndarray) -> np.ndarray:
+        """Main effects and pairs."""
+        out = self._sum(rows, m, self.features, self.edges, self.found)
+        for a, b, ea, eb, score, _ in self.pairs:
+            out = out + score[H.cell_of(rows.x, (self.features[a], self.features[b], ea, eb), m)]
+        return out
+
+    def mixed(self, rows: H.Rows, m: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """predict() and the share of each row's expert."""
+        out = self.predict(rows, m)
+        for name, (edges, found) in self.experts.items():
+            own = label[m] == name
+            if own.any():
+                at = np.flatnonzero(m)[own]
+                out[own] += self.share * self._sum(rows, at, self.raw, edges, found)
+        return out
+
+    def importance(self) -> list[tuple[str, float]]:
+        """Terms with the mean of |score| over the training rows; a pair is `a & b`."""
+        n, at, out = self.found["counts"], 0, []
+        for f, e in zip(self.features, self.edges, strict=True):
+            cut = slice(at, at + len(e) + 1)
+            out.append((f, float(np.mean([(n[cut] * np.abs(s[cut])).sum() / n[cut].sum() for s in self.found["scores"]]))))
+            at = cut.stop
+        return out + [(f"{self.features[a]} & {self.features[b]}", float((c * np.abs(s)).sum() / c.sum())) for a, b, _, _, s, c in self.pairs]
+
+    def shapes(self, ranges: list[tuple[float, float]]) -> list[tuple]:
+        """(term, bag, bin, center, density, score); density is mass per unit."""
+        n, at, out = self.found["counts"], 0, []
+        for f, e, (low, high) in zip(self.features, self.edges, ranges, strict=True):
+            cut = slice(at, at + len(e) + 1)
+            bounds = np.concatenate(([low], e, [high]))
+            width, mass = np.diff(bounds), n[cut] / n[cut].sum()
+            pdf = np.divide(mass, width, out=np.full(len(mass), np.nan), where=width > 0)
+            pdf = np.where(np.isnan(pdf), np.nanmedian(pdf) if (~np.isnan(pdf)).any() else 1.0, pdf)
+            for bag, s in enumerate(self.found["scores"]):
+                out += [(f, bag, k, *map(float, v)) for k, v in enumerate(zip(0.5 * (bounds[:-1] + bounds[1:]), pdf, s[cut], strict=True))]
+            at = cut.stop
+        return out
+
+
+class Residual:
+    """The target less what the model of the span's unit says."""
+
+    def __init__(self, models: dict[int, FoldModel]):
+        self.models = models
+
+    def __call__(self, rows: H.Rows, span: H.Span, m: np.ndarray) -> np.ndarray:
+        return rows.y[m] - self.models[span.unit].predict(rows, m)
+
+
+def bag_counts(days: int, bag: int, block: int = 20) -> np.ndarray:
+    """How often overlapping blocks with drawn starts cover each of the days."""
+    rng = np.random.default_rng([11, bag])
+    starts = rng.integers(0, max(1, days - block + 1), -(-days // block))
+    hit = (starts[:, None] + np.arange(block)).ravel()
+    return np.bincount(hit[hit < days], minlength=days)
+
+
+def _scored(rows: DataFrame, days: H.Days, spans: list[H.Span], models: dict[int, FoldModel], names: list[str], known: bool) -> DataFrame:
+    """(fold, ts, symbol, value) of all rows of the spans; known: training rows,
+    with their own labels."""
+    sent, at = rows.sparkSession.sparkContext.broadcast((spans, models)), days.at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, models = sent.value
+        for chunk in batches:
+            x = H.Rows(chunk, at, names)
+            for s in spans:
+                m = x.inside(s) & x.there if known else x.inside(s)
+                if m.any():
+                    value = models[s.unit].mixed(x, m, x.label if known else x.state)
+                    keys = chunk.select(["ts", "symbol"]).filter(pa.array(m))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), s.unit)), *keys.columns, pa.array(value)], ["fold", "ts", "symbol", "value"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"fold long, ts {kinds['ts']}, symbol {kinds['symbol']}, value double")
+
+
+def trained(
+    panel: DataFrame,
+    features: list[str],
+    calendar: list[dict],
+    expert: str | None = None,
+    share: float = 0.5,
+    least: int = 50,
+    least_expert: int = 30,
+    state: str | None = None,
+    raw: list[str] | None = None,
+    bags: int = 1,
+    pairs: int = 0,
+    rebin: int = 1,
+) -> DataFrame:
     """(fold, kind, ts, symbol, term, bag, bin, x, density, value): kind score (out
     of sample), fitted (in sample), importance, or shape (a bin of a main effect).
 
@@ -177,43 +197,87 @@ def trained(panel: DataFrame, features: list[str], calendar: list[dict], expert:
     label of the row counts in sample, `state` (that known before, see hysteresis)
     out of sample. A label without an expert adds 0. The experts use the columns
     `raw` in place of the features, if given. Features that are NULL count as 0. A
-    fold of fewer than `least` rows gives nothing."""
-    raw, state = raw or features, state or expert
-    extra = sorted({*features, *raw, *([expert, state] if expert else [])})
-    rows = fold_rows(panel.select("ts", "symbol", "y", *extra, *[c for c in panel.columns if c == "epoch_no"]), calendar)
-    columns = ["fold", "kind", "ts", "symbol", "term", "bag", "bin", "x", "density", "value"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[(pdf["role"] == "train") & pdf["y"].notna()].sort_values(["ts", "symbol"])
-        ahead = pdf[pdf["role"] == "predict"].sort_values(["ts", "symbol"])
-        if len(train) < least:
-            return pd.DataFrame(columns=columns)
-        x, y = train[features].fillna(0.0).to_numpy(float), train["y"].to_numpy(float)
-        model = Ensemble(bags, pairs).fit(x, y, train["ts"].to_numpy())
-        fold = int(pdf["fold"].iloc[0])
-        fitted, score = model.predict(x), model.predict(ahead[features].fillna(0.0).to_numpy(float)) if len(ahead) else np.zeros(0)
-        if expert:
-            res = y - fitted
-            xr, xa = train[raw].fillna(0.0).to_numpy(float), ahead[raw].fillna(0.0).to_numpy(float)
-            for label in sorted(train[expert].dropna().unique()):
-                own, to = (train[expert] == label).to_numpy(), (ahead[state] == label).to_numpy()
-                if own.sum() >= least_expert:
-                    special = Booster(rounds=30).fit(xr[own], res[own])
-                    fitted[own] += share * special.predict(xr[own])
-                    if to.any():
-                        score[to] += share * special.predict(xa[to])
-        parts = [
-            pd.DataFrame({"kind": "score", "ts": ahead["ts"], "symbol": ahead["symbol"], "value": score}),
-            pd.DataFrame({"kind": "fitted", "ts": train["ts"], "symbol": train["symbol"], "value": fitted}),
-            pd.DataFrame(model.importance(x, features), columns=["term", "value"]).assign(kind="importance"),
-        ]
-        for bag, m in enumerate(model.bags):
-            for name, (centers, scores, density) in zip(features, m.shapes(x), strict=True):
-                parts.append(pd.DataFrame({"kind": "shape", "term": name, "bag": bag, "bin": range(len(scores)), "x": centers, "density": density, "value": scores}))
-        out = pd.concat([p.reindex(columns=columns) for p in parts if len(p)]).assign(fold=fold)
-        return out.astype({"bag": "Int64", "bin": "Int64", "x": float, "density": float, "value": float})
-
-    return rows.groupBy("fold").applyInPandas(run, "fold long, kind string, ts timestamp, symbol string, term string, bag long, bin long, x double, density double, value double")
+    fold of fewer than `least` rows gives nothing. Edges of bins are those of the
+    fold's training rows; rebin k: of the first in every k folds, 0: of the first
+    fold, so that histories which grow are binned and counted once (see
+    histograms). A panel with epoch_no (see per_epoch) meets the folds of its epoch
+    only, those from epoch_no x 10,000 on."""
+    spark, raw, state = panel.sparkSession, raw or features, state or expert
+    names = sorted({*features, *raw})
+    labels = sorted(r[0] for r in panel.select(F.col(expert).cast("string")).distinct().collect() if r[0] is not None) if expert else []
+    rows = written(H.prepared(panel, names, expert, state, labels), "training-rows")
+    days = H.Days(rows)
+    epoch = (lambda fold: fold // 10_000) if "epoch_no" in panel.columns else lambda fold: None
+    train, ahead = ({c["fold"]: days.span(c[f"{k}_start"], c[f"{k}_end"]) for c in calendar} for k in ("train", "predict"))
+    order = sorted(f for f, (lo, hi) in train.items() if lo <= hi)
+    first: dict[int, int] = {}  # fold -> the fold whose edges it uses
+    for e in {epoch(f) for f in order}:
+        own = [f for f in order if epoch(f) == e]
+        first |= {f: own[(k // rebin) * rebin if rebin else 0] for k, f in enumerate(own)}
+    steps, cells = np.linspace(0, 1, 17)[1:-1].tolist(), np.linspace(0, 1, 7)[1:-1].tolist()
+    q = H.quantiles(rows, days, [H.Span(f, *train[f], epoch(f)) for f in sorted(set(first.values()))], features, steps + cells)
+    order = [f for f in order if first[f] in q]
+    edges = {f: [np.unique(v[: len(steps)]) for v in q[first[f]]] for f in order}
+    grid = {f: [np.unique(v[len(steps) :]) for v in q[first[f]]] for f in order}
+
+    spans, uses, unit_edges, weights = [], {}, {}, None
+    if bags > 1:
+        spans = [H.Span(f, *train[f], epoch(f)) for f in order]
+        uses, unit_edges, weights = {f: [f] for f in order}, edges, {}
+        for f in order:
+            known = days.known[train[f][0] : train[f][1] + 1]
+            weights[f] = np.zeros((bags, len(known)))
+            weights[f][:, known] = [bag_counts(int(known.sum()), b) for b in range(bags)]
+    else:
+        for v in sorted({first[f] for f in order}):
+            ranges, held = H.segments({f: train[f] for f in order if first[f] == v})
+            at = len(spans)
+            spans += [H.Span(at + k, lo, hi, epoch(v)) for k, (lo, hi) in enumerate(ranges)]
+            unit_edges |= {at + k: edges[v] for k in range(len(ranges))}
+            uses |= {f: [at + k for k in ks] for f, ks in held.items()}
+    sizes = {f: [len(e) + 1 for e in edges[f]] for f in order}
+    found = H.fitted(H.statistics(rows, days, spans, features, unit_edges, weights), uses, sizes) if order else {}
+    models = {f: FoldModel(features, edges[f], m) for f, m in found.items() if m["counts"][: sizes[f][0]].sum() >= least}
+    inside = [H.Span(f, *train[f], epoch(f)) for f in sorted(models)]
+    if pairs and inside:
+        for f, best in H.pair_cells(rows, days, inside, features, grid, Residual(models), pairs).items():
+            models[f].pairs = best
+    if labels and inside:
+        many = len(labels) + 1
+        own = [H.Span(s.unit * many + k, s.lo, s.hi, s.epoch, k) for s in inside for k in range(1, many)]
+        sq = H.quantiles(rows, days, own, raw, steps)
+        own = [s for s in own if s.unit in sq]
+        se = {u: [np.unique(v) for v in x] for u, x in sq.items()}
+        ss = {u: [len(e) + 1 for e in x] for u, x in se.items()}
+        stats = H.statistics(rows, days, own, raw, se, target=Residual({s.unit: models[s.unit // many] for s in own}))
+        for u, m in H.fitted(stats, {s.unit: [s.unit] for s in own}, ss, rounds=30).items():
+            if m["counts"][: ss[u][0]].sum() >= least_expert:
+                model = models[u // many]
+                model.raw, model.share = raw, share
+                model.experts[u % many] = (se[u], m)
+
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    out = []
+    for kind, among, known in (("score", ahead, False), ("fitted", train, True)):
+        x = _scored(rows, days, [H.Span(f, *among[f], epoch(f)) for f in sorted(models)], models, names, known)
+        out.append(x.select("fold", F.lit(kind).alias("kind"), "ts", "symbol", *none("string", "term"), *none("long", "bag", "bin"), *none("double", "x", "density"), "value"))
+    terms = [(f, "importance", t, None, None, None, None, v) for f, m in models.items() for t, v in m.importance()]
+    low = _extremes(rows, days, spans, uses, features) if models else {}
+    terms += [(f, "shape", t, bag, k, x, d, v) for f, m in models.items() for t, bag, k, x, d, v in m.shapes(low[f])]
+    told = spark.createDataFrame(terms, "fold long, kind string, term string, bag long, bin long, x double, density double, value double")
+    kinds = dict(rows.dtypes)
+    out.append(told.select("fold", "kind", *none(kinds["ts"], "ts"), *none(kinds["symbol"], "symbol"), "term", "bag", "bin", "x", "density", "value"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _extremes(rows: DataFrame, days: H.Days, spans: list[H.Span], uses: dict[int, list[int]], features: list[str]) -> dict[int, list[tuple[float, float]]]:
+    """Per fold the smallest and largest training value of each feature, from those of its units."""
+    at = [(int(days.at[d]), -1 if s.epoch is None else s.epoch, s.unit) for s in spans for d in range(s.lo, s.hi + 1)]
+    units = rows.sparkSession.createDataFrame(at, "_at long, _e long, unit long")
+    x = rows.where(~F.isnan("y")).withColumn("_e", F.col("_epoch") if spans[0].epoch is not None else F.lit(-1).cast("long")).join(F.broadcast(units), ["_at", "_e"])
+    found = {r["unit"]: r for r in x.groupBy("unit").agg(*[g(f).alias(f"{k}{i}") for i, f in enumerate(features) for k, g in (("a", F.min), ("b", F.max))]).collect()}
+    own = {f: [found[u] for u in us if u in found] for f, us in uses.items()}
+    return {f: [(min(r[f"a{i}"] for r in rs), max(r[f"b{i}"] for r in rs)) for i in range(len(features))] for f, rs in own.items() if rs}
 
 
 def shape_table(found: DataFrame) -> DataFrame:
