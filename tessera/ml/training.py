@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import cs, ts
+from ..functions import cs, scans, ts
 from ..tables import written
 from . import histograms as H
 
@@ -325,36 +325,17 @@ def tournament(raw: Iterable[tuple[int, dict[str, float]]], span: int = 5) -> li
 
 def hysteresis(labels: DataFrame, column: str, k: int = 3) -> DataFrame:
     """(ts, state): the label of the row before, switched only after k rows in a
-    row ask for the same other one; a missing label changes nothing. A recursion
-    over the market's one row per date, in one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        out, now, want, n = [], None, None, 0
-        for label in [None, *pdf["l"].tolist()[:-1]]:
-            if label is not None and label == label:
-                if now is None or label == now:
-                    now, want, n = label, None, 0
-                else:
-                    want, n = label, n + 1 if label == want else 1
-                    if n >= k:
-                        now, want, n = label, None, 0
-            out.append(now)
-        return pd.DataFrame({"ts": pdf["ts"], "state": out})
-
-    one = labels.select("ts", F.col(column).cast("string").alias("l"), F.lit(1).alias("_g"))
-    return one.groupBy("_g").applyInPandas(run, "ts timestamp, state string")
+    row ask for the same other one; a missing label changes nothing."""
+    return scans.held(labels, column, k)
 
 
 def scalar_ema(values: DataFrame, span: int = 5) -> DataFrame:
     """(fold, name, ema) per candidate over all folds from its first value, which
-    seeds it; absent folds decay. A fold over the array of values so far."""
-    a = 2 / (span + 1)
+    seeds it; absent folds decay."""
     grid = values.select("fold").distinct().crossJoin(values.select("name").distinct()).join(values, ["fold", "name"], "left")
     first = F.min(F.when(F.col("value").isNotNull(), F.col("fold"))).over(W.partitionBy("name"))
-    x = grid.withColumn("_first", first).where(F.col("fold") >= F.col("_first"))
-    so_far = F.collect_list(F.coalesce("value", F.lit(0.0))).over(W.partitionBy("name").orderBy("fold"))
-    return x.withColumn("_l", so_far).select("fold", "name", F.expr(f"aggregate(slice(_l, 2, greatest(size(_l) - 1, 0)), _l[0], (s, v) -> (1 - {a!r}D) * s + {a!r}D * v)").alias("ema"))
+    x = grid.withColumn("_first", first).where(F.col("fold") >= F.col("_first")).withColumn("_v", F.coalesce("value", F.lit(0.0)))
+    return scans.exponential_means(x, {"_v": "ema"}, 2 / (span + 1), adjust=False, keys=["name"], order="fold").select("fold", "name", "ema")
 
 
 def conditional_mi(panel: DataFrame, calendar: list[dict], features: list[str], candidates: list[str], target: str = "y_raw", bins: tuple[int, int, int] = (3, 5, 3), least: int = 4) -> DataFrame:

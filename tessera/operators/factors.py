@@ -7,14 +7,14 @@ those results, then per-date ones again.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import cs, ts
+from ..functions import cs, scans, ts
 
 
 @dataclass(frozen=True)
@@ -36,22 +36,9 @@ class Lookbacks:
 
 def ewms(df: DataFrame, columns: dict[str, str], halflife: float | None = None, alpha: float | None = None, adjust: bool = True, min_periods: int = 0, key: str = "symbol") -> DataFrame:
     """df with exponentially weighted means (column -> name of its mean) per
-    symbol; weights decay over NULL rows too. A recursion has no window form, so
-    each symbol's series, and only they, go to one pandas call; (key, ts) is
-    unique."""
-    how = {"halflife": halflife} if alpha is None else {"alpha": alpha}
-    pairs = {f"_x{i}": f"_e{i}" for i in range(len(columns))}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        return pdf[[key, "ts"]].assign(**{e: pdf[x].astype(float).ewm(**how, adjust=adjust, min_periods=min_periods).mean() for x, e in pairs.items()})
-
-    kinds = dict(df.dtypes)
-    narrow = df.select(key, "ts", *[F.col(c).cast("double").alias(x) for c, x in zip(columns, pairs, strict=True)])
-    found = narrow.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, ts {kinds['ts']}, " + ", ".join(f"{e} double" for e in pairs.values()))
-    # Arrow brings NaN for a missing value; NULL is the only one here.
-    found = found.select(key, "ts", *[F.when(~F.isnan(e), F.col(e)).alias(out) for e, out in zip(pairs.values(), columns.values(), strict=True)])
-    return df.join(found, [key, "ts"], "left")
+    symbol; weights decay over NULL rows too. (key, ts) is unique."""
+    alpha = 1 - math.exp(math.log(0.5) / halflife) if alpha is None else alpha
+    return scans.exponential_means(df, columns, alpha, adjust, min_periods, [key])
 
 
 def ewm(df: DataFrame, column: str, out: str, halflife: float | None = None, alpha: float | None = None, adjust: bool = True, min_periods: int = 0, key: str = "symbol") -> DataFrame:
@@ -110,7 +97,10 @@ def market_regimes(market: DataFrame, window: int | None = None, warmup: int = 1
     quartiles of the dates before (all, or `window`), from `warmup` values on; a
     date without a measure or threshold has the middle label."""
     m = market.withColumns({"volatility": ts.std("mkt_ret", 30, None, None), "skewness": ts.skew("mkt_ret", 90, None, None)})
-    m = m.withColumns({"_lo": ts.quantile_before("volatility", 0.25, window, warmup, None), "_hi": ts.quantile_before("volatility", 0.75, window, warmup, None)})
+    if window is None:
+        m = m.join(scans.expanding_quantiles(m, "volatility", {"_lo": 0.25, "_hi": 0.75}, warmup), "ts", "left")
+    else:
+        m = m.withColumns({"_lo": ts.quantile_before("volatility", 0.25, window, warmup, None), "_hi": ts.quantile_before("volatility", 0.75, window, warmup, None)})
     m = adx(m.withColumn("_k", F.lit("market")), key="_k").drop("_k")
     return m.withColumns(
         {
