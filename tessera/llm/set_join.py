@@ -45,6 +45,8 @@ from .graph import components
 from .near_dup import BROADCAST_IDS, PARITY_BITS, shingle_sets
 
 FREQ_BITS = 19
+#: Texts are hashed in slices of about this many bytes.
+PIECE = 512 << 10
 #: Size and position of an index entry in one long.
 _PLACE = 1 << 31
 
@@ -55,12 +57,13 @@ def frequencies(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << FREQ_BITS, np.int64)
         for b in batches:
-            for _, _, data, offs in slices(b.column(0)):
+            for _, _, data, offs in slices(b.column(0), PIECE):
                 sets, _ = shingle_sets(*word_hashes(data, offs), width)
                 total += np.bincount((sets >> np.uint64(64 - FREQ_BITS)).astype(np.int64), minlength=1 << FREQ_BITS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    return tree_sum(docs.select(text_bytes(text_col).alias("t")).mapInArrow(run, "counts binary"), 1 << FREQ_BITS)
+    vectors = docs.select(text_bytes(text_col).alias("t")).mapInArrow(run, "counts binary")
+    return tree_sum(written(vectors, "join-counts", "zstd"), 1 << FREQ_BITS)  # written: hashing and merging aren't in memory together
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
@@ -94,7 +97,7 @@ def features(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in slices(b.column(1), 1 << 20):
+            for i, j, data, offs in slices(b.column(1), PIECE):
                 yield _features_of(b.column(0).slice(i, j - i), *word_hashes(data, offs), width, percent, sent.value)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
