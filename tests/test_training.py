@@ -90,6 +90,25 @@ def test_shared_edges(panel, frame):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
 
 
+def test_experts_on_other_columns(panel, frame):
+    """Experts that read raw columns, on the residuals of a model of other ones."""
+    x = panel.withColumn("d", F.coalesce("a", F.lit(0.0)) * 2 - F.coalesce("b", F.lit(0.0)))
+    calendar = ml.folds(DATES, DATES[60], every=40)
+    got = {(r["fold"], r["ts"], r["symbol"]): r["value"] for r in ml.trained(x, ["d"], calendar, expert="label", raw=["a", "c"]).where("kind = 'score'").collect()}
+    pdf = frame.assign(d=frame["a"].fillna(0) * 2 - frame["b"].fillna(0))
+    for f in calendar:
+        train = pdf[(pdf["ts"] >= f["train_start"]) & (pdf["ts"] <= f["train_end"]) & pdf["y"].notna()]
+        ahead = pdf[(pdf["ts"] >= f["predict_start"]) & (pdf["ts"] <= f["predict_end"])]
+        of = lambda df, cols: df[cols].fillna(0.0).to_numpy()
+        y = train["y"].to_numpy()
+        model = Booster().fit(of(train, ["d"]), y)
+        score, left = model.predict(of(ahead, ["d"])), y - model.predict(of(train, ["d"]))
+        for label in "xyz":
+            own, to = (train["label"] == label).to_numpy(), (ahead["label"] == label).to_numpy()
+            score[to] += 0.5 * Booster(rounds=30).fit(of(train, ["a", "c"])[own], left[own]).predict(of(ahead, ["a", "c"])[to])
+        assert all(got[f["fold"], t, s] == pytest.approx(v, abs=1e-9) for t, s, v in zip(ahead["ts"], ahead["symbol"], score, strict=True))
+
+
 def test_segments():
     ranges, held = H.segments({0: (0, 9), 1: (0, 19), 2: (5, 29)})
     assert ranges == [(0, 4), (5, 9), (10, 19), (20, 29)]
