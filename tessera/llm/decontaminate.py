@@ -7,20 +7,21 @@ windows of a benchmark item, on one diagonal (same distance between the two
 places), are hits: all windows of the item or at least MIN_WINDOWS. A question
 asked again with other numbers or names has the same template; its hit counts
 if the substitution is consistent: on the diagonal every value of the item
-always stands for one value of the document. An item is searched as it stands
-at the start of a sentence and inside one.
+always stands for one value of the document, and different names for different
+ones. An item is searched as it stands at the start of a sentence and inside one.
 
 Scale: the item windows are broadcast while there are at most BROADCAST_WINDOWS
-(24 bytes each) and shuffled otherwise; documents are read once, windows are
-made and probed inside the scan's stage, and only hits are shuffled, after a
-partial aggregation. Items with equal templates and values are probed once. A
+(24 bytes each) and shuffled otherwise; documents are read and cut into tokens
+once for windows of all lengths, windows are made and probed inside the scan's
+stage, and only hits are shuffled, after a partial aggregation. Items with equal templates and values are probed once. A
 document is read again only if a hit window has placeholders.
 
 Templates have at least MIN_TOKENS tokens and windows of MIN_WORDS words. Items
 of which they may miss an exact copy (short or mostly numeric ones, scripts
-without spaces) are also searched whole by their exact words, numbers and signs.
-That has no minimum: an item of one word is a hit wherever the word stands. If
-there are such items, the documents are read once more.
+without spaces) are also searched whole by their exact words, numbers and signs,
+from least_exact of them on: shorter ones would mark every text that has the word.
+If there are such items, the documents are read once more. uncovered() lists the
+items that are too short for either search.
 
 Defined results: null and empty texts have no window and no hit. An item with
 fewer than WINDOW tokens is searched as one window of its own length. Repeated
@@ -37,13 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-WINDOW, MIN_WINDOWS, MIN_TOKENS, MIN_WORDS = 8, 5, 4, 3
+WINDOW, MIN_WINDOWS, MIN_TOKENS, MIN_WORDS, MIN_EXACT = 8, 5, 4, 3, 3
 BROADCAST_WINDOWS = 2_000_000
 
 #: Units of measure that belong to the number before them.
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hr|hours|minutes|seconds|days|weeks|months|years|miles|feet|ft|inches|in|percent|%|dollars|euros|pounds|usd|eur|gbp|°c|°f|mph|kmh|kw|w|v|hz|mb|gb"
 _NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
-_CAPITAL = r"\p{Lu}\p{Ll}++(?![\p{L}\p{M}])"
+#: A capitalised word with a small letter in it; O'Brien and Anna-Maria are one, the ending 's is none of it.
+_CAPITAL = r"\p{Lu}(?=[\p{Lu}'’-]*+\p{Ll})[\p{L}\p{M}]*+(?:(?:-|['’](?!s\b))[\p{L}\p{M}]++)*+"
 #: What a token can be, the first that fits; only a name begins with a space. Repeats are possessive: no backtracking, no recursion.
 KINDS = (
     rf"\$ ?{_NUMBER}",
@@ -109,10 +111,10 @@ def windows_of(texts: DataFrame, sizes: list) -> DataFrame:
     return rows.selectExpr("id", f"{size} END AS n", f"{at} END AS at", "w")
 
 
-def _exact(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+def _exact(docs: DataFrame, items: DataFrame, window: int, least_exact: int) -> DataFrame | None:
     """(doc_id, item, n_windows, item_windows, exact) of the whole copies of items(item,
     t) in docs(id, t), by all windows of their exact tokens; None without items."""
-    own = items.selectExpr("item", f"{exact_tokens('t')} AS tok").where("size(tok) > 0")
+    own = items.selectExpr("item", f"{exact_tokens('t')} AS tok").where(f"size(tok) >= {max(1, least_exact)}")
     own = written(own.selectExpr("item", "tok", f"least(size(tok), {window}) AS n", "xxhash64(tok) AS tid"), "bench-exact")
     sizes = sorted(r[0] for r in own.select("n").distinct().collect())  # at most `window` numbers
     if not sizes:
@@ -147,10 +149,11 @@ def contaminated(
     item_text_col: str = "text",
     window: int = WINDOW,
     min_windows: int = MIN_WINDOWS,
+    least_exact: int = MIN_EXACT,
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, exact) of each hit; exact: the
     document has the item's own values everywhere on the diagonal."""
-    found = contaminated_rows(docs, benchmark, id_col, text_col, item_col, item_text_col, window, min_windows)
+    found = contaminated_rows(docs, benchmark, id_col, text_col, item_col, item_text_col, window, min_windows, least_exact)
     best = found.groupBy("row.id", "item_id").agg(F.max(F.struct("n_windows", "item_windows")).alias("n"), F.bool_or("exact").alias("exact"))
     return best.select(F.col("id").alias("doc_id"), "item_id", "n.*", "exact")
 
@@ -160,7 +163,7 @@ def row_key(id_col: str, text_col: str):
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
 
 
-def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, min_windows: int) -> DataFrame:
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int = WINDOW, min_windows: int = MIN_WINDOWS, least_exact: int = MIN_EXACT) -> DataFrame:
     """(row, item_id, n_windows, item_windows, exact), row: the row_key."""
     docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("t"))
     id_col, text_col = "row", "t"
@@ -173,31 +176,33 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     forms = written(forms.selectExpr("item", "inside", "tok", "iv", "xxhash64(iv) AS tid"), "bench-forms")
     # Templates with equal values are probed once: with other values, other substitutions are consistent.
     kinds = forms.select("tid", "tok", "iv").distinct().selectExpr("tid AS id", "tok", "iv")
-    short = [r[0] for r in kinds.select(F.least(F.size("tok"), F.lit(window))).distinct().collect()]  # at most `window` numbers
+    sizes = sorted(r[0] for r in kinds.select(F.least(F.size("tok"), F.lit(window))).distinct().collect())  # at most `window` numbers
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).selectExpr("id", f"{tokens('t', False)} AS tok")
 
     hits, probes, inner = None, None, None
-    for n in sorted(short):
-        own = kinds.where(F.least(F.size("tok"), F.lit(window)) == n)
-        keys = own.selectExpr("id", "tok", "transform(tok, x -> xxhash64(x)) AS h").selectExpr("id", "tok", f"posexplode_outer({_hashes(n)}) AS (i, w)")
-        keys = keys.selectExpr("id AS tid", "i AS ipos", "w", f"{_WORDS.format(n=n)} AS words", f"exists(slice(tok, i + 1, {n}), x -> startswith(x, '⟨')) AS slots")
-        keys = written(keys.where(f"w IS NOT NULL AND words >= {min(n, MIN_WORDS)}").drop("words"), "bench-windows")
+    if sizes:
+        keys = None
+        for n in sizes:
+            own = kinds.where(F.least(F.size("tok"), F.lit(window)) == n)
+            one = own.selectExpr("id", "tok", "transform(tok, x -> xxhash64(x)) AS h").selectExpr("id", "tok", f"posexplode_outer({_hashes(n)}) AS (i, w)")
+            one = one.selectExpr("id AS tid", f"{n} AS n", "i AS ipos", "w", f"{_WORDS.format(n=n)} AS words", f"exists(slice(tok, i + 1, {n}), x -> startswith(x, '⟨')) AS slots", f"i > 0 AND i + {n} < size(tok) AS free")
+            one = one.where(f"w IS NOT NULL AND words >= {min(n, MIN_WORDS)}").drop("words")
+            keys = one if keys is None else keys.unionByName(one)
+        keys = written(keys, "bench-windows")
         few = keys.count() <= BROADCAST_WINDOWS
-        found = windows_of(texts, [n]).join(F.broadcast(keys) if few else keys, "w")
-        found = found.selectExpr("id AS doc_id", "tid", "at - ipos AS diagonal", "ipos", "slots", f"{n} AS n")
-        total = keys.groupBy("tid").agg(F.count("*").alias("item_windows"))
-        # Windows without the tokens that a neighbour of the item can change.
-        free = keys.join(own.selectExpr("id AS tid", "size(tok) AS len"), "tid").where(f"ipos > 0 AND ipos + {n} < len").groupBy("tid").agg(F.count("*").alias("free"))
-        hits = found if hits is None else hits.unionByName(found)
-        probes = total if probes is None else probes.unionByName(total)
-        inner = free if inner is None else inner.unionByName(free)
+        probe = keys.drop("free")
+        found = windows_of(texts, sizes).join(F.broadcast(probe) if few else probe, ["n", "w"])
+        hits = found.selectExpr("id AS doc_id", "tid", "at - ipos AS diagonal", "ipos", "slots", "n")
+        # free: windows without the tokens that a neighbour of the item can change.
+        probes = keys.groupBy("tid").agg(F.count("*").alias("item_windows"))
+        inner = keys.where("free").groupBy("tid").agg(F.count("*").alias("free"))
 
     # Items of which the template may miss an exact copy are searched by their exact tokens too.
     left = items.select("item", "t")
     if hits is not None:
         sure = forms.where("inside = 1").join(inner.where(f"free >= {min_windows}"), "tid")
         left = left.join(sure, "item", "left_anti")
-    copies = _exact(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), left, window)
+    copies = _exact(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), left, window, least_exact)
     if hits is None and copies is not None:
         return _rows(copies, items)
     if hits is None:
@@ -216,6 +221,9 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     # A name at an edge of the item may have run into a name beside it.
     pairs = pairs.withColumn("p", F.expr("struct(p.iv, IF(p.first AND endswith(p.dv, concat(' ', substr(p.iv, 4))) OR p.last AND startswith(p.dv, concat(rtrim('⟩', p.iv), ' ')), p.iv, p.dv) AS dv)"))
     slots = pairs.groupBy("doc_id", "tid", "diagonal", "p.iv").agg(F.count_distinct("p.dv").alias("c"), F.bool_and(F.expr("p.iv <=> p.dv")).alias("same"))
+    # Names are told apart: two of the item's don't stand for one of the document's.
+    names = pairs.where("startswith(p.iv, '⟨p·') AND p.dv IS NOT NULL").groupBy("doc_id", "tid", "diagonal", "p.dv").agg(F.count_distinct("p.iv").alias("c"))
+    slots = slots.drop("iv").unionByName(names.select("doc_id", "tid", "diagonal", "c", F.lit(True).alias("same")))
     slots = slots.groupBy("doc_id", "tid", "diagonal").agg(F.max("c").alias("c"), F.bool_and("same").alias("same"))
 
     good = runs.join(slots, ["doc_id", "tid", "diagonal"], "left").where("c IS NULL OR c = 1")
@@ -224,13 +232,19 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     return _rows(best if copies is None else best.unionByName(copies), items)
 
 
+def uncovered(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", least_exact: int = MIN_EXACT) -> DataFrame:
+    """(item_id, text) of the items that neither search covers."""
+    x = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    return x.where(f"size({tokens('text', False)}) < {MIN_TOKENS} AND size({exact_tokens('text')}) < {max(1, least_exact)}")
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without a hit."""
-    found = contaminated_rows(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", WINDOW, MIN_WINDOWS)
+    found = contaminated_rows(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
     at = "_hit_row"
     while at in docs.columns:
         at += "_"

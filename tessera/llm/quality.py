@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Frequent function words of English, French, German, Spanish,
-#: Italian, Portuguese, Dutch, Swedish, Polish and Russian. Long texts in a
-#: language that shares none of them fail `stop_words`: pass a list of your own.
+#: Italian, Portuguese, Dutch, Swedish, Polish and Russian. A text without any is
+#: in none of these languages, and is left to the language stage.
 STOP_WORDS = (
     "the and of to in is that for with was it this are from "
     "le la les des et que qui dans pour sur une du "
@@ -33,13 +33,15 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """A document of at least min_words words passes if low <= measure <= high."""
+    """A document of at least min_words words passes if low <= measure <= high, or
+    if the measure is 0 and `or_none`."""
 
     name: str
     measure: str
     low: float | None
     high: float | None
     min_words: int = 0
+    or_none: bool = False
 
 
 #: The production table. Measures are SQL over the columns made by measures().
@@ -49,7 +51,7 @@ RULES = (
     Rule("mean_word_chars", "word_chars / n_words", 2, 25),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
     Rule("shouts_per_word", "n_shouts / n_words", None, 0.30),
-    Rule("stop_words", "n_stop / n_words", 0.01, None, 60),
+    Rule("stop_words", "n_stop / n_words", 0.01, None, 60, True),
     Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.50),
     Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.50),
     Rule("bullet_lines", "n_bullet_lines / n_lines", None, 0.90),
@@ -106,6 +108,8 @@ def passes(rule: Rule) -> str:
         if bound is not None:
             bounds.append(f"{num} {sign} {bound}" + (f" * {den}" if den else ""))
     test = " AND ".join(bounds) or "true"
+    if rule.or_none:
+        test += f" OR {num} = 0"
     return f"(n_words < {rule.min_words} OR ({test}))" if rule.min_words else f"({test})"
 
 
