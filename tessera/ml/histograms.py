@@ -236,7 +236,7 @@ def fitted(stats: DataFrame, uses: dict[int, list[int]], sizes: dict[int, list[i
     held = spark.createDataFrame([(u, f) for f, units in uses.items() for u in units], "unit long, fold long")
     cells = stats.join(F.broadcast(held), "unit").groupBy("fold", "bag", "i", "j").agg(F.sum("v").alias("v"))
 
-    def run(key, pdf):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         (fold, bag) = key
         i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy()
         if bag < 0:

@@ -95,11 +95,11 @@ def epoch_mask(df: DataFrame, epochs: DataFrame, columns: list[str]) -> DataFram
 
 
 def epoch_route(df: DataFrame, epochs: DataFrame) -> DataFrame:
-    """Rows with the epoch whose days hold their date, the end day included. The
-    epoch list (a row per epoch) is joined by range."""
+    """Rows with the epoch whose days hold their date, the end day included. An
+    epoch becomes a row for each of its days, so rows meet it by equality."""
     e = epochs.select("snapshot_date", "epoch_start", "epoch_end").distinct()
-    day = F.col("ts").cast("date")
-    return df.join(e, day.between(F.col("epoch_start"), F.col("epoch_end")))
+    days = e.where("epoch_start <= epoch_end").select("*", F.explode(F.sequence(F.col("epoch_start").cast("date"), F.col("epoch_end").cast("date"))).alias("_day"))
+    return df.withColumn("_day", F.col("ts").cast("date")).join(days, "_day").drop("_day")
 
 
 def active_sets(df: DataFrame) -> DataFrame:

@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordered import last_known
+from .gram import gram
 
-def asof_join(left: DataFrame, right: DataFrame, by: str | None = "symbol", on: str = "ts", columns: list[str] | None = None) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: str | None = "symbol", on: str = "ts", columns: list[str] | None = None, spread: bool | None = None) -> DataFrame:
     """left with the last right row at or before its time. Both sides are sorted
     together once: one shuffle on the key, no range join. A key of NULL time on
-    the right never matches; of equal right times the last by value is taken."""
+    the right never matches; of equal right times the last by value is taken.
+
+    spread: rows are dealt by key and time together, and pieces hand on their last
+    value, so that one key may have most of the rows; the default without a key."""
     take = columns or [c for c in right.columns if c not in (by, on)]
     keys = [by] if by else []
     lcols = [c for c in left.columns if c not in (*keys, on)]
     l_side = left.select(*keys, on, F.lit(1).alias("_side"), F.struct(*lcols).alias("_l") if lcols else F.lit(None).alias("_l"), F.lit(None).cast(_struct(right, take)).alias("_r"))
     r_side = right.where(F.col(on).isNotNull()).select(*keys, on, F.lit(0).alias("_side"), F.lit(None).cast(l_side.schema["_l"].dataType).alias("_l"), F.struct(*take).alias("_r"))
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy(F.col(on).asc_nulls_first(), "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
-    both = l_side.unionByName(r_side).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    order, both = [F.col(on).asc_nulls_first(), "_side", "_r"], l_side.unionByName(r_side)
+    if not keys if spread is None else spread:
+        both = last_known(both, keys, order, ["_r"], "asof").where("_side = 1")
+    else:
+        w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        both = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     return both.select(*keys, on, *[F.col(f"_l.{c}").alias(c) for c in lcols], *[F.col(f"_r.{c}").alias(c) for c in take])
 
 
@@ -51,12 +61,11 @@ def aligned(strategies: dict[str, DataFrame]) -> DataFrame:
 
 def snapshot_overlap(members: DataFrame) -> DataFrame:
     """For each pair of snapshots of (snapshot_date, symbol): common, in either,
-    Jaccard. Joined on the symbol, so pairs without a common one are filled in
-    from the list of snapshots."""
+    Jaccard. Common symbols are counted by blocks of snapshots; pairs without one
+    are filled in from the list of snapshots."""
     one = members.select("snapshot_date", "symbol").distinct()
     sizes = one.groupBy("snapshot_date").agg(F.count("*").alias("n"))
-    a, b = one.withColumnRenamed("snapshot_date", "a"), one.withColumnRenamed("snapshot_date", "b")
-    common = a.join(b, "symbol").groupBy("a", "b").agg(F.count("*").alias("common"))
+    common = gram(one.withColumn("v", F.lit(1.0)), "symbol", "snapshot_date", "v").select("a", "b", F.col("n").alias("common"))
     pairs = sizes.selectExpr("snapshot_date AS a", "n AS na").crossJoin(sizes.selectExpr("snapshot_date AS b", "n AS nb"))  # a row per pair of snapshots is the result
     out = pairs.join(common, ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
     either = F.col("na") + F.col("nb") - F.col("common")

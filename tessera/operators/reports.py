@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cs, ts
+from ..functions.ordered import running_sums
+from .gram import gram
 
 #: Label orders of the reports.
 SKEW_LABELS = ("Positive Skew", "Neutral Skew", "Negative Skew", "Unknown")
@@ -111,10 +113,11 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def cdf(df: DataFrame, column: str) -> DataFrame:
-    """(value, share at or below): counts first, then a running sum over values."""
+    """(value, share at or below): counts first, then running sums over pieces of
+    the sorted values; the largest one is the total."""
     n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    w = W.partitionBy(F.lit(1))
-    return n.select("value", (F.sum("n").over(w.orderBy("value")) / F.sum("n").over(w)).alias("share"))
+    x = running_sums(n, ["value"], {"n": "upto"}, "cdf")
+    return x.join(F.broadcast(x.agg(F.max("upto").alias("total")))).select("value", (F.col("upto") / F.col("total")).alias("share"))
 
 
 def score_heat(scores: DataFrame, top: int = 20, limit: int = 500) -> DataFrame:
@@ -324,11 +327,14 @@ def pooled_moments(scores: DataFrame, column: str = "score") -> DataFrame:
 
 def covariance(returns: DataFrame, column: str = "ret", shrink: float = 0.0) -> DataFrame:
     """(a, b, cov) of all symbols over the dates that both have; shrink blends the
-    diagonal with the mean variance. The matrix is the result, so symbols meet in
-    pairs; the dates are aggregated."""
-    x = returns.where(F.col(column).isNotNull()).select("ts", "symbol", F.col(column).alias("r"))
-    pairs = x.select("ts", F.col("symbol").alias("a"), F.col("r").alias("ra")).join(x.select("ts", F.col("symbol").alias("b"), F.col("r").alias("rb")), "ts")
-    out = pairs.groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
+    diagonal with the mean variance. Sums of products come by blocks of symbols, of
+    values less their symbol's mean, so that nothing cancels."""
+    x = returns.where(F.col(column).isNotNull()).select("ts", "symbol", F.col(column).cast("double").alias("r"))
+    means = x.groupBy("symbol").agg(F.avg("r").alias("m"))
+    centred = x.join(means, "symbol").select("ts", "symbol", (F.col("r") - F.col("m")).alias("r"))
+    n = F.col("n")
+    sums = gram(centred, "ts", "symbol", "r")
+    out = sums.select("a", "b", F.when(n > 1, (F.col("sab") - F.col("sa") * F.col("sb") / n) / (n - 1)).alias("cov"))
     if not shrink:
         return out
     mean = out.where("a = b").agg(F.avg("cov").alias("_m"))

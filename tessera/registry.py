@@ -307,6 +307,19 @@ def _(spark, d):
     return joins.asof_join(left, right)
 
 
+@query(
+    "asof_market",
+    "ts symbol",
+    "close last_value",
+    """r AS (SELECT CAST(ts AS TIMESTAMP) AS ts, max(value) AS last_value FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+  final AS (SELECT u.ts, u.symbol, u.close, r.last_value FROM u ASOF LEFT JOIN r ON u.ts >= r.ts)""",
+    base=HOURLY,
+)
+def _(spark, d):
+    right = B.read(spark, d, "events").where("event_id % 3 = 0").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("last_value"))
+    return joins.asof_join(B.hourly_bars(spark, d).select("ts", "symbol", "close"), right, by=None)
+
+
 EPOCHS = """vq AS (SELECT date_trunc('quarter', ts) AS q, symbol, sum(volume) AS v FROM bars GROUP BY ALL),
   ep AS (SELECT CAST(q AS DATE) AS snapshot_date, CAST(CAST(q AS DATE) + INTERVAL 3 MONTH AS DATE) AS epoch_start, CAST(CAST(q AS DATE) + INTERVAL 6 MONTH - INTERVAL 1 DAY AS DATE) AS epoch_end, symbol
          FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY v DESC, symbol) AS k FROM vq) WHERE k <= 15)"""

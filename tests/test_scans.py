@@ -156,3 +156,38 @@ def test_simplex_by_active_sets():
                             best = max(best, mu[idx] @ w - 3 * w @ cov[np.ix_(idx, idx)] @ w)
                 assert mu @ got - 3 * got @ cov @ got == pytest.approx(best, abs=1e-10)
     assert portfolio.simplex_mean_variance(np.array([np.nan, 1.0]), np.eye(2)).tolist() == [0.5, 0.5]
+
+
+def test_gram_by_blocks(spark):
+    """Blocks and slabs smaller than the matrix; missing cells count for neither side."""
+    from tessera.operators.gram import gram
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(37, 11)).round(3)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 10] = np.nan
+    x[0, 10] = 2.0
+    cells = [(r, f"c{c}", float(x[r, c])) for r in range(37) for c in range(11) if not np.isnan(x[r, c])] + [(None, "c1", 1.0), (3, None, 1.0), (99, "c1", None)]
+    got = {(r["a"], r["b"]): (r["n"], r["sa"], r["sb"], r["sab"]) for r in gram(spark.createDataFrame(cells, "r long, c string, v double"), "r", "c", "v", block=4, slab=10).collect()}
+    want = {}
+    for i in range(11):
+        for j in range(11):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if both.any():
+                a, b = x[both, i], x[both, j]
+                want[f"c{i}", f"c{j}"] = (int(both.sum()), a.sum(), b.sum(), (a * b).sum())
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert gram(spark.createDataFrame([], "r long, c string, v double"), "r", "c", "v").count() == 0
+
+
+def test_asof_spread_over_pieces(spark, many_parts):
+    """The same rows whether a key is one task or many."""
+    from tessera.operators import joins
+
+    rng = random.Random(2)
+    left = spark.createDataFrame([(rng.choice("aaaab"), rng.randrange(300), i) for i in range(500)] + [("z", 5, -1), ("a", None, -2)], "symbol string, ts long, n int")
+    right = spark.createDataFrame([(rng.choice("aab"), rng.randrange(20, 300), rng.randrange(9), None if i % 5 else "x") for i in range(200)] + [("a", None, 1, "y")], "symbol string, ts long, v int, w string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(joins.asof_join(left, right, spread=True)) == rows(joins.asof_join(left, right, spread=False))
+    market = right.groupBy("ts").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+    assert rows(joins.asof_join(left, market, by=None)) == rows(joins.asof_join(left, market, by=None, spread=False))
