@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that
+    they import it whatever their working directory and path are."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    whole = shutil.make_archive(os.path.join(folder, "tessera"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(whole)
+    _shipped.add(app)
+
 
 def get_session(app: str = "tessera", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session; on a cluster, pass your own with timeZone=UTC."""
+    """A local session; on a cluster, take your own with timeZone=UTC and ship() the package."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -21,4 +40,5 @@ def get_session(app: str = "tessera", cores: int | str = "*", shuffle_partitions
         builder = builder.config(k.replace("__", "."), v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Interval names in milliseconds.
 INTERVAL_MS = {"5m": 300_000, "15m": 900_000, "30m": 1_800_000, "1h": 3_600_000, "4h": 14_400_000, "12h": 43_200_000, "1d": 86_400_000}
@@ -102,51 +102,41 @@ class MarketHistory(DataSource):
     def reader(self, schema) -> MarketReader:
         return MarketReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> MarketStream:
+    def streamReader(self, schema) -> MarketStream:
         return MarketStream(dict(self.options))
 
 
-class MarketStream(SimpleDataSourceStreamReader):
-    """The same history as a stream of closed bars: each poll asks for one page of
-    each symbol after the last bar it gave. The offsets are the next times by
-    symbol, so a restart goes on where the checkpoint says."""
+class MarketStream(DataSourceStreamReader):
+    """The same history as a stream of closed bars. An offset holds for each symbol
+    the time after its last bar; the driver only reads the clock. A micro-batch has
+    one partition per symbol and time chunk, read page by page on the executors, and
+    is read again alike after a failure, as its ends are in the checkpoint. With
+    `bars` a batch takes at most so many bars of a symbol."""
 
     def __init__(self, options: dict):
         self.o = options
+        self.step = INTERVAL_MS[options.get("interval", "1d")]
+        self.after: dict[str, int] | None = None
 
     def initialOffset(self) -> dict:
         return {s: int(self.o["start"]) for s in self.o["symbols"].split(",")}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+    def latestOffset(self) -> dict:
         now = int(self.o.get("end", time.time() * 1000))
-        rows, after = [], dict(start)
-        for symbol, at in start.items():
-            for row in self._page(symbol, at, now):
-                rows.append(row)
-                after[symbol] = row[1] + INTERVAL_MS[self.o.get("interval", "1d")]
-        return iter(rows), after
-
-    def _page(self, symbol: str, at: int, now: int) -> list[tuple]:
-        module, _, name = self.o["fetch"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        last = now - INTERVAL_MS[self.o.get("interval", "1d")]  # later bars are still open
-        if at > last:
-            return []
-        try:
-            found = with_retry(lambda: fetch(symbol, at, last, int(self.o.get("limit", 500))), wait=float(self.o.get("wait", 60)))
-        except BadRange:
-            return []
-        width = len(KINDS[self.o.get("kind", "futures")])
-        return [(symbol, int(r[0]), *[None if x is None else str(x) for x in r[1 : 1 + width]]) for r in found]
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for symbol, at in start.items():
-            while at < end[symbol]:
-                page = self._page(symbol, at, end[symbol] + INTERVAL_MS[self.o.get("interval", "1d")] - 1)
-                if not page:
-                    break
-                yield from (r for r in page if r[1] < end[symbol])
-                at = page[-1][1] + INTERVAL_MS[self.o.get("interval", "1d")]
+        out = {}
+        for symbol, at in (self.after or self.initialOffset()).items():
+            closed = max(0, (now - at) // self.step)  # bars from `at` on that are over
+            out[symbol] = at + self.step * min(closed, int(self.o.get("bars", closed)))
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Chunk]:
+        self.after = dict(end)  # where a stream goes on, also after a restart
+        span = self.step * int(self.o.get("limit", 500)) * int(self.o.get("pages", 10))
+        first = self.initialOffset()
+        return [Chunk(s, a, min(a + span, to) - 1) for s, to in end.items() for a in range(start.get(s, first.get(s, to)), to, span)]
+
+    def read(self, partition: Chunk) -> Iterator[tuple]:
+        return MarketReader(self.o).read(partition)
 
 
 def bar_stream(spark, kind: str = "futures", **options: str) -> DataFrame:

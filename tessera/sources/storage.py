@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.calendar import keep_one
+from ..tables import remove
 
 BAR = T.StructType([T.StructField(n, T.LongType() if n == "ts" else T.DoubleType()) for n in ("ts", "open", "high", "low", "close", "volume")])
 
@@ -84,15 +86,61 @@ def discover_symbols(spark: SparkSession, folder: str, mark: str = "-metrics-")
 
 
 def save_panel(panel: DataFrame, path: str, epochs: DataFrame) -> None:
-    """One partition per snapshot, with full history of its symbols, and a manifest."""
+    """One partition per snapshot, with full history of its symbols, and a manifest.
+    Both go to a version of their own; one rename of a small file publishes them
+    together, so that a reader sees the old panel or the new one."""
+    spark = panel.sparkSession
+    version = f"v-{uuid.uuid4().hex[:12]}"
     members = epochs.select("snapshot_date", "symbol").distinct()
-    panel.join(members, "symbol").write.partitionBy("snapshot_date").mode("overwrite").parquet(f"{path}/panel")
+    panel.join(members, "symbol").write.partitionBy("snapshot_date").parquet(f"{path}/{version}/panel")
     manifest = epochs.groupBy("snapshot_date", "epoch_start", "epoch_end").agg(F.count_distinct("symbol").alias("n_symbols"))
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    manifest.write.parquet(f"{path}/{version}/manifest")
+    old = _published(spark, path)
+    _publish(spark, path, version)
+    if old:  # the one before stays for readers that hold it
+        for name in _versions(spark, path):
+            if name not in (old, version):
+                remove(spark, f"{path}/{name}")
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    _, at, fs = _fs(spark, path)
+    return [n for s in fs.listStatus(at) if (n := s.getPath().getName()).startswith("v-")]
+
+
+def _published(spark: SparkSession, path: str) -> str | None:
+    """The name of the version that readers see."""
+    if not exists(spark, f"{path}/current"):
+        return None
+    return spark.read.text(f"{path}/current").first()[0]
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    jvm, at, fs = _fs(spark, f"{path}/current.{version}")
+    out = fs.create(at, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    modes = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    modes[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    whole = fs.makeQualified(at)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf).rename(whole, fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/current")), modes)
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    version = _published(spark, path)
+    return f"{path}/{version}" if version else path
 
 
 def load_panel(spark: SparkSession, path: str, snapshot: str | None = None) -> DataFrame:
     """A saved panel, or a single parquet file; one snapshot reads one partition."""
+    path = _current(spark, path)
     root = f"{path}/panel" if exists(spark, f"{path}/manifest") else path
     df = spark.read.parquet(root)
     return df if snapshot is None else df.where(F.col("snapshot_date") == F.lit(snapshot).cast("date"))
@@ -101,12 +149,15 @@ def load_panel(spark: SparkSession, path: str, snapshot: str | None = None) -> D
 def epoch_for(spark: SparkSession, path: str, date: str):
     """The manifest row whose days hold the date, or None."""
     d = F.lit(date).cast("date")
-    return spark.read.parquet(f"{path}/manifest").where(d.between(F.col("epoch_start"), F.col("epoch_end"))).first()
+    return spark.read.parquet(f"{_current(spark, path)}/manifest").where(d.between(F.col("epoch_start"), F.col("epoch_end"))).first()
 
 
 def save_weights(full: DataFrame, traded: DataFrame, path: str, strategy: str) -> None:
+    """The weights of a strategy take the place of those saved before; other
+    strategies stay."""
     both = full.withColumn("variant", F.lit("unmasked")).unionByName(traded.withColumn("variant", F.lit("traded")))
-    both.withColumn("strategy", F.lit(strategy)).write.partitionBy("strategy", "variant").mode("append").parquet(path)
+    both = both.withColumn("strategy", F.lit(strategy))
+    both.write.partitionBy("strategy", "variant").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def load_weights(spark: SparkSession, path: str, variant: str = "traded", without: tuple[str, ...] = ()) -> DataFrame:
