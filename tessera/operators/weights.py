@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cs, ts
@@ -94,13 +95,23 @@ def momentum(panel: DataFrame, quantile: float = 0.3, vol_factor: float = 0.5, c
     return x.withColumn("weight_traded", traded).select(*by, "symbol", "weight_full", "weight_traded")
 
 
-def momentum_last(panel: DataFrame, quantile: float = 0.3, cap: float = 0.1) -> DataFrame:
-    """Weights on the last date only, with whole-number cut-offs; 0 for the rest."""
+def momentum_last(panel: DataFrame, quantile: float = 0.3, cap: float = 0.1, masks: tuple[tuple[str, tuple[int, ...], int], ...] = ()) -> DataFrame:
+    """Weights on the last date only, with whole-number cut-offs; 0 for the rest.
+    masks: (factor, quantiles, number of quantiles); a name that lies in the given
+    quantiles of so many factors counts (number - 1/2) times its rank, one that lies
+    in none of them once. NULL lies in no quantile; ties go by score, then name."""
     last = panel.join(F.broadcast(panel.agg(F.max("ts").alias("ts"))), "ts", "left_semi")
     x = last.withColumns({"_r": cs.rank_first("mom_final_score"), "_n": F.count("mom_final_score").over(cs.section())})
-    k = F.floor(F.col("_n") * quantile)
-    x = x.withColumn("_side", F.when(F.col("_r") > F.col("_n") - k, 1).when(F.col("_r") <= k, -1).otherwise(0))
-    x = x.withColumn("_s", F.when(F.col("_side") == 1, F.col("_r") - (F.col("_n") - k)).when(F.col("_side") == -1, k + 1 - F.col("_r")).otherwise(0).cast("double"))
+    longs, shorts = F.floor(F.col("_n") * quantile), F.col("_n") - F.floor(F.col("_n") * (1 - quantile))
+    x = x.withColumn("_side", F.when(F.col("_r") > F.col("_n") - longs, 1).when(F.col("_r") <= shorts, -1).otherwise(0))
+    x = x.withColumn("_s", F.when(F.col("_side") == 1, F.col("_r") - (F.col("_n") - longs)).when(F.col("_side") == -1, shorts + 1 - F.col("_r")).otherwise(0).cast("double"))
+    hits = F.lit(0)
+    for factor, quantiles, parts in masks:
+        value = F.when(F.col("mom_final_score").isNotNull(), F.col(factor))
+        place = F.row_number().over(W.partitionBy("ts").orderBy(value.asc_nulls_last(), F.col("mom_final_score").desc(), "symbol"))
+        label = F.ceil(place / F.count(value).over(cs.section()) * parts)
+        hits = hits + F.when(value.isNotNull() & label.isin(*quantiles), 1).otherwise(0)
+    x = x.withColumn("_hits", hits).withColumn("_s", F.col("_s") * F.when(F.col("_hits") > 0, F.col("_hits") - 0.5).otherwise(1.0))
     share = F.coalesce(F.try_divide(F.col("_s"), F.nullif(F.sum("_s").over(cs.section("ts", "_side")), F.lit(0.0))), F.lit(0.0))
     return x.select("ts", "symbol", ts.clip(share * 0.5 * F.col("_side"), -cap, cap).alias("weight"))
 

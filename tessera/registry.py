@@ -507,13 +507,40 @@ def _(spark, d):
     return wt.momentum(_factors(spark, d))
 
 
-@query("weights_momentum_last", "ts symbol", "weight", f"""{FACTORS}, l1 AS (SELECT ts, symbol, mom_final_score AS f, count(mom_final_score) OVER () AS n, row_number() OVER (ORDER BY mom_final_score NULLS LAST, symbol) AS r FROM x9 WHERE ts = (SELECT max(ts) FROM x9)),
-  l2 AS (SELECT *, floor(n * 0.3) AS k FROM l1), l3 AS (SELECT *, CASE WHEN f IS NULL THEN 0 WHEN r > n - k THEN 1 WHEN r <= k THEN -1 ELSE 0 END AS side FROM l2), l4 AS (SELECT *, CAST(CASE side WHEN 1 THEN r - (n - k) WHEN -1 THEN k + 1 - r ELSE 0 END AS DOUBLE) AS s FROM l3),
-  final AS (SELECT ts, symbol, greatest(-0.1, least(0.1, coalesce(s / nullif(sum(s) OVER (PARTITION BY side), 0), 0) * 0.5 * side)) AS weight FROM l4)""")
+def _last_sql(bonus: str = "1.0") -> str:
+    """Weights on the last date; bonus: the factor of a name's rank, over l1."""
+    return f"""{FACTORS},
+  l1 AS (
+    SELECT *, mom_final_score AS f, count(mom_final_score) OVER () AS n, row_number() OVER (ORDER BY mom_final_score NULLS LAST, symbol) AS r
+    FROM x9 WHERE ts = (SELECT max(ts) FROM x9)),
+  l2 AS (SELECT *, floor(n * 0.3) AS k, n - floor(n * 0.7) AS m, {bonus} AS bonus FROM l1),
+  l3 AS (SELECT *, CASE WHEN f IS NULL THEN 0 WHEN r > n - k THEN 1 WHEN r <= m THEN -1 ELSE 0 END AS side FROM l2),
+  l4 AS (SELECT *, bonus * CAST(CASE side WHEN 1 THEN r - (n - k) WHEN -1 THEN m + 1 - r ELSE 0 END AS DOUBLE) AS s FROM l3),
+  final AS (SELECT ts, symbol, greatest(-0.1, least(0.1, coalesce(s / nullif(sum(s) OVER (PARTITION BY side), 0), 0) * 0.5 * side)) AS weight FROM l4)"""
+
+
+@query("weights_momentum_last", "ts symbol", "weight", _last_sql())
 def _(spark, d):
     return wt.momentum_last(_factors(spark, d))
 
 
+_MASKS = (("price_roc", (4, 5), 5), ("volatility_30", (1, 2), 4))
+
+
+def _mask_sql(factor: str, quantiles: tuple[int, ...], parts: int) -> str:
+    place = f"row_number() OVER (ORDER BY CASE WHEN f IS NOT NULL THEN {factor} END NULLS LAST, f DESC NULLS LAST, symbol)"
+    label = f"ceil({place} / count(CASE WHEN f IS NOT NULL THEN {factor} END) OVER ()::DOUBLE * {parts})"
+    return f"CASE WHEN f IS NOT NULL AND {factor} IS NOT NULL AND {label} IN ({', '.join(map(str, quantiles))}) THEN 1 ELSE 0 END"
+
+
+_HITS = " + ".join(_mask_sql(*m) for m in _MASKS)
+
+
+@query("weights_momentum_masked", "ts symbol", "weight", _last_sql(f"CASE WHEN {_HITS} > 0 THEN {_HITS} - 0.5 ELSE 1.0 END"))
+def _(spark, d):
+    return wt.momentum_last(_factors(spark, d), masks=_MASKS)
+
+
 def _zcap(x: str, n: int) -> str:
     return f"({x} - {g('avg', x, n, n // 2)}) / nullif(greatest(-2, least(2, {g('stddev_samp', x, n, n // 2)})), 0)"
 
