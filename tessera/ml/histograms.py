@@ -24,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,19 +163,20 @@ def _emit(columns: list[list[np.ndarray]], names: list[str]) -> Iterator[pa.Reco
 
 
 def statistics(
-    panel: DataFrame, days: Days, spans: list[Span], features: list[str], edges: dict[int, list[np.ndarray]], weights: dict[int, np.ndarray] | None = None, target: Callable | None = None
+    panel: DataFrame, days: Days, spans: list[Span], features: list[str], edges: dict[int, list[np.ndarray]], weights: dict[int, np.ndarray] | None = None, target: Callable | None = None, kept: dict[int, list] | None = None
 ) -> DataFrame:
     """(unit, bag, i, j, v), summed over all training rows of each span: joint
     weights of bins i <= j (features end to end), sums of the weighted target
     (j -1) and, as bag -1, numbers of rows per bin. weights: of the dates, a row a
-    bag. target(rows, span, mask): in place of y."""
+    bag. target(rows, span, mask): in place of y. kept: the symbols of each bag."""
     sc = panel.sparkSession.sparkContext
-    sent, days_at = sc.broadcast((spans, edges, weights, target)), days.at
+    sent, days_at = sc.broadcast((spans, edges, weights, target, kept)), days.at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, edges, weights, target = sent.value
+        spans, edges, weights, target, kept = sent.value
         for chunk in _chunks(batches):
             rows = Rows(chunk, days_at)
+            own = {bag: pc.is_in(chunk.column("symbol"), pa.array(names, chunk.column("symbol").type)).to_numpy(zero_copy_only=False) for bag, names in (kept or {}).items()}
             out: list[list[np.ndarray]] = [[], [], [], [], []]
 
             def add(unit: int, bag: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
@@ -195,6 +197,8 @@ def statistics(
                     add(s.unit, -1, at + starts[k], at + starts[k], n[at].astype(float))
                 for bag, by_day in enumerate([None] if weights is None else weights[s.unit]):
                     w = np.ones(len(y)) if by_day is None else by_day[rows.day[m] - s.lo].astype(float)
+                    if bag in own:
+                        w = w * own[bag][m]
                     for k, c in enumerate(codes):
                         v = np.bincount(c, w * y, sizes[k])
                         add(s.unit, bag, np.arange(sizes[k]) + starts[k], np.full(sizes[k], -1), v)

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,6 +54,41 @@ def bootstrap_counts(dates: DataFrame, block: int, bags: int, seed: int = 7) ->
     return hit.join(F.broadcast(x), "i").select("bag", "ts", "n")
 
 
+def block_counts(spark: SparkSession, days: dict[int, int], block: int = 20, bags: int = 4, seed: int = 7) -> dict[int, np.ndarray]:
+    """For each fold of so many days, a row a bag of what bootstrap_counts() says of
+    its days. The starts of all folds' blocks are one small table."""
+    x = spark.createDataFrame(sorted(days.items()), "fold long, n long").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
+    x = x.where("n > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
+    x = x.withColumn("s", F.pmod(F.xxhash64(F.lit(seed), "bag", "b"), F.greatest(F.lit(1), F.col("n") - block + 1)))
+    out = {f: np.zeros((bags, n)) for f, n in days.items()}
+    for r in x.select("fold", "bag", "s").collect():
+        out[r["fold"]][r["bag"], r["s"] : r["s"] + block] += 1
+    return out
+
+
+def kept_symbols(panel: DataFrame, share: float, bags: int, seed: int = 7) -> DataFrame:
+    """(bag, symbol): each bag's share of the symbols (rounded down, one at least),
+    by a hash of bag and name."""
+    names = panel.select("symbol").where("symbol IS NOT NULL").distinct().withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
+    w = W.partitionBy("bag")
+    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "bag", "symbol"), "symbol"))
+    return names.withColumns({"_p": place, "_n": F.count("*").over(w)}).where(F.col("_p") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select("bag", "symbol")
+
+
+def bag_table(panel: DataFrame, bags: int = 4, block: int = 20, tail: float = 0.1, symbol_share: float = 1.0, others_validate: bool = False, seed: int = 7) -> DataFrame:
+    """(bag, ts, symbol, n) of every row and bag: -1 for the last share of dates,
+    the validation of all bags; else how often the bag has the date, 0 for symbols
+    that it leaves out (with others_validate: -1)."""
+    mask = validation_tail(panel, tail)
+    counts = bootstrap_counts(mask.where("mask = 1"), block, bags, seed)
+    days = mask.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).join(counts, ["bag", "ts"], "left")
+    x = panel.select("ts", "symbol").join(F.broadcast(days), "ts")
+    own = kept_symbols(panel, symbol_share, bags, seed).withColumn("_own", F.lit(True))
+    x = x.join(F.broadcast(own), ["bag", "symbol"], "left") if symbol_share < 1 else x.withColumn("_own", F.lit(True))
+    n = F.when(F.col("mask") == -1, -1).when(F.col("_own"), F.coalesce("n", F.lit(0))).otherwise(-1 if others_validate else 0)
+    return x.select("bag", "ts", "symbol", n.cast("smallint").alias("n"))
+
+
 def validation_tail(dates: DataFrame, share: float = 0.1) -> DataFrame:
     """(ts, mask): -1 for the last share of dates, 1 before."""
     w = W.partitionBy(F.lit(1))
@@ -148,14 +183,6 @@ class Residual:
         return rows.y[m] - self.models[span.unit].predict(rows, m)
 
 
-def bag_counts(days: int, bag: int, block: int = 20) -> np.ndarray:
-    """How often overlapping blocks with drawn starts cover each of the days."""
-    rng = np.random.default_rng([11, bag])
-    starts = rng.integers(0, max(1, days - block + 1), -(-days // block))
-    hit = (starts[:, None] + np.arange(block)).ravel()
-    return np.bincount(hit[hit < days], minlength=days)
-
-
 def _scored(rows: DataFrame, days: H.Days, spans: list[H.Span], models: dict[int, FoldModel], known: bool) -> DataFrame:
     """(fold, ts, symbol, value) of all rows of the spans; known: training rows,
     with their own labels."""
@@ -189,6 +216,7 @@ def trained(
     bags: int = 1,
     pairs: int = 0,
     rebin: int = 1,
+    symbol_share: float = 1.0,
 ) -> DataFrame:
     """(fold, kind, ts, symbol, term, bag, bin, x, density, value): kind score (out
     of sample), fitted (in sample), importance, or shape (a bin of a main effect).
@@ -200,7 +228,8 @@ def trained(
     fold of fewer than `least` rows gives nothing. Edges of bins are those of the
     fold's training rows; rebin k: of the first in every k folds, 0: of the first
     fold, so that histories which grow are binned and counted once (see
-    histograms). A panel with epoch_no (see per_epoch) meets the folds of its epoch
+    histograms). Bags have a block bootstrap of the dates and, with symbol_share, a
+    part of the symbols each. A panel with epoch_no (see per_epoch) meets the folds of its epoch
     only, those from epoch_no x 10,000 on."""
     spark, raw, state = panel.sparkSession, raw or features, state or expert
     names = sorted({*features, *raw})
@@ -224,10 +253,11 @@ def trained(
     if bags > 1:
         spans = [H.Span(f, *train[f], epoch(f)) for f in order]
         uses, unit_edges, weights = {f: [f] for f in order}, edges, {}
+        known = {f: days.known[train[f][0] : train[f][1] + 1] for f in order}
+        counts = block_counts(spark, {f: int(k.sum()) for f, k in known.items()}, bags=bags)
         for f in order:
-            known = days.known[train[f][0] : train[f][1] + 1]
-            weights[f] = np.zeros((bags, len(known)))
-            weights[f][:, known] = [bag_counts(int(known.sum()), b) for b in range(bags)]
+            weights[f] = np.zeros((bags, len(known[f])))
+            weights[f][:, known[f]] = counts[f]
     else:
         for v in sorted({first[f] for f in order}):
             ranges, held = H.segments({f: train[f] for f in order if first[f] == v})
@@ -236,7 +266,12 @@ def trained(
             unit_edges |= {at + k: edges[v] for k in range(len(ranges))}
             uses |= {f: [at + k for k in ks] for f, ks in held.items()}
     sizes = {f: [len(e) + 1 for e in edges[f]] for f in order}
-    found = H.fitted(H.statistics(rows, days, spans, features, unit_edges, weights), uses, sizes) if order else {}
+    kept: dict[int, list] | None = None
+    if bags > 1 and symbol_share < 1:
+        kept = {}
+        for r in kept_symbols(rows, symbol_share, bags).collect():  # a row a bag and symbol
+            kept.setdefault(r["bag"], []).append(r["symbol"])
+    found = H.fitted(H.statistics(rows, days, spans, features, unit_edges, weights, kept=kept), uses, sizes) if order else {}
     models = {f: FoldModel(features, edges[f], m) for f, m in found.items() if m["counts"][: sizes[f][0]].sum() >= least}
     inside = [H.Span(f, *train[f], epoch(f)) for f in sorted(models)]
     if pairs and inside:

@@ -56,18 +56,16 @@ class Ensemble:
     def __init__(self, bags: int = 4, pairs: int = 2, block: int = 20, cells: int = 6, **how):
         self.n_bags, self.n_pairs, self.block, self.cells, self.how = bags, pairs, block, cells, how
         self.bags: list[Booster] = []
+        self.given: np.ndarray | None = None  # how often a bag has each day
+        self.rows: np.ndarray | None = None  # and each row
         self.pairs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def counts(self, dates: np.ndarray, bag: int) -> np.ndarray:
-        """How often overlapping blocks of dates cover each row's date."""
-        days, at = np.unique(dates, return_inverse=True)
-        rng, n = np.random.default_rng([11, bag]), len(days)
-        starts = rng.integers(0, max(1, n - self.block + 1), -(-n // self.block))
-        hit = (starts[:, None] + np.arange(self.block)).ravel()
-        return np.bincount(hit[hit < n], minlength=n)[at]
+        """What the given counts of days say of each row's date."""
+        return self.given[bag][np.unique(dates, return_inverse=True)[1]]
 
     def fit(self, x: np.ndarray, y: np.ndarray, dates: np.ndarray) -> Ensemble:
-        weights = [np.ones(len(y))] if self.n_bags < 2 else [self.counts(dates, b) for b in range(self.n_bags)]
+        weights = [np.ones(len(y))] if self.n_bags < 2 else [self.counts(dates, b) * (1 if self.rows is None else self.rows[b]) for b in range(self.n_bags)]
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])) for j in range(x.shape[1])]
         self.bags = [Booster(**self.how).fit(x, y, w, edges) for w in weights]
         res, found = y - self.predict(x), []

@@ -40,12 +40,17 @@ def panel(spark, frame):
 FEATURES = ["a", "b", "c"]
 
 
-def local(frame, fold, bags, pairs, expert, edges=None):
+def local(frame, fold, bags, pairs, expert, edges=None, given=None, kept=None):
     """(scores, fitted, importance) of one fold, all of its history at once."""
     train = frame[(frame["ts"] >= fold["train_start"]) & (frame["ts"] <= fold["train_end"]) & frame["y"].notna()].sort_values(["ts", "symbol"])
     ahead = frame[(frame["ts"] >= fold["predict_start"]) & (frame["ts"] <= fold["predict_end"])].sort_values(["ts", "symbol"])
     x, xa, y = train[FEATURES].fillna(0.0).to_numpy(), ahead[FEATURES].fillna(0.0).to_numpy(), train["y"].to_numpy()
-    model = Ensemble(bags, pairs).fit(x, y, train["ts"].to_numpy())
+    model = Ensemble(bags, pairs)
+    if given is not None:
+        model.given = given(train["ts"].nunique())
+    if kept is not None:
+        model.rows = np.array([train["symbol"].isin(kept[b]).to_numpy() for b in range(bags)])
+    model.fit(x, y, train["ts"].to_numpy())
     if edges is not None:
         model.bags = [Booster().fit(x, y, None, edges)]
     fitted, score = model.predict(x), model.predict(xa)
@@ -61,12 +66,14 @@ def local(frame, fold, bags, pairs, expert, edges=None):
     return dict(zip(keys(ahead), score, strict=True)), dict(zip(keys(train), fitted, strict=True)), dict(model.importance(x, FEATURES)), model, x
 
 
-@pytest.mark.parametrize(("bags", "pairs", "expert", "window"), [(1, 0, False, 0), (3, 2, False, 0), (1, 1, True, 40)])
-def test_equal_to_local_models(panel, frame, bags, pairs, expert, window):
+@pytest.mark.parametrize(("bags", "pairs", "expert", "window", "share"), [(1, 0, False, 0, 1), (3, 2, False, 0, 1), (2, 0, False, 0, 0.6), (1, 1, True, 40, 1)])
+def test_equal_to_local_models(spark, panel, frame, bags, pairs, expert, window, share):
     calendar = ml.folds(DATES, DATES[60], every=25, window=window)
-    found = ml.trained(panel, FEATURES, calendar, expert="label" if expert else None, state="state", bags=bags, pairs=pairs).collect()
+    found = ml.trained(panel, FEATURES, calendar, expert="label" if expert else None, state="state", bags=bags, pairs=pairs, symbol_share=share).collect()
+    kept = {b: [r["symbol"] for r in ml.kept_symbols(panel, share, bags).where(f"bag = {b}").collect()] for b in range(bags)} if share < 1 else None
+    assert kept is None or {len(k) for k in kept.values()} == {3}
     for fold in calendar:
-        score, fitted, importance, model, x = local(frame, fold, bags, pairs, expert)
+        score, fitted, importance, model, x = local(frame, fold, bags, pairs, expert, given=lambda n: ml.block_counts(spark, {0: n}, bags=bags)[0], kept=kept)
         own = [r for r in found if r["fold"] == fold["fold"]]
         got = {(r["ts"], r["symbol"]): r["value"] for r in own if r["kind"] == "score"}
         assert got.keys() == score.keys()
@@ -109,6 +116,23 @@ def test_experts_on_other_columns(panel, frame):
         assert all(got[f["fold"], t, s] == pytest.approx(v, abs=1e-9) for t, s, v in zip(ahead["ts"], ahead["symbol"], score, strict=True))
 
 
+def test_bag_table(spark, panel):
+    """Counts, validation tail and left-out symbols of every row and bag."""
+    got = {(r["bag"], r["ts"], r["symbol"]): r["n"] for r in ml.bag_table(panel, 3, 10, 0.1, 0.5).collect()}
+    other = {(r["bag"], r["ts"], r["symbol"]): r["n"] for r in ml.bag_table(panel, 3, 10, 0.1, 0.5, True).collect()}
+    assert len(got) == len(other) == 3 * len(DATES) * 6
+    counts = ml.block_counts(spark, {0: 108}, 10, 3)[0]
+    table = {(r["bag"], r["ts"]): r["n"] for r in ml.bootstrap_counts(panel.where(F.col("ts") < DATES[108]), 10, 3).collect()}
+    for b in range(3):
+        kept = {r["symbol"] for r in ml.kept_symbols(panel, 0.5, 3).where(f"bag = {b}").collect()}
+        assert len(kept) == 3
+        for i, d in enumerate(DATES):
+            assert i >= 108 or table.get((b, d), 0) == counts[b][i]
+            for s in "ABCDEF":
+                assert got[b, d, s] == (-1 if i >= 108 else counts[b][i] if s in kept else 0)
+                assert other[b, d, s] == (-1 if i >= 108 or s not in kept else counts[b][i])
+
+
 def test_segments():
     ranges, held = H.segments({0: (0, 9), 1: (0, 19), 2: (5, 29)})
     assert ranges == [(0, 4), (5, 9), (10, 19), (20, 29)]
