@@ -217,6 +217,7 @@ def trained(
     pairs: int = 0,
     rebin: int = 1,
     symbol_share: float = 1.0,
+    rounds: int = 60,
 ) -> DataFrame:
     """(fold, kind, ts, symbol, term, bag, bin, x, density, value): kind score (out
     of sample), fitted (in sample), importance, or shape (a bin of a main effect).
@@ -271,7 +272,7 @@ def trained(
         kept = {}
         for r in kept_symbols(rows, symbol_share, bags).collect():  # a row a bag and symbol
             kept.setdefault(r["bag"], []).append(r["symbol"])
-    found = H.fitted(H.statistics(rows, days, spans, features, unit_edges, weights, kept=kept), uses, sizes) if order else {}
+    found = H.fitted(H.statistics(rows, days, spans, features, unit_edges, weights, kept=kept), uses, sizes, rounds) if order else {}
     models = {f: FoldModel(features, edges[f], m) for f, m in found.items() if m["counts"][: sizes[f][0]].sum() >= least}
     inside = [H.Span(f, *train[f], epoch(f)) for f in sorted(models)]
     if pairs and inside:

@@ -374,6 +374,35 @@ def _train(spark, d) -> tuple[DataFrame, list[dict]]:
 _FEATURES = ["ret", "basis", "vol"]
 
 
+_STEPS = ", ".join(f"{k} / 16.0" for k in range(1, 16))
+
+
+def _step_sql(k: int) -> str:
+    """A step of the booster on feature k: the residual that it meets, and what it adds to the bin's score."""
+    left = f"r{k - 1} - v{k - 1}" if k else "y - base"
+    by = f"OVER (PARTITION BY fold, c{k})"
+    return f"t{k} AS (SELECT *, 0.1 * sum(r{k}) {by} / (count(*) {by} + 1) AS v{k} FROM (SELECT *, {left} AS r{k} FROM {f't{k - 1}' if k else 'co'}))"
+
+
+@query(
+    "training_first_round",
+    "fold feature bin",
+    "score",
+    f"""a AS (SELECT *, lead(close, 1) {_LW} / nullif(close, 0) - 1 AS y_raw, {g('stddev_samp', 'ret', 10)} AS vol FROM p),
+  b AS (SELECT ts, {pct_sql('y_raw')} - 0.5 AS y, coalesce(ret, 0) AS f0, coalesce(basis, 0) AS f1, coalesce(vol, 0) AS f2 FROM a),
+  dd AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM b)),
+  fo AS (SELECT k AS fold, n // 2 + 40 * k AS i FROM (SELECT DISTINCT n FROM dd), range(1000) t(k) WHERE n // 2 + 40 * k < n),
+  tr AS (SELECT fold, b.* FROM fo JOIN dd ON dd.i < fo.i - 1 JOIN b USING (ts) WHERE y IS NOT NULL),
+  ed AS (SELECT fold, avg(y) AS base, {', '.join(f'list_distinct(quantile_cont(f{k}, [{_STEPS}])) AS e{k}' for k in range(3))} FROM tr GROUP BY fold),
+  co AS (SELECT fold, y, base, {', '.join(f'len(list_filter(e{k}, lambda e: e <= f{k})) AS c{k}' for k in range(3))} FROM tr JOIN ed USING (fold)),
+  {', '.join(_step_sql(k) for k in range(3))},
+  final AS ({' UNION '.join(f"SELECT fold, '{n}' AS feature, c{k} AS bin, round(v{k}, 12) AS score FROM t2 WHERE v{k} <> 0" for k, n in enumerate(('ret', 'basis', 'vol')))})""",
+)
+def _(spark, d):
+    x, c = _train(spark, d)
+    return ml.shape_table(ml.trained(x, _FEATURES, c, rounds=1)).where("score <> 0").select("fold", "feature", "bin", "score")
+
+
 @query("trained_shapes", "fold feature bag bin", "x score density")
 def _(spark, d):
     x, c = _train(spark, d)
