@@ -11,7 +11,9 @@ overfill a shard are dealt by (u, v) instead, and their pairs meet in one more
 step, as many as there are words at most; the sample decides where rows go, never
 what is counted. Each word's number of distinct v goes on to the shard of the
 word. The number of shards grows with the text; what the driver collects is a few
-sums a shard and the frequent words. A task that runs again writes the same
+sums a shard and the frequent words. Beyond ONE_LEVEL shards runs go to the root of
+their number of groups first, where many runs are merged before they are dealt to
+shards, so that blobs don't grow with the square of the text. A task that runs again writes the same
 files: each is renamed into place whole.
 
     P(w|uv) = max(c(uvw) - D(c), 0) / c(uv) + (D1 n1 + D2 n2 + D3 n3)(uv) / c(uv) * P(w|v)
@@ -29,14 +31,16 @@ sorted array of 32-bit prints under an index by the first bits of the 64-bit key
 Defined results: a null text is the empty text, whose only token is its end.
 Without training documents every token has the probability 1. Rows that repeat
 an id are each learned and scored; a null id hashes as the empty text. Columns
-other than id and text are not read. A very long text is hashed whole, with some
-40 bytes for each byte of it.
+other than id and text are not read. A very long text is hashed in pieces and
+held as 8 bytes a word.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +55,8 @@ ORDER = 3
 RUN_TOKENS = 3_000_000
 #: Bytes of text of a shard, about; share of the texts in which frequent words are looked for.
 SHARD_BYTES, SAMPLE = 64 << 20, 0.02
+#: Up to so many shards runs are dealt to them at once; arrays that a worker keeps mapped.
+ONE_LEVEL, MAPS = 512, 16_384
 BEGIN, END = np.uint64(1), np.uint64(2)
 _BITS = np.uint64(16)
 
@@ -131,8 +137,35 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(tmp, f"{folder}/{name}.npy")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, order: int) -> Iterator[pa.RecordBatch]:
-    """The counted triples of runs of tokens, a blob for each shard."""
+def _dealt(names: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, n: int, groups: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted triples of places in `names`, sorted by v, as a blob for each shard
+    (groups 0), or for each of so many groups of neighbouring shards. Time and
+    memory follow the triples, not the number of shards."""
+    shards = shard_of(names, n)[v]  # in order, as names are
+    if len(own := np.flatnonzero(np.isin(names, hot)[v])):
+        shards[own] = shard_of(pair_keys(names[u[own]], names[v[own]]) >> _BITS, n)
+        go = np.argsort(shards, kind="stable")
+        shards, v, u, w, c = shards[go], v[go], u[go], w[go], c[go]
+    to = shards if not groups else shards.astype(np.int64) * groups // n
+    begins = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    used = np.zeros(len(names), bool) if len(begins) * len(names) <= 8 * len(v) else None  # few blobs: flags are cheaper than sorts
+    for i, j in zip(begins, np.append(begins[1:], len(to)), strict=True):
+        if used is None:
+            own, place = np.unique(np.concatenate((u[i:j], v[i:j], w[i:j])), return_inverse=True)
+            place = place.reshape(3, j - i)
+        else:
+            used[:] = False
+            for x in (u, v, w):
+                used[x[i:j]] = True
+            own, at = np.flatnonzero(used), np.cumsum(used) - 1
+            place = at[u[i:j]], at[v[i:j]], at[w[i:j]]
+        at = np.flatnonzero(np.append(True, v[i + 1 : j] != v[i : j - 1]))
+        columns = (names[own], 6), (place[1][at], 4), (np.diff(np.append(at, j - i)), 4), (place[0], 4), (place[2], 4), (c[i:j], 4)
+        yield _row(int(to[i]), 0, pack_columns(*columns), None)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, order: int, groups: int = 0) -> Iterator[pa.RecordBatch]:
+    """The counted triples of runs of tokens, dealt to shards or groups of them."""
     held, firsts, size = [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -150,23 +183,7 @@ def _runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, order: int
             v, u, w = key >> 2 * k, (key >> k) & mask, key & mask
         else:
             (v, u, w), c = summed([v, u, w], np.ones(len(w), np.int64))
-        shards = shard_of(names, n)[v]  # in order, as names are
-        if len(own := np.flatnonzero(np.isin(names, hot)[v])):
-            shards[own] = shard_of(pair_keys(names[u[own]], names[v[own]]) >> _BITS, n)
-            go = np.argsort(shards, kind="stable")
-            shards, v, u, w, c = shards[go], v[go], u[go], w[go], c[go]
-        cuts = np.searchsorted(shards, np.arange(n + 1))
-        used = np.zeros(len(names), bool)
-        for s in range(n):
-            i, j = cuts[s], cuts[s + 1]
-            if i < j:
-                used[:] = False
-                for x in (u, v, w):
-                    used[x[i:j]] = True
-                place = np.cumsum(used) - 1
-                at = np.flatnonzero(np.append(True, v[i + 1 : j] != v[i : j - 1]))
-                columns = (names[used], 6), (place[v[i:j][at]], 4), (np.diff(np.append(at, j - i)), 4), (place[u[i:j]], 4), (place[w[i:j]], 4), (c[i:j], 4)
-                yield _row(s, 0, pack_columns(*columns), None)
+        yield from _dealt(names, u, v, w, c, n, groups, hot)
 
     for b in batches:
         for _, _, data, offs in slices(b.column(0)):
@@ -181,6 +198,37 @@ def _runs(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, order: int
         yield from flush()
 
 
+def _columns_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The names u, v, w of a blob's triples and their counts."""
+    names, vs, many, u, w, c = unpack_columns(blob)
+    at = lambda x: x.astype(np.int64)
+    return names[at(u)], np.repeat(names[at(vs)], at(many)), names[at(w)], at(c)
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The triples of groups of shards, merged from many runs at a time and dealt to
+    their shards. A task may have several groups."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        u, v, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, ids = np.unique(np.concatenate((u, v, w)), return_inverse=True)
+        u, v, w = ids.reshape(3, -1)
+        (v, u, w), c = summed([v, u, w], c)
+        yield from _dealt(names, u, v, w, c, n, 0, hot)
+
+    for b in batches:
+        for blob in b.column("blob"):
+            held.append(_columns_of(blob.as_py()))
+            size += len(held[-1][0])
+            if size >= RUN_TOKENS:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[dict[tuple[int, int], list[bytes]], list[list[int]]]:
     """Blobs by (kind, shard), and the sums."""
     blobs: dict[tuple[int, int], list[bytes]] = {}
@@ -360,7 +408,11 @@ def train(texts: DataFrame, order: int = ORDER, hot: list[int] | None = None) ->
     if hot is None:
         hot = frequent_words(texts, n) if order == 3 else []
     often = np.array(sorted(hot), np.uint64)
-    rows = texts.mapInArrow(lambda b: _runs(b, n, often, order), _BLOBS).repartition(n, "shard")
+    groups = math.isqrt(n - 1) + 1 if n > ONE_LEVEL else 0
+    rows = texts.mapInArrow(lambda b: _runs(b, n, often, order, groups), _BLOBS)
+    if groups:  # a blob for each run and group, then one for each many runs of a group and shard
+        rows = rows.repartition(groups, "shard").mapInArrow(lambda b: _regrouped(b, n, often), _BLOBS)
+    rows = rows.repartition(n, "shard")
     rows = rows.mapInArrow(lambda b: _triples(b, n, folder, often, order), _BLOBS).repartition(n, "shard")
     if hot:
         rows = rows.mapInArrow(lambda b: _frequent(b, n, folder), _BLOBS).repartition(n, "shard")
@@ -382,7 +434,8 @@ class Model:
     """A trained model whose arrays are memory-mapped."""
 
     def __init__(self, about: dict):
-        self.about, self.n, self.files = about, about["shards"], {}
+        self.about, self.n = about, about["shards"]
+        self.files: OrderedDict[str, np.ndarray | None] = OrderedDict()
         self.hot = np.array(about["hot"], np.uint64)
         self.d3, self.d2, self.d1 = (discounts(c) for c in about["classes"])
         m1, m2 = about["classes"][2][:2]
@@ -395,6 +448,9 @@ class Model:
         if name not in self.files:
             path = f"{self.about['folder']}/{name}.npy"
             self.files[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            if len(self.files) > MAPS:  # a process has some 65,000 maps at most
+                self.files.popitem(last=False)
+        self.files.move_to_end(name)
         return self.files[name]
 
     @staticmethod
