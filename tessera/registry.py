@@ -674,7 +674,28 @@ def _(spark, d):
     return portfolio.equal_weight(_two(spark, d))
 
 
-@query("smoothed_weights", "strategy ts symbol", "weight")
+def _smooth_sql(source: str, alpha: float, leverage: float) -> str:
+    """Smoothed weights sw(strategy, ts, symbol, weight) of source(strategy, ts, symbol,
+    weight, aside): a row a date with its symbols as a list; dates aside are passed over."""
+    return f"""
+  sv AS (
+    SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY ts) AS i
+    FROM (SELECT strategy, ts, list(weight ORDER BY symbol) AS x FROM {source} WHERE NOT aside GROUP BY ALL)),
+  sm AS (
+    SELECT strategy, i, x AS w FROM sv WHERE i = 1
+    UNION ALL
+    SELECT strategy, i, CASE WHEN g > 1e-8 AND g < {leverage} THEN list_transform(v, lambda z: z * ({leverage} / g)) ELSE v END
+    FROM (
+      SELECT strategy, i, v, list_sum(list_transform(v, lambda z: abs(z))) AS g
+      FROM (SELECT s.strategy, s.i, list_transform(list_zip(s.x, r.w), lambda z: {alpha} * z[1] + (1 - {alpha}) * z[2]) AS v
+            FROM sm r JOIN sv s ON s.strategy = r.strategy AND s.i = r.i + 1))),
+  sw AS (
+    SELECT sm.strategy, sv.ts, unnest(names) AS symbol, unnest(w) AS weight
+    FROM sm JOIN sv USING (strategy, i), (SELECT list(DISTINCT symbol ORDER BY symbol) AS names FROM {source})
+    UNION ALL SELECT strategy, ts, symbol, weight FROM {source} WHERE aside)"""
+
+
+@query("smoothed_weights", "strategy ts symbol", "weight", f"{_TWO}, so AS (SELECT *, false AS aside FROM tw), {_smooth_sql('so', 0.3, 0.8)}, final AS (SELECT * FROM sw)", recursive=True)
 def _(spark, d):
     return wt.smoothed(_two(spark, d), 0.3, 0.8)
 
@@ -684,7 +705,26 @@ def _(spark, d):
     return portfolio.allocate(_scores(spark, d))
 
 
-@query("strategy_mix", "ts strategy", "share")
+# Two shares: the one of `ret` is where the gain's slope is 0, or an end of [0, 1].
+_MIX = """
+  m1 AS (SELECT ts, coalesce(sum(ret) FILTER (strategy = 'ret'), 0) AS a, coalesce(sum(ret) FILTER (strategy = 'basis'), 0) AS b FROM sr GROUP BY ts),
+  m2 AS (
+    SELECT ts, row_number() OVER (ORDER BY ts) AS i, count(*) OVER w AS n, avg(a) OVER w AS ma, avg(b) OVER w AS mb,
+           var_samp(a) OVER w + 1e-8 AS va, var_samp(b) OVER w + 1e-8 AS vb, covar_samp(a, b) OVER w / 2 AS c
+    FROM m1 WINDOW w AS (ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+  m3 AS (SELECT ts, i, CASE WHEN n >= 30 THEN greatest(0, least(1, ((ma - mb) / 2 + vb - c) / (va - 2 * c + vb))) ELSE 0.5 END AS x FROM m2)"""
+
+
+@query(
+    "strategy_mix",
+    "ts strategy",
+    "share",
+    f"""{_TWO}, {_SRET}, {_MIX},
+  m4 AS (
+    SELECT p.ts, sum(q.x * CASE WHEN q.i = 1 THEN power(0.7, p.i - 1) ELSE 0.3 * power(0.7, p.i - q.i) END) AS s
+    FROM m3 p JOIN m3 q ON q.i <= p.i GROUP BY p.ts),
+  final AS (SELECT ts, 'ret' AS strategy, s AS share FROM m4 UNION ALL SELECT ts, 'basis', 1 - s FROM m4)""",
+)
 def _(spark, d):
     return portfolio.strategy_mix(bt.strategy_returns(_two(spark, d), B.panel(spark, d)), ["ret", "basis"], ema=0.3)
 

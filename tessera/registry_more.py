@@ -13,7 +13,7 @@ from .operators import factors as fac
 from .operators import joins, portfolio, reports
 from .operators import weights as wt
 from .plans import bars as B
-from .registry import _ALL, _ALPHA, _CODES, _COV, _IC, _LW, _TWO, BARS, BT, DAILY, FACTORS, IMP, PANEL, REGIMES, WDENSE, _calendar, _daily, _epochs, _factors, _importance, _regimes, _scores, _two, _w, _weights_sql, g, over, pct_sql, query, resid_sql, zs
+from .registry import _ALL, _ALPHA, _CODES, _COV, _IC, _LW, _MIX, _SRET, _TWO, BARS, BT, DAILY, FACTORS, IMP, PANEL, REGIMES, WDENSE, _calendar, _daily, _epochs, _factors, _importance, _regimes, _scores, _smooth_sql, _two, _w, _weights_sql, g, over, pct_sql, query, resid_sql, zs
 
 ONE = "one AS (SELECT 1)"
 
@@ -146,7 +146,24 @@ def _(spark, d):
     return score.join(wt.linear(score), ["ts", "symbol"])
 
 
-@query("combine_cross_signal", "ts symbol", "weight")
+# Shares are smoothed over the dates with a signal; flat dates stand aside.
+@query(
+    "combine_cross_signal",
+    "ts symbol",
+    "weight",
+    f"""{_TWO}, {_SRET}, {_ALPHA}, {_MIX},
+  ac AS (SELECT ts, max(coalesce(score, 0) <> 0) AS live FROM al GROUP BY ts),
+  mo AS (SELECT ts, x, row_number() OVER (ORDER BY ts) AS i FROM m3 JOIN ac USING (ts) WHERE live),
+  mx AS (
+    SELECT p.ts, sum(q.x * CASE WHEN q.i = 1 THEN power(0.7, p.i - 1) ELSE 0.3 * power(0.7, p.i - q.i) END) AS s
+    FROM mo p JOIN mo q ON q.i <= p.i GROUP BY p.ts),
+  bl AS (SELECT ts, symbol, sum(z * CASE strategy WHEN 'ret' THEN s ELSE 1 - s END) AS score FROM tz JOIN mx USING (ts) GROUP BY ALL), {_LINEAR},
+  so AS (
+    SELECT 'x' AS strategy, p.ts, p.symbol, CASE WHEN NOT coalesce(live, false) OR abs(w) < 1e-4 THEN 0 ELSE coalesce(w, 0) END::DOUBLE AS weight, NOT coalesce(live, false) AS aside
+    FROM p LEFT JOIN bl2 USING (ts, symbol) LEFT JOIN ac USING (ts)), {_smooth_sql('so', 0.5, 1.0)},
+  final AS (SELECT ts, symbol, weight FROM sw)""",
+    recursive=True,
+)
 def _(spark, d):
     return portfolio.combine(_two(spark, d), B.panel(spark, d), "cross_signal_mv", share_ema=0.3, weight_ema=0.5)
 
