@@ -150,8 +150,10 @@ def information_coefficient(df: DataFrame, score: str, target: str, least: int =
 
 
 def ic_summary(ic: DataFrame, *by: str) -> DataFrame:
+    """Mean, deviation, their ratio, the share of positive ones and the days. A
+    correlation within 1e-12 of 0, whose sign is a matter of rounding, is not positive."""
     s = F.stddev_samp("ic")
-    return ic.groupBy(*by).agg(F.avg("ic").alias("mean"), s.alias("std"), F.try_divide(F.avg("ic"), F.nullif(s, F.lit(0.0))).alias("ir"), F.avg(F.coalesce(F.col("ic") > 0, F.lit(False)).cast("double")).alias("positive"), F.count("*").alias("days"))
+    return ic.groupBy(*by).agg(F.avg("ic").alias("mean"), s.alias("std"), F.try_divide(F.avg("ic"), F.nullif(s, F.lit(0.0))).alias("ir"), F.avg(F.coalesce(F.col("ic") > 1e-12, F.lit(False)).cast("double")).alias("positive"), F.count("*").alias("days"))
 
 
 def expanding_ir(ic: DataFrame) -> DataFrame:

@@ -792,7 +792,7 @@ def _(spark, d):
     return _ic(spark, d)
 
 
-@query("ic_summary", "", "mean std ir positive days", f"{_IC}, final AS (SELECT avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS positive, count(*) AS days FROM ic)")
+@query("ic_summary", "", "mean std ir positive days", f"{_IC}, final AS (SELECT avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0 END) AS positive, count(*) AS days FROM ic)")
 def _(spark, d):
     return reports.ic_summary(_ic(spark, d))
 

@@ -406,7 +406,7 @@ def _step_sql(k: int) -> str:
     "fold feature bin",
     "score",
     f"""a AS (SELECT *, lead(close, 1) {_LW} / nullif(close, 0) - 1 AS y_raw, {g('stddev_samp', 'ret', 10)} AS vol FROM p),
-  b AS (SELECT ts, {pct_sql('y_raw')} - 0.5 AS y, coalesce(ret, 0) AS f0, coalesce(basis, 0) AS f1, coalesce(vol, 0) AS f2 FROM a),
+  b AS (SELECT ts, {pct_sql('y_raw')} - 0.5 AS y, coalesce(round(ret, 9), 0) AS f0, coalesce(round(basis, 9), 0) AS f1, coalesce(round(vol, 9), 0) AS f2 FROM a),
   dd AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM b)),
   fo AS (SELECT k AS fold, n // 2 + 40 * k AS i FROM (SELECT DISTINCT n FROM dd), range(1000) t(k) WHERE n // 2 + 40 * k < n),
   tr AS (SELECT fold, b.* FROM fo JOIN dd ON dd.i < fo.i - 1 JOIN b USING (ts) WHERE y IS NOT NULL),
@@ -417,6 +417,7 @@ def _step_sql(k: int) -> str:
 )
 def _(spark, d):
     x, c = _train(spark, d)
+    x = x.withColumns({f: F.round(f, 9) for f in _FEATURES})  # a value that rounding puts on either side of an edge is on neither
     return ml.shape_table(ml.trained(x, _FEATURES, c, rounds=1)).where("score <> 0").select("fold", "feature", "bin", "score")
 
 
