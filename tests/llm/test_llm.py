@@ -576,14 +576,14 @@ def test_word_hashes():
     assert bounds.tolist() == [0, 2_000_001] and len(set(h.tolist())) == 3
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op8_minhash_near_dup", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op2_warc", "op8_minhash_near_dup", "op10_quality_rules", "op11_importance_resampling", "op12_prefix_trie", "op13_ngram_jaccard_join"])
 def test_sql(spark, sf_dir, name):
     """The registered queries against their SQL."""
     import duckdb
     from tessera.llm import registry
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = registry.queries()[name](spark, sf_dir)
     rel = con.sql(registry.oracle_sql()[name])
