@@ -40,7 +40,7 @@ from .tokens import default_path, worker_encoder
 END_ID = 0
 #: Bytes of texts of a file, about.
 FILE_BYTES = 256 << 20
-MAGIC = b"TSRAIDS2"
+MAGIC = b"TSRAIDS3"
 _NULL_ID = -(1 << 63)
 _BLOCK, _TRAILER = struct.Struct("<II"), struct.Struct("<IQQ8s")
 
@@ -61,14 +61,21 @@ class Writer:
         self.total += len(ids)
         self.held.append(ids)
         self.size += len(ids)
-        if self.size >= id_coder.BLOCK_IDS:
+        if self.size >= 2 * id_coder.BLOCK_IDS:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
+        """Whole blocks, but for what is less than two of them. At the end that is
+        one block, or two halves if over one and a half: a short block costs more an id."""
         ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
-        end = len(ids) if last else len(ids) - len(ids) % id_coder.BLOCK_IDS
-        for at in range(0, end, id_coder.BLOCK_IDS):
-            part = ids[at : min(end, at + id_coder.BLOCK_IDS)]
+        size = id_coder.BLOCK_IDS
+        cuts = [size * i for i in range(max(1, len(ids) // size))]
+        if last:
+            rest = len(ids) - cuts[-1]
+            cuts += [cuts[-1] + rest // 2, len(ids)] if 2 * rest > 3 * size else [len(ids)] if rest else []
+        end = cuts[-1]
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            part = ids[at:to]
             coded = id_coder.encode(part)
             self.f.write(_BLOCK.pack(len(coded), zlib.crc32(part.astype("<u4").tobytes())) + coded)
         self.held, self.size = [ids[end:].copy()], len(ids) - end

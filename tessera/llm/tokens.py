@@ -1,11 +1,14 @@
 """Token ids of whole texts, with the vocabularies of public tokenizers.
 
 A text is cut before each single space between two characters that are not
-white space. The tokenizers' own pattern always starts a piece there, so the
-parts encode on their own to the ids of the whole. A slice of texts is cut with
-array operations and its parts are made a dictionary by Arrow, so that each
-distinct part of a slice is looked up once, and encoded once for each worker
-while it is remembered.
+white space; with the byte-level pattern also after a letter before an ASCII
+character that is none, and before a letter after a single line feed. The
+tokenizers' own pattern always starts a piece there, so the parts encode on
+their own to the ids of the whole. A slice of texts is cut with array operations
+and its parts are made a dictionary by Arrow, so that each distinct part of a
+slice is looked up once, and encoded once for each worker while it is
+remembered. What is remembered is an Arrow array too, and a slice's dictionary
+is looked up in it at once.
 
 Defined results: a null or empty text has no ids. A text without a place to cut
 is one part, however long. Repeated rows get the same ids each. Only the named
@@ -22,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ from .common import slices, text_bytes
 
 #: Parts that a worker remembers (beyond that it keeps those of the slice at hand),
 #: and bytes of texts that it cuts at once: for ids, and for lengths alone.
-CACHE_PARTS, CUT_BYTES = 600_000, 16 << 20
+CACHE_PARTS, CUT_BYTES = 1_000_000, 20 << 20
 LENGTH_PARTS, LENGTH_BYTES = 200_000, 4 << 20
 #: Parts that are encoded as one text.
 GROUP = 200
@@ -38,6 +42,11 @@ _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: Bytes that white space can begin with.
 _MAYBE = _WHITE.copy()
 _MAYBE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII that ends a run of letters; a space is left to its own rule.
+_ENDS = ~_LETTER
+_ENDS[[*range(9), *range(14, 33), *range(128, 256)]] = False
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,14 +55,26 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def part_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Where the parts of a slice of UTF-8 texts begin. Beside a character that
-    may be white space beyond ASCII nothing is cut."""
+def part_starts(data: np.ndarray, offs: np.ndarray, fine: bool = False) -> np.ndarray:
+    """Where the parts of a slice of UTF-8 texts begin; fine: with the cuts that
+    hold for the byte-level pattern. Beside a character that may be white space
+    beyond ASCII nothing is cut."""
     at = np.flatnonzero(data[1:-1] == 32) + 1
     at = at[~(_MAYBE[data[at + 1]] | _WHITE[data[at - 1]] | (data[np.maximum(at - 2, 0)] == 0xC2))]
     third = data[np.maximum(at - 3, 0)]
     first = np.zeros(len(data), bool)
     first[at[(third < 0xE1) | (third > 0xE3)]] = True
+    if fine and len(data) > 1:
+        letter = _LETTER[data]
+        # Of two bytes, C0 to FF in Unicode but the signs of times and division.
+        two = np.flatnonzero(data[:-1] == 0xC3)
+        second = data[two + 1]
+        two = two[(second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7)]
+        letter[two] = letter[two + 1] = True
+        first[1:] |= letter[:-1] & _ENDS[data[1:]]
+        feed = np.flatnonzero((data[1:-1] == 10) & letter[2:]) + 1
+        before = data[feed - 1]
+        first[feed[((before > 32) & (before < 128)) | letter[feed - 1]] + 1] = True
     first[offs[:-1][offs[:-1] < len(data)]] = True
     return np.flatnonzero(first)
 
@@ -69,7 +90,8 @@ def hf_encoder(path: str) -> tuple[Callable[[list[str]], list], np.ndarray | Non
     with open(path, encoding="utf-8") as f:
         about = json.load(f)
     sizes = None
-    if (about.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not about.get("normalizer"):
+    cut = about.get("pre_tokenizer") or {}
+    if cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not about.get("normalizer"):
         words = about["model"]["vocab"]  # one character of the vocabulary is one byte
         sizes = np.zeros(max(words.values()) + 1, np.int64)
         sizes[list(words.values())] = list(map(len, words))
@@ -93,62 +115,82 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list], np.ndarray | None]:
     return rank_encoder(path) if path.endswith(".tiktoken") else hf_encoder(path)
 
 
+def _bytes_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large_binary array and where its rows begin in them."""
+    _, offs, data = parts.buffers()
+    offs = np.frombuffer(offs, np.int64)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offs[0] : offs[-1]], offs - offs[0]
+
+
 class Encoder:
     """Encodes slices of texts by parts and remembers what the parts gave."""
 
     def __init__(self, path: str, cache_parts: int = CACHE_PARTS, cut_bytes: int = CUT_BYTES):
         self.encode, self.sizes = encoder(path)
         self.cache_parts, self.cut_bytes = cache_parts, cut_bytes
-        self.known: dict[bytes, int] = {}  # part -> its number
+        self.known = pa.array([], pa.large_binary())  # the parts, by their numbers
         self.start = self.count = np.zeros(0, np.int64)  # of its ids
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, parts: list[bytes]) -> None:
+    def learn(self, parts: pa.Array) -> None:
         """Encode parts that are not known. Those that begin with a space are
         encoded end to end, GROUP in one text, and told apart by their bytes.
         Bytes that are no UTF-8 count as the replacement character."""
-        joined = [p for p in parts if p[:1] == b" "] if self.sizes is not None else []
+        data, offs = _bytes_of(parts)
+        spaced = data[offs[:-1]] == 32 if self.sizes is not None else np.zeros(len(parts), bool)
+        joined, at = _bytes_of(parts.filter(pa.array(spaced)))
+        cuts = at[np.append(np.arange(0, len(at) - 1, GROUP), len(at) - 1)].tolist()
         try:
-            texts = [b"".join(joined[i : i + GROUP]).decode() for i in range(0, len(joined), GROUP)]
+            texts = [joined[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)]
         except UnicodeDecodeError:  # broken text: its replacement has other bytes
-            joined, texts = [], []
-        apart = [p for p in parts if p[:1] != b" "] if joined else parts
+            spaced, texts = np.zeros(len(parts), bool), []
         flat = np.fromiter(chain.from_iterable(self.encode(texts)), np.uint32)
-        ends = np.zeros(0, np.int64)
-        if joined:
-            ends = np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum(list(map(len, joined)))) + 1
-        found = self.encode([p.decode("utf-8", "replace") for p in apart])
-        counts = np.concatenate((np.diff(ends, prepend=0), np.fromiter(map(len, found), np.int64)))
-        n = len(self.known)
-        self.known.update(zip(joined + apart, range(n, n + len(counts)), strict=True))
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(counts) - counts))
+        counts = np.zeros(len(parts), np.int64)
+        if texts:
+            counts[spaced] = np.diff(np.searchsorted(np.cumsum(self.sizes[flat]), at[1:]) + 1, prepend=0)
+        found = self.encode([p.decode("utf-8", "replace") for p in parts.filter(pa.array(~spaced)).to_pylist()])
+        counts[~spaced] = np.fromiter(map(len, found), np.int64)
+        start = np.zeros(len(parts), np.int64)
+        begin = len(self.ids)
+        for own in (spaced, ~spaced):
+            start[own] = begin + np.cumsum(counts[own]) - counts[own]
+            begin += int(counts[own].sum())
+        self.known = pa.concat_arrays([self.known, parts])
+        self.start = np.concatenate((self.start, start))
         self.count = np.concatenate((self.count, counts))
         self.ids = np.concatenate((self.ids, flat, np.fromiter(chain.from_iterable(found), np.uint32)))
 
-    def forget(self, keep: list[bytes]) -> None:
-        """Remember only some known parts."""
-        at = np.array([self.known[k] for k in keep], np.int64)
+    def find(self, parts: pa.Array) -> pa.Array:
+        """The number of each part, or null."""
+        return pc.index_in(parts, value_set=self.known)
+
+    def forget(self, keep: pa.Array | list) -> None:
+        """Remember only some known parts, numbered in their order."""
+        keep = pa.array(keep, pa.large_binary()) if isinstance(keep, list) else keep
+        at = self.find(keep).to_numpy(zero_copy_only=False).astype(np.int64)
         start, counts = self.start[at], self.count[at]
         ends = np.cumsum(counts)
         take = np.repeat(start - ends + counts, counts) + np.arange(int(counts.sum()))
-        self.known = dict(zip(keep, range(len(keep)), strict=True))
-        self.start, self.count, self.ids = ends - counts, counts, self.ids[take]
+        self.known, self.start, self.count, self.ids = keep, ends - counts, counts, self.ids[take]
 
     def places(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each part of a slice, and where rows begin."""
-        first = part_starts(data, offs)
+        first = part_starts(data, offs, self.sizes is not None)
         wide = len(data) >= 1 << 31
         at = pa.py_buffer(np.append(first, len(data)).astype(np.int64 if wide else np.int32))
         parts = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(first), [None, at, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        keys = parts.dictionary.to_pylist()
-        found = list(map(self.known.get, keys))
-        if None in found:
-            new = [k for k, v in zip(keys, found, strict=True) if v is None]
-            if len(self.known) + len(new) > self.cache_parts:
-                self.forget([k for k, v in zip(keys, found, strict=True) if v is not None])
-            self.learn(new)
-            found = list(map(self.known.__getitem__, keys))
-        return np.array(found, np.int64)[parts.indices.to_numpy()], np.searchsorted(first, offs)
+        keys = parts.dictionary.cast(pa.large_binary())
+        found = self.find(keys)
+        number = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            old = number >= 0
+            if len(self.known) + found.null_count > self.cache_parts:
+                self.forget(keys.filter(pa.array(old)))
+                number[old] = np.arange(len(self.known))
+            number[~old] = len(self.known) + np.arange(found.null_count)
+            self.learn(keys.filter(pa.array(~old)))
+        return number[parts.indices.to_numpy()], np.searchsorted(first, offs)
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Numbers of ids of a binary column of texts."""

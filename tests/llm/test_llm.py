@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -328,6 +329,26 @@ def test_token_parts(sample):
         assert own.lengths(column).tolist() == [len(w) for w in want]
 
 
+def test_token_parts_fine():
+    """Words apart from signs and line ends share one part, and parts still give
+    the ids of whole texts, over characters that meet in every way."""
+    from tokenizers import Tokenizer
+
+    cut = lambda t: np.split(np.frombuffer(t.encode(), np.uint8), tokens.part_starts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), True)[1:])
+    assert [p.tobytes().decode() for p in cut("the cat, été.\nThe cat\nÉté! don't")] == ["the", " cat", ",", " été", ".\n", "The", " cat", "\n", "Été", "!", " don", "'t"]
+    rng = np.random.default_rng(11)
+    atoms = [*"abTs.,'\n \t\r\x0b\x1c1!_", "\n", " ", "é", "É", "×", "÷", "ÿ", "\u0301", "\u00a0", "\u0085", "\u2003", "語", "'s", "'ll", "²", "ß", "\x00", "\x7f", "\U0001f600"]
+    texts = ["".join(rng.choice(atoms, rng.integers(1, 24))) for _ in range(4000)]
+    model = Tokenizer.from_file(tokens.default_path())
+    model.encode_special_tokens = True
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        own = tokens.Encoder(tokens.default_path(name), 500, 4000)  # forgets often
+        got = [ids[a:b].tolist() for _, ids, ends in own.texts(column) for a, b in zip(ends, ends[1:], strict=False)]
+        assert got == want
+
+
 def test_token_lengths(spark):
     """Null, empty, repeated rows, clashing columns, no rows."""
     got = tokens.token_lengths(docs_of(spark, [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c")], True), tokens.default_path()).collect()
@@ -360,6 +381,20 @@ def test_id_coder():
     assert len(id_coder.encode(same)) * 8 < 0.5 * len(same)
 
 
+def test_id_coder_blocks(monkeypatch):
+    """A file has no short block after whole ones, and its blocks give its ids back."""
+    monkeypatch.setattr(id_coder, "BLOCK_IDS", 1000)
+    rng = np.random.default_rng(8)
+    for n, want in ((0, []), (1, [1]), (1500, [1500]), (1501, [750, 751]), (2000, [1000, 1000]), (2100, [1000, 1100]), (5600, [1000] * 4 + [800, 800])):
+        ids, f = rng.integers(0, 300, n).astype(np.uint32), io.BytesIO()
+        out = token_files.Writer(f)
+        for part in np.array_split(ids, 7):
+            out.add(np.arange(1), np.array([len(part)]), part)
+        out.close()
+        got = list(token_files.blocks(f, "memory"))
+        assert [len(b) for b in got] == want and np.array_equal(np.concatenate([np.zeros(0, np.uint32), *got]), ids), n
+
+
 def test_id_coder_size(spark, sample):
     """Fewer bits than the order-0 entropy of the ids and than zstandard on 16-bit ids."""
     encode = tokens.Encoder(tokens.default_path())
