@@ -77,7 +77,7 @@ class Writer:
         for at, to in zip(cuts, cuts[1:], strict=False):
             part = ids[at:to]
             coded = id_coder.encode(part)
-            self.f.write(_BLOCK.pack(len(coded), zlib.crc32(part.astype("<u4").tobytes())) + coded)
+            self.f.write(_BLOCK.pack(len(coded), zlib.crc32(part.astype("<u4", copy=False))) + coded)
         self.held, self.size = [ids[end:].copy()], len(ids) - end
 
     def close(self) -> None:
@@ -98,7 +98,7 @@ def blocks(f, path: str) -> Iterator[np.ndarray]:
             ids = id_coder.decode(f.read(size))
         except Exception as e:
             raise ValueError(f"{path}: a block is damaged") from e
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(ids.astype("<u4", copy=False)) != crc:
             raise ValueError(f"{path}: a block is damaged")
         yield ids
 
@@ -180,7 +180,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = []
                 for doc_id, ids in read_file(path):
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                     start += len(ids)
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)

@@ -35,18 +35,13 @@ from .common import slices, text_bytes
 #: and bytes of texts that it cuts at once: for ids, and for lengths alone.
 CACHE_PARTS, CUT_BYTES = 1_000_000, 20 << 20
 LENGTH_PARTS, LENGTH_BYTES = 200_000, 4 << 20
-#: Parts that are encoded as one text.
-GROUP = 200
+#: Parts that are encoded as one text, and parts whose ids are put together at once.
+GROUP, RUN_PARTS = 200, 1 << 18
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: Bytes that white space can begin with.
 _MAYBE = _WHITE.copy()
 _MAYBE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-#: ASCII that ends a run of letters; a space is left to its own rule.
-_ENDS = ~_LETTER
-_ENDS[[*range(9), *range(14, 33), *range(128, 256)]] = False
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -60,18 +55,20 @@ def part_starts(data: np.ndarray, offs: np.ndarray, fine: bool = False) -> np.nd
     hold for the byte-level pattern. Beside a character that may be white space
     beyond ASCII nothing is cut."""
     at = np.flatnonzero(data[1:-1] == 32) + 1
-    at = at[~(_MAYBE[data[at + 1]] | _WHITE[data[at - 1]] | (data[np.maximum(at - 2, 0)] == 0xC2))]
-    third = data[np.maximum(at - 3, 0)]
+    at = at[~(_MAYBE.take(data.take(at + 1)) | _WHITE.take(data.take(at - 1)) | (data.take(np.maximum(at - 2, 0)) == 0xC2))]
+    third = data.take(np.maximum(at - 3, 0))
     first = np.zeros(len(data), bool)
     first[at[(third < 0xE1) | (third > 0xE3)]] = True
     if fine and len(data) > 1:
-        letter = _LETTER[data]
+        letter = ((data | 32) - np.uint8(97)) < 26
+        # ASCII that ends a run of letters; a space is left to its own rule.
+        ends = (((data - np.uint8(9)) < 5) | ((data - np.uint8(33)) < 95)) & ~letter
         # Of two bytes, C0 to FF in Unicode but the signs of times and division.
         two = np.flatnonzero(data[:-1] == 0xC3)
         second = data[two + 1]
         two = two[(second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7)]
         letter[two] = letter[two + 1] = True
-        first[1:] |= letter[:-1] & _ENDS[data[1:]]
+        first[1:] |= letter[:-1] & ends[1:]
         feed = np.flatnonzero((data[1:-1] == 10) & letter[2:]) + 1
         before = data[feed - 1]
         first[feed[((before > 32) & (before < 128)) | letter[feed - 1]] + 1] = True
@@ -190,7 +187,7 @@ class Encoder:
                 number[old] = np.arange(len(self.known))
             number[~old] = len(self.known) + np.arange(found.null_count)
             self.learn(keys.filter(pa.array(~old)))
-        return number[parts.indices.to_numpy()], np.searchsorted(first, offs)
+        return number.take(parts.indices.to_numpy()), np.searchsorted(first, offs)
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Numbers of ids of a binary column of texts."""
@@ -209,11 +206,16 @@ class Encoder:
                 yield i, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
                 continue
             at, rows = self.places(data, offs)
-            counts = self.count[at]
-            ends = np.append(0, np.cumsum(counts))
-            take = np.repeat(self.start[at] - ends[:-1], counts)
-            take += np.arange(len(take))
-            yield i, self.ids[take], ends[rows]
+            a = 0
+            while a < j - i:
+                b = max(a + 1, int(np.searchsorted(rows, rows[a] + RUN_PARTS, side="right")) - 1)
+                own = at[rows[a] : rows[b]]
+                counts = self.count.take(own)
+                ends = np.append(0, np.cumsum(counts))
+                take = np.repeat(self.start.take(own) - ends[:-1], counts)
+                take += np.arange(len(take))
+                yield i + a, self.ids.take(take), ends[rows[a : b + 1] - rows[a]]
+                a = b
 
 
 _workers: dict[tuple, Encoder] = {}

@@ -329,6 +329,17 @@ def test_token_parts(sample):
         assert own.lengths(column).tolist() == [len(w) for w in want]
 
 
+def test_token_runs(monkeypatch):
+    """Rows come in runs of bounded parts, each row once and in order."""
+    monkeypatch.setattr(tokens, "RUN_PARTS", 5)
+    texts = ["", "a b c", "d e", "", "f " * 40, "g", "", "h i j k l", "", ""]
+    runs = list(tokens.Encoder(tokens.default_path()).texts(pa.array([t.encode() for t in texts], pa.binary())))
+    assert [i for i, _, _ in runs] == [0, 4, 5, 7] and sum(len(ends) - 1 for _, _, ends in runs) == len(texts)
+    whole = tokens.Encoder(tokens.default_path())
+    want = [whole.encode([t])[0] for t in texts]
+    assert [ids[a:b].tolist() for _, ids, ends in runs for a, b in zip(ends, ends[1:], strict=False)] == want
+
+
 def test_token_parts_fine():
     """Words apart from signs and line ends share one part, and parts still give
     the ids of whole texts, over characters that meet in every way."""
